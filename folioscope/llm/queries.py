@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import simhash
-from folioscope.llm.shared import table
+from folioscope.llm import iblt, langid, simhash, tokenfile
+from folioscope.llm.shared import crc32_mod4, shared_folder, table
 
 
 def op3_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,38 @@ def op3_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc32_mod4() == 2, F.lit(False))
+    model = langid.train(docs.where(~held_out))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.compare_versions(table(spark, sf_dir, "documents"))
+
+
+#: The tokenizer file of op4; a path on each machine.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    tokenfile.write(table(spark, sf_dir, "documents"), folder, tokenizer_path(), end_id=2)
+    return tokenfile.read(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_document_fingerprints": op2_document_fingerprints,
     "op3_simhash_near_dups": op3_simhash_near_dups,
+    "op4_token_files": op4_token_files,
 }
 
 ORACLES: dict[str, str] = {}

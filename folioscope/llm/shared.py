@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 <<
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
         start, size = 0, 0
-        for i, n in enumerate(pa.compute.binary_length(col.cast(pa.binary())).to_pylist()):
+        for i, n in enumerate(pc.binary_length(col.cast(pa.binary())).to_pylist()):
             n = n or 0
             if size and size + n > most_bytes:
                 yield batch.slice(start, i - start)
