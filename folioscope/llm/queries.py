@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import iblt, langid, simhash, tokenfile
+from folioscope.llm import decontaminate, iblt, langid, mixing, simhash, tokenfile
 from folioscope.llm.shared import crc32_mod4, shared_folder, table
 
 
@@ -43,11 +43,70 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, folder)
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return checked.drop("text")
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep_text=False)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_simhash_near_dups": op3_simhash_near_dups,
     "op4_token_files": op4_token_files,
+    "op5_benchmark_leaks": op5_benchmark_leaks,
+    "op8_source_mix": op8_source_mix,
 }
 
-ORACLES: dict[str, str] = {}
+OP8_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('mix:' || CAST(doc_id AS VARCHAR)) AS ord
+  FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT source, source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+    source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS everything
+  FROM src),
+rated AS (
+  SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS r,
+    (everything - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+  FROM weighed),
+common AS (SELECT arg_min(rate, r) AS rate FROM rated WHERE rate * weight < cap),
+aim AS (
+  SELECT source, source_size, least(cap, coalesce((SELECT rate FROM common) * weight, cap)) AS target, greatest(1, CAST(ceil(source_size / 262144.0::DOUBLE) AS BIGINT)) AS shards
+  FROM rated),
+placed AS (
+  SELECT s.*, a.source_size, a.target, CAST('0x' || substr(ord, 1, 8) AS BIGINT) % a.shards AS shard
+  FROM sized s JOIN aim a ON s.source IS NOT DISTINCT FROM a.source),
+votes AS (
+  SELECT source, shard, CAST(sum(size) AS BIGINT) AS shard_size, CAST(ceil(sum(size) / 32.0::DOUBLE) AS BIGINT) AS blocks,
+    CASE WHEN max(source_size) > 0 THEN max(target) * CAST(sum(size) AS BIGINT) / max(source_size) ELSE 0 END AS vote
+  FROM placed GROUP BY source, shard),
+even AS (SELECT *, CAST(floor(vote / 32 + 0.5) AS BIGINT) AS even FROM votes),
+missing AS (SELECT CAST(round_even(sum(vote) / 32, 0) AS BIGINT) - CAST(sum(even) AS BIGINT) AS m, sum(vote) AS total FROM even),
+steps AS (
+  SELECT source, shard, vote, even, m, unnest(range(1, CAST(ceil(CAST(abs(m) AS DOUBLE) * vote / total) AS BIGINT) + 2)) AS step
+  FROM even, missing WHERE total > 0 AND m <> 0),
+more AS (SELECT source, shard FROM steps WHERE m > 0 QUALIFY row_number() OVER (ORDER BY vote / (2 * (even + step - 1) + 1) DESC, source NULLS LAST, shard, step) <= m),
+less AS (SELECT source, shard FROM steps WHERE m < 0 AND step <= even QUALIFY row_number() OVER (ORDER BY vote / (2 * (even - step) + 1), source DESC NULLS FIRST, shard DESC, step DESC) <= -m),
+change AS (SELECT source, shard, sum(c) AS c FROM (SELECT *, 1 AS c FROM more UNION ALL SELECT *, -1 FROM less) GROUP BY source, shard),
+quota AS (
+  SELECT e.source, e.shard, e.blocks, CAST(e.even + coalesce(c.c, 0) AS BIGINT) AS quota
+  FROM even e LEFT JOIN change c ON e.source IS NOT DISTINCT FROM c.source AND e.shard = c.shard),
+laid AS (
+  SELECT p.*, q.blocks, q.quota, CASE WHEN q.blocks > 0 THEN q.quota // q.blocks ELSE 0 END AS rounds,
+    CAST('0x' || substr(md5('mix:' || coalesce(p.source, '') || ':' || CAST(p.shard AS VARCHAR)), 1, 8) AS BIGINT) % greatest(q.blocks, 1) AS first,
+    CAST(sum(p.size) OVER (PARTITION BY p.source, p.shard ORDER BY p.ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - p.size AS a
+  FROM placed p JOIN quota q ON p.source IS NOT DISTINCT FROM q.source AND p.shard = q.shard),
+ends AS (SELECT *, a + size AS b, first * 32 AS lo, (first + quota - rounds * blocks) * 32 AS hi, blocks * 32 AS whole FROM laid)
+SELECT doc_id, size, source_size, target,
+  CAST(least(rounds * size + greatest(0, least(b, least(hi, whole)) - greatest(a, lo)) + greatest(0, least(b, hi - whole) - greatest(a, 0)), size * 2) AS BIGINT) AS taken
+FROM ends
+"""
+
+ORACLES: dict[str, str] = {"op8_source_mix": OP8_SQL}
