@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, iblt, langid, mixing, simhash, tokenfile
+from folioscope.llm import decontaminate, htmltext, iblt, langid, mixing, quality, simhash, tokenfile
 from folioscope.llm.shared import crc32_mod4, shared_folder, table
 
 
@@ -53,13 +53,26 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc32_mod4() == 2, F.lit(False))
+    machine = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return quality.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_simhash_near_dups": op3_simhash_near_dups,
     "op4_token_files": op4_token_files,
     "op5_benchmark_leaks": op5_benchmark_leaks,
+    "op7_html_main_text": op7_html_main_text,
     "op8_source_mix": op8_source_mix,
+    "op10_quality_scores": op10_quality_scores,
 }
 
 OP8_SQL = r"""
