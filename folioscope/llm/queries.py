@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, htmltext, iblt, langid, mixing, quality, simhash, tokenfile
+from folioscope.llm import decontaminate, htmltext, iblt, langid, licences, mixing, quality, simhash, tokenfile
 from folioscope.llm.shared import crc32_mod4, shared_folder, table
 
 
@@ -53,6 +53,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dups": op3_simhash_near_dups,
     "op4_token_files": op4_token_files,
     "op5_benchmark_leaks": op5_benchmark_leaks,
+    "op6_licence_scan": op6_licence_scan,
     "op7_html_main_text": op7_html_main_text,
     "op8_source_mix": op8_source_mix,
     "op10_quality_scores": op10_quality_scores,
@@ -122,4 +127,34 @@ SELECT doc_id, size, source_size, target,
 FROM ends
 """
 
-ORACLES: dict[str, str] = {"op8_source_mix": OP8_SQL}
+def _licence_sql(threshold: float = 0.8) -> str:
+    """DuckDB SQL of the licence scan; templates and their bigrams are made by SQL, too."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ",\n  ".join(f"({i}, {quote(name)}, {quote(text)})" for i, (name, text) in enumerate(licences.TEMPLATES))
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    terms = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+    pairs = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+    return f"""
+WITH templates(template, licence, body) AS (VALUES
+  {rows}),
+template_words AS (SELECT template, licence, {terms.format("body")} AS w FROM templates),
+template_pairs AS (SELECT template, licence, len(w) - 1 AS n_b, unnest({pairs}) AS bigram FROM template_words),
+known AS (SELECT template, licence, n_b, bigram, count(*) AS c_b FROM template_pairs GROUP BY ALL),
+units AS (
+  SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), list_concat(string_split_regex(text, '\\n[ \\t\\r]*\\n'), [text]))) AS u
+  FROM documents),
+unit_words AS (SELECT doc_id, u, {terms.format("u")} AS w FROM units),
+unit_pairs AS (SELECT doc_id, u, len(w) - 1 AS n_a, unnest({pairs}) AS bigram FROM unit_words),
+counts AS (SELECT doc_id, u, n_a, bigram, count(*) AS c_a FROM unit_pairs GROUP BY ALL),
+common AS (
+  SELECT doc_id, u, n_a, template, licence, n_b, sum(least(c_a, c_b)) AS common
+  FROM counts JOIN known USING (bigram) WHERE n_a BETWEEN n_b * {low!r}::DOUBLE AND n_b * {high!r}::DOUBLE GROUP BY ALL),
+dice AS (SELECT doc_id, u, licence, 2.0::DOUBLE * common / (n_a + n_b) AS dice FROM common),
+best AS (SELECT doc_id, u, licence, dice FROM dice WHERE dice >= {threshold} QUALIFY row_number() OVER (PARTITION BY doc_id, u ORDER BY dice DESC, licence) = 1),
+found AS (SELECT doc_id, count(*) AS n_matches, arg_min(licence, (-dice, licence)) AS licence, max(dice) AS dice FROM best GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_matches, 0) AS n_matches, licence, coalesce(dice, 0.0::DOUBLE) AS dice
+FROM documents d LEFT JOIN found USING (doc_id)
+"""
+
+
+ORACLES: dict[str, str] = {"op6_licence_scan": _licence_sql(), "op8_source_mix": OP8_SQL}
