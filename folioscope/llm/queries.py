@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, htmltext, iblt, langid, licences, mixing, quality, simhash, tokenfile
+from folioscope.llm import backoff, decontaminate, htmltext, iblt, langid, licences, mixing, quality, simhash, tokenfile
 from folioscope.llm.shared import crc32_mod4, shared_folder, table
 
 
@@ -61,6 +61,10 @@ def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc32_mod4() == 2, F.lit(False))
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_licence_scan": op6_licence_scan,
     "op7_html_main_text": op7_html_main_text,
     "op8_source_mix": op8_source_mix,
+    "op9_lm_scores": op9_lm_scores,
     "op10_quality_scores": op10_quality_scores,
 }
 
