@@ -231,7 +231,6 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     # a row for each range of ids (their number is a parameter of id_ranges): the one window over all is over those
     bases = per_range.select("id_range", (F.sum("n").over(Window.orderBy("id_range")) - F.col("n")).alias("base"))
     parts = shards.select("id_range", "part", "n_tokens").join(bases, "id_range").select("id_range", "part", (F.col("base") + F.sum("n_tokens").over(Window.partitionBy("id_range").orderBy("part")) - F.col("n_tokens")).alias("start"))
-    placed = shards.join(parts, ["id_range", "part"]).select("start", "id_range", "part", "id_bytes", "ids", "doc_ids", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,9 +240,12 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 begin = np.concatenate([[0], ends[:-1]])
                 doc = np.frombuffer(r["doc_ids"], "<i8")
                 crc = [zlib.crc32(ids[x:y].tobytes()) for x, y in zip(begin.tolist(), ends.tolist(), strict=True)]
-                yield pa.record_batch([pa.array(doc, mask=doc == NO_ID), pa.array(begin + r["start"]), pa.array(ends - begin), pa.array(crc, pa.int64()), pa.array([f"{r['id_range']}/{r['part']}"] * len(doc), pa.string())], names=["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
+                same = [pa.array([r["id_range"]] * len(doc), pa.int64()), pa.array([r["part"]] * len(doc), pa.int32())]
+                yield pa.record_batch([*same, pa.array(doc, mask=doc == NO_ID), pa.array(begin), pa.array(ends - begin), pa.array(crc, pa.int64())], names=["id_range", "part", "doc_id", "begin", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
+    rows = shards.select("id_range", "part", "id_bytes", "ids", "doc_ids", "ends").mapInArrow(run, "id_range long, part int, doc_id long, begin long, n_tokens long, ids_crc32 long")
+    placed = rows.join(parts, ["id_range", "part"])  # ids stay where they were read; a row of numbers for each document moves
+    return placed.select("doc_id", (F.col("start") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32", F.concat_ws("/", F.col("id_range").cast("string"), F.col("part").cast("string")).alias("shard"))
 
 
 def document_ids(spark: SparkSession, folder: str, id_range: int, part: int, number: int) -> list[int]:
