@@ -130,6 +130,8 @@ class Lines(HTMLParser):
         self._set()
 
     def handle_data(self, data: str) -> None:
+        if self.within[2] and next(s[0] for s in reversed(self.stack) if s[0] != "#keeps") not in BLOCK:
+            return  # a script or an inline advert within a line
         self.text.append(data)
         if self.link:
             self.linked += len(data.strip())
