@@ -14,8 +14,8 @@ from folioscope.llm import decontaminate, langid, mixing, simhash, tokenfile
 from folioscope.llm.queries import tokenizer_path
 from folioscope.llm.shared import shared_folder, stored, table
 
-#: Documents whose language is less sure than this are rejected, like those without a letter.
-LEAST_SURE = 0.5
+#: Documents whose language is less sure than this, hardly more than a guess, are rejected, like those without a letter.
+LEAST_SURE = 0.3
 #: Near-duplicates: five-word shingles, 128-bit fingerprints. Texts with a similarity of 0.8
 #: differ in 19.5 bits on average, with a deviation of 4; unrelated ones in 64, with 5.7.
 DEDUP = {"words": 5, "bits": 128, "radius": 26, "size_ratio": 0.8}

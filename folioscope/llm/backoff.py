@@ -150,7 +150,8 @@ def score(docs: DataFrame, least_count: int = 2, alpha: float = ALPHA, shard_wor
             some = np.flatnonzero(n)
             last = np.cumsum(n)[some] - 1
             first = last - n[some] + 1
-            after = np.append(codes[1:], U(END))
+            after = np.full(len(codes), END, U)
+            after[:-1] = codes[1:]
             after[last] = END
             w1 = np.concatenate([codes, np.full(len(some), START, U)])
             w2 = np.concatenate([after, codes[first]])
