@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def tokens_sql(col: str) -> str:
     return TOKENS.format(col)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name in the shared checkpoint folder; a local one only where the session names none."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/folioscope-scratch'}/{uuid.uuid4().hex}"
+
+
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A block for each non-blank line of documents: document_id, reading_order, text, tokens."""
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("reading_order", "text"))

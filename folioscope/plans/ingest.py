@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.plans.common import LINE_BLOCKS, RECTS, line_blocks, load, r6, rects
+from folioscope.plans.common import LINE_BLOCKS, RECTS, line_blocks, load, r6, rects, scratch
 from folioscope.sources import formats, messages, read, write
 from folioscope.streaming import machine, stages
 
@@ -192,15 +192,28 @@ SELECT event_id, stage, attempt, error_class, CASE WHEN reason IS NULL THEN 'ret
 """
 
 
-def stage_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stage machine's rows for a run of each user, from events taken as outcomes in their order."""
-    return machine.replay(_outcomes(spark, sf_dir))
+def _outcomes(events: DataFrame) -> DataFrame:
+    """Events as outcomes of stages: a run for each user, stages in turn, some failed."""
+    names = F.array(*[F.lit(s.name) for s in stages.PIPELINE])
+    return events.select(
+        "event_id", F.col("user_id").cast("string").alias("run_id"), F.expr(FAMILY_OF.format("user_id")).alias("family"), F.element_at(names, (F.col("event_id") % 10 + 1).cast("int")).alias("stage"),
+        F.when(F.col("event_id") % 4 == 0, "failed").otherwise("ok").alias("outcome"), F.when(F.col("event_id") % 8 == 0, "unsupported_format").otherwise("timeout").alias("error_class"),
+    )
 
 
-def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*[F.lit(s.name) for s in stages.PIPELINE])
-    e = load(spark, sf_dir, "events")
-    return e.select("event_id", F.col("user_id").cast("string").alias("run_id"), F.expr(FAMILY_OF.format("user_id")).alias("family"), F.element_at(names, (F.col("event_id") % 10 + 1).cast("int")).alias("stage"), F.when(F.col("event_id") % 4 == 0, "failed").otherwise("ok").alias("outcome"), F.when(F.col("event_id") % 8 == 0, "unsupported_format").otherwise("timeout").alias("error_class"))
+def pipeline_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stage machine's rows from the table of events."""
+    return machine.replay(_outcomes(load(spark, sf_dir, "events")))
+
+
+def pipeline_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from the events as a stream of files, until all that is there is read."""
+    schema = load(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    top = scratch(spark)
+    out = machine.run_stages(_outcomes(stream)).writeStream.format("parquet").option("path", f"{top}/rows").option("checkpointLocation", f"{top}/state").outputMode("append").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.parquet(f"{top}/rows")
 
 
 def chunk_link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +230,7 @@ SELECT chunk_id, block_id, CAST(min(o) AS INTEGER) AS ordinal FROM r GROUP BY AL
 
 QUERIES = {
     "format_route": format_route, "message_decode": message_decode, "json_recordset": json_recordset, "dedupe_upload": dedupe_upload, "upsert_pages": upsert_pages, "list_documents": list_documents, "pdf_fragments": pdf_fragments,
-    "ready_stages": ready_stages, "next_messages": next_messages, "resume_plan": resume_plan, "run_ready": run_ready, "stage_view": stage_view, "retry_plan": retry_plan, "pipeline_stream": stage_machine, "chunk_link_rows": chunk_link_rows,
+    "ready_stages": ready_stages, "next_messages": next_messages, "resume_plan": resume_plan, "run_ready": run_ready, "stage_view": stage_view, "retry_plan": retry_plan, "pipeline_batch": pipeline_batch, "pipeline_stream": pipeline_stream, "chunk_link_rows": chunk_link_rows,
 }
 ORACLES = {
     "format_route": ROUTE_SQL, "message_decode": MESSAGE_SQL, "json_recordset": "SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS DOUBLE) AS l_quantity FROM lineitem", "dedupe_upload": DEDUPE_SQL, "upsert_pages": UPSERT_SQL,
