@@ -38,13 +38,6 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder that shared_folder() named, through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def crc32_mod4(col: str = "doc_id") -> F.Column:
     """crc32 of the id as text, modulo 4: fold 2 is held out."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % 4
@@ -64,7 +57,3 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 <<
         if start < batch.num_rows:
             yield batch.slice(start)
 
-
-def without_clash(df: DataFrame, *names: str) -> DataFrame:
-    """df with just the columns that an operator reads, so that other columns cannot clash with those it makes."""
-    return df.select(*names)
