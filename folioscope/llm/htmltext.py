@@ -38,11 +38,13 @@ NEVER = frozenset("applet audio button canvas datalist dialog fieldset form head
 OUTSIDE_ARTICLES = frozenset(("header", "footer", "aside"))
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies copyright cta disclaimer discussion disqus donate footer gdpr header hero-ad login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommend recommended recommendations related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud tags teaser toc toolbar topbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright cta disclaimer discussion disqus donate footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommend recommended recommendations related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud tags teaser toc toolbar topbar widget widgets".split()
 )
 #: Boilerplate that readers write or that has articles of its own: an article inside it is not the page's.
 KEEPS_ARTICLES = frozenset("comment comments commentlist discussion disqus replies reply respond related recommend recommended recommendations sidebar teaser".split())
 WORDS = re.compile(r"[a-z]+")
+#: In a class these tell that the element is next to something, or lacks it, and not that it is one.
+BESIDE = re.compile(r"\b(?:has|is|no|not|with|without)[-_][a-z]+")
 SIGMA = 1.5
 
 
@@ -80,8 +82,8 @@ class Lines(HTMLParser):
             elif name == "style" and "display:none" in value.replace(" ", ""):
                 bad = True
             elif name in ("class", "id") and tag not in ("html", "body", "article", "main") or name == "class" and tag == "article":
-                found = MARKS.intersection(WORDS.findall(value))
-                if tag in ("h1", "h2", "h3", "h4", "h5", "h6") or article and found <= {"header", "tags", "hero-ad"}:
+                found = MARKS.intersection(WORDS.findall(BESIDE.sub(" ", value)))
+                if tag in ("h1", "h2", "h3", "h4", "h5", "h6") or article and found <= {"header", "tags"}:
                     continue
                 bad = bad or bool(found)
                 keeps = keeps or bool(found & KEEPS_ARTICLES)

@@ -309,6 +309,7 @@ def test_licences(spark, docs):
 def test_html(spark):
     page = "<html><head><title>T</title><style>p{}</style></head><body><nav><a>Home</a><ul><li>x</ul></nav><header>Site</header><div class='ad'>Buy</div><article class=post><header><h1>Tit<b>le</b></h1></header><p>One &amp; two<br>three&nbsp;four</p><aside>Side</aside><div class='comments'><article class=comment>Nice</article></div><form><input><button>Go</button></form><script>var a='</p>';</script><p>Short.</p></article><aside><article>Related</article></aside><footer>F</footer></body></html>"
     assert htmltext.main_text(page) == "Title One & two three four Short."
+    assert htmltext.main_text("<div class='page has-sidebar'><article class='post no-comments'><p>Kept</p></article><div class='sidebar'>x</div></div>") == "Kept"
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<nav>x</nav>") == ""
     assert htmltext.main_text("<nav><ul><li><a>x</a><article><p>Text stays</p></article>") == "Text stays"
     text = "A long paragraph of real text that goes on, with very many words in it. " * 3
