@@ -17,6 +17,10 @@ counts over the whole corpus, a table of fixed size, are broadcast, and pairs th
 with one are dealt by both words, so that no frequent word loads a shard. The number of
 shards follows the number of words. Counts cover all documents.
 
+A batch is named by its task and place in it, so docs must give the same rows in the same
+order when a lost partition is computed again, as a scan of files does; store other plans
+first.
+
 Defined results: words are runs of non-space in ASCII lower case; a text without words has
 n_words 0 and a null score; repeated rows are counted each and get equal scores; a null id
 is kept as such; an empty table gives an empty table; other columns are not looked at.

@@ -266,14 +266,17 @@ def links(points: DataFrame, radius: int, bits: int = 64, ring: str | None = Non
 def near_groups(docs: DataFrame, words: int = 4, bits: int = 64, radius: int = 4, size_ratio: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) for each row: the least id that links reach.
 
-    size_ratio: if given, texts whose shingle counts are further apart than this ratio (below 1)
-    by a whole ring are not compared; for similarities that such sizes rule out.
+    size_ratio: if given, links stand for similarities of this ratio (below 1) or more: texts whose
+    shingle counts differ by more than a ring of it are not compared, nor are texts with so few
+    shingles that one of another text's would bring them below it (majorities of two or three
+    hashes are also too alike by chance); equal ones meet in one point before.
     """
     rows = stored(fingerprints(docs, words, bits, id_col, text_col))
     points = stored(rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.min("n_shingles").alias("n")))
+    compared = points
     if size_ratio:
-        points = points.withColumn("ring", F.floor(F.log(F.greatest("n", F.lit(1))) / -math.log(size_ratio)).cast("long"))
-    roots = components(stored(links(points, radius, bits, "ring" if size_ratio else None)))
+        compared = points.where(F.col("n") >= math.ceil(round(size_ratio / (1 - size_ratio), 6))).withColumn("ring", F.floor(F.log(F.greatest("n", F.lit(1))) / -math.log(size_ratio)).cast("long"))
+    roots = components(stored(links(compared, radius, bits, "ring" if size_ratio else None)))
     named = stored(points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     first = stored(named.groupBy("root").agg(F.min("least").alias("component_id")))
     named = stored(named.join(first, "root").select("fp", "component_id"))

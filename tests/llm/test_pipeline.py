@@ -72,6 +72,13 @@ def test_near_dedup_of_planted_copies(spark):
     assert {10**6 + i for i in range(50)} <= kept and {1000 * g for g in range(30)} <= kept and len(kept) <= 82
 
 
+def test_near_dedup_keeps_short_texts_that_differ(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(5 + i % 3))) for i in range(1500)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert cp.near_dedup(spark, df, TOP).count() == 1500
+
+
 @pytest.mark.parametrize("name,stage", cp.STAGES)
 def test_awkward(spark, name, stage):
     long = " ".join(f"word{i % 977} the and of" for i in range(20_000))
