@@ -42,7 +42,7 @@ def _trimmed(text: Column, start: Column) -> Column:
 def plain_blocks(text: Column) -> Column:
     """Paragraphs between blank lines, as an array of blocks; JVM only."""
     # the separator stays with the piece before it, so that lengths give the offsets
-    pieces = F.split(text, r"(?<=\n[ \t\r\x0b\x0c]{0,255}\n)")
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s).+?(?:\n(?:[ \t\r\x0b\x0c]*\n)+|\z)"), F.lit(0))
     placed = F.aggregate(
         pieces,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,char_start:int,char_end:int>>").alias("out")),
