@@ -49,7 +49,7 @@ END, START = HOT, HOT + 1
 RARE = 1 << 48
 U = np.uint64
 #: Words of a shard, about.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 
 
 def pack(*columns: np.ndarray) -> bytes:
