@@ -1,19 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Method. Texts are their lower-case runs of letters and digits. Runs of ``SEED`` words of the
-test items are looked up in all documents. A first pass counts, for each such n-gram, the
-documents that hold it; an item's seeds are the rarer half of its n-grams and all that at
-most ``rare`` of the documents hold, so that an item keeps seeds even if it leaked into very
-many documents. In a second pass each place of a seed in a document proposes a passage
-around the place where the item would start; overlapping proposals are one passage. The
-passage is aligned with the item by Smith-Waterman (match 2, mismatch -1, gap -1), which
-finds exact, edited and paraphrased copies alike; a score is a share of what an exact copy
-gets. A document is contaminated if an item's score reaches ``threshold`` and its alignment
-is worth ``LEAST_WORDS`` equal words, or all words of a shorter item.
-
-Scale. Both passes are narrow and align within the row: no text is shuffled and there are
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+Method. Texts are their lower-case runs of letters and digits. All runs of ``SEED`` words of
+the test items are seeds, however many documents hold them: of an edited copy only a few
+n-grams are left, and in a widely copied item these are the frequent ones. Each place of a
+seed in a document proposes a passage around the place where the item would start;
+overlapping proposals are one passage. A copy without ``SEED`` equal words in a row has no
+seed and is not found. The passage is aligned with the item by Smith-Waterman (match 2,
+mismatch -1, gap -1), which finds exact, edited and paraphrased copies alike; a score is a
+share of what an exact copy gets. A document is contaminated if an item's score reaches
+``threshold`` and its alignment is worth ``LEAST_WORDS`` equal words, or all words of a
+shorter item.
+
+Scale. The pass is narrow and aligns within the row: no text is shuffled and there are
 no pair tables. Seeds and items go to the executors in parts of at most ``part_words``
-words, the proven bound of each broadcast; more items mean more passes.
+words, the proven bound of each broadcast; more items mean more passes. Alignments grow
+with the places where n-grams of items stand by chance.
 
 Defined results: null, empty or very short documents are clean with score 0; items without
 text or with fewer than ``SEED`` words are not searched; ties between items go to the least
@@ -124,19 +125,6 @@ def _of_part(part: list[tuple[int, str]]) -> Items:
     return Items([i for i, _ in part], [word[f : f + n] for f, n in zip(w.first, w.count, strict=True)], grams, of, place)
 
 
-def _rarer(items: Items, held: dict[int, int], most: float) -> Items:
-    """The same items with their seeds alone."""
-    number = np.repeat(np.arange(len(items.seed)), items.last - items.first)
-    df = np.array([held.get(int(s), 0) for s in items.seed.view(np.int64)], np.int64)[number]
-    order = np.lexsort((items.seed[number], df, items.item))
-    rank = np.arange(len(order)) - np.searchsorted(items.item[order], items.item[order])
-    count = np.bincount(items.item, minlength=len(items.ids))
-    keep = np.zeros(len(order), bool)
-    keep[order] = rank < (count[items.item[order]] + 1) // 2
-    keep |= df <= most
-    return Items(items.ids, items.words, items.seed[number][keep], items.item[keep], items.place[keep])
-
-
 def passages(items: Items, of: np.ndarray, grams: np.ndarray, w: Words) -> list[tuple[int, int, int, int]]:
     """(text, item, from, to): stretches of a text's words that seeds propose for an item."""
     hit, seed = items.find(grams)
@@ -165,33 +153,19 @@ def passages(items: Items, of: np.ndarray, grams: np.ndarray, w: Words) -> list[
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.5, rare: float = 1e-4, part_words: int = 2_000_000, id_col: str = "item_id", item_text: str = "text", text_col: str = "text") -> DataFrame:
-    """docs with contaminated, the best item_id, item_score and the words (word_from to before word_to) of the passage."""
+    """docs with contaminated, the best item_id, item_score and the words (word_from to before word_to) of the passage.
+
+    rare: no longer used, as every n-gram is a seed; kept for callers that name it.
+    """
     names = [f.name for f in RESULTS]
     plain = docs.drop(*names)
     out = plain.withColumns({"contaminated": F.lit(False), "item_id": F.lit(None).cast("long"), "item_score": F.lit(0.0), "word_from": F.lit(None).cast("int"), "word_to": F.lit(None).cast("int")})
     context = docs.sparkSession.sparkContext
-    n_docs = None
     columns = plain.columns
     at, width = columns.index(text_col), len(columns)
     schema = T.StructType([*plain.schema.fields, *RESULTS])
     for part in _parts(items, id_col, item_text, part_words):
-        n_docs = docs.count() if n_docs is None else n_docs
-        found = _of_part(part)
-        all_seeds = context.broadcast(found.seed)
-
-        def count(batches: Iterator[pa.RecordBatch], all_seeds=all_seeds) -> Iterator[pa.RecordBatch]:
-            seeds = Items([], [], all_seeds.value, np.zeros(len(all_seeds.value), np.int64), np.zeros(len(all_seeds.value), np.int64))
-            held = np.zeros(len(seeds.seed), np.int64)
-            for b in pieces(batches, text_col, 1 << 20):
-                _, _, of, grams = read_words(b.column(0).to_pylist())
-                hit, seed = seeds.find(grams)
-                once = np.unique(np.stack([of[hit], seed], 1), axis=0)
-                held += np.bincount(once[:, 1], minlength=len(held))
-            on = np.flatnonzero(held)
-            yield pa.record_batch([pa.array(seeds.seed[on].view(np.int64)), pa.array(held[on])], names=["seed", "held"])
-
-        held = plain.select(text_col).mapInArrow(count, "seed long, held long").groupBy("seed").agg(F.sum("held")).collect()  # a row for each seed of the part at most
-        shared = context.broadcast(_rarer(found, {r[0]: r[1] for r in held}, max(3.0, rare * n_docs)))
+        shared = context.broadcast(_of_part(part))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value

@@ -273,6 +273,17 @@ def test_leaks(spark):
     assert not decontaminate.decontaminate(df, spark.createDataFrame([], "item_id long, text string")).where("contaminated").count()
 
 
+def test_leaks_of_one_edit_in_many_documents(spark):
+    rng = random.Random(13)
+    item = [f"i{k}" for k in range(40)]
+    copy = " ".join("changed" if k % 5 == 4 else w for k, w in enumerate(item))  # 16 of 38 n-grams are left, and all are equally frequent
+    other = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    rows = [(i, f"{other(60)} {copy} {other(60)}" if i < 10 else other(150)) for i in range(40)]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {r.doc_id for r in got if r.contaminated} == set(range(10)) and all(r.item_score >= 0.69 for r in got if r.contaminated)
+
+
 def test_leaks_awkward(spark, awkward):
     items = spark.createDataFrame([(1, "text of the same id"), (None, "a b c d"), (2, ""), (1, "text of the same id")], "item_id long, text string")
     got = decontaminate.decontaminate(awkward, items).collect()
