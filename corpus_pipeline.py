@@ -10,15 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, langid, mixing, simhash, tokenfile
+from folioscope.llm import decontaminate, jaccard, langid, mixing, tokenfile
 from folioscope.llm.queries import tokenizer_path
 from folioscope.llm.shared import shared_folder, stored, table
 
 #: Documents whose language is less sure than this, hardly more than a guess, are rejected, like those without a letter.
 LEAST_SURE = 0.3
-#: Near-duplicates: five-word shingles, 128-bit fingerprints. Texts with a similarity of 0.8
-#: differ in 19.5 bits on average, with a deviation of 4; unrelated ones in 64, with 5.7.
-DEDUP = {"words": 5, "bits": 128, "radius": 26, "size_ratio": 0.8}
+#: Near-duplicates: the exact similarity of the sets of five-word shingles.
+DEDUP = {"words": 5, "similarity": 0.8}
+
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least id; rows without an id stay."""
-    groups = simhash.near_groups(docs, **DEDUP)
+    groups = jaccard.near_groups(docs, **DEDUP)
     gone = stored(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -79,6 +79,44 @@ def test_near_dedup_keeps_short_texts_that_differ(spark):
     assert cp.near_dedup(spark, df, TOP).count() == 1500
 
 
+def test_near_dedup_decides_by_exact_similarity(spark):
+    rng = random.Random(3)
+    word = lambda: f"u{rng.randrange(10**7)}"
+    rows, apart = [], 0
+    for g in range(150):
+        short, long = [word() for _ in range(8)], [word() for _ in range(104)]
+        rows += [(10 * g, short), (10 * g + 1, [*short, word()])]  # 4 of 5 shingles: exactly 0.8
+        if g % 3 == 0:  # 3 of 5, and 83 of 117: 0.60 and 0.71
+            other = [word() for _ in range(8)]
+            rows += [(10 * g + 2, other), (10 * g + 3, [*other[:7], word()]), (10 * g + 4, long), (10 * g + 5, [*long[:87], *(word() for _ in range(17))])]
+            apart += 4
+    rows = [(i, " ".join(w)) for i, w in rows]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in cp.near_dedup(spark, df, TOP).collect()}
+    assert kept == {i for i, _ in rows if i % 10 != 1} and len(kept) == 150 + apart
+
+
+def test_near_dedup_is_whole_on_overlapping_copies(spark, docs):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    base = rng.choices(words, k=100)
+    texts = [" ".join(base)]
+    for _ in range(150):  # copies of copies, on both sides of 0.8
+        w = rng.choice(texts).split()
+        for i in rng.sample(range(100), rng.randrange(1, 5)):
+            w[i] = rng.choice(words)
+        texts.append(" ".join(w))
+    texts += [r.text for r in docs.collect()]
+    shingles, root = [five(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(shingles[i], shingles[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in cp.near_dedup(spark, df, TOP).collect()} == set(root)
+
+
 @pytest.mark.parametrize("name,stage", cp.STAGES)
 def test_awkward(spark, name, stage):
     long = " ".join(f"word{i % 977} the and of" for i in range(20_000))
