@@ -5,10 +5,10 @@ a line. Each line has its text, the number of tags met on it, the containers aro
 whether one of these is boilerplate by its tag, role, class or id. A line's text-to-tag
 ratio is its characters over its tags (text inside links does not count). The page's ratios
 are smoothed by a Gaussian kernel and split into two clusters at the threshold where the
-two cluster means (1-D two-means) meet; lines above it are content. The content region is
-the article element with the most text, if there is one; else the containers whose lines
-are content by that threshold, whole, so that short paragraphs within stay. Boilerplate
-containers never count.
+two cluster means (1-D two-means) meet; lines above it are content, on every page. The content
+regions are the containers whose lines are content by that threshold, whole, so that short
+paragraphs within stay; of articles with such a line, all is content, and a page may have
+several. Boilerplate containers never count.
 
 White space within a line becomes one space; lines are joined by one space. Memory is that
 of one page.
@@ -173,17 +173,12 @@ def main_text(html: str | None) -> str:
     good = [not x[5] for x in lines]
     if not any(good):
         return ""
-    size: dict[int, int] = {}
-    for x, ok in zip(lines, good, strict=True):
-        if ok and x[4]:
-            size[x[4]] = size.get(x[4], 0) + len(x[0])
-    if size:
-        article = max(size, key=lambda a: (size[a], -a))
-        return " ".join(x[0] for x, ok in zip(lines, good, strict=True) if ok and x[4] == article)
     ratio = smooth(np.array([0.0 if not ok else max(0, len(x[0]) - x[1]) / x[2] for x, ok in zip(lines, good, strict=True)]))
     cut = threshold(ratio)
-    regions = {x[3] for x, ok, r in zip(lines, good, ratio, strict=True) if ok and r >= cut}
-    return " ".join(x[0] for x, ok in zip(lines, good, strict=True) if ok and x[3] in regions)
+    above = [ok and r >= cut for ok, r in zip(good, ratio, strict=True)]
+    regions = {x[3] for x, on in zip(lines, above, strict=True) if on}
+    articles = {x[4] for x, on in zip(lines, above, strict=True) if on and x[4]}
+    return " ".join(x[0] for x, ok in zip(lines, good, strict=True) if ok and (x[3] in regions or x[4] in articles))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -330,6 +330,14 @@ def test_html(spark):
     assert len(got) == 4 and [r.n_chars for r in got][:2] == [33, 33] and htmltext.extract(df.limit(0)).count() == 0
 
 
+def test_html_threshold_decides_with_articles():
+    text = "A long paragraph of real text that goes on, with very many words in it. " * 3
+    one, two = f"One {text}".strip(), f"Two {text}".strip()
+    menu = "<div id=nav><a>a</a> <a>b</a></div>"
+    assert htmltext.main_text(f"{menu}<article><p>{one}</p></article><article><p>{two}</p></article>") == f"{one} {two}"
+    assert htmltext.main_text(f"{menu}<main><p>{one}</p><article><p>{two}</p></article></main>") == f"{one} {two}"
+
+
 def test_smoothing_and_threshold():
     x = htmltext.smooth(np.array([0.0, 0, 0, 100, 100, 100, 0, 0]))
     assert x[4] == x.max() and 0 < htmltext.threshold(np.array([0.0, 1, 2, 90, 100])) < 90 and htmltext.threshold(np.array([3.0, 3])) == 3
