@@ -5,10 +5,19 @@ a line. Each line has its text, the number of tags met on it, the containers aro
 whether one of these is boilerplate by its tag, role, class or id. A line's text-to-tag
 ratio is its characters over its tags (text inside links does not count). The page's ratios
 are smoothed by a Gaussian kernel and split into two clusters at the threshold where the
-two cluster means (1-D two-means) meet; lines above it are content, on every page. The content
-regions are the containers whose lines are content by that threshold, whole, so that short
-paragraphs within stay; of articles with such a line, all is content, and a page may have
-several. Boilerplate containers never count.
+two cluster means (1-D two-means) meet; lines above it are content, on every page (outside
+articles, only lines that are not mostly links). The
+content region follows from these lines: if one is in an article, the page's articles and the
+containers outside them that hold such lines; else the innermost container that holds all
+such lines, but for parts of it without one that are mostly links. The region's lines all count, so that short paragraphs stay; boilerplate never does.
+
+Boilerplate. Elements for menus, scripts, controls, graphics and the like never count, and
+their tags end no line, so that words on both sides of an icon stay together. Block elements
+count as boilerplate by the last telling word of one of their class names, ids or labels
+(``site-header`` and ``header-inner`` are headers; ``related-work`` and ``no-sidebar`` are
+not boilerplate). An inline element goes only as an advert or if it is hidden. A form goes
+with its text, unless that is as much as all other text of the page: then the form is just
+the frame of the page or of the article.
 
 White space within a line becomes one space; lines are joined by one space. Memory is that
 of one page.
@@ -21,6 +30,7 @@ results; columns other than those named are not looked at.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,106 +44,134 @@ from folioscope.llm.shared import pieces
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 HOLDS = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form head header html main menu nav ol section table td ul".split())
-NEVER = frozenset("applet audio button canvas datalist dialog fieldset form head iframe map math menu nav noscript object optgroup option script select style svg template textarea title video".split())
-OUTSIDE_ARTICLES = frozenset(("header", "footer", "aside"))
+SKIPPED = frozenset("applet audio canvas datalist iframe label map noscript object optgroup option script select style svg template textarea title video".split())
+NEVER = SKIPPED | frozenset("button dialog fieldset head legend menu nav".split())
+HEAD_HOLDS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright cta disclaimer discussion disqus donate footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommend recommended recommendations related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud tags teaser toc toolbar topbar widget widgets".split()
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense adslot adsbygoogle outbrain promo promos promoted promotion sponsor sponsored sponsors taboola".split())
+MARKS = ADVERTS | frozenset(
+    "alert alerts aside banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright cta disclaimer discussion disqus donate feedback footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications overlay pager pagination paywall popup rail recommend recommended recommendations related replies reply respond responses search share sharing sidebar sidebars signup skip social subscribe subscription tagcloud tags teaser teasers toc toolbar topbar widget widgets".split()
+)
+#: Words of class names that say nothing of an element's kind.
+GENERIC = frozenset(
+    "area articles author bar block body bottom box button buttons col column columns container content count feed fixed form group head heading icon icons inner item items js label left line link links list media meta message module mobile outer panel placeholder post posts primary right row secondary section sections slot small sticky stories stripe strip text thread title top trail unit widget wrap wrapper zone".split()
 )
-#: Boilerplate that readers write or that has articles of its own: an article inside it is not the page's.
-KEEPS_ARTICLES = frozenset("comment comments commentlist discussion disqus replies reply respond related recommend recommended recommendations sidebar teaser".split())
-WORDS = re.compile(r"[a-z]+")
 #: In a class these tell that the element is next to something, or lacks it, and not that it is one.
-BESIDE = re.compile(r"\b(?:has|is|no|not|with|without)[-_][a-z]+")
+BESIDE = frozenset("has hide is no non not with without".split())
+#: Boilerplate that readers write or that has articles of its own: an article inside it is not the page's.
+KEEPS_ARTICLES = frozenset("aside comment comments commentlist discussion disqus feedback replies reply respond responses related recommend recommended recommendations sidebar sidebars teaser teasers".split())
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+LETTERS = re.compile(r"[a-z]+")
 SIGMA = 1.5
 
 
+def mark(name: str) -> str | None:
+    """The word of MARKS that a class name, id or label stands for, if any: the last one that tells."""
+    words = [w for w in LETTERS.findall(HUMP.sub("-", name).lower()) if len(w) > 1]
+    if not words or words[0] in BESIDE:
+        return None
+    while len(words) > 1 and words[-1] in GENERIC:
+        words.pop()
+    return words[-1] if words[-1] in MARKS else None
+
+
 class Lines(HTMLParser):
     """Collects a page's lines."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, int, bool]] = []  # tag, number, article, boilerplate
+        # tag, number of the container, of the article, of the form, whether boilerplate, whether text and line ends are passed over
+        self.stack: list[tuple[str, int, int, int, bool, bool]] = []
         self.number, self.link = 0, 0
+        self.parent = {0: 0}
         self.text: list[str] = []
         self.linked = self.tags = 0
-        self.out: list[tuple[str, int, int, int, int, bool]] = []  # text, linked characters, tags, container, article, boilerplate
-        self.within: tuple[int, int, bool] = (0, 0, False)
+        self.out: list[tuple[str, int, int, int, int, int, bool]] = []  # text, linked characters, tags, container, article, form, boilerplate
+        self.within: tuple[int, int, int, bool, bool] = (0, 0, 0, False, False)
 
     def _end_line(self) -> None:
         t = " ".join("".join(self.text).split())
         if t:
-            self.out.append((t, self.linked, max(1, self.tags), *self.within))
+            self.out.append((t, self.linked, max(1, self.tags), *self.within[:4]))
             self.tags = 0
         self.text, self.linked = [], 0
 
     def _set(self) -> None:
-        self.within = self.stack[-1][1:] if self.stack else (0, 0, False)
+        self.within = self.stack[-1][1:] if self.stack else (0, 0, 0, False, False)
 
-    def _marks(self, tag: str, attrs: list[tuple[str, str | None]], article: int) -> tuple[bool, bool]:
-        """Whether the element is boilerplate, and whether of a kind that holds articles of its own."""
+    def _marks(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> tuple[bool, bool]:
+        """Whether the element is boilerplate, and whether of a kind that holds articles of its own. inside: within an article or main."""
         if tag in NEVER:
             return True, False
-        bad, keeps = tag in OUTSIDE_ARTICLES and not (article and tag == "header"), tag == "aside"
+        bad, keeps = tag in ("aside", "footer") or tag == "header" and not inside, tag == "aside"
         for name, value in attrs:
-            value = (value or "").lower()
-            if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+            value = value or ""
+            if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 bad = True
-            elif name == "style" and "display:none" in value.replace(" ", ""):
+            elif name == "style" and re.search(r"display:none|visibility:hidden", value.replace(" ", "").lower()):
                 bad = True
-            elif name in ("class", "id") and tag not in ("html", "body", "article", "main") or name == "class" and tag == "article":
-                found = MARKS.intersection(WORDS.findall(BESIDE.sub(" ", value)))
-                if tag in ("h1", "h2", "h3", "h4", "h5", "h6") or article and found <= {"header", "tags"}:
-                    continue
+            elif name in ("class", "id", "aria-label") and tag not in HEADINGS and tag not in ("html", "body", "main") and not (name != "class" and tag == "article"):
+                found = {mark(x) for x in value.split()} - {None}
+                if inside:
+                    found -= {"header", "tags"}
+                if tag not in BLOCK:
+                    found &= ADVERTS
                 bad = bad or bool(found)
                 keeps = keeps or bool(found & KEEPS_ARTICLES)
         return bad, keeps
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCK:
+        if self.stack and self.stack[-1][0] == "head" and tag not in HEAD_HOLDS:
+            self.stack.pop()  # a head that was never closed
+            self._set()
+        if tag in BLOCK and not self.within[4]:
             self._end_line()
         self.tags += 1
         if tag in VOID:
             return
         if tag == "a":
             self.link += 1
-        if tag in ("body", "main") and self.stack and tag == "body":
+        if tag == "body" and self.stack:
             self.stack.clear()
         while self.stack and self.stack[-1][0] in ("p", "li", "dt", "dd") and tag in BLOCK and tag not in ("ul", "ol", "dl"):
             self.stack.pop()
-        _, article, bad = self.stack[-1][1:] if self.stack else (0, 0, False)
-        own, keeps = self._marks(tag, attrs, article)
-        if tag in ("article", "main") and bad and not own and not any(s[0] == "#keeps" for s in self.stack):
+        container, article, form, bad, skipped = self.stack[-1][1:] if self.stack else (0, 0, 0, False, False)
+        own, keeps = self._marks(tag, attrs, bool(article) or any(s[0] == "main" for s in self.stack))
+        if tag in ("article", "main") and bad and not own and not skipped and not any(s[0] == "#keeps" for s in self.stack):
             bad = False  # a menu or advert that was never closed
         if tag in HOLDS or own:
             self.number += 1
+            self.parent[self.number] = container
             if tag == "article" and not (bad or own) and not article:
                 article = self.number
-            self.stack.append((tag, self.number, article, bad or own))
+            if tag == "form" and not form:
+                form = self.number
+            skipped = skipped or tag in SKIPPED or own and tag not in BLOCK
+            self.stack.append((tag, self.number, article, form, bad or own, skipped))
             if keeps:
-                self.stack.append(("#keeps", self.number, article, True))
+                self.stack.append(("#keeps", self.number, article, form, True, skipped))
         self._set()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCK:
+        if tag in BLOCK and not self.within[4]:
             self._end_line()
         self.tags += 1
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCK:
+        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
+        if tag in BLOCK and not (self.within[4] and (at is None or self.stack[at][5])):
             self._end_line()
         self.tags += 1
         if tag == "a":
             self.link = max(0, self.link - 1)
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                break
+        if at is not None:
+            del self.stack[at:]
         self._set()
 
     def handle_data(self, data: str) -> None:
-        if self.within[2] and next(s[0] for s in reversed(self.stack) if s[0] != "#keeps") not in BLOCK:
-            return  # a script or an inline advert within a line
+        if self.within[4]:
+            return
         self.text.append(data)
         if self.link:
             self.linked += len(data.strip())
@@ -152,7 +190,7 @@ def smooth(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def threshold(x: np.ndarray) -> float:
-    """Where two clusters of numbers part: halfway between the means of a settled two-means."""
+    """Where two clusters of numbers part: halfway between the means of a settled two-means. The least number, if the means are within a factor of two: one cluster."""
     lo, hi = float(x.min()), float(x.max())
     if lo == hi:
         return lo
@@ -162,22 +200,60 @@ def threshold(x: np.ndarray) -> float:
         if new == (lo, hi):
             break
         lo, hi = new
-    return (lo + hi) / 2
+    return (lo + hi) / 2 if hi > 2 * lo else float(x.min())
+
+
+def region(parent: dict[int, int], above: list[int]) -> int:
+    """The innermost container that holds all containers of a list."""
+    path, at = [], above[0]
+    while at:
+        path.append(at)
+        at = parent[at]
+    path.append(0)
+    depth = {c: i for i, c in enumerate(path)}
+    lowest = 0
+    for c in set(above):
+        while c not in depth:
+            c = parent[c]
+        lowest = max(lowest, depth[c])
+    return path[lowest]
 
 
 def main_text(html: str | None) -> str:
     page = Lines()
     page.feed(html or "")
     page.close()
-    lines = page.out
-    good = [not x[5] for x in lines]
+    # a form's text is content only if it is as long as all other text
+    size: Counter = Counter()
+    for text, _, _, _, _, form, bad in page.out:
+        if not bad:
+            size[form] += len(text)
+    lines = [x for x in page.out if not (x[5] and size[x[5]] * 2 < size.total())]
+    good = [not x[6] for x in lines]
     if not any(good):
         return ""
     ratio = smooth(np.array([0.0 if not ok else max(0, len(x[0]) - x[1]) / x[2] for x, ok in zip(lines, good, strict=True)]))
     cut = threshold(ratio)
-    above = [ok and r >= cut for ok, r in zip(good, ratio, strict=True)]
-    regions = {x[3] for x, on in zip(lines, above, strict=True) if on}
-    articles = {x[4] for x, on in zip(lines, above, strict=True) if on and x[4]}
+    above = [x for x, ok, r in zip(lines, good, ratio, strict=True) if ok and r >= cut and (x[4] or 2 * x[1] <= len(x[0]))]
+    if not above:
+        return ""
+    regions, articles = {x[3] for x in above}, set()
+    if any(x[4] for x in above):
+        articles = {x[4] for x, ok in zip(lines, good, strict=True) if ok and x[4]}
+    else:
+        top = region(page.parent, [x[3] for x in above])
+        linked: Counter = Counter()
+        for x, ok in zip(lines, good, strict=True):
+            if ok:
+                linked[x[3]] += 2 * x[1] - len(x[0])
+        inside: dict[int, bool] = {}
+
+        def within(c: int) -> bool:
+            if c not in inside:
+                inside[c] = c == top or c != 0 and within(page.parent[c])
+            return inside[c]
+
+        regions |= {x[3] for x in lines if linked[x[3]] <= 0 and within(x[3])}
     return " ".join(x[0] for x, ok in zip(lines, good, strict=True) if ok and (x[3] in regions or x[4] in articles))
 
 

@@ -7,11 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from folioscope.llm import backoff, decontaminate, htmltext, iblt, langid, licences, mixing, quality, queries, simhash, tokenfile
+from folioscope.llm import backoff, decontaminate, htmltext, iblt, langid, licences, mixing, neighbours, quality, queries, simhash, tokenfile
 from folioscope.llm.components import components
 from folioscope.llm.shared import shared_folder
 from folioscope.llm.wordhash import hash_spans
@@ -200,6 +201,25 @@ def plain_ids(texts):
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4") for x in texts]
 
 
+def hash_order(text):
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return h - (1 << 64) if h >> 63 else h, text is not None, text or ""
+
+
+def test_id_ranges_spread_null_outlying_and_frequent_ids(spark):
+    ids = [None] * 2000 + [7] * 3000 + [10**17] + list(range(100, 4100))
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "id long, text string")
+    got = df.withColumn("range", neighbours.id_ranges(df, "id")).collect()
+    most = Counter(r.range for r in got).most_common(1)[0][1]
+    assert most < 120  # of 9,001 rows; an even deal has 18
+    order = sorted(got, key=lambda r: (r.range, -1 if r.id is None else r.id))
+    assert [r.id for r in order] == sorted(ids, key=lambda i: -1 if i is None else i)
+    assert {r.range < 0 for r in got if r.id is None} == {True} and all(r.range >= 0 for r in got if r.id is not None)
+    for i in (None, 7):
+        same = sorted((hash_order(r.text)[0], r.range) for r in got if r.id == i)
+        assert [r for _, r in same] == sorted(r for _, r in same)
+
+
 def test_token_files(spark, docs):
     rows = docs.orderBy("doc_id").collect()
     got = {r.doc_id: r for r in queries.op4_token_files(spark, TOP).collect()}
@@ -214,7 +234,7 @@ def test_token_files_awkward(spark, awkward):
     folder = shared_folder(spark)
     tokenfile.write(awkward, folder, queries.tokenizer_path(), shard_tokens=50)
     got = sorted(tokenfile.read(spark, folder).collect(), key=lambda r: r.start)
-    rows = sorted(awkward.collect(), key=lambda r: (-1 if r.doc_id is None else r.doc_id, r.text is not None, r.text or ""))
+    rows = sorted(awkward.collect(), key=lambda r: (-1 if r.doc_id is None else r.doc_id, *hash_order(r.text)))
     assert [r.doc_id for r in got] == [r.doc_id for r in rows]
     assert [r.ids_crc32 for r in got] == [zlib.crc32(i.tobytes()) for i in plain_ids([r.text for r in rows])]
     one = next(r for r in got if r.doc_id == 8)
@@ -226,10 +246,26 @@ def test_token_files_awkward(spark, awkward):
     assert tokenfile.read(spark, folder).count() == 0
 
 
+def encoded(encoder, texts):
+    ids, length = encoder.encode(pa.array(texts, pa.string()))
+    return [[*x.tolist(), 2] for x in np.split(ids, np.cumsum(length)[:-1])]
+
+
 def test_encoder_splits_as_the_tokenizer_does():
     texts = ["a  b\tc\n d'sx! É́É<|endoftext|>. İstanbul ΣΑΣ.  x ½²3 it's. we'll, don't. foo'.bar's.", "x\x1cy\x85z.. É́", "A,b.C!! d...e", "ﬁ ｆｕｌｌ．", " ", ""]
-    e = tokenfile.Encoder(queries.tokenizer_path())
-    assert [[*x.tolist(), 2] for x in e.encode(texts)] == [x.tolist() for x in plain_ids(texts)]
+    assert encoded(tokenfile.Encoder(queries.tokenizer_path()), texts) == [x.tolist() for x in plain_ids(texts)]
+
+
+@pytest.mark.parametrize("cache_runs", [400_000, 300])
+def test_encoder_equals_the_library_on_odd_strings(cache_runs):
+    rng = random.Random(cache_runs)
+    parts = ["İ", "I", "i̇", "<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>", "<|", "|>", "Σ", "ς", "ß", "ẞ", "E\u0301", "É", "\u0301", "\u0307", ".", ",", "!", "'s", "'S", "'ll", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2003"]
+    parts += ["½", "²", "3", "١", "ﬁ", "Ａ", "ª", "º", "µ", "ſ", "K", "Å", "ÿ", "×", "÷", "_", "-", "&&&", "%%%", "#", "*", "$", "\U0001f600", "漢", "한", "\u1100\u1161", "à", "The", "word", "x", "\u0338", "\ufeff", "\x00", "\xad", "ǅ", "ŉ", "?", "'", '"', "don't"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(12_000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x250), rng.randrange(0x250, 0xD7FF)])) for _ in range(rng.randrange(20))) for _ in range(8000)]
+    e = tokenfile.Encoder(queries.tokenizer_path(), cache_runs)
+    got = [x for lo in range(0, len(texts), 500) for x in encoded(e, texts[lo : lo + 500])]
+    assert got == [x.tolist() for x in plain_ids(texts)]
 
 
 def brute_score(item, passage):
@@ -338,6 +374,62 @@ def test_html_threshold_decides_with_articles():
     assert htmltext.main_text(f"{menu}<main><p>{one}</p><article><p>{two}</p></article></main>") == f"{one} {two}"
 
 
+LONG = " ".join(["A long paragraph of real text that goes on, with very many words in it."] * 3)
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<article><p>Before <svg><title>icon</title></svg> after</p></article>", "Before after"),
+        ("<article><p>a</p><svg><g><text>no</text></g></svg><p>b</p></article>", "a b"),
+        ("<article><p>One</p></article><article><p>Two is longer</p></article>", "One Two is longer"),
+        (f"<form id=aspnetForm><nav>x</nav><div><p>{LONG}</p></div></form>", LONG),
+        (f"<article><form><p>{LONG}</p><label>Name</label><input></form></article>", LONG),
+        (f"<article><p>{LONG}</p><form><p>Your mail goes nowhere else.</p><button>Go</button></form></article>", LONG),
+        ("<p>Call <span class='related'>cousins</span> by name</p>", "Call cousins by name"),
+        ("<p>See <a class=social href=x>her page</a> too</p>", "See her page too"),
+        ("<p>Text <span class=ad>BUY</span> goes <b hidden>no</b> on</p>", "Text goes on"),
+        (f"<main><p>{LONG}</p><section class='related-work'><p>{LONG}</p></section></main>", f"{LONG} {LONG}"),
+        (f"<article><p>{LONG}</p><div class='social-history'>Hist</div><p class='notice-board'>Board</p></article>", f"{LONG} Hist Board"),
+        ("<div class=tags-article><p>Some text.</p></div>", "Some text."),
+        (f"<head><title>T</title><p>{LONG}", LONG),
+        (f"<div id=content><h1>T</h1><div class=sec><p>{LONG}</p></div><div class=sec2><p>short.</p></div></div><div><a>Home</a> <a>About</a></div>", f"T {LONG} short."),
+        ("<p>Text <button>Share</button> more <math><mi>x</mi></math></p>", "Text more x"),
+        (f"<main><header><h1>T</h1></header><p>{LONG}</p></main><div class='siteFooter'>F</div><section aria-label='Comments'>C</section>", f"T {LONG}"),
+    ],
+)
+def test_html_keeps_whole_articles(html, want):
+    assert htmltext.main_text(html) == want
+
+
+def test_html_of_planted_pages():
+    """Pages made of known article blocks among boilerplate of every kind: the text is the blocks, and nothing else."""
+    rng = random.Random(17)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(1, 9))) for _ in range(n))
+    junk = [
+        "<nav><ul><li><a href=/a>{0}</a><li><a href=/b>{1}</a></ul></nav>", "<div class='ad'>{0}</div>", "<div class='cookie-notice'>{0} <a>{1}</a></div>", "<aside><p>{0}</p></aside>", "<div class='sidebar right'><h3>{1}</h3><p>{0}</p></div>",
+        "<form action=/s><label>{1}</label><input name=q><button>{1}</button></form>", "<script>var a = '<p>{0}</p>';</script>", "<style>p{{}}</style>", "<section id='comments'><article class='comment'><p>{0}</p></article></section>",
+        "<div class='related-posts'><article><h3>{1}</h3><p>{0}</p></article></div>", "<div role='banner'>{0}</div>", "<div class='shareButtons'><a>{1}</a></div>", "<noscript>{0}</noscript>", "<!-- {0} -->", "<div class='newsletter-signup'><p>{0}</p></div>", "<div style='display: none'>{0}</div>",
+    ]
+
+    def noise():
+        return "".join(rng.choice(junk).format(words(rng.randrange(3, 60)), words(2)) for _ in range(rng.randrange(0, 4)))
+
+    for _ in range(300):
+        blocks, body = [], []
+        for k in range(rng.randrange(3, 12)):
+            t = [words(rng.randrange(1, 5 if rng.random() < 0.3 else 80)).replace("a b", "a &amp; b") for _ in range(3)]
+            tag = rng.choice(["p", "p", "p", "h2", "li", "blockquote", "td", "pre"])
+            blocks.append(" ".join(t))
+            inner = f"{t[0]}\n  <{(i := rng.choice(['b', 'a', 'em', 'span class=related']))}>{t[1]}</{i.split()[0]}> {t[2]}"
+            body.append({"li": "<ul><li>{}</ul>", "td": "<table><tr><td>{}</td></tr></table>"}.get(tag, f"<{tag}>{{}}</{tag}>").format(inner) + (noise() if rng.random() < 0.3 else ""))
+        blocks.append(LONG)
+        body.append(f"<p>{LONG}")
+        html = f"<!DOCTYPE html><html><head><title>{words(4)}</title></head><body><header><p>{words(5)}</p></header>{noise()}<div id=page><article class='post'>{''.join(body)}</article>{noise()}</div><footer>{words(9)}</footer></body></html>"
+        got, want = htmltext.main_text(html), " ".join(blocks).replace("&amp;", "&")
+        assert got == want, html
+
+
 def test_smoothing_and_threshold():
     x = htmltext.smooth(np.array([0.0, 0, 0, 100, 100, 100, 0, 0]))
     assert x[4] == x.max() and 0 < htmltext.threshold(np.array([0.0, 1, 2, 90, 100])) < 90 and htmltext.threshold(np.array([3.0, 3])) == 3
