@@ -14,40 +14,43 @@ cluster names, commit whole files, and drop what a lost executor left half writt
 
 Encoding. Whole texts go through the tokenizers library. No token of the vocabulary file
 spans white space, so a text's ids are those of its runs of non-space one after another,
-and each worker keeps the ids of runs it has met, up to ``CACHE_RUNS``. The text is shuffled
+and each worker keeps the ids of runs it has met, from task to task, up to ``CACHE_RUNS``;
+then it forgets those met once. The text is shuffled
 once, by ranges of the document id.
 
-Defined results: a null text is an empty one and holds just the end id; rows with the same
-id are in the order of their texts; rows with a null id come first, as id ``NO_ID``, and
-come back with a null id; an empty table makes no shard; other columns are not looked at.
+Defined results: ids are whole numbers; a null text is an empty one and holds just the end
+id; rows with the same id are in the order of the hash of their text, then of their text;
+rows with a null id come first, as id ``NO_ID``, and come back with a null id; an empty table makes no shard; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.neighbours import id_ranges
+from folioscope.llm.neighbours import id_ranges, text_hash
 from folioscope.llm.shared import pieces
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
 SELECT_EVERY = 64
-CACHE_RUNS = 1_000_000
+#: Runs of non-space that a worker knows at most, about 40 bytes each.
+CACHE_RUNS = 1_500_000
 NO_ID = -(1 << 63)
-#: A letter before a run of ASCII signs that the tokenizer's own split always keeps as one piece.
-SIGNS_AT_END = re.compile(r"(.*[^\W\d_])([.,;:!?%$&#*|]+)", re.DOTALL)
-
-#: White space to the tokenizer within ASCII; and signs that str.split() takes for white space but the tokenizer doesn't.
-SPACE, ODD_SPACE = re.compile(r"[ \t\n\v\f\r]+"), re.compile(r"[\x1c-\x1f]")
+#: What the vocabulary writes behind a token that ends a piece.
+WORD_END = "</w>"
+#: Letters that stay one letter in lower case and composed form; runs of them are one piece to the tokenizer's split.
+LETTER = "a-zA-ZÀ-ÖØ-öø-ÿ"
+#: Signs that the tokenizer's split always parts from such a letter before them.
+SIGNS = ".,;:!?%$&#*|"
 
 
 class EliasFano:
@@ -101,88 +104,127 @@ class EliasFano:
         return cls(n, low_bits, raw[32 : 32 + a], raw[32 + a : 32 + a + b], np.frombuffer(raw, "<u4", offset=32 + a + b))
 
 
-class _Numbers(dict):
-    """A number for each run of non-space; new ones are also listed."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, run: str) -> int:
-        self.new.append(run)
-        n = self[run] = len(self)
-        return n
+def _tails(runs: pa.Array, heads: pa.Array) -> pa.Array:
+    """What follows its head in each run."""
+    size = [pc.binary_length(x.cast(pa.binary())).to_numpy(zero_copy_only=False).astype(np.int64) for x in (runs, heads)]
+    rest = size[0] - size[1]
+    end = np.cumsum(rest)
+    raw = np.frombuffer(b"".join(runs.cast(pa.binary()).to_pylist()), np.uint8) if rest.any() else np.zeros(0, np.uint8)
+    at = np.repeat(np.cumsum(size[0]) - end, rest) + np.arange(end[-1] if len(end) else 0)
+    return pa.StringArray.from_buffers(len(runs), pa.py_buffer(np.concatenate([[0], end]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw[at])))
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file of the tokenizers library."""
+    """Ids of texts by a tokenizer file of the tokenizers library.
 
-    def __init__(self, path: str):
+    Runs of non-space are told apart and looked up by Arrow's kernels. A run of plain letters
+    has the ids of the word in lower case; one with signs behind, that word's ids and the
+    signs'. So the encoder knows words, in lower case, and the few runs of other kinds.
+    """
+
+    def __init__(self, path: str, cache_runs: int = CACHE_RUNS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
+        self.tokenizer, self.cache_runs = Tokenizer.from_file(path), cache_runs
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self._keep(np.zeros(0, np.int64))
+
+    def _keep(self, some: np.ndarray) -> None:
+        """Forget all runs but some, and the empty one, which is number 0."""
+        ids, self.length = self._get(some) if len(some) else (np.zeros(0, self.kind), np.zeros(1, np.int64))
+        self.known = self.known.take(pa.array(some)) if len(some) else pa.array([""], pa.string())
+        self.start, self.flat, self.used = np.cumsum(self.length) - self.length, np.zeros(max(1 << 16, 2 * len(ids)), self.kind), len(ids)
+        self.flat[: len(ids)] = ids
+        self.uses = np.zeros(len(self.known), np.int32)
 
     def _forget(self) -> None:
-        self.numbers = _Numbers()
-        self.flat, self.start, self.length, self.used = np.zeros(1 << 16, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-
-    def _put(self, number: np.ndarray, length: np.ndarray, ids: np.ndarray) -> None:
-        """Keep the ids of the numbered runs, one run's after another's."""
+        """Keep the runs that more than one batch had since the last time, half of the room at most, and not the others."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) * 2 > self.cache_runs:
+            keep = np.sort(np.argsort(-self.uses, kind="stable")[: self.cache_runs // 2])
+        self._keep(np.union1d([0], keep))
+
+    def _add(self, runs: pa.Array, length: np.ndarray, ids: np.ndarray) -> None:
+        """Know the ids of runs, one run's after another's."""
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start[number] = self.used + np.cumsum(length) - length
-        self.length[number] = length
+        self.start = np.concatenate([self.start, self.used + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.uses = np.concatenate([self.uses, np.zeros(len(runs), np.int32)])
+        self.known = pa.concat_arrays([self.known, runs])
         self.used += len(ids)
 
     def _get(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths) of the numbered runs."""
-        length = self.length[number]
-        after = np.cumsum(length)
-        return self.flat[np.repeat(self.start[number] - after + length, length) + np.arange(after[-1] if len(number) else 0)], length
-
-    def _learn(self) -> None:
-        """Encode the runs that are new; a word with signs behind it is that word's ids and the signs'."""
-        plain, cut = [], []
-        for run in self.numbers.new:  # words and signs that are new themselves join the list meanwhile
-            m = SIGNS_AT_END.fullmatch(run)
-            if m and "<|" not in run:
-                cut.append((self.numbers[run], self.numbers[m[1]], self.numbers[m[2]]))
-            else:
-                plain.append(run)
-        self.numbers.new = []
-        more = np.zeros(len(self.numbers) - len(self.start), np.int64)
-        self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        self._put(np.array([self.numbers[r] for r in plain], np.int64), length, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(length.sum())))
-        if cut:
-            whole, *parts = np.array(cut, np.int64).T
-            ids, length = self._get(np.stack(parts, 1).reshape(-1))
-            self._put(whole, length.reshape(-1, 2).sum(1), ids)
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Each text's ids."""
-        if len(self.numbers) > CACHE_RUNS:
+        return _gather(self.flat, self.start[number], self.length[number]), self.length[number]
+
+    def _add_words(self, words: pa.Array) -> None:
+        """Learn words of plain letters. Each is one piece to the tokenizer, whose last token is a word end."""
+        for lo in range(0, len(words), 20_000):
+            some = words.slice(lo, 20_000)
+            ids = np.array(self.tokenizer.encode(" ".join(some.to_pylist()), add_special_tokens=False).ids, self.kind)
+            self._add(some, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1), ids)
+
+    def _add_others(self, runs: pa.Array) -> None:
+        """Learn any runs, one by one."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(runs.to_pylist(), add_special_tokens=False)]
+        length = np.fromiter(map(len, lists), np.int64, len(lists))
+        self._add(runs, length, np.fromiter(itertools.chain.from_iterable(lists), self.kind, int(length.sum())))
+
+    def _numbers(self, runs: pa.Array) -> np.ndarray:
+        """The numbers of distinct runs, which are learnt if new."""
+        number = pc.fill_null(pc.index_in(runs, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = number < 0
+        plain = np.zeros(len(runs), bool)
+        plain[new] = pc.match_substring_regex(runs.filter(pa.array(new)), f"^[{LETTER}]+$").to_numpy(zero_copy_only=False)
+        for some, add in ((plain, self._add_words), (new & ~plain, self._add_others)):
+            number[some] = len(self.known) + np.arange(some.sum())
+            add(runs.filter(pa.array(some)))
+        self.uses[number] += 1
+        return number
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all texts' ids one after another, each text's number of ids). A null text has none."""
+        if len(self.known) > self.cache_runs:
             self._forget()
-        number = self.numbers.__getitem__
-        runs, ends = [], []
-        for t in texts:
-            t = t or ""
-            try:
-                t.encode("latin-1")
-                t = t.lower()  # the tokenizer lowers all letters; here that is one letter for one, and keeps composed letters composed
-            except UnicodeEncodeError:
-                pass
-            runs.extend(map(number, SPACE.split(t) if ODD_SPACE.search(t) else t.split()))
-            ends.append(len(runs))
-        if self.numbers.new:
-            self._learn()
-        ids, length = self._get(np.array(runs, np.int64))
-        after = np.concatenate([[0], np.cumsum(length)])
-        return np.split(ids, after[np.array(ends)][:-1])
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        cut = split.offsets.to_numpy()
+        words = split.flatten().dictionary_encode()
+        runs = words.dictionary
+        head = pc.utf8_rtrim(runs, SIGNS)
+        plain = pc.match_substring_regex(head, f"^[{LETTER}]+$")
+        head = pc.if_else(plain, head, runs)
+        tails = _tails(runs, head).dictionary_encode()
+        heads = pc.if_else(plain, pc.utf8_lower(head), head).dictionary_encode()
+        first = self._numbers(heads.dictionary)[heads.indices.to_numpy()]
+        second = self._numbers(tails.dictionary)[tails.indices.to_numpy()]
+        ids, length = self._get(np.stack([first, second], 1).reshape(-1))
+        length = length.reshape(-1, 2).sum(1)
+        of = words.indices.to_numpy()
+        after = np.concatenate([[0], np.cumsum(length[of])])
+        return _gather(ids, (np.cumsum(length) - length)[of], length[of]), np.diff(after[cut - cut[0]])
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Stretches of flat, one after another."""
+    after = np.cumsum(length)
+    return flat[np.repeat(start - after + length, length) + np.arange(after[-1] if len(after) else 0)]
+
+
+#: A worker's encoder: the next task of the same worker finds the runs that are known.
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, cache_runs: int = CACHE_RUNS) -> Encoder:
+    if (path, cache_runs) not in _ENCODERS:
+        _ENCODERS.clear()  # one at a time
+        _ENCODERS[path, cache_runs] = Encoder(path, cache_runs)
+    return _ENCODERS[path, cache_runs]
 
 
 SHARDS = "id_range long, part int, n_docs long, n_tokens long, id_bytes int, ids binary, doc_ids binary, ends binary"
@@ -195,31 +237,37 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, sh
     if where is None:
         docs.sparkSession.createDataFrame([], SHARDS).write.parquet(folder)
         return
-    rows = docs.withColumn("id_range", where).repartition("id_range").sortWithinPartitions("id_range", F.asc_nulls_first("id"), F.asc_nulls_first("text"))
+    rows = docs.withColumn("id_range", where).repartition("id_range").sortWithinPartitions("id_range", F.asc_nulls_first("id"), text_hash(), F.asc_nulls_first("text"))
     names = [x.split()[0] for x in SHARDS.split(", ")]
 
-    def shard(at: int, part: int, ids: list[int], blobs: list[np.ndarray]) -> pa.RecordBatch:
+    def shard(at: int, part: int, ids: list[int], sizes: list[int], blobs: list[np.ndarray]) -> pa.RecordBatch:
         all_ids = np.concatenate(blobs)
         size = 2 if all_ids.max() < 1 << 16 else 4
-        ends = EliasFano.of(np.cumsum([len(b) for b in blobs])).to_bytes()
-        row = (at, part, len(ids), len(all_ids), size, all_ids.astype(f"<u{size}").tobytes(), np.array(ids, "<i8").tobytes(), ends)
+        row = (at, part, len(ids), len(all_ids), size, all_ids.astype(f"<u{size}").tobytes(), np.array(ids, "<i8").tobytes(), EliasFano.of(np.cumsum(sizes)).to_bytes())
         return pa.record_batch([pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(tokenizer)
-        at, part, ids, blobs, held = None, 0, [], [], 0
-        for b in pieces(batches, "text"):
-            codes = enc.encode(b.column(1).to_pylist())
-            for i, code, r in zip(b.column(0).to_pylist(), codes, b.column(2).to_pylist(), strict=True):
+        enc = encoder(tokenizer)
+        at, part, ids, sizes, blobs, held = None, 0, [], [], [], 0
+        for b in pieces(batches, "text", 8 << 20):
+            codes, length = enc.encode(b.column(1))
+            ends = np.cumsum(length)
+            codes, length = np.insert(codes, ends, end_id), length + 1
+            begin = np.concatenate([[0], np.cumsum(length)]).tolist()
+            first = 0
+            for k, (i, n, r) in enumerate(zip(b.column(0).to_pylist(), length.tolist(), b.column(2).to_pylist(), strict=True)):
                 if ids and (r != at or held >= shard_tokens):
-                    yield shard(at, part, ids, blobs)
-                    part, ids, blobs, held = part + 1 if r == at else 0, [], [], 0
+                    blobs.append(codes[begin[first] : begin[k]])
+                    first = k
+                    yield shard(at, part, ids, sizes, blobs)
+                    part, ids, sizes, blobs, held = part + 1 if r == at else 0, [], [], [], 0
                 at = r
                 ids.append(NO_ID if i is None else i)
-                blobs.append(np.append(code, np.uint32(end_id)))
-                held += len(code) + 1
+                sizes.append(n)
+                held += n
+            blobs.append(codes[begin[first] :].copy())
         if ids:
-            yield shard(at, part, ids, blobs)
+            yield shard(at, part, ids, sizes, blobs)
 
     rows.mapInArrow(run, SHARDS).write.option("compression", "zstd").parquet(folder)
 
