@@ -1,9 +1,9 @@
 """Connected components of a distributed edge table, without the driver seeing links.
 
-Alternating large-star and small-star steps (Kiveris et al., 2014). Every step is a
-grouping by the larger endpoint, whose degree the steps keep small, and one join on the
-smaller endpoint between plain shuffled tables, which adaptive execution splits where
-one centre holds many rows. Each round is cut off by a write to the shared folder.
+Alternating large-star and small-star steps (Kiveris et al., 2014). Every step is an
+aggregation to the least neighbour, and one join with it between plain shuffled tables,
+which adaptive execution splits where one centre holds many rows; no step gathers a node's
+neighbours. Each round is cut off by a write to the shared folder.
 """
 
 from __future__ import annotations
@@ -22,12 +22,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b")))
     e = stored(e.distinct())
     for _ in range(rounds):
+        # large star: a node's greater neighbours go to its least neighbour, or itself
         low = e.groupBy("a").agg(F.min("b").alias("m"))
         large = e.join(stored(low).select(F.col("a").alias("b"), "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
         large = stored(large.distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("all"))
-        e = low.select(F.explode(F.concat(F.array(F.struct("a", F.col("m").alias("b"))), F.transform(F.filter("all", lambda x: x != F.col("m")), lambda x: F.struct(x.alias("a"), F.col("m").alias("b"))))).alias("e")).select("e.a", "e.b")
-        e = stored(e.distinct())
+        # small star: its lesser neighbours do, too
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")))
+        lesser = large.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = stored(lesser.unionByName(low.withColumnRenamed("m", "b")).distinct())
         middle = e.select(F.col("b").alias("a")).distinct().join(e.select("a"), "a", "left_semi")
         several = e.groupBy("a").count().where("count > 1")
         if middle.isEmpty() and several.isEmpty():

@@ -1,21 +1,31 @@
 """Near-duplicates by exact Jaccard similarity of word shingles, with SimHash as candidate search.
 
-Method. A text is the set of the hashes of its word shingles; equal sets are one point.
-Points whose 256-bit SimHash fingerprints differ in ``radius`` bits at most are candidates,
-and a candidate pair is a link only if the exact similarity of its sets reaches
-``similarity``. Bits of a fingerprint are independent, so that the chance that a similar
-pair is no candidate has a bound at every length: pairs at 0.8 differ in 48 of 256 bits on
-average at worst (four shingles against five), with a deviation of 6.3.
-
-First each tile passes on a least spanning forest of its candidate pairs, so that a large
-group of copies does not make all its pairs; these pairs are confirmed. Then all candidate
-pairs whose ends the confirmed ones do not join yet are confirmed, too. So components are
-those of all similar candidate pairs, without links that are not similar.
-
-Scale. Points are dealt by rings of set size, as similar sets differ by one ring at most, and
-cut into tiles; work grows with the square within a ring. Sets are shuffled only to join
-them to candidate pairs. A large group of texts that are like each other, but not enough,
-costs all its pairs.
+Method. A text is the set of the hashes of its word shingles; equal sets are one point,
+known by its 256-bit SimHash fingerprint and a hash of the set. Points meet in shards that
+are named by shingles; vantage-point trees (see ``simhash``) find the pairs of a shard whose
+fingerprints differ in ``radius`` bits at most, and such a pair is a link only if the exact
+similarity of its sets reaches ``similarity``. Bits of a fingerprint are independent, so the
+chance that a similar pair is no candidate has a bound at every length: pairs at 0.8 differ
+in 48 of 256 bits on average at worst (four shingles against five), with a deviation of 6.3.
+
+Shards. Shingles have an order: those that more than ``HEAVY`` points hold come last, all
+others by hash. Sets of similarity t share one of the first n - ceil(t n) + 1 shingles of
+their order (prefix filtering), and one of the first ``FIRST`` of them but for a chance of
+(1 - t)^FIRST, below three in a million. So a point goes to the shards of its first few
+shingles; one that holds a heavy one among these, to those of the whole prefix, as a
+passage that many texts share says nothing of their similarity. A point whose prefix reaches heavy shingles, since
+it has nearly no others, goes to shards of such shingles besides. Only these shards can be
+large; they are cut into tiles.
+
+First each point is held against one point of each of its shards, the least. What that
+links is one component, so that a large group of copies costs a star and not all its
+pairs. Then all candidate pairs of different components are confirmed, too. So components
+are those of all similar candidate pairs, without links that are not similar.
+
+Scale. Work grows in proportion to the input, but for large groups of texts that consist
+nearly wholly of shared passages and are like each other, but not enough: these cost all
+their pairs within a shard, as comparisons of fingerprints. Sets are shuffled only to join
+them to candidate pairs.
 
 Defined results: a null or wordless text has the empty set; texts with equal sets are one
 group; rows with a null id get the component of their group; columns other than id and
@@ -28,137 +38,92 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import components
 from folioscope.llm.shared import pieces, stored
-from folioscope.llm.simhash import BLOCK_PAIRS, Forest, majority
+from folioscope.llm.simhash import blobs, distance, majority, numbers, shard_pairs
 from folioscope.llm.wordhash import Words, mix
 
 #: 64-bit words of a fingerprint; a key has the hash of the set after them.
 WORDS = 4
 #: Bits that candidates may differ in: five deviations above the worst average at 0.8, and six below that of unrelated texts.
 RADIUS = 80
-#: Points of a tile's side, about.
-TILE_POINTS = 16384
-#: Candidate pairs that a tile holds before it keeps their forest alone.
-HELD_PAIRS = 1 << 21
+#: Shingles that name a point's shards, and points that hold a shingle for which it is heavy.
+FIRST, HEAVY = 8, 1024
 
 
-def sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, shingles) for each row: sorted distinct hashes, and the key of equal sets."""
+def prefix(n, similarity: float):
+    """How many of a set's n shingles, in any one order of all shingles, are enough to share one with each similar set."""
+    if isinstance(n, Column):
+        return n - F.ceil(F.round(n * similarity, 6)).cast("int") + 1
+    return n - np.ceil(np.round(n * similarity, 6)).astype(np.int64) + 1
+
+
+def sets(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, key, shingles, low) for each row: sorted distinct hashes, the key of equal sets, and the first few shingles by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, text_col, 1 << 20):
-            of, h = Words(b.column(1).to_pylist()).shingles(words)
-            order = np.lexsort((h, of))
+            of, h = Words(b.column(2).to_pylist()).shingles(words)
+            order = np.lexsort((h.view(np.int64), of))
             of, h = of[order], h[order]
             new = np.ones(len(h), bool)
             new[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
             of, h = of[new], h[new]
             n = np.bincount(of, minlength=b.num_rows)
+            ends = np.concatenate([[0], np.cumsum(n)])
             parts, x = [], h
             for _ in range(WORDS):
                 parts.append(majority(of, x, b.num_rows))
                 x = mix(x)
             whole = np.zeros(b.num_rows, np.uint64)
             np.add.at(whole, of, x)
-            key = np.stack([*parts, mix(whole)], 1).astype(">u8").view(np.uint8).reshape(b.num_rows, -1)
-            ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            yield pa.record_batch([b.column(0), pa.array([k.tobytes() for k in key], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64)))], names=[id_col, "key", "shingles"])
+            few = np.minimum(np.where(n > 0, prefix(n, similarity), 0), FIRST)
+            low = h[(np.arange(len(h)) - np.repeat(ends[:-1], n)) < np.repeat(few, n)]
+            lists = [pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(v.view(np.int64))) for e, v in ((ends, h), (np.concatenate([[0], np.cumsum(few)]), low))]
+            yield pa.record_batch([b.column(0), b.column(1), blobs(np.stack([*parts, mix(whole)], 1)), *lists], names=[id_col, "text_hash", "key", "shingles", "low"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, key binary, shingles array<long>")
-
-
-def forest_of(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Numbers of the pairs that make a least spanning forest by distance."""
-    forest, kept = Forest(n), []
-    for level in np.unique(d):
-        on = np.flatnonzero(d == level)
-        while True:
-            a, b = forest.label[i[on]], forest.label[j[on]]
-            apart = a != b
-            on = on[apart]
-            if not len(on):
-                break
-            _, one = np.unique(np.maximum(a[apart], b[apart]), return_index=True)  # each root goes to one lesser root
-            kept.append(on[one])
-            forest.join(i[on[one]], j[on[one]])
-    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
-
-
-def candidates(points: DataFrame, ratio: float, radius: int, forest: bool, tile_points: int = TILE_POINTS) -> DataFrame:
-    """(a, b) keys of candidate pairs with different labels, of each tile all or a least spanning forest. points: distinct key, n, label long."""
-    points = points.select("key", F.floor(F.log(F.col("n").cast("double")) / -math.log(ratio)).cast("long").alias("ring"), "label")
-    tiles = {r["ring"]: math.ceil(r["count"] / tile_points) for r in points.groupBy("ring").count().collect()}
-    size = 8 * (WORDS + 1)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), text_col).mapInArrow(run, f"`{id_col}` {kind}, text_hash long, key binary, shingles array<long>, low array<long>")
+
+
+def shards(points: DataFrame, rows: DataFrame, similarity: float, heavy: int) -> DataFrame:
+    """(shard, point, n): the shards of each point. points: key, n, low. rows: key, shingles."""
+    few = points.select(F.col("key").alias("point"), "n", F.explode("low").alias("shard"))
+    hot = stored(few.groupBy("shard").count().where(F.col("count") > heavy).select("shard"))
+    if hot.isEmpty():
+        return few.select("shard", "point", "n")
+    held = few.join(hot, "shard", "left_semi").select(F.col("point").alias("key")).distinct()
+    whole = stored(rows.select("key", "shingles").join(held, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")))
+    counts = whole.select(F.explode("shingles").alias("shard")).groupBy("shard").count().where(F.col("count") > heavy)
+    hot = stored(counts.select("shard").union(hot).distinct())
+    held = stored(few.join(hot, "shard", "left_semi").select(F.col("point").alias("key")).distinct())
+    whole = rows.select("key", "shingles", "low").join(held, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("low").alias("low"))
+    marked = hot.withColumn("hot", F.lit(True))
+    # the light shingles of each set's prefix; a set with too few of them besides meets its like by its first few shingles
+    light = whole.select("key", "low", F.size("shingles").alias("n"), F.explode("shingles").alias("shard")).join(marked, "shard", "left")
+    light = light.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.when(F.col("hot").isNull(), F.col("shard")))).alias("light"), F.first("low").alias("low"))
+    most = prefix(F.col("n"), similarity)
+    dense = F.transform("low", lambda s: F.xxhash64(F.lit("dense"), s))
+    found = light.select(F.col("key").alias("point"), "n", F.explode(F.when(F.size("light") < most, F.concat("light", dense)).otherwise(F.slice("light", F.lit(1), most))).alias("shard"))
+    rest = few.join(held.withColumnRenamed("key", "point"), "point", "left_anti")
+    return rest.select("shard", "point", "n").unionByName(found.select("shard", "point", "n"))
+
+
+def stars(members: DataFrame, radius: int) -> DataFrame:
+    """(a, b): each point of a shard and the shard's least one, if they are candidates."""
+    least = members.groupBy("shard").agg(F.min("point").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("shard", "least")
+    pairs = members.join(least, "shard").where(F.col("point") != F.col("least")).select(F.col("point").alias("a"), F.col("least").alias("b")).distinct()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            raw = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, size)
-            rings, labels = b.column(1).to_numpy(), b.column(2).to_numpy()
-            salt = mix(np.ascontiguousarray(raw[:, -8:]).view(">u8").astype(np.uint64).ravel())
-            tile, side, keys, names = [], [], [], []
-            for r in np.unique(rings).tolist():
-                here = np.flatnonzero(rings == r)
-                part = salt[here] % np.uint64(tiles[r])
-                for s in range(tiles[r]):
-                    some = here[part == s]
-                    if not len(some):
-                        continue
-                    to = [(f"{r}/{min(s, t)}/{r}/{max(s, t)}", int(s > t)) for t in range(tiles[r])]
-                    to += [(f"{r}/{s}/{r + 1}/{t}", 0) for t in range(tiles.get(r + 1, 0))]
-                    to += [(f"{r - 1}/{t}/{r}/{s}", 1) for t in range(tiles.get(r - 1, 0))]
-                    for name, at in to:
-                        tile.append(name)
-                        side.append(at)
-                        keys.append(raw[some].tobytes())
-                        names.append(labels[some].tobytes())
-            yield pa.record_batch([pa.array(tile), pa.array(side, pa.int32()), pa.array(keys, pa.binary()), pa.array(names, pa.binary())], names=["tile", "side", "keys", "labels"])
-
-    def pairs(key, group: pd.DataFrame) -> pd.DataFrame:
-        r, s, r2, s2 = key[0].split("/")
-        raw = np.frombuffer(b"".join(group["keys"]), np.uint8).reshape(-1, size)
-        label = np.frombuffer(b"".join(group["labels"]), np.int64)
-        x = np.ascontiguousarray(raw[:, : 8 * WORDS]).view(np.uint64)
-        side = np.repeat(group["side"].to_numpy(), group["keys"].str.len().to_numpy() // size)
-        same = (r, s) == (r2, s2)
-        left = np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
-        i, j, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
-        more, held = [], 0
-        step = max(1, BLOCK_PAIRS // max(1, len(right)))
-        for k in range(0, len(left), step):
-            a = left[k : k + step]
-            b = right[k:] if same else right
-            if not len(b):
-                break
-            near = np.zeros((len(a), len(b)), np.uint16)
-            for w in range(WORDS):
-                near += np.bitwise_count(x[a, w][:, None] ^ x[b, w][None, :])
-            p, q = np.nonzero(near <= radius)
-            on = (label[a[p]] != label[b[q]]) & ((p < q) if same else True)
-            p, q = p[on], q[on]
-            more.append((a[p], b[q], near[p, q]))
-            held += len(p)
-            if forest and held > HELD_PAIRS:
-                i, j, d = (np.concatenate([v, *m]) for v, m in zip((i, j, d), zip(*more, strict=True), strict=True))
-                keep = forest_of(len(x), i, j, d)
-                i, j, d, more, held = i[keep], j[keep], d[keep], [], 0
-        if more:
-            i, j, d = (np.concatenate([v, *m]) for v, m in zip((i, j, d), zip(*more, strict=True), strict=True))
-        if forest:
-            keep = forest_of(len(x), i, j, d)
-            i, j = i[keep], j[keep]
-        return pd.DataFrame({"a": [raw[v].tobytes() for v in i], "b": [raw[v].tobytes() for v in j]})
-
-    return points.mapInArrow(deal, "tile string, side int, keys binary, labels binary").groupBy("tile").applyInPandas(pairs, "a binary, b binary")
+            x, y = (numbers(b.column(k), WORDS + 1)[:, :WORDS] for k in (0, 1))
+            yield b.filter(pa.array(distance(x, y) <= radius))
+
+    return pairs.mapInArrow(near, "a binary, b binary")
 
 
 def confirmed(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
@@ -169,20 +134,50 @@ def confirmed(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataF
     return both.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("a", "b")
 
 
-def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) for each row: the least id that links of similar sets reach."""
-    rows = stored(sets(docs, words, id_col, text_col))
-    points = stored(rows.groupBy("key").agg(F.min(id_col).alias("least"), F.min(F.size("shingles")).alias("n")))
+def near_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_hash, root, component_id) for each row: a name of its group, and the least id in it; text_hash is xxhash64 of the text."""
+    rows = stored(sets(docs, words, similarity, id_col, text_col))
+    points = stored(rows.groupBy("key").agg(F.min(id_col).alias("least"), F.min(F.size("shingles")).alias("n"), F.first("low").alias("low")))
     # Sets with fewer members are never similar without being equal.
-    able = points.where(F.col("n") >= math.ceil(round(similarity / (1 - similarity), 6))).select("key", "n", F.xxhash64("key").alias("label"))
-    first = stored(candidates(able, similarity, radius, True).distinct())
-    ends = stored(first.select(F.col("a").alias("key")).union(first.select("b")).distinct())
-    shingles = stored(rows.select("key", "shingles").join(ends, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")))
-    good = stored(confirmed(first, shingles, similarity))
+    able = points.where(F.col("n") >= math.ceil(round(similarity / (1 - similarity), 6)))
+    members = stored(shards(able, rows, similarity, heavy))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        return stored(rows.select("key", "shingles").join(ends, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")))
+
+    first = stored(stars(members, radius))
+    good = stored(confirmed(first, sets_of(first), similarity))
     roots = stored(components(good))
-    rest = able.join(ends, "key", "left_semi").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.xxhash64(F.coalesce("root", "key")).alias("label"))
-    second = stored(candidates(stored(rest), similarity, radius, False).distinct())
-    roots = components(good.union(confirmed(second, shingles, similarity)))
+    labelled = members.join(roots.withColumnRenamed("node", "point"), "point", "left").select("shard", "point", F.xxhash64(F.coalesce("root", "point")).alias("label"), F.col("n").cast("long").alias("n"))
+    labelled = stored(labelled)
+    several = labelled.groupBy("shard").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("shard")
+    second = shard_pairs(labelled.join(several, "shard", "left_semi"), WORDS + 1, radius, forest=False, least_ratio=similarity)
+    second = stored(second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    more = stored(confirmed(second, sets_of(second), similarity))
+    roots = components(good.union(more))
     named = stored(points.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root")))
     least = stored(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    return rows.select(id_col, "key").join(stored(named.join(least, "root").select("key", "component_id")), "key").select(id_col, "component_id")
+    return rows.select(id_col, "text_hash", "key").join(stored(named.join(least, "root").select("key", "root", "component_id")), "key").select(id_col, "text_hash", "root", "component_id")
+
+
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(id, component_id) for each row: the least id that links of similar sets reach."""
+    return near_rows(docs, words, similarity, id_col=id_col, text_col=text_col, **how).select(id_col, "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of each group, with all columns of docs: the one with the least id (null last), of these the one with the least hash of the text; of equal ones any."""
+    found = stored(near_rows(docs, words, similarity, id_col=id_col, text_col=text_col, **how).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_h"), "root"))
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_h").alias("h"))
+    best = found.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("c")).where("c > 1").select("root", "best")
+    inside = stored(found.join(best, "root").withColumn("stays", F.col("best.id").eqNullSafe(F.col("_id")) & (F.col("best.h") == F.col("_h"))))
+    gone = stored(inside.where(~F.col("stays")).select("_id", "_h").distinct())
+    again = stored(inside.where("stays").groupBy("_id", "_h").count().where(F.col("count") > 1).select("_id", "_h"))
+    rows = docs.withColumn("_h0", F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h0") == F.col("_h"))
+    kept = rows.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(again, same, "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, "_h0"]).select(*docs.columns))

@@ -12,7 +12,7 @@ language (ties: the first by name) and, through a softmax of the mean advantage
 Training learns from a bounded sample of labelled rows, ``train_docs`` a language, chosen
 by a hash of the id, and keeps ``words`` words and ``grams`` n-grams a language; counting
 is distributed and only those tables reach the driver. Prediction is one narrow pass;
-each Python worker keeps the vectors of words it has met, up to ``CACHE_WORDS``.
+each Python worker keeps the scores of words it has met, from task to task, up to ``CACHE_WORDS``.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; rows with
 a null id or language are not learnt from, and are predicted; repeated rows get equal
@@ -22,6 +22,7 @@ results; without any training row every text is ``und``; other columns are not l
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ from folioscope.llm.shared import pieces
 #: Runs of letters (and of the few digit-like letters that Python counts as word characters).
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 CONFIDENT_WORDS = 40
 #: What a unit that a language has never shown counts as.
 UNSEEN_COUNT = 0.1
@@ -50,63 +51,81 @@ def grams(word: str) -> Iterator[str]:
             yield w[i : i + n]
 
 
+class _Rows(dict):
+    """The row of a model's table for each word met; that of an unseen word is added."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> int:
+        m = self.model
+        at = m.units.get(" " + word)
+        if at is None:
+            if m.used == len(m.table):
+                m.table = np.concatenate([m.table, np.zeros((max(1024, m.used // 2), m.table.shape[1]))])
+            m.table[m.used] = m.backoff(word)
+            at, m.used = m.used, m.used + 1
+        self[word] = at
+        return at
+
+
 class Model:
-    """languages; units: word (prefixed by a space) or n-gram -> log frequency by language."""
+    """languages; units: words (prefixed by a space) and n-grams, in the order of the rows of table, their log frequencies by language."""
 
-    def __init__(self, languages: list[str], units: dict[str, np.ndarray]):
-        self.languages, self.units, self.memo = languages, units, {}
+    def __init__(self, languages: list[str], units: list[str], table: np.ndarray):
+        self.languages, self.units, self.table, self.used, self.known = languages, dict(zip(units, range(len(units)), strict=True)), table, len(units), len(units)
+        self.memo = _Rows(self)
 
     @classmethod
     def of_counts(cls, rows: list[tuple[str, str, int]]) -> Model:
         """rows: (language, unit, count); a word's unit begins with a space."""
         languages = sorted({r[0] for r in rows})
         at = {x: i for i, x in enumerate(languages)}
-        units: dict[str, np.ndarray] = {}
+        units = {u: i for i, u in enumerate(dict.fromkeys(r[1] for r in rows))}
+        table = np.full((len(units), len(languages)), UNSEEN_COUNT)
         for lang, unit, n in rows:
-            units.setdefault(unit, np.full(len(languages), UNSEEN_COUNT))[at[lang]] += n
-        size: dict[int, np.ndarray] = {}
-        level = lambda u: 0 if u[0] == " " else len(u)
-        for u, v in units.items():
-            size[level(u)] = size.get(level(u), 0) + v
-        return cls(languages, {u: np.log(v / size[level(u)]) for u, v in units.items()})
-
-    def vector(self, word: str) -> np.ndarray:
-        """The word's log score in each language."""
-        known = self.units.get(" " + word)
-        if known is not None:
-            return known
+            table[units[unit], at[lang]] += n
+        level = np.array([0 if u[0] == " " else len(u) for u in units], np.int64)
+        size = np.zeros((LONGEST + 1, len(languages)))
+        np.add.at(size, level, table)
+        return cls(languages, list(units), np.log(table / size[level]))
+
+    def backoff(self, word: str) -> np.ndarray:
+        """An unseen word's log score in each language."""
         w, i, out = f"<{word}>", 0, np.zeros(len(self.languages))
         while i < len(w):
             for n in range(min(LONGEST, len(w) - i), 0, -1):
-                v = self.units.get(w[i : i + n])
-                if v is not None:
-                    out = out + v
+                at = self.units.get(w[i : i + n])
+                if at is not None:
+                    out = out + self.table[at]
                     i += n - 1
                     break
             i += 1
         return out
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, score); ('und', 0) without letters."""
-        words = LETTERS.findall((text or "").lower())
-        if not self.languages or not any(c.isalpha() for w in words for c in w):
-            return "und", 0.0
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """(languages, scores); ('und', 0) without letters."""
         if len(self.memo) > CACHE_WORDS:
             self.memo.clear()
-        total, memo = np.zeros(len(self.languages)), self.memo
-        rows = []
-        for w in words if len(words) < 64 else (counted := Counter(words)):
-            v = memo.get(w)
-            if v is None:
-                v = memo[w] = self.vector(w)
-            rows.append(v)
-        if len(words) < 64:
-            total = np.sum(rows, axis=0)
-        else:
-            total = np.fromiter(counted.values(), np.float64, len(counted)) @ np.array(rows)
-        best = int(np.argmax(total))
-        edge = (total - total[best]) * (min(1.0, CONFIDENT_WORDS / len(words)))
-        return self.languages[best], float(1 / np.exp(edge).sum())
+            self.used = self.known
+        rows, count, row = [], [], self.memo.__getitem__
+        for t in texts:
+            words = LETTERS.findall((t or "").lower()) if self.languages else []
+            if not any(c.isalpha() for w in words for c in w):
+                words = []
+            rows.extend(map(row, words))
+            count.append(len(words))
+        names, scores, count = ["und"] * len(texts), np.zeros(len(texts)), np.array(count, np.int64)
+        some = np.flatnonzero(count)
+        if len(some):
+            total = np.add.reduceat(self.table[rows], (np.cumsum(count) - count)[some], axis=0)
+            best = total.argmax(1)
+            edge = (total - total[np.arange(len(some)), best][:, None]) * np.minimum(1.0, CONFIDENT_WORDS / count[some])[:, None]
+            scores[some] = 1 / np.exp(edge).sum(1)
+            for k, b in zip(some.tolist(), best.tolist(), strict=True):
+                names[k] = self.languages[b]
+        return names, scores
 
 
 def train(docs: DataFrame, train_docs: int = 1500, words: int = 20_000, grams_kept: int = 30_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -114,7 +133,7 @@ def train(docs: DataFrame, train_docs: int = 1500, words: int = 20_000, grams_ke
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not sizes:
-        return Model([], {})
+        return Model([], [], np.zeros((0, 0)))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, train_docs / n))])
     draw = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1 << 20)) / float(1 << 20)
     sample = rows.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -124,7 +143,7 @@ def train(docs: DataFrame, train_docs: int = 1500, words: int = 20_000, grams_ke
         for b in pieces(batches, "text"):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(LETTERS.findall((text or "").lower()))
-            if sum(map(len, seen.values())) > 200_000:
+            if sum(map(len, seen.values())) > 30_000:
                 yield flush(seen)
                 seen = {}
         if seen:
@@ -147,28 +166,27 @@ def train(docs: DataFrame, train_docs: int = 1500, words: int = 20_000, grams_ke
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' id with lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.units))
+    return annotate(docs.select(id_col, text_col), model, text_col).select(id_col, "lang_pred", "score")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*shared.value)
-        for b in pieces(batches, text_col):
-            found = [m.predict(t) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[id_col, "lang_pred", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, lang_pred string, score double")
+#: A worker's model, by a name that goes with its broadcast: the next task finds the words that are known.
+_MODELS: dict[str, Model] = {}
 
 
 def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with all their columns, and lang_pred and score behind them (a clashing column is replaced)."""
     docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.units))
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.languages, list(model.units), model.table[: model.known]))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*shared.value)
+        name, *parts = shared.value
+        if name not in _MODELS:
+            _MODELS.clear()  # one at a time
+            _MODELS[name] = Model(*parts)
+        m = _MODELS[name]
         for b in pieces(batches, text_col):
-            found = [m.predict(t) for t in b.column(at).to_pylist()]
-            yield pa.record_batch([*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            languages, scores = m.predict(b.column(at).to_pylist())
+            yield pa.record_batch([*b.columns, pa.array(languages, pa.string()), pa.array(scores)], names=[*b.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
-

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -43,17 +45,29 @@ def crc32_mod4(col: str = "doc_id") -> F.Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % 4
 
 
+def _free() -> None:
+    """Give memory that is free back to the system, so that workers of one executor don't hold it for long."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library, which has no such call
+    _LIBC = None
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds about most_bytes of text, or one row; the memory of a step stays bounded."""
     for batch in batches:
-        col = batch.column(batch.schema.get_field_index(text))
-        start, size = 0, 0
-        for i, n in enumerate(pc.binary_length(col.cast(pa.binary())).to_pylist()):
-            n = n or 0
-            if size and size + n > most_bytes:
-                yield batch.slice(start, i - start)
-                start, size = i, 0
-            size += n + 16
-        if start < batch.num_rows:
-            yield batch.slice(start)
-
+        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
+        ends = np.cumsum(size)
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most_bytes, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+            pa.default_memory_pool().release_unused()
+    _free()

@@ -1,20 +1,19 @@
 """SimHash near-duplicates, searched with vantage-point trees.
 
 Method. Each text gets a fingerprint: bit i is 1 if it is set in over half of the hashes
-of the text's word shingles. Equal fingerprints collapse to one point first. A top
-vantage-point tree, built on the driver from a bounded sample of points
-(``sample_points``), splits the points by Hamming distance: its leaves are the shards.
-A point lives in one leaf and also visits, as a guest, those lower-numbered leaves that
-the triangle inequality cannot rule out (a vantage point's distances to two points within
-``radius`` differ by ``radius`` at most). Inside a shard a wider vantage-point tree prunes
-in the same way, and what remains is compared bit by bit, so every pair within the radius
-is found, and no other. A shard passes on a spanning forest of its links instead of all
-pairs; connected components join the forests.
-
-Scale. Hashing is one narrow pass; only 8-byte points are shuffled, packed by the batch.
-Shards with too many points are cut into tiles, so that one dense group does not load one
-task. Work grows faster than the input: Hamming balls of radius 4 around 64-bit points
-prune only about 40 % a level.
+of the text's word shingles. Equal fingerprints collapse to one point first. Points go to
+shards by exact bands: of ``radius + k`` bands of bits, two points within ``radius`` agree
+on ``k`` at least, so that each choice of k bands, with their bits, names a shard, and each
+such pair meets in one (k grows with the number of points, so that shards stay small).
+Within a shard a vantage-point tree parts points by their Hamming distance to a vantage
+point; a ring is compared with those rings only that overlap it within the radius, as the
+triangle inequality bounds the distance of two points from below. What remains is compared
+bit by bit, so every pair within the radius is found, and no other. A shard passes on a
+spanning forest of its links instead of all pairs; connected components join the forests.
+
+Scale. Hashing is one narrow pass; only points are shuffled, once for each choice of
+bands. Shards with too many points are cut into tiles, so that one dense group does not load one
+task. With N points and k bands of b bits, N / 2^(kb) points share a shard by chance.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any
 other; repeated rows each keep their row; rows with a null id get the component of their
@@ -24,11 +23,10 @@ columns other than id and text are not looked at.
 
 from __future__ import annotations
 
-import math
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +35,10 @@ from folioscope.llm.components import components
 from folioscope.llm.shared import pieces, stored
 from folioscope.llm.wordhash import Words, mix
 
-#: Points of the driver's sample for the top tree, whatever the input's size.
-SAMPLE_POINTS = 4096
-#: Points that live in a shard, about; a shard with more is cut into tiles.
-SHARD_POINTS = 8192
+#: Points of a shard by chance, for which one more band is taken; and points of a tile's side, to which larger shards are cut.
+CHANCE_POINTS, TILE_POINTS = 4096, 8192
+#: Choices of bands at most: beyond, shards by chance grow and are cut into tiles.
+MOST_CHOICES = 70
 #: Pairs compared at once.
 BLOCK_PAIRS = 1 << 20
 
@@ -65,8 +63,19 @@ def majority(of: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
     return out
 
 
+def blobs(x: np.ndarray) -> pa.Array:
+    """Rows of unsigned 64-bit numbers as binaries, most significant byte first."""
+    raw = np.ascontiguousarray(x.astype(">u8"))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer((np.arange(len(raw) + 1) * raw.shape[1] * 8).astype(np.int32)), pa.py_buffer(raw)])
+
+
+def numbers(col: pa.Array, width: int) -> np.ndarray:
+    """Rows of ``width`` numbers of binaries that blobs() made."""
+    return np.frombuffer(b"".join(col.to_pylist()), ">u8").astype(np.uint64).reshape(-1, width)
+
+
 def fingerprints(docs: DataFrame, words: int = 4, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp binary of bits/8 bytes in the order of its hex digits, n_shingles) for each row of docs."""
+    """(id, fp binary of bits/8 bytes in the order of its hex digits) for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, text_col, 1 << 20):
@@ -76,64 +85,18 @@ def fingerprints(docs: DataFrame, words: int = 4, bits: int = 64, id_col: str =
             for _ in range(bits // 64 - 1):
                 h = mix(h)
                 parts.append(majority(of, h, len(texts)))
-            fp = np.stack(parts, 1).astype(">u8").view(np.uint8).reshape(len(texts), -1)
-            yield pa.record_batch([b.column(0), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(np.bincount(of, minlength=len(texts)).astype(np.int64))], names=[id_col, "fp", "n_shingles"])
+            yield pa.record_batch([b.column(0), blobs(np.stack(parts, 1))], names=[id_col, "fp"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp binary, n_shingles long")
-
-
-def _points(blob: list[bytes], width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(blob), ">u8").astype(np.uint64).reshape(-1, width)
-
-
-def _distance(x: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ v).sum(axis=-1, dtype=np.int16) if x.shape[-1] > 1 else np.bitwise_count(x[..., 0] ^ v[..., 0]).astype(np.int16)
-
-
-class TopTree:
-    """Vantage points, median distances and leaves; built from a sample."""
-
-    def __init__(self, sample: np.ndarray, radius: int, leaves: float):
-        self.radius, self.nodes, self.leaves = radius, [], 0
-        self._grow(sample, math.ceil(math.log2(leaves)) if leaves > 1 else 0)
-
-    def _grow(self, x: np.ndarray, levels: int) -> int:
-        """Index of a node; a leaf's is -1 - its number."""
-        if levels and len(x) >= 16:
-            v = x[len(x) // 2]
-            d = _distance(x, v[None])
-            mid = int(np.median(d))
-            inside = d <= mid
-            near = np.abs(d - mid) <= self.radius
-            if 0.1 < inside.mean() < 0.9 and near.mean() < 0.9:
-                self.nodes.append(None)
-                me = len(self.nodes) - 1
-                self.nodes[me] = (v, mid, self._grow(x[inside], levels - 1), self._grow(x[~inside], levels - 1))
-                return me
-        self.leaves += 1
-        return -self.leaves
-
-    def route(self, x: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-        """Each point's own leaf; for each leaf the points that visit it."""
-        home, visits = np.zeros(len(x), np.int64), []
-        todo = [(0 if self.nodes else -1, np.arange(len(x)), np.ones(len(x), bool))]
-        while todo:
-            node, rows, own = todo.pop()
-            if not len(rows):
-                continue
-            if node < 0:
-                leaf = -1 - node
-                home[rows[own]] = leaf
-                visits.append((leaf, rows[~own]))
-                continue
-            v, mid, near, far = self.nodes[node]
-            d = _distance(x[rows], v[None])
-            go = d <= mid + self.radius
-            todo.append((near, rows[go], own[go] & (d[go] <= mid)))
-            go = d > mid - self.radius
-            todo.append((far, rows[go], own[go] & (d[go] > mid)))
-        return home, [(leaf, rows[home[rows] > leaf]) for leaf, rows in visits]
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp binary")
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of numbers."""
+    near = np.bitwise_count(x[..., 0] ^ y[..., 0]).astype(np.int16)
+    for w in range(1, x.shape[-1]):
+        near += np.bitwise_count(x[..., w] ^ y[..., w])
+    return near
 
 
 class Forest:
@@ -157,8 +120,8 @@ class Forest:
                 self.label = up
 
 
-def search(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, forest: Forest) -> None:
-    """Join all pairs (one of a, one of b) within the radius. a, b: numbers of rows of x."""
+def search(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of all pairs (one of a, one of b) within the radius, by a vantage-point tree. a, b: numbers of rows of x. If a is b, pairs come both ways round and with themselves."""
     todo = [(a, b, 0)]
     while todo:
         a, b, depth = todo.pop()
@@ -166,7 +129,7 @@ def search(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, forest: For
             continue
         if len(a) * len(b) > BLOCK_PAIRS and depth < 6 and min(len(a), len(b)) > 64:
             v = x[a[len(a) // 2]]
-            da, db = _distance(x[a], v[None]), _distance(x[b], v[None])
+            da, db = distance(x[a], v[None]), distance(x[b], v[None])
             oa, ob = np.argsort(da, kind="stable"), np.argsort(db, kind="stable")
             a, da, b, db = a[oa], da[oa], b[ob], db[ob]
             cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(da)) + 1, [len(a)]]))
@@ -175,108 +138,143 @@ def search(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, forest: For
                 if c - ring >= 128 or c == len(a):
                     parts.append((ring, c))
                     ring = c
-            for lo, hi in parts:
-                if hi > lo:
-                    todo.append((a[lo:hi], b[np.searchsorted(db, da[lo] - radius) : np.searchsorted(db, da[hi - 1] + radius, "right")], depth + 1))
-            continue
+            spans = [(lo, hi, np.searchsorted(db, da[lo] - radius), np.searchsorted(db, da[hi - 1] + radius, "right")) for lo, hi in parts if hi > lo]
+            if sum((hi - lo) * (t - f) for lo, hi, f, t in spans) < 0.9 * len(a) * len(b):
+                todo += [(a[lo:hi], b[f:t], depth + 1) for lo, hi, f, t in spans]
+                continue
         step = max(1, BLOCK_PAIRS // len(b))
         for k in range(0, len(a), step):
             part = a[k : k + step]
-            near = np.bitwise_count(x[part, 0][:, None] ^ x[b, 0][None, :])
-            for w in range(1, x.shape[1]):
-                near = near + np.bitwise_count(x[part, w][:, None] ^ x[b, w][None, :])
-            i, j = np.nonzero(near <= radius)
+            i, j = np.nonzero(distance(x[part][:, None, :], x[b][None, :, :]) <= radius)
             if len(i):
-                forest.join(part[i], b[j])
+                yield part[i], b[j]
+
+
+def group_pairs(x: np.ndarray, first: np.ndarray, side: np.ndarray, radius: int, small: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of the pairs of rows within the radius, in each group of rows of x. first: where groups begin; side: rows of a group that has both sides 0 and 1 meet those of the other side only."""
+    size = np.diff(np.append(first, len(x)))
+    place = np.arange(len(x)) - np.repeat(first, size)
+    left = np.repeat(np.where(size <= small, size, 0), size) - place  # small groups: all at once, by how far two rows stand apart
+    two = np.repeat(np.maximum.reduceat(side, first) != np.minimum.reduceat(side, first), size)
+    rows = np.flatnonzero(left > 1)
+    for d in range(1, small):
+        rows = rows[left[rows] > d]
+        if not len(rows):
+            break
+        on = rows[~two[rows] | (side[rows] != side[rows + d])]
+        on = on[distance(x[on], x[on + d]) <= radius]
+        if len(on):
+            yield on, on + d
+    for g in np.flatnonzero(size > small):
+        rows = np.arange(first[g], first[g] + size[g])
+        a, b = (rows[side[rows] == 0], rows[side[rows] == 1]) if two[rows[0]] else (rows, rows)
+        for i, j in search(x, a, b, radius):
+            if a is b:
+                on = i < j
+                i, j = i[on], j[on]
+            yield i, j
+
+
+def shard_pairs(members: DataFrame, width: int, radius: int, forest: bool, least_ratio: float = 0.0, tile_points: int = TILE_POINTS) -> DataFrame:
+    """(a, b) of pairs of points within the radius that share a shard. members: distinct shard long, point binary, label long, n long.
+
+    forest: of each shard's pairs only a spanning forest, whatever the labels; else all pairs of different labels whose n are in this ratio at least.
+    """
+    size = members.groupBy("shard").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    rows = members.join(size, "shard")
+    m = F.ceil(F.col("c") / F.lit(float(tile_points))).cast("int")
+    rows = rows.withColumn("m", m).withColumn("s", F.when(F.col("m") > 1, F.pmod(F.xxhash64("point"), F.col("m"))).otherwise(0).cast("int"))
+    # the tiles (s, t) of a large shard: the pairs between its parts s and t
+    tile = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda t: F.struct((F.least("s", t) * F.col("m") + F.greatest("s", t)).alias("tile"), (F.col("s") > t).cast("int").alias("side")))
+    rows = rows.select("shard", "point", "label", "n", F.explode(tile).alias("t")).select("shard", "t.tile", "t.side", "point", "label", "n")
+    rows = rows.repartition("shard", "tile").sortWithinPartitions("shard", "tile")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cut = _starts(b)[-1]
+            if cut == 0 and held and _same(held[-1], b):
+                held.append(b)
+                continue
+            if held and not _same(held[-1], b):
+                yield from done(held)
+                held = []
+            if cut:
+                yield from done([*held, b.slice(0, cut)])
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield from done(held)
+
+    def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        x, label, n, side = numbers(t.column(3), width), t.column(4).to_numpy(), t.column(5).to_numpy(), t.column(2).to_numpy()
+        trees = Forest(len(x))
+        keys = lambda i: blobs(x[i])
+        for i, j in group_pairs(x[:, : radius_words], _starts(t), side, radius):
+            if forest:
+                trees.join(i, j)
+                continue
+            on = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= least_ratio * np.maximum(n[i], n[j]))
+            if on.any():
+                yield pa.record_batch([keys(i[on]), keys(j[on])], names=["a", "b"])
+        on = np.flatnonzero(trees.label != np.arange(len(x)))
+        if len(on):
+            yield pa.record_batch([keys(on), keys(trees.label[on])], names=["a", "b"])
 
+    radius_words = width if forest else width - 1  # the points of sets end in the hash of the set
+    return rows.mapInArrow(run, "a binary, b binary")
 
-def links(points: DataFrame, radius: int, bits: int = 64, ring: str | None = None, sample_points: int = SAMPLE_POINTS, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """(a, b): a spanning forest of the pairs of points within the radius. points: distinct fp; with ring, only rings one apart at most are compared."""
-    width = bits // 64
-    spark = points.sparkSession
-    n = points.count()
-    sample = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_points).collect() if n > shard_points else []
-    tree = TopTree(_points([r[0] for r in sample], width), radius, n / shard_points)
-    points = points.select("fp", (F.col(ring) if ring else F.lit(0)).cast("long").alias("ring"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            home, _ = tree.route(_points(b.column(0).to_pylist(), width))
-            keys, counts = np.unique(np.stack([b.column(1).to_numpy(), home], 1), axis=0, return_counts=True)
-            yield pa.record_batch([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(counts.astype(np.int64))], names=["ring", "leaf", "n"])
+def _starts(b: pa.RecordBatch) -> np.ndarray:
+    """Where runs of equal shard and tile begin."""
+    shard, tile = b.column(0).to_numpy(), b.column(1).to_numpy()
+    return np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (tile[1:] != tile[:-1])]))
+
+
+def _same(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
+    """Whether a's last row and b's first are of one shard and tile."""
+    return all(a.column(k)[a.num_rows - 1].as_py() == b.column(k)[0].as_py() for k in (0, 1))
+
+
+def choices(n: int, bits: int, radius: int, chance_points: int = CHANCE_POINTS) -> list[np.ndarray]:
+    """For each choice of bands its bits' numbers: of radius + k bands of about equal size each k; the least k at which chance puts few points into a shard."""
+    for k in itertools.count(1):
+        bands = np.array_split(np.arange(bits), radius + k)
+        out = [np.concatenate(c) for c in itertools.combinations(bands, k)]
+        more = len(out) * (radius + k + 1) // (k + 1)
+        if n / 2.0 ** min(map(len, out)) <= chance_points or more > MOST_CHOICES or radius + k == bits:
+            return out
 
-    sizes = points.mapInArrow(count, "ring long, leaf long, n long").groupBy("ring", "leaf").agg(F.sum("n").alias("n")).collect()
-    tiles = {(r["ring"], r["leaf"]): math.ceil(r["n"] / (2 * shard_points)) for r in sizes}
+
+def links(points: DataFrame, radius: int, bits: int = 64, chance_points: int = CHANCE_POINTS, tile_points: int = TILE_POINTS) -> DataFrame:
+    """(a, b): spanning forests of the pairs of points within the radius. points: distinct fp."""
+    width = bits // 64
+    chosen = choices(points.count(), bits, radius, chance_points)
+    masks = np.zeros((len(chosen), width), np.uint64)
+    for c, some in enumerate(chosen):
+        np.bitwise_or.at(masks[c], some // 64, np.uint64(1) << (some % 64).astype(np.uint64))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, rings = _points(b.column(0).to_pylist(), width), b.column(1).to_numpy()
-            if not len(x):
-                continue
-            raw, salt = x.astype(">u8"), mix(x[:, 0])
-            home, visits = tree.route(x)
-            out = [[], [], [], []]
-
-            def put(at_ring, leaf, rows, own):
-                m = tiles.get((at_ring, leaf), 0)  # 0: nobody lives there
-                for s in range(m):
-                    some = rows[salt[rows] % np.uint64(m) == s] if m > 1 else rows
-                    if len(some):
-                        for t in range(m):
-                            for col, v in zip(out, (f"{at_ring}/{leaf}/{min(s, t)}/{max(s, t)}", s, own, raw[some].tobytes()), strict=True):
-                                col.append(v)
-
-            for r in np.unique(rings):
-                here = rings == r
-                for leaf in np.unique(home[here]):
-                    put(int(r), int(leaf), np.flatnonzero(here & (home == leaf)), True)
-                if ring:  # the next ring's shards, whichever leaf
-                    for leaf in np.unique(home[here]):
-                        put(int(r) + 1, int(leaf), np.flatnonzero(here & (home == leaf)), False)
-                for leaf, rows in visits:
-                    rows = rows[here[rows]]
-                    put(int(r), int(leaf), rows, False)
-                if ring:
-                    for leaf in range(tree.leaves):
-                        everyone = np.flatnonzero(here) if tree.leaves > 1 else []
-                        rows = [i for i in everyone if home[i] != leaf]
-                        if len(rows):
-                            put(int(r) + 1, leaf, np.array(rows), False)
-            yield pa.record_batch([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.binary())], names=["tile", "salt", "own", "blob"])
-
-    def pairs(key, group: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = map(int, key[0].split("/")[2:])
-        x = _points(list(group["blob"]), width)
-        n = group["blob"].str.len().to_numpy() // (8 * width)
-        own, salt = np.repeat(group["own"].to_numpy(bool), n), np.repeat(group["salt"].to_numpy(), n)
-        forest, rows = Forest(len(x)), np.arange(len(x))
-        if lo == hi:
-            search(x, rows[own], rows, radius, forest)
-        else:
-            search(x, rows[own & (salt == lo)], rows[salt == hi], radius, forest)
-            search(x, rows[own & (salt == hi)], rows[~own & (salt == lo)], radius, forest)
-        on = np.flatnonzero(forest.label != rows)
-        raw = x.astype(">u8")
-        return pd.DataFrame({"a": [raw[i].tobytes() for i in on], "b": [raw[i].tobytes() for i in forest.label[on]]})
-
-    dealt = points.mapInArrow(deal, "tile string, salt int, own boolean, blob binary")
-    return dealt.groupBy("tile").applyInPandas(pairs, "a binary, b binary")
-
-
-def near_groups(docs: DataFrame, words: int = 4, bits: int = 64, radius: int = 4, size_ratio: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) for each row: the least id that links reach.
-
-    size_ratio: if given, links stand for similarities of this ratio (below 1) or more: texts whose
-    shingle counts differ by more than a ring of it are not compared, nor are texts with so few
-    shingles that one of another text's would bring them below it (majorities of two or three
-    hashes are also too alike by chance); equal ones meet in one point before.
-    """
+            x = numbers(b.column(0), width)
+            for c, mask in enumerate(masks):
+                shard = np.full(len(x), c, np.uint64)
+                for w in range(width):
+                    shard = mix(shard ^ (x[:, w] & mask[w]))
+                yield pa.record_batch([pa.array(shard.view(np.int64)), b.column(0)], names=["shard", "point"])
+
+    members = points.select("fp").mapInArrow(deal, "shard long, point binary").withColumn("label", F.lit(0).cast("long")).withColumn("n", F.lit(0).cast("long"))
+    return shard_pairs(members, width, radius, forest=True, tile_points=tile_points)
+
+
+def near_groups(docs: DataFrame, words: int = 4, bits: int = 64, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component_id) for each row: the least id that links reach."""
     rows = stored(fingerprints(docs, words, bits, id_col, text_col))
-    points = stored(rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.min("n_shingles").alias("n")))
-    compared = points
-    if size_ratio:
-        compared = points.where(F.col("n") >= math.ceil(round(size_ratio / (1 - size_ratio), 6))).withColumn("ring", F.floor(F.log(F.greatest("n", F.lit(1))) / -math.log(size_ratio)).cast("long"))
-    roots = components(stored(links(compared, radius, bits, "ring" if size_ratio else None)))
+    points = stored(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
+    roots = components(stored(links(points, radius, bits)))
     named = stored(points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     first = stored(named.groupBy("root").agg(F.min("least").alias("component_id")))
     named = stored(named.join(first, "root").select("fp", "component_id"))

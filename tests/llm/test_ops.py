@@ -83,37 +83,34 @@ def test_simhash_awkward(spark, awkward):
     assert simhash.near_groups(awkward.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("radius,bits,ring", [(4, 64, None), (6, 64, None), (20, 128, "ring")])
-def test_vantage_point_shards_find_all_pairs(spark, radius, bits, ring):
+@pytest.mark.parametrize("radius,bits,chance,tile", [(4, 64, 4096, 8192), (4, 64, 1e-3, 64), (6, 64, 1e-9, 100), (20, 128, 4096, 100)])
+def test_vantage_point_shards_find_all_pairs(spark, radius, bits, chance, tile):
     rng = random.Random(radius)
     seeds = [rng.getrandbits(bits) for _ in range(60)]
     prints = list({s ^ sum(1 << b for b in rng.sample(range(bits), rng.randrange(0, 2 * radius))) for s in seeds for _ in range(12)} | {rng.getrandbits(bits) for _ in range(300)})
-    rings = [p % 3 if ring else 0 for p in prints]
-    df = spark.createDataFrame([(bytearray(p.to_bytes(bits // 8, "big")), r) for p, r in zip(prints, rings, strict=True)], "fp binary, ring long")
-    found = simhash.links(df, radius, bits, ring, sample_points=256, shard_points=64)
+    dense = rng.getrandbits(bits)  # one group that fills its shards, and tiles of them
+    prints += list({dense ^ sum(1 << b for b in rng.sample(range(bits), rng.randrange(0, radius))) for _ in range(400)} - set(prints))
+    df = spark.createDataFrame([(bytearray(p.to_bytes(bits // 8, "big")),) for p in prints], "fp binary")
+    found = simhash.links(df, radius, bits, chance, tile)
     roots = {bytes(r.node): bytes(r.root) for r in components(found).collect()}
     got = {}
     for p in prints:
         k = p.to_bytes(bits // 8, "big")
         got.setdefault(roots.get(k, k), set()).add(p)
-    near = {i: i for i in range(len(prints))}
-
-    def find(i):
-        while near[i] != i:
-            i = near[i]
-        return i
-
-    for i in range(len(prints)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= radius and abs(rings[i] - rings[j]) <= 1:
-                a, b = sorted((find(i), find(j)))
-                near[b] = a
     want = {}
-    for i, p in enumerate(prints):
-        want.setdefault(find(i), set()).add(p)
+    for i, r in brute_components(dict(enumerate(prints)), radius).items():
+        want.setdefault(r, set()).add(prints[i])
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_choices_of_bands_grow_with_the_points():
+    assert [len(simhash.choices(n, 64, 4)) for n in (0, 10**5, 10**7, 10**9, 10**11, 10**13)] == [5, 5, 5, 15, 35, 70]
+    for n in (10**5, 10**9, 10**11):  # any four bits leave one choice of bands alone
+        rng = random.Random(n)
+        sets = [set(c.tolist()) for c in simhash.choices(n, 64, 4)]
+        assert all(any(not s & flipped for s in sets) for flipped in (set(rng.sample(range(64), 4)) for _ in range(200)))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("500", f"{i}") for i in range(501, 560)] + [("a", "a"), (None, "b"), ("700", "701"), ("701", "700")]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
@@ -141,7 +138,57 @@ def test_languages_awkward(spark, awkward):
 def test_unseen_words_fall_back_to_grams():
     rows = [("en", " the", 9), ("fr", " les", 9)] + [(g, x, 5) for g, w in (("en", "thing"), ("fr", "leaux")) for x in langid.grams(w)]
     m = langid.Model.of_counts(rows)
-    assert m.predict("things")[0] == "en" and m.predict("eaux")[0] == "fr" and m.predict("THE the")[0] == "en"
+    assert m.predict(["things", "eaux", "THE the", "12", None])[0] == ["en", "fr", "en", "und", "und"]
+
+
+def brute_languages(rows, texts, words=20_000, grams=30_000):
+    """Word-first backoff as its description says, on (language, text) rows."""
+    import re
+
+    split = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    counts = {g: ({}, {}) for g, _ in rows}
+    for g, t in rows:
+        for w in split(t):
+            counts[g][0][w] = counts[g][0].get(w, 0) + 1
+            b = f"<{w}>"
+            for n in range(1, 6):
+                for i in range(len(b) - n + 1):
+                    counts[g][1][b[i : i + n]] = counts[g][1].get(b[i : i + n], 0) + 1
+    # ties at the limit by the unit's name
+    counts = {g: [dict(sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[:k]) for c, k in zip(cs, (words, grams), strict=True)] for g, cs in counts.items()}
+    known = [{u for cs in counts.values() for u in cs[k]} for k in (0, 1)]
+    total = {g: [sum(counts[g][0].get(w, 0) + 0.1 for w in known[0])] + [sum(counts[g][1].get(u, 0) + 0.1 for u in known[1] if len(u) == n) for n in range(1, 6)] for g in counts}
+    out = []
+    for t in texts:
+        score = dict.fromkeys(sorted(counts), 0.0)
+        n_words = len(split(t))
+        for w in split(t):
+            b, units, i = f"<{w}>", [(0, w)] if w in known[0] else [], 0
+            while not units or units[0][0]:
+                n = next((n for n in range(min(5, len(b) - i), 0, -1) if b[i : i + n] in known[1]), 0)
+                units += [(n, b[i : i + n])] if n else []
+                i += max(n, 1)
+                if i >= len(b):
+                    break
+            for n, u in units:
+                for g in score:
+                    score[g] += math.log((counts[g][1 if n else 0].get(u, 0) + 0.1) / total[g][n])
+        if not any(c.isalpha() for w in split(t) for c in w):
+            out.append(("und", 0.0))
+            continue
+        best = max(score, key=lambda g: (score[g], [-ord(c) for c in g]))
+        out.append((best, 1 / sum(math.exp((s - score[best]) * min(1, 40 / n_words)) for s in score.values())))
+    return out
+
+
+def test_languages_against_brute_force(spark, docs):
+    rows = [r for r in docs.limit(120).collect()]
+    some = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in rows], "doc_id long, text string, lang string")
+    texts = [*(r.text for r in docs.collect()[100:180]), "xyzzy qwrtz", "été", "¼ ½", "", None, "the", "q"]
+    for words, grams in ((20_000, 30_000), (300, 500)):
+        names, scores = langid.train(some, words=words, grams_kept=grams).predict(texts)
+        want = brute_languages([(r.lang, r.text) for r in rows if r.lang], texts, words, grams)
+        assert names == [w[0] for w in want] and np.allclose(scores, [w[1] for w in want], atol=1e-6)
 
 
 def test_fingerprints(spark, docs):
