@@ -20,7 +20,6 @@ LEAST_SURE = 0.3
 DEDUP = {"words": 5, "similarity": 0.8}
 
 
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that their text shows; undetermined ones go."""
     named = langid.annotate(docs, langid.train(docs))
@@ -28,10 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least id; rows without an id stay."""
-    groups = jaccard.near_groups(docs, **DEDUP)
-    gone = stored(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates, the one with the least id (rows without an id come last); equal rows are one group."""
+    return jaccard.one_of_each(docs, **DEDUP)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
