@@ -1,23 +1,28 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Method. Texts are their lower-case runs of letters and digits. All runs of ``SEED`` words of
-the test items are seeds, however many documents hold them: of an edited copy only a few
-n-grams are left, and in a widely copied item these are the frequent ones. Each place of a
+Method. Texts are their lower-case runs of letters and digits. Seeds of a test item are the
+triples of its words that stand together, or with one word left out between them; those of
+a document are made alike. So a changed, a dropped or an added word in every three still
+leaves seeds on both sides, and a passage without any is none that the threshold would call
+a copy, but by chance. All seeds count, however many documents hold them: of an edited copy
+only a few are left, and in a widely copied item these are the frequent ones. Each place of a
 seed in a document proposes a passage around the place where the item would start;
-overlapping proposals are one passage. A copy without ``SEED`` equal words in a row has no
-seed and is not found. The passage is aligned with the item by Smith-Waterman (match 2,
-mismatch -1, gap -1), which finds exact, edited and paraphrased copies alike; a score is a
-share of what an exact copy gets. A document is contaminated if an item's score reaches
+overlapping proposals are one passage. A passage that holds too few of the item's words, in
+whatever order, to reach the threshold goes; any other is aligned with the item by
+Smith-Waterman (match 2, mismatch -1, gap -1), which finds exact, edited and paraphrased
+copies alike; a score is a share of what an exact copy gets. A document is contaminated if an item's score reaches
 ``threshold`` and its alignment is worth ``LEAST_WORDS`` equal words, or all words of a
-shorter item.
+shorter item. An item of one or two words, which stands in any text, is held against whole
+documents: one that has just these words is contaminated.
 
 Scale. The pass is narrow and aligns within the row: no text is shuffled and there are
 no pair tables. Seeds and items go to the executors in parts of at most ``part_words``
 words, the proven bound of each broadcast; more items mean more passes. Alignments grow
-with the places where n-grams of items stand by chance.
+with the places where seeds of items stand by chance.
 
-Defined results: null, empty or very short documents are clean with score 0; items without
-text or with fewer than ``SEED`` words are not searched; ties between items go to the least
+Defined results: null and empty documents, and those without a passage to align, are clean
+with score 0; items without
+text are not searched; ties between items go to the least
 item id; rows repeat as they are; an empty item table leaves all documents clean. All
 columns are kept; those named like results are replaced.
 """
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.shared import pieces
-from folioscope.llm.wordhash import Words, hash_spans
+from folioscope.llm.wordhash import Words, hash_spans, mix
 
 SEED = 3
 LEAST_WORDS = 8
@@ -43,12 +48,24 @@ RUNS = re.compile(r"[^\W_]+")
 RESULTS = [T.StructField("contaminated", T.BooleanType()), T.StructField("item_id", T.LongType()), T.StructField("item_score", T.DoubleType()), T.StructField("word_from", T.IntegerType()), T.StructField("word_to", T.IntegerType())]
 
 
-def read_words(texts: list[str | None]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, each word's hash, and (text number, hash) of each n-gram of SEED words; shorter texts have none."""
+#: Offsets of a seed's second and third word.
+PATTERNS = ((1, 2), (2, 3), (1, 3))
+
+
+def read_words(texts: list[str | None]) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Words, each word's hash, and the text number of each word."""
     w = Words([" ".join(RUNS.findall((t or "").lower())) for t in texts], lower=False)
-    of, grams = w.shingles(SEED)
-    long = w.count[of] >= SEED
-    return w, hash_spans(w.buf, w.start, w.end - w.start), of[long], grams[long]
+    return w, hash_spans(w.buf, w.start, w.end - w.start), np.repeat(np.arange(len(w.count)), w.count)
+
+
+def seeds(word: np.ndarray, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of the first word, hash of the triple) of each seed, pattern by pattern."""
+    one, two = mix(word), mix(word ^ np.uint64(SEED))
+    for second, third in PATTERNS:
+        n = len(word) - third
+        if n > 0:
+            at = np.flatnonzero(of[:n] == of[third:])
+            yield at, mix(one[at] ^ mix(two[at + second] ^ mix(word[at + third])))
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,22 +103,51 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
 
 
 class Items:
-    """Items of one part: words, seeds sorted by hash, and where each seed stands in which item."""
+    """Items of one part: words, seeds sorted by hash, where each seed stands in which item, and the items too short for seeds."""
 
     def __init__(self, ids: list[int], words: list[np.ndarray], seed: np.ndarray, item: np.ndarray, place: np.ndarray):
         order = np.argsort(seed, kind="stable")
         self.ids, self.words = ids, words
+        self.size = np.array([len(x) for x in words], np.int64)
         self.seed, self.first = np.unique(seed[order], return_index=True)
         self.last = np.append(self.first[1:], len(seed))
         self.item, self.place = item[order], place[order]
-
-    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of the n-gram in grams, number of the seed) of those that are seeds."""
-        if not len(self.seed) or not len(grams):
+        self.bits = max(16, int(len(seed)).bit_length() + 4)  # a table that tells most other hashes at once
+        self.maybe = np.zeros(1 << self.bits, bool)
+        self.maybe[(self.seed >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        self.vocabulary = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]))
+        self.numbers = [np.searchsorted(self.vocabulary, x) for x in words]
+        self.whole: dict[bytes, int] = {}
+        for i, x in enumerate(words):
+            if len(x) < SEED:
+                self.whole.setdefault(x.tobytes(), i)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number in hashes, number of the seed) of those that are seeds."""
+        if not len(self.seed) or not len(hashes):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.seed, grams), len(self.seed) - 1)
-        hit = np.flatnonzero(self.seed[at] == grams)
-        return hit, at[hit]
+        some = np.flatnonzero(self.maybe[(hashes >> np.uint64(64 - self.bits)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.seed, hashes[some]), len(self.seed) - 1)
+        hit = self.seed[at] == hashes[some]
+        return some[hit], at[hit]
+
+
+def able(items: Items, word: np.ndarray, w: Words, todo: list[tuple[int, int, int, int]], threshold: float) -> list[tuple[int, int, int, int]]:
+    """The passages that hold so many of their item's words that the score can reach the threshold."""
+    if not todo:
+        return todo
+    number = np.minimum(np.searchsorted(items.vocabulary, word), len(items.vocabulary) - 1)
+    number[items.vocabulary[number] != word] = len(items.vocabulary)
+    there, out = np.zeros(len(items.vocabulary) + 1, bool), []
+    for x in todo:
+        t, i, lo, hi = x
+        here = number[w.first[t] + lo : w.first[t] + hi]
+        there[here] = True
+        there[-1] = False
+        if np.count_nonzero(there[items.numbers[i]]) >= threshold * len(items.numbers[i]) - 1e-9:
+            out.append(x)
+        there[here] = False
+    return out
 
 
 def _parts(items: DataFrame, id_col: str, text_col: str, part_words: int) -> Iterator[list[tuple[int, str]]]:
@@ -109,7 +155,7 @@ def _parts(items: DataFrame, id_col: str, text_col: str, part_words: int) -> Ite
     part, size = [], 0
     for r in items.select(F.col(id_col).cast("long"), text_col).where(F.col(id_col).isNotNull()).distinct().orderBy(id_col, text_col).toLocalIterator():
         n = len(RUNS.findall((r[1] or "").lower()))
-        if n >= SEED:
+        if n:
             if part and size + n > part_words:
                 yield part
                 part, size = [], 0
@@ -120,43 +166,40 @@ def _parts(items: DataFrame, id_col: str, text_col: str, part_words: int) -> Ite
 
 
 def _of_part(part: list[tuple[int, str]]) -> Items:
-    w, word, of, grams = read_words([t for _, t in part])
-    place = np.arange(len(of)) - np.searchsorted(of, of)
-    return Items([i for i, _ in part], [word[f : f + n] for f, n in zip(w.first, w.count, strict=True)], grams, of, place)
+    w, word, of = read_words([t for _, t in part])
+    at, hashes = (np.concatenate(x) for x in zip(*seeds(word, of), strict=True)) if len(word) > SEED - 1 else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    return Items([i for i, _ in part], [word[f : f + n] for f, n in zip(w.first, w.count, strict=True)], hashes, of[at], at - w.first[of[at]])
 
 
-def passages(items: Items, of: np.ndarray, grams: np.ndarray, w: Words) -> list[tuple[int, int, int, int]]:
+def passages(items: Items, word: np.ndarray, of: np.ndarray, w: Words) -> list[tuple[int, int, int, int]]:
     """(text, item, from, to): stretches of a text's words that seeds propose for an item."""
-    hit, seed = items.find(grams)
+    found = [(at[hit], seed) for at, hashes in seeds(word, of) for hit, seed in [items.find(hashes)]]
+    hit, seed = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     if not len(hit):
         return []
     n = items.last[seed] - items.first[seed]
     row = np.repeat(hit, n)
     entry = np.repeat(items.first[seed] - np.cumsum(n) + n, n) + np.arange(n.sum())
     item, text = items.item[entry], of[row]
-    begin = row - np.searchsorted(of, text) - items.place[entry]  # where the item would start
-    size = np.array([len(x) for x in items.words])[item]
+    begin = row - w.first[text] - items.place[entry]  # where the item would start
     order = np.lexsort((begin, item, text))
-    out: list[tuple[int, int, int, int]] = []
-    last = None
-    for t, i, b, m in zip(text[order].tolist(), item[order].tolist(), begin[order].tolist(), size[order].tolist(), strict=True):
-        if last and last[0] == t and last[1] == i and b - last[3] <= m // 2 and b - last[2] <= 2 * m:
-            last[3] = b
-        else:
-            if last:
-                out.append(tuple(last))
-            last = [t, i, b, b]
-    out.append(tuple(last))
-    count = w.count.tolist()
-    half = [len(x) // 2 + 1 for x in items.words]
-    return [(t, i, max(0, b - half[i]), min(count[t], e + 3 * half[i])) for t, i, b, e in out]
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.5, rare: float = 1e-4, part_words: int = 2_000_000, id_col: str = "item_id", item_text: str = "text", text_col: str = "text") -> DataFrame:
-    """docs with contaminated, the best item_id, item_score and the words (word_from to before word_to) of the passage.
-
-    rare: no longer used, as every n-gram is a seed; kept for callers that name it.
-    """
+    item, text, begin = item[order], text[order], begin[order]
+    size = items.size[item]
+    # proposals of one item in one text that are near each other are one passage, up to a bounded length
+    new = np.ones(len(order), bool)
+    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > size[1:] // 2)
+    run = np.flatnonzero(new)
+    block = (begin - np.repeat(begin[run], np.diff(np.append(run, len(order))))) // (2 * size + 1)
+    new[1:] |= block[1:] != block[:-1]
+    run = np.flatnonzero(new)
+    last = np.append(run[1:], len(order)) - 1
+    half = size[run] // 2 + 1
+    lo, hi = np.maximum(0, begin[run] - half), np.minimum(w.count[text[run]], begin[last] + 3 * half)
+    return list(zip(text[run].tolist(), item[run].tolist(), lo.tolist(), hi.tolist(), strict=True))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.5, part_words: int = 2_000_000, id_col: str = "item_id", item_text: str = "text", text_col: str = "text") -> DataFrame:
+    """docs with contaminated, the best item_id, item_score and the words (word_from to before word_to) of the passage."""
     names = [f.name for f in RESULTS]
     plain = docs.drop(*names)
     out = plain.withColumns({"contaminated": F.lit(False), "item_id": F.lit(None).cast("long"), "item_score": F.lit(0.0), "word_from": F.lit(None).cast("int"), "word_to": F.lit(None).cast("int")})
@@ -170,8 +213,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.5, rar
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for b in pieces(batches, text_col, 1 << 20):
-                w, word, of, grams = read_words(b.column(at).to_pylist())
-                todo = passages(items, of, grams, w)
+                w, word, of = read_words(b.column(at).to_pylist())
+                todo = able(items, word, w, passages(items, word, of, w), threshold)
+                if items.whole:
+                    short = [(t, word[w.first[t] : w.first[t] + w.count[t]].tobytes()) for t in np.flatnonzero((w.count > 0) & (w.count < SEED)).tolist()]
+                    todo += [(t, items.whole[x], 0, len(x) // 8) for t, x in short if x in items.whole]
                 score, end = align([items.words[i] for _, i, _, _ in todo], [word[w.first[t] + lo : w.first[t] + hi] for t, _, lo, hi in todo])
                 flag, item, value, begin, stop = (b.column(width + k).to_pylist() for k in range(5))
                 for (t, i, lo, _), s, e in zip(todo, score.tolist(), end.tolist(), strict=True):

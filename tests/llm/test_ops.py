@@ -348,7 +348,7 @@ def test_leaks(spark):
     changed = [(10 + i, f"{clean[i][1]} {edit(items[10 + i][1])} {clean[i + 1][1]}") for i in range(10)]
     many = [(2000 + i, f"{i} {items[3][1]}") for i in range(60)]  # an item that leaked so often that its n-grams are frequent
     df = spark.createDataFrame(clean + exact + changed + many + [(3000, None), (3001, "")], "doc_id long, text string").withColumn("item_id", F.lit("x"))
-    got = {r.doc_id: r for r in decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), rare=1e-9).collect()}
+    got = {r.doc_id: r for r in decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert {i for i, r in got.items() if r.contaminated} == {i for i, _ in exact + changed + many}
     assert all(got[i].item_id == i and got[i].item_score == 1 for i in range(10)) and all(got[10 + i].item_id == 10 + i for i in range(10))
     parts = {r.doc_id: r.contaminated for r in decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), part_words=100).collect()}
@@ -367,6 +367,40 @@ def test_leaks_of_one_edit_in_many_documents(spark):
     assert {r.doc_id for r in got if r.contaminated} == set(range(10)) and all(r.item_score >= 0.69 for r in got if r.contaminated)
 
 
+@pytest.mark.parametrize("kind", ["every third", "dropped", "added", "random"])
+def test_seeds_find_what_alignment_finds(spark, kind):
+    """Edited copies in long texts, against aligning every item with every whole text."""
+    rng = random.Random(kind)
+    words = [f"w{i}" for i in range(3000)]
+    items = [rng.choices(words, k=rng.randrange(9, 60)) for _ in range(40)]
+    texts = []
+    for item in items:
+        w = list(item)
+        share = rng.random() * 0.4
+        if kind == "every third":
+            w = [f"x{k}" if k % 3 == 2 else x for k, x in enumerate(w)]
+        elif kind == "dropped":
+            w = [x for k, x in enumerate(w) if k % 3 != 2]
+        elif kind == "added":
+            w = [y for k, x in enumerate(w) for y in ([x, f"x{k}"] if k % 2 else [x])]
+        else:
+            w = [rng.choice([[x], [], [x, "x"], ["x"]]) if rng.random() < share else [x] for x in w]
+            w = [y for x in w for y in x]
+        texts.append(rng.choices(words, k=70) + w + rng.choices(words, k=70))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.contaminated for r in decontaminate.decontaminate(df, spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")).collect()}
+    want = {i: any(brute_score(x, t) >= max(len(x), 2 * min(len(x), 8)) for x in items) for i, t in enumerate(texts)}
+    missed = [i for i in want if want[i] and not got[i]]
+    assert sum(want.values()) >= 10 and not [i for i in got if got[i] and not want[i]] and len(missed) <= 0.05 * sum(want.values())
+
+
+def test_leaks_of_items_of_a_word_or_two(spark):
+    items = spark.createDataFrame([(1, "Yes."), (2, "new york"), (3, "the cat sat")], "item_id long, text string")
+    rows = [(1, "yes"), (2, "yes, of course"), (3, "New York!"), (4, "in new york"), (5, "new"), (6, "on the mat the cat sat down"), (7, None)]
+    got = {r.doc_id: r.item_id for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items).where("contaminated").collect()}
+    assert got == {1: 1, 3: 2, 6: 3}
+
+
 def test_leaks_awkward(spark, awkward):
     items = spark.createDataFrame([(1, "text of the same id"), (None, "a b c d"), (2, ""), (1, "text of the same id")], "item_id long, text string")
     got = decontaminate.decontaminate(awkward, items).collect()
