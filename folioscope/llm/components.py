@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import stored
+from folioscope.llm.shared import dropped, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -24,12 +24,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for _ in range(rounds):
         # large star: a node's greater neighbours go to its least neighbour, or itself
         low = e.groupBy("a").agg(F.min("b").alias("m"))
-        large = e.join(stored(low).select(F.col("a").alias("b"), "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        large = e.join(low.select(F.col("a").alias("b"), "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
         large = stored(large.distinct())
         # small star: its lesser neighbours do, too
-        low = stored(large.groupBy("a").agg(F.min("b").alias("m")))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
         lesser = large.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = stored(lesser.unionByName(low.withColumnRenamed("m", "b")).distinct())
+        was, e = e, stored(lesser.unionByName(low.withColumnRenamed("m", "b")).distinct())
+        dropped(was, large)
         middle = e.select(F.col("b").alias("a")).distinct().join(e.select("a"), "a", "left_semi")
         several = e.groupBy("a").count().where("count > 1")
         if middle.isEmpty() and several.isEmpty():

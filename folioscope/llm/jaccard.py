@@ -8,14 +8,16 @@ similarity of its sets reaches ``similarity``. Bits of a fingerprint are indepen
 chance that a similar pair is no candidate has a bound at every length: pairs at 0.8 differ
 in 48 of 256 bits on average at worst (four shingles against five), with a deviation of 6.3.
 
-Shards. Shingles have an order: those that more than ``HEAVY`` points hold come last, all
-others by hash. Sets of similarity t share one of the first n - ceil(t n) + 1 shingles of
-their order (prefix filtering), and one of the first ``FIRST`` of them but for a chance of
-(1 - t)^FIRST, below three in a million. So a point goes to the shards of its first few
-shingles; one that holds a heavy one among these, to those of the whole prefix, as a
-passage that many texts share says nothing of their similarity. A point whose prefix reaches heavy shingles, since
-it has nearly no others, goes to shards of such shingles besides. Only these shards can be
-large; they are cut into tiles.
+Shards. Shingles have one order for all sets: heavy ones, which very many texts hold, come
+last, all others by hash. Of n shingles, u = n - ceil(t n) at most are not in a set of
+similarity t. So similar sets share one of the first u + 1 of their order (prefix
+filtering), and, if L shingles are not heavy, one of the first k of these but for a chance
+of (u / L)^k; a point goes to the shards of its first k, the least number that brings this
+chance below ``MISS``, or of all u + 1. That is eight for a text without heavy shingles, as a
+passage that many texts share says nothing of their similarity. A point with no more than u others
+goes by all shingles besides, to shards for such points alone. Only these can be large;
+they are cut into tiles. Which shingles are heavy is found on a part of the documents; any
+choice is right and changes the cost alone.
 
 First each point is held against one point of each of its shards, the least. What that
 links is one component, so that a large group of copies costs a star and not all its
@@ -24,8 +26,9 @@ are those of all similar candidate pairs, without links that are not similar.
 
 Scale. Work grows in proportion to the input, but for large groups of texts that consist
 nearly wholly of shared passages and are like each other, but not enough: these cost all
-their pairs within a shard, as comparisons of fingerprints. Sets are shuffled only to join
-them to candidate pairs.
+their pairs within a shard, as comparisons of fingerprints. Sets, of 32 bits a shingle here
+(two shingles of one pair of texts of a thousand words collide with a chance of 1 in 4,000),
+are shuffled only to join them to candidate pairs.
 
 Defined results: a null or wordless text has the empty set; texts with equal sets are one
 group; rows with a null id get the component of their group; columns other than id and
@@ -39,11 +42,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import components
-from folioscope.llm.shared import pieces, stored
+from folioscope.llm.shared import dropped, pieces, stored
 from folioscope.llm.simhash import blobs, distance, majority, numbers, shard_pairs
 from folioscope.llm.wordhash import Words, mix
 
@@ -51,79 +54,93 @@ from folioscope.llm.wordhash import Words, mix
 WORDS = 4
 #: Bits that candidates may differ in: five deviations above the worst average at 0.8, and six below that of unrelated texts.
 RADIUS = 80
-#: Shingles that name a point's shards, and points that hold a shingle for which it is heavy.
-FIRST, HEAVY = 8, 1024
+#: The chance that similar sets share none of the shingles that name their shards.
+MISS = 3e-6
+#: Of one in so many documents shingles are counted; those that so many of these hold are heavy, and so many at most, the most frequent.
+SAMPLED, HEAVY, MOST_HEAVY = 16, 64, 1 << 20
 
 
-def prefix(n, similarity: float):
-    """How many of a set's n shingles, in any one order of all shingles, are enough to share one with each similar set."""
-    if isinstance(n, Column):
-        return n - F.ceil(F.round(n * similarity, 6)).cast("int") + 1
-    return n - np.ceil(np.round(n * similarity, 6)).astype(np.int64) + 1
+def heavy_shingles(docs: DataFrame, words: int, text_col: str, sampled: int = SAMPLED, heavy: int = HEAVY) -> np.ndarray:
+    """Sorted hashes of frequent shingles."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text", 1 << 20):
+            h = distinct(*Words(b.column(0).to_pylist()).shingles(words))[1]
+            h, n = np.unique(h, return_counts=True)
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-def sets(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, key, shingles, low) for each row: sorted distinct hashes, the key of equal sets, and the first few shingles by hash."""
+    some = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64(F.lit("heavy"), "text"), F.lit(sampled)) == 0)
+    top = some.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= heavy).orderBy(F.desc("n"), "h").limit(MOST_HEAVY).collect()
+    return np.sort(np.array([r["h"] for r in top], np.int64).view(np.uint64))
+
+
+def distinct(of: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) sorted by both, without repeats."""
+    order = np.lexsort((h, of))
+    of, h = of[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
+    return of[new], h[new]
+
+
+def first_few(of: np.ndarray, h: np.ndarray, n: np.ndarray, hot: np.ndarray, similarity: float, miss: float = MISS) -> tuple[np.ndarray, np.ndarray]:
+    """(shards of all texts, number of each text's). of, h: distinct(); n: each text's number of shingles."""
+    at = np.minimum(np.searchsorted(hot, h), max(0, len(hot) - 1))
+    light = hot[at] != h if len(hot) else np.ones(len(h), bool)
+    most = n - np.ceil(np.round(n * similarity, 6)).astype(np.int64)  # u
+    count = np.bincount(of[light], minlength=len(n))  # L
+
+    def few(total: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            k = np.ceil(np.log(miss) / np.log(most / total))
+        return np.minimum(np.where((most > 0) & (most < total), k, most + 1), np.minimum(most + 1, total)).astype(np.int64)
+
+    def place(some: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return np.arange(len(some)) - np.repeat(np.cumsum(size) - size, size)
+
+    dense = count <= most  # nearly no others: by all shingles, besides
+    some = np.flatnonzero(light)
+    some = some[place(some, count) < few(count)[of[some]]]
+    more = np.flatnonzero(dense[of])
+    size = np.where(dense, n, 0)
+    more = more[place(more, size) < few(n)[of[more]]]
+    to = np.concatenate([of[some], of[more]])
+    shard = np.concatenate([h[some], mix(h[more])])
+    return shard[np.argsort(to, kind="stable")], np.bincount(to, minlength=len(n))
+
+
+def sets(docs: DataFrame, words: int, similarity: float, hot: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, key, shingles, shards) for each row: distinct hashes, the key of equal sets, and the names of its shards."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, text_col, 1 << 20):
-            of, h = Words(b.column(2).to_pylist()).shingles(words)
-            order = np.lexsort((h.view(np.int64), of))
-            of, h = of[order], h[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
-            of, h = of[new], h[new]
+            of, h = distinct(*Words(b.column(2).to_pylist()).shingles(words))
             n = np.bincount(of, minlength=b.num_rows)
-            ends = np.concatenate([[0], np.cumsum(n)])
             parts, x = [], h
             for _ in range(WORDS):
                 parts.append(majority(of, x, b.num_rows))
                 x = mix(x)
             whole = np.zeros(b.num_rows, np.uint64)
             np.add.at(whole, of, x)
-            few = np.minimum(np.where(n > 0, prefix(n, similarity), 0), FIRST)
-            low = h[(np.arange(len(h)) - np.repeat(ends[:-1], n)) < np.repeat(few, n)]
-            lists = [pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(v.view(np.int64))) for e, v in ((ends, h), (np.concatenate([[0], np.cumsum(few)]), low))]
-            yield pa.record_batch([b.column(0), b.column(1), blobs(np.stack([*parts, mix(whole)], 1)), *lists], names=[id_col, "text_hash", "key", "shingles", "low"])
+            shard, few = first_few(of, h, n, shared.value, similarity)
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(v)) for size, v in ((n, (h >> np.uint64(32)).astype(np.uint32).view(np.int32)), (few, shard.view(np.int64)))]
+            yield pa.record_batch([b.column(0), b.column(1), blobs(np.stack([*parts, mix(whole)], 1)), *lists], names=[id_col, "text_hash", "key", "shingles", "shards"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), text_col).mapInArrow(run, f"`{id_col}` {kind}, text_hash long, key binary, shingles array<long>, low array<long>")
-
-
-def shards(points: DataFrame, rows: DataFrame, similarity: float, heavy: int) -> DataFrame:
-    """(shard, point, n): the shards of each point. points: key, n, low. rows: key, shingles."""
-    few = points.select(F.col("key").alias("point"), "n", F.explode("low").alias("shard"))
-    hot = stored(few.groupBy("shard").count().where(F.col("count") > heavy).select("shard"))
-    if hot.isEmpty():
-        return few.select("shard", "point", "n")
-    held = few.join(hot, "shard", "left_semi").select(F.col("point").alias("key")).distinct()
-    whole = stored(rows.select("key", "shingles").join(held, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")))
-    counts = whole.select(F.explode("shingles").alias("shard")).groupBy("shard").count().where(F.col("count") > heavy)
-    hot = stored(counts.select("shard").union(hot).distinct())
-    held = stored(few.join(hot, "shard", "left_semi").select(F.col("point").alias("key")).distinct())
-    whole = rows.select("key", "shingles", "low").join(held, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("low").alias("low"))
-    marked = hot.withColumn("hot", F.lit(True))
-    # the light shingles of each set's prefix; a set with too few of them besides meets its like by its first few shingles
-    light = whole.select("key", "low", F.size("shingles").alias("n"), F.explode("shingles").alias("shard")).join(marked, "shard", "left")
-    light = light.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.when(F.col("hot").isNull(), F.col("shard")))).alias("light"), F.first("low").alias("low"))
-    most = prefix(F.col("n"), similarity)
-    dense = F.transform("low", lambda s: F.xxhash64(F.lit("dense"), s))
-    found = light.select(F.col("key").alias("point"), "n", F.explode(F.when(F.size("light") < most, F.concat("light", dense)).otherwise(F.slice("light", F.lit(1), most))).alias("shard"))
-    rest = few.join(held.withColumnRenamed("key", "point"), "point", "left_anti")
-    return rest.select("shard", "point", "n").unionByName(found.select("shard", "point", "n"))
+    return docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), text_col).mapInArrow(run, f"`{id_col}` {kind}, text_hash long, key binary, shingles array<int>, shards array<long>")
 
 
 def stars(members: DataFrame, radius: int) -> DataFrame:
     """(a, b): each point of a shard and the shard's least one, if they are candidates."""
-    least = members.groupBy("shard").agg(F.min("point").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("shard", "least")
-    pairs = members.join(least, "shard").where(F.col("point") != F.col("least")).select(F.col("point").alias("a"), F.col("least").alias("b")).distinct()
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (numbers(b.column(k), WORDS + 1)[:, :WORDS] for k in (0, 1))
             yield b.filter(pa.array(distance(x, y) <= radius))
 
-    return pairs.mapInArrow(near, "a binary, b binary")
+    pairs = members.where(F.col("point") != F.col("least")).select(F.col("point").alias("a"), F.col("least").alias("b"))
+    return pairs.mapInArrow(near, "a binary, b binary").distinct()
 
 
 def confirmed(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
@@ -134,31 +151,38 @@ def confirmed(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataF
     return both.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("a", "b")
 
 
-def near_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, sampled: int = SAMPLED, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, root, component_id) for each row: a name of its group, and the least id in it; text_hash is xxhash64 of the text."""
-    rows = stored(sets(docs, words, similarity, id_col, text_col))
-    points = stored(rows.groupBy("key").agg(F.min(id_col).alias("least"), F.min(F.size("shingles")).alias("n"), F.first("low").alias("low")))
+    whole = stored(sets(docs, words, similarity, heavy_shingles(docs, words, text_col, sampled, heavy), id_col, text_col))
+    size = F.size("shingles").alias("n")
+    points = stored(whole.groupBy("key").agg(F.min(id_col).alias("least"), F.min(size).cast("long").alias("n"), F.first("shards").alias("shards")))
     # Sets with fewer members are never similar without being equal.
     able = points.where(F.col("n") >= math.ceil(round(similarity / (1 - similarity), 6)))
-    members = stored(shards(able, rows, similarity, heavy))
+    members = able.select(F.explode("shards").alias("shard"), F.col("key").alias("point"), "n")
+    least = members.groupBy("shard").agg(F.min("point").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("shard", "least")
+    members = stored(members.join(least, "shard"))
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
+    def confirm(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        return stored(rows.select("key", "shingles").join(ends, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")))
+        of_ends = stored(whole.select("key", "shingles").join(ends, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")))
+        found = stored(confirmed(pairs, of_ends, similarity))
+        dropped(of_ends)
+        return found
 
-    first = stored(stars(members, radius))
-    good = stored(confirmed(first, sets_of(first), similarity))
+    good = confirm(stored(stars(members, radius)))
     roots = stored(components(good))
-    labelled = members.join(roots.withColumnRenamed("node", "point"), "point", "left").select("shard", "point", F.xxhash64(F.coalesce("root", "point")).alias("label"), F.col("n").cast("long").alias("n"))
+    labelled = members.join(roots.withColumnRenamed("node", "point"), "point", "left").select("shard", "point", F.xxhash64(F.coalesce("root", "point")).alias("label"), "n")
     labelled = stored(labelled)
     several = labelled.groupBy("shard").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("shard")
     second = shard_pairs(labelled.join(several, "shard", "left_semi"), WORDS + 1, radius, forest=False, least_ratio=similarity)
     second = stored(second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = stored(confirmed(second, sets_of(second), similarity))
-    roots = components(good.union(more))
+    roots = components(good.union(confirm(second)))
+    dropped(members, labelled, good, second)
     named = stored(points.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root")))
-    least = stored(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    return rows.select(id_col, "text_hash", "key").join(stored(named.join(least, "root").select("key", "root", "component_id")), "key").select(id_col, "text_hash", "root", "component_id")
+    first = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = stored(whole.select(id_col, "text_hash", "key").join(named.join(first, "root").select("key", "root", "component_id"), "key").select(id_col, "text_hash", "root", "component_id"))
+    dropped(whole, points, named)
+    return out
 
 
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -168,7 +192,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row of each group, with all columns of docs: the one with the least id (null last), of these the one with the least hash of the text; of equal ones any."""
-    found = stored(near_rows(docs, words, similarity, id_col=id_col, text_col=text_col, **how).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_h"), "root"))
+    found = near_rows(docs, words, similarity, id_col=id_col, text_col=text_col, **how).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_h"), "root")
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_h").alias("h"))
     best = found.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("c")).where("c > 1").select("root", "best")
     inside = stored(found.join(best, "root").withColumn("stays", F.col("best.id").eqNullSafe(F.col("_id")) & (F.col("best.h") == F.col("_h"))))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,24 +22,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made for each application, until clean() or dropped().
+_FOLDERS: dict[str, set[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's name below spark.checkpoint.dir, which driver and executors share.
+    """A new folder's name below spark.checkpoint.dir, which driver and executors share; clean() deletes it.
 
-    Only where the session names no such folder (tests on one machine) a local one is set.
+    Where the session names none, a session on one machine gets one of its own; a cluster is asked to name it.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = "/tmp/folioscope-checkpoints"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="folioscope-")
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/folioscope-{uuid.uuid4().hex}"
+    folder = f"{top.rstrip('/')}/folioscope-{uuid.uuid4().hex}"
+    _FOLDERS.setdefault(spark.sparkContext.applicationId, set()).add(folder)
+    return folder
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: a cut lineage that survives lost executors."""
+    """df written as Parquet to the shared folder and read again: a cut lineage that survives lost executors.
+
+    The driver's JVM is asked to collect garbage then, so that Spark's cleaner deletes the shuffle files of the steps that ended.
+    """
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    spark.sparkContext._jvm.java.lang.System.gc()
+    return out
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _FOLDERS.get(spark.sparkContext.applicationId, set()).discard(folder)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the files of stored() frames that nothing reads any more."""
+    for df in frames:
+        _delete(df.sparkSession, df._folder)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all folders that this application's operators have made; frames that read them are of no use after that."""
+    for folder in list(_FOLDERS.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, folder)
 
 
 def crc32_mod4(col: str = "doc_id") -> F.Column:

@@ -43,7 +43,7 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20
 SELECT_EVERY = 64
 #: Runs of non-space that a worker knows at most, about 40 bytes each.
-CACHE_RUNS = 1_500_000
+CACHE_RUNS = 800_000
 NO_ID = -(1 << 63)
 #: What the vocabulary writes behind a token that ends a piece.
 WORD_END = "</w>"
@@ -249,7 +249,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, sh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         at, part, ids, sizes, blobs, held = None, 0, [], [], [], 0
-        for b in pieces(batches, "text", 8 << 20):
+        for b in pieces(batches, "text", 4 << 20):
             codes, length = enc.encode(b.column(1))
             ends = np.cumsum(length)
             codes, length = np.insert(codes, ends, end_id), length + 1

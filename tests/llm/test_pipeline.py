@@ -127,8 +127,8 @@ def test_near_dedup_removes_rows_and_not_ids(spark):
     assert sorted(kept, key=str) == sorted([(3, a), (5, b), (9, c), (None, "without an id but not like any")], key=str)
 
 
-@pytest.mark.parametrize("heavy,tile", [(1024, 8192), (12, 8192), (12, 20)])
-def test_near_groups_among_shared_passages(spark, monkeypatch, heavy, tile):
+@pytest.mark.parametrize("sampled,heavy,tile", [(16, 64, 8192), (1, 12, 8192), (1, 12, 20), (2, 4, 20)])
+def test_near_groups_among_shared_passages(spark, monkeypatch, sampled, heavy, tile):
     """Passages that many texts share, alone and with more or fewer words of their own, on both sides of 0.8."""
     monkeypatch.setattr(simhash.shard_pairs, "__defaults__", (0.0, tile))
     rng = random.Random(heavy)
@@ -152,7 +152,7 @@ def test_near_groups_among_shared_passages(spark, monkeypatch, heavy, tile):
                 x, y = sorted((root[i], root[j]))
                 root = [x if r == y else r for r in root]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in near.near_groups(df, heavy=heavy).collect()}
+    got = {r.doc_id: r.component_id for r in near.near_groups(df, sampled=sampled, heavy=heavy).collect()}
     assert got == dict(enumerate(root))
 
 
