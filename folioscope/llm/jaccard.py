@@ -19,16 +19,17 @@ goes by all shingles besides, to shards for such points alone. Only these can be
 they are cut into tiles. Which shingles are heavy is found on a part of the documents; any
 choice is right and changes the cost alone.
 
-First each point is held against one point of each of its shards, the least. What that
-links is one component, so that a large group of copies costs a star and not all its
-pairs. Then all candidate pairs of different components are confirmed, too. So components
-are those of all similar candidate pairs, without links that are not similar.
-
-Scale. Work grows in proportion to the input, but for large groups of texts that consist
-nearly wholly of shared passages and are like each other, but not enough: these cost all
-their pairs within a shard, as comparisons of fingerprints. Sets, of 32 bits a shingle here
-(two shingles of one pair of texts of a thousand words collide with a chance of 1 in 4,000),
-are shuffled only to join them to candidate pairs.
+Pairs of fingerprints within the radius, of each shard a spanning forest, make clusters.
+The sets of a cluster's points then meet, once, and all its pairs within the radius are held
+against each other as rows of bits; of the similar ones a spanning forest goes on, and
+connected components make the groups. So these are the components of all similar candidate
+pairs, without links that are not similar, and no step writes all pairs of a group.
+
+Scale. Work grows in proportion to the input, but for clusters: texts that are like each
+other are compared, pair by pair, within their cluster (fingerprints, and bits of sets).
+Large clusters are cut into tiles. Sets, of 32 bits a shingle here (two shingles of one
+pair of texts of a thousand words collide with a chance of 1 in 4,000), are shuffled only
+for points that are in a cluster.
 
 Defined results: a null or wordless text has the empty set; texts with equal sets are one
 group; rows with a null id get the component of their group; columns other than id and
@@ -42,12 +43,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import components
 from folioscope.llm.shared import dropped, pieces, stored
-from folioscope.llm.simhash import blobs, distance, majority, numbers, shard_pairs
+from folioscope.llm.simhash import Forest, blobs, group_pairs, majority, numbers, shard_links, starts, tiled, whole_groups
 from folioscope.llm.wordhash import Words, mix
 
 #: 64-bit words of a fingerprint; a key has the hash of the set after them.
@@ -56,6 +58,8 @@ WORDS = 4
 RADIUS = 80
 #: The chance that similar sets share none of the shingles that name their shards.
 MISS = 3e-6
+#: Points of a side of a cluster's tile.
+CLUSTER_POINTS = 4096
 #: Of one in so many documents shingles are counted; those that so many of these hold are heavy, and so many at most, the most frequent.
 SAMPLED, HEAVY, MOST_HEAVY = 16, 64, 1 << 20
 
@@ -131,57 +135,88 @@ def sets(docs: DataFrame, words: int, similarity: float, hot: np.ndarray, id_col
     return docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), text_col).mapInArrow(run, f"`{id_col}` {kind}, text_hash long, key binary, shingles array<int>, shards array<long>")
 
 
-def stars(members: DataFrame, radius: int) -> DataFrame:
-    """(a, b): each point of a shard and the shard's least one, if they are candidates."""
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (numbers(b.column(k), WORDS + 1)[:, :WORDS] for k in (0, 1))
-            yield b.filter(pa.array(distance(x, y) <= radius))
+def overlaps(i: np.ndarray, j: np.ndarray, group: np.ndarray, of: np.ndarray, shingle: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """How many shingles rows i and j have in common, for pairs within a group. group: of each row; of, shingle: row and hash of each shingle, by row."""
+    g = group[of]
+    order = np.lexsort((of, shingle, g))
+    g, h, of = g[order], shingle[order], of[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (g[1:] != g[:-1]) | (h[1:] != h[:-1])
+    run = np.flatnonzero(new)
+    size = np.diff(np.append(run, len(h)))
+    shared = np.repeat(size > 1, size)  # what one row has alone is common to no pair
+    number = np.cumsum(size > 1) - 1  # of shared shingles
+    first = np.searchsorted(g[run][size > 1], np.arange(int(group.max()) + 1 if len(group) else 0))
+    column = np.repeat(number, size)[shared] - first[g[shared]]  # counted from 0 in each group
+    of = of[shared]
+    out = np.zeros(len(i), np.int64)
+    for lo in range(0, int(column.max()) + 1 if len(column) else 0, columns):
+        on = (column >= lo) & (column < lo + columns)
+        width = min(columns, int(column.max()) + 1 - lo)
+        rows = np.unique(of[on])
+        bits = np.zeros((len(rows) + 1, -(-width // 64)), np.uint64)  # the last row, of zeros, is for rows that have none
+        place = np.full(len(group), len(rows))
+        place[rows] = np.arange(len(rows))
+        at = column[on] - lo
+        np.bitwise_or.at(bits, (place[of[on]], at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+        some = np.flatnonzero((place[i] < len(rows)) & (place[j] < len(rows)))
+        step = max(1, (1 << 22) // bits.shape[1])
+        for k in range(0, len(some), step):
+            p = some[k : k + step]
+            out[p] += np.bitwise_count(bits[place[i[p]]] & bits[place[j[p]]]).sum(1, dtype=np.int64)
+    return out
 
-    pairs = members.where(F.col("point") != F.col("least")).select(F.col("point").alias("a"), F.col("least").alias("b"))
-    return pairs.mapInArrow(near, "a binary, b binary").distinct()
 
+def cluster_links(members: DataFrame, similarity: float, radius: int, tile_points: int = CLUSTER_POINTS) -> DataFrame:
+    """(a, b): spanning forests of the similar candidate pairs. members: distinct cluster long, point, shingles."""
 
-def confirmed(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs of keys whose sets are similar enough."""
-    one = pairs.join(shingles.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
-    both = one.join(shingles.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y")).cast("double")
-    return both.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_groups(batches):
+            x, side, first = numbers(b.column(3), WORDS + 1), b.column(2).to_numpy(), starts(b)
+            n = pc.list_value_length(b.column(4)).to_numpy(zero_copy_only=False).astype(np.int64)
+            shingle, ends = pc.list_flatten(b.column(4)).to_numpy(), np.cumsum(n)
+            trees = Forest(len(x))
+            size = np.diff(np.append(first, len(x)))
+            cut = np.flatnonzero(np.concatenate([[True], (size[1:] > 64) | (size[:-1] > 64)]))  # large groups alone, small ones between them together
+            for lo, hi in zip(first[cut].tolist(), [*first[cut[1:]].tolist(), len(x)], strict=True):
+                here = np.arange(lo, hi)
+                begin = first[(first >= lo) & (first < hi)] - lo
+                group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, hi - lo)))
+                found = [(i, j) for i, j in group_pairs(x[here][:, :WORDS], begin, side[here], radius) for on in [np.minimum(n[lo + i], n[lo + j]) >= similarity * np.maximum(n[lo + i], n[lo + j]) - 1e-9] for i, j in [(i[on], j[on])] if len(i)]
+                if not found:
+                    continue
+                i, j = (np.concatenate(v) for v in zip(*found, strict=True))
+                common = overlaps(i, j, group, np.repeat(here - lo, n[here]), shingle[ends[lo] - n[lo] : ends[hi - 1]])
+                on = common / (n[lo + i] + n[lo + j] - common) >= similarity
+                trees.join(lo + i[on], lo + j[on])
+            yield trees.links(x)
+
+    # a tile's sets take about 32 MB at most, but that of one text
+    rows = tiled(members.select("cluster", "point", "shingles"), "cluster", tile_points, F.size("shingles").cast("double"), float(4 << 20))
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def near_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, sampled: int = SAMPLED, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, root, component_id) for each row: a name of its group, and the least id in it; text_hash is xxhash64 of the text."""
     whole = stored(sets(docs, words, similarity, heavy_shingles(docs, words, text_col, sampled, heavy), id_col, text_col))
     size = F.size("shingles").alias("n")
-    points = stored(whole.groupBy("key").agg(F.min(id_col).alias("least"), F.min(size).cast("long").alias("n"), F.first("shards").alias("shards")))
+    row = F.struct(F.col(id_col).alias("id"), "text_hash")
+    points = stored(whole.groupBy("key").agg(F.min(id_col).alias("least"), F.max(row).alias("row"), F.min(size).cast("long").alias("n"), F.first("shards").alias("shards")))
     # Sets with fewer members are never similar without being equal.
     able = points.where(F.col("n") >= math.ceil(round(similarity / (1 - similarity), 6)))
-    members = able.select(F.explode("shards").alias("shard"), F.col("key").alias("point"), "n")
-    least = members.groupBy("shard").agg(F.min("point").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("shard", "least")
-    members = stored(members.join(least, "shard"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        of_ends = stored(whole.select("key", "shingles").join(ends, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")))
-        found = stored(confirmed(pairs, of_ends, similarity))
-        dropped(of_ends)
-        return found
-
-    good = confirm(stored(stars(members, radius)))
-    roots = stored(components(good))
-    labelled = members.join(roots.withColumnRenamed("node", "point"), "point", "left").select("shard", "point", F.xxhash64(F.coalesce("root", "point")).alias("label"), "n")
-    labelled = stored(labelled)
-    several = labelled.groupBy("shard").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("shard")
-    second = shard_pairs(labelled.join(several, "shard", "left_semi"), WORDS + 1, radius, forest=False, least_ratio=similarity)
-    second = stored(second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots = components(good.union(confirm(second)))
-    dropped(members, labelled, good, second)
+    members = able.select(F.explode("shards").alias("shard"), F.col("key").alias("point"))
+    clusters = components(shard_links(members, WORDS + 1, WORDS, radius))
+    clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
+    clusters = clusters.select(F.col("node").alias("key"), F.xxhash64("root").alias("cluster"))
+    # one row's set for each point: the join is on the row and not the key alone, which very many copies may have
+    one = points.join(clusters, "key").select(F.col("key").alias("point"), "cluster", F.col("row.id").alias("_id"), F.col("row.text_hash").alias("_h"))
+    same = (F.col("key") == F.col("point")) & (F.col("text_hash") == F.col("_h")) & F.col(id_col).eqNullSafe(F.col("_id"))
+    inside = stored(whole.join(one, same).groupBy("point").agg(F.first("cluster").alias("cluster"), F.first("shingles").alias("shingles")))
+    roots = components(cluster_links(inside, similarity, radius))
     named = stored(points.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root")))
     first = named.groupBy("root").agg(F.min("least").alias("component_id"))
     out = stored(whole.select(id_col, "text_hash", "key").join(named.join(first, "root").select("key", "root", "component_id"), "key").select(id_col, "text_hash", "root", "component_id"))
-    dropped(whole, points, named)
+    dropped(whole, points, named, inside)
     return out
 
 

@@ -119,6 +119,11 @@ class Forest:
                     break
                 self.label = up
 
+    def links(self, x: np.ndarray) -> pa.RecordBatch:
+        """(a, b): each point that is not its tree's least, and that."""
+        on = np.flatnonzero(self.label != np.arange(len(x)))
+        return pa.record_batch([blobs(x[on]), blobs(x[self.label[on]])], names=["a", "b"])
+
 
 def search(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of all pairs (one of a, one of b) within the radius, by a vantage-point tree. a, b: numbers of rows of x. If a is b, pairs come both ways round and with themselves."""
@@ -175,60 +180,39 @@ def group_pairs(x: np.ndarray, first: np.ndarray, side: np.ndarray, radius: int,
             yield i, j
 
 
-def shard_pairs(members: DataFrame, width: int, radius: int, forest: bool, least_ratio: float = 0.0, tile_points: int = TILE_POINTS) -> DataFrame:
-    """(a, b) of pairs of points within the radius that share a shard. members: distinct shard long, point binary, label long, n long.
+def tiled(members: DataFrame, shard: str, tile_points: int, weight: F.Column | None = None, tile_weight: float = 1.0) -> DataFrame:
+    """members with tile and side, each shard's rows of a tile together: large shards are cut into parts, and a tile (s, t) has the rows of parts s and t, whose pairs it is for. Shards of one row go.
 
-    forest: of each shard's pairs only a spanning forest, whatever the labels; else all pairs of different labels whose n are in this ratio at least.
+    weight: if given, parts are so many that their weights' sums are about tile_weight at most.
     """
-    size = members.groupBy("shard").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    rows = members.join(size, "shard")
-    m = F.ceil(F.col("c") / F.lit(float(tile_points))).cast("int")
-    rows = rows.withColumn("m", m).withColumn("s", F.when(F.col("m") > 1, F.pmod(F.xxhash64("point"), F.col("m"))).otherwise(0).cast("int"))
-    # the tiles (s, t) of a large shard: the pairs between its parts s and t
-    tile = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda t: F.struct((F.least("s", t) * F.col("m") + F.greatest("s", t)).alias("tile"), (F.col("s") > t).cast("int").alias("side")))
-    rows = rows.select("shard", "point", "label", "n", F.explode(tile).alias("t")).select("shard", "t.tile", "t.side", "point", "label", "n")
-    rows = rows.repartition("shard", "tile").sortWithinPartitions("shard", "tile")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cut = _starts(b)[-1]
-            if cut == 0 and held and _same(held[-1], b):
-                held.append(b)
-                continue
-            if held and not _same(held[-1], b):
-                yield from done(held)
-                held = []
-            if cut:
-                yield from done([*held, b.slice(0, cut)])
-                held = []
-            held.append(b.slice(cut))
-        if held:
-            yield from done(held)
-
-    def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        x, label, n, side = numbers(t.column(3), width), t.column(4).to_numpy(), t.column(5).to_numpy(), t.column(2).to_numpy()
-        trees = Forest(len(x))
-        keys = lambda i: blobs(x[i])
-        for i, j in group_pairs(x[:, : radius_words], _starts(t), side, radius):
-            if forest:
-                trees.join(i, j)
-                continue
-            on = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= least_ratio * np.maximum(n[i], n[j]))
-            if on.any():
-                yield pa.record_batch([keys(i[on]), keys(j[on])], names=["a", "b"])
-        on = np.flatnonzero(trees.label != np.arange(len(x)))
-        if len(on):
-            yield pa.record_batch([keys(on), keys(trees.label[on])], names=["a", "b"])
-
-    radius_words = width if forest else width - 1  # the points of sets end in the hash of the set
-    return rows.mapInArrow(run, "a binary, b binary")
-
-
-def _starts(b: pa.RecordBatch) -> np.ndarray:
+    size = members.groupBy(shard).agg(F.count(F.lit(1)).alias("c"), F.sum(weight if weight is not None else F.lit(0.0)).alias("w")).where("c > 1")
+    parts = F.least(F.col("c"), F.greatest(F.ceil(F.col("c") / F.lit(float(tile_points))), F.ceil(F.col("w") / F.lit(float(tile_weight))))).cast("int")
+    rows = members.join(size.select(shard, parts.alias("m")), shard)
+    rows = rows.withColumn("s", F.when(F.col("m") > 1, F.pmod(F.xxhash64("point"), F.col("m"))).otherwise(0).cast("int"))
+    tile = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda t: F.struct((F.least("s", t).cast("long") * F.col("m") + F.greatest("s", t)).alias("tile"), (F.col("s") > t).cast("int").alias("side")))
+    rows = rows.select(*members.columns, F.explode(tile).alias("_t")).select(F.col(shard).alias("shard"), "_t.tile", "_t.side", *[c for c in members.columns if c != shard])
+    return rows.repartition("shard", "tile").sortWithinPartitions("shard", "tile")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of whole runs of equal first two columns (shard and tile)."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and not _same(held[-1], b):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        cut = int(starts(b)[-1])
+        if cut:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks().to_batches()[0]
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def starts(b: pa.RecordBatch) -> np.ndarray:
     """Where runs of equal shard and tile begin."""
     shard, tile = b.column(0).to_numpy(), b.column(1).to_numpy()
     return np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (tile[1:] != tile[:-1])]))
@@ -239,6 +223,20 @@ def _same(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
     return all(a.column(k)[a.num_rows - 1].as_py() == b.column(k)[0].as_py() for k in (0, 1))
 
 
+def shard_links(members: DataFrame, width: int, used: int, radius: int, tile_points: int = TILE_POINTS) -> DataFrame:
+    """(a, b): spanning forests of the pairs of points that share a shard and are within the radius. members: distinct shard long, point binary of ``width`` numbers, the first ``used`` of which are compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_groups(batches):
+            x = numbers(b.column(3), width)
+            trees = Forest(len(x))
+            for i, j in group_pairs(x[:, :used], starts(b), b.column(2).to_numpy(), radius):
+                trees.join(i, j)
+            yield trees.links(x)
+
+    return tiled(members.select("shard", "point"), "shard", tile_points).mapInArrow(run, "a binary, b binary")
+
+
 def choices(n: int, bits: int, radius: int, chance_points: int = CHANCE_POINTS) -> list[np.ndarray]:
     """For each choice of bands its bits' numbers: of radius + k bands of about equal size each k; the least k at which chance puts few points into a shard."""
     for k in itertools.count(1):
@@ -266,8 +264,7 @@ def links(points: DataFrame, radius: int, bits: int = 64, chance_points: int = C
                     shard = mix(shard ^ (x[:, w] & mask[w]))
                 yield pa.record_batch([pa.array(shard.view(np.int64)), b.column(0)], names=["shard", "point"])
 
-    members = points.select("fp").mapInArrow(deal, "shard long, point binary").withColumn("label", F.lit(0).cast("long")).withColumn("n", F.lit(0).cast("long"))
-    return shard_pairs(members, width, radius, forest=True, tile_points=tile_points)
+    return shard_links(points.select("fp").mapInArrow(deal, "shard long, point binary"), width, width, radius, tile_points)
 
 
 def near_groups(docs: DataFrame, words: int = 4, bits: int = 64, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -130,7 +130,9 @@ def test_near_dedup_removes_rows_and_not_ids(spark):
 @pytest.mark.parametrize("sampled,heavy,tile", [(16, 64, 8192), (1, 12, 8192), (1, 12, 20), (2, 4, 20)])
 def test_near_groups_among_shared_passages(spark, monkeypatch, sampled, heavy, tile):
     """Passages that many texts share, alone and with more or fewer words of their own, on both sides of 0.8."""
-    monkeypatch.setattr(simhash.shard_pairs, "__defaults__", (0.0, tile))
+    monkeypatch.setattr(simhash.shard_links, "__defaults__", (tile,))
+    monkeypatch.setattr(near.cluster_links, "__defaults__", (tile,))
+    monkeypatch.setattr(near.overlaps, "__defaults__", (tile * 3,))
     rng = random.Random(heavy)
     word = lambda: f"w{rng.randrange(10**6)}"
     shared = [[word() for _ in range(n)] for n in (60, 30, 12)]
