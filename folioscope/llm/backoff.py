@@ -1,29 +1,38 @@
 """Language-model scores by Stupid Backoff, computed relationally.
 
-Method (Brants et al., 2007), with word pairs. The score of a word after another is
-count(pair) / count(first word) if the pair occurs ``least_count`` times or more in the corpus,
-else ``ALPHA`` times the word's share of all words; a text's first word has its share of all
-words. A text's score is the mean logarithm over its words.
-
-Relations. Texts' pairs, counted by pair and document, are dealt to shards by hash; a shard
-sums each pair's count and each first word's (a text's last word is paired with an end mark,
-so that these are the words' own counts), joins them to its rows and sums terms by document.
-Pairs that back off to a rare word send (word, document) on to that word's shard of the
-unigram table, where it is joined. Sums by document meet at the end.
-
-Scale. Rows travel as compressed columns of a batch of documents, not as single records.
-The few thousand most frequent words of a bounded sample have small codes; their exact
-counts over the whole corpus, a table of fixed size, are broadcast, and pairs that begin
-with one are dealt by both words, so that no frequent word loads a shard. The number of
-shards follows the number of words. Counts cover all documents.
-
-A batch is named by its task and place in it, so docs must give the same rows in the same
+Method (Brants et al., 2007), with n-grams of up to three words. The score of a word after
+two others is count(three) / count(first two) if the three occur ``least_count`` times or
+more in the corpus; else ``alpha`` times that after one: count(pair) / count(first word), if
+the pair occurs as often; else ``alpha`` times the word's share of all words. A text's first
+words have fewer words before them and begin at that order. A text's score is the mean
+logarithm over its words.
+
+Relations. Each word of a text is exploded with the word before and the word behind it (or
+a mark). These rows are dealt by the middle word, so that a shard counts all n-grams that
+begin or end with it: three words, both pairs, the word; and joins the counts to its rows.
+A frequent middle word would load a shard: its rows are dealt by it and the word behind.
+Two counts may then be another shard's: that of a pair whose second word is frequent, and
+that of a rare word that is backed off to. Rows that need one go on, by the n-gram's hash,
+to the shard of its table, where they are joined. Sums by document meet at the end.
+
+Scale. The rows would be six times the input; they travel as compressed columns of sorted
+numbers, a shard of a batch each. Shards have about ``shard_words`` words. With more than
+``FAN`` of them rows are dealt in two steps, of about the square root of their number each,
+so that columns stay long and the number of records in proportion to the input; what a
+shard sends back to a document is one sum. The few thousand most frequent words of a
+bounded sample have small codes; their exact counts over the whole corpus, a table of fixed
+size, are broadcast. Which words these are changes no result. Other words are known by 63
+bits of their XXH64 hash: among a billion different words any two share one with a chance of
+one in eighteen. Counts cover all documents.
+
+A document is named by its task, batch and place, so docs must give the same rows in the same
 order when a lost partition is computed again, as a scan of files does; store other plans
 first.
 
 Defined results: words are runs of non-space in ASCII lower case; a text without words has
-n_words 0 and a null score; repeated rows are counted each and get equal scores; a null id
-is kept as such; an empty table gives an empty table; other columns are not looked at.
+n_words 0 and a null score; repeated rows are counted each and get equal scores, but for
+rounding; a null id is kept as such; an empty table gives an empty table; other columns are
+not looked at.
 """
 
 from __future__ import annotations
@@ -38,57 +47,119 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.llm.shared import pieces, stored
 from folioscope.llm.wordhash import Words, hash_spans, mix
 
 ALPHA = 0.4
-#: Codes below HOT are frequent words; then the end and start marks; hashes of other words have bit 48 set.
-HOT = 4096
-END, START = HOT, HOT + 1
-RARE = 1 << 48
+#: Codes below HOT are frequent words; then the marks before and behind a text; other words have bit 63 set.
+HOT = 1 << 15
+START, END = HOT, HOT + 1
 U = np.uint64
-#: Words of a shard, about.
-SHARD_WORDS = 1_000_000
+RARE = U(1 << 63)
+#: Words of a shard, about; shards to which rows are dealt at once.
+SHARD_WORDS, FAN = 500_000, 1024
+#: Bits of a document's number that tell its place in the batch.
+PLACE = 20
+#: Kinds of records, with their columns.
+ROWS, PAIRS, WORDS, ASK_PAIR, ASK_WORD, SUMS, HOME = range(7)
+COLUMNS = {ROWS: 4, PAIRS: 3, WORDS: 2, ASK_PAIR: 3, ASK_WORD: 2, SUMS: 2}
+RECORD = "kind int, shard long, blob binary"
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of whole numbers as compressed byte planes."""
-    n = len(columns[0])
-    planes = [c.astype("<u8").view(np.uint8).reshape(n, 8).T for c in columns]
-    raw = np.ascontiguousarray(np.concatenate([p[:width] for p, width in zip(planes, _widths(columns), strict=True)])).tobytes()
-    head = np.array([n, len(raw), *_widths(columns)], "<u8").tobytes()
-    return head + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _widths(columns: tuple[np.ndarray, ...]) -> list[int]:
-    return [max(1, (int(c.max()).bit_length() + 7) // 8) if len(c) else 1 for c in columns]
+    """Columns of whole numbers as compressed byte planes of their distance from the least."""
+    n, base, planes, widths = len(columns[0]), [], [], []
+    for c in columns:
+        c = c.astype(U)
+        base.append(int(c.min()) if n else 0)
+        c = c - U(base[-1])
+        widths.append(max(1, (int(c.max()).bit_length() + 7) // 8) if n else 1)
+        planes.append(c.astype("<u8").view(np.uint8).reshape(n, 8).T[: widths[-1]])
+    raw = np.ascontiguousarray(np.concatenate(planes)).tobytes()
+    return np.array([n, len(raw), *widths, *base], "<u8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
-    n, size, *widths = np.frombuffer(blob, "<u8", 2 + columns).tolist()
-    raw = np.frombuffer(pa.decompress(blob[8 * (2 + columns) :], size, codec="zstd", asbytes=True), np.uint8)
+    n, size, *rest = np.frombuffer(blob, "<u8", 2 + 2 * columns).tolist()
+    raw = np.frombuffer(pa.decompress(blob[16 * (1 + columns) :], size, codec="zstd", asbytes=True), np.uint8)
     out, at = [], 0
-    for w in widths:
+    for w, base in zip(rest[:columns], rest[columns:], strict=True):
         c = np.zeros((n, 8), np.uint8)
         c[:, :w] = raw[at : at + w * n].reshape(w, n).T
-        out.append(c.reshape(-1).view("<u8").astype(U))
+        out.append(c.reshape(-1).view("<u8").astype(U) + U(base))
         at += w * n
     return out
 
 
-def word_codes(texts: list[str | None], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(each text's number of words, all words' codes). hot: sorted hashes of the frequent words."""
-    w = Words(texts)
-    h = hash_spans(w.buf, w.start, w.end - w.start) & U(RARE - 1)
-    return w.count, _coded(h, hot)
+def columns_of(blobs: list[bytes], kind: int) -> list[np.ndarray]:
+    """The columns of several records of one kind, one record after another."""
+    parts = [unpack(b, COLUMNS[kind]) for b in blobs]
+    return [np.concatenate([np.zeros(0, U), *(p[i] for p in parts)]) for i in range(COLUMNS[kind])]
+
+
+class Deal:
+    """Which shard a record's rows go to, in one step or two."""
+
+    def __init__(self, shards: int, fan: int = FAN):
+        self.shards = shards
+        self.each = 1 if shards <= fan else math.ceil(math.sqrt(shards))  # final shards of a first step's
+
+    def place(self, kind: int, columns: list[np.ndarray]) -> np.ndarray:
+        """The final shard of each row: by a pair's words, a word, or the document's batch."""
+        if kind == SUMS:
+            h = mix(columns[0] >> U(PLACE))
+        elif kind in (WORDS, ASK_WORD):
+            h = mix(columns[0])
+        else:
+            h = np.where(columns[0] < RARE, mix(mix(columns[0]) ^ columns[1]), mix(columns[0]))
+        return (h % U(self.shards)).astype(np.int64)
+
+    def records(self, kind: int, *columns: np.ndarray, last: bool = False) -> list[tuple[int, int, bytes]]:
+        """Rows as records of the first step, or of the last one."""
+        if not len(columns[0]):
+            return []
+        to = self.place(kind, list(columns)) // (1 if last else self.each)
+        order = np.lexsort((*columns[1::-1], to))
+        columns, to = [c[order] for c in columns], to[order]
+        first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+        return [(kind, int(to[lo]), pack(*(c[lo:hi] for c in columns))) for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(to)], strict=True)]
+
+    def settle(self, records: DataFrame, most_rows: int = 1 << 21) -> DataFrame:
+        """Records of the first step as those of the last."""
+        if self.each == 1:
+            return records
+        rows = records.repartition("shard", "kind").sortWithinPartitions("shard", "kind")
+
+        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, at, size = [], None, 0
+            for b in batches:
+                for kind, shard, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    n = int(np.frombuffer(blob, "<u8", 1)[0])
+                    if held and ((kind, shard) != at or size + n > most_rows):
+                        yield record_batch(self.records(at[0], *columns_of(held, at[0]), last=True))
+                        held, size = [], 0
+                    held.append(blob)
+                    at, size = (kind, shard), size + n
+            if held:
+                yield record_batch(self.records(at[0], *columns_of(held, at[0]), last=True))
+
+        return rows.mapInArrow(again, RECORD)
+
+
+def record_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["kind", "shard", "blob"])
 
 
-def _coded(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+def word_codes(texts: list[str | None], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each text's number of words, all words' codes). hot: sorted codes of the frequent words as rare ones."""
+    w = Words(texts)
+    h = hash_spans(w.buf, w.start, w.end - w.start) | RARE
     if not len(hot):
-        return h | U(RARE)
+        return w.count, h
     at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-    return np.where(hot[at] == h, at.astype(U), h | U(RARE))
+    return w.count, np.where(hot[at] == h, at.astype(U), h)
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -101,31 +172,32 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _spread(values: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-    return np.repeat(values, np.diff(np.append(first, n)))
+def _spread(first: np.ndarray, n: int) -> np.ndarray:
+    """For each row the size of its run."""
+    size = np.diff(np.append(first, n))
+    return np.repeat(size, size)
 
 
-def frequent(docs: DataFrame, n_docs: int, sample_docs: int = 2000) -> np.ndarray:
-    """Sorted hashes of the most frequent words of a sample; which words these are changes no result."""
-    draw = F.pmod(F.col("key"), F.lit(1 << 20)) < F.lit(max(1, (1 << 20) * sample_docs // max(1, n_docs)))
+def frequent(texts: DataFrame, n_docs: int, sample_docs: int = 2000) -> np.ndarray:
+    """Sorted codes of the most frequent words of a sample; which words these are changes no result."""
+    draw = F.pmod(F.xxhash64(F.lit("frequent"), "text"), F.lit(1 << 20)) < F.lit(max(1, (1 << 20) * sample_docs // max(1, n_docs)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in pieces(batches, "text"):
-            _, codes = word_codes(b.column(0).to_pylist(), np.zeros(0, U))
-            seen.update(dict(zip(*(x.tolist() for x in np.unique(codes, return_counts=True)), strict=True)))
-        top = seen.most_common(4 * HOT)
-        yield pa.record_batch([pa.array([int(k) for k, _ in top], pa.int64()), pa.array([n for _, n in top], pa.int64())], names=["code", "n"])
+            codes, n = np.unique(word_codes(b.column(0).to_pylist(), np.zeros(0, U))[1], return_counts=True)
+            seen.update(dict(zip(codes.view(np.int64).tolist(), n.tolist(), strict=True)))
+        yield pa.record_batch([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["code", "n"])
 
-    top = docs.where(draw).select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(HOT).collect()
-    return np.sort(np.array([r[0] for r in top], np.int64).astype(U) & U(RARE - 1))
+    top = texts.where(draw).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(HOT).collect()
+    return np.sort(np.array([r[0] for r in top], np.int64).view(U))
 
 
-def score(docs: DataFrame, least_count: int = 2, alpha: float = ALPHA, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, score) of each row."""
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
-    hot = frequent(keyed, docs.count())
-    context = docs.sparkSession.sparkContext
+def score(docs: DataFrame, order: int = 3, least_count: int = 2, alpha: float = ALPHA, shard_words: int = SHARD_WORDS, fan: int = FAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_words, score) of each row. order: 2 or 3 words."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = rows.select("text")
+    hot = frequent(texts, texts.count())
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = np.zeros(HOT, np.int64), 0
@@ -136,113 +208,114 @@ def score(docs: DataFrame, least_count: int = 2, alpha: float = ALPHA, shard_wor
         on = np.flatnonzero(n)
         yield pa.record_batch([pa.array(np.append(on, -1)), pa.array(np.append(n[on], total))], names=["code", "n"])
 
-    counts = {r[0]: r[1] for r in keyed.select("text").mapInArrow(tally, "code long, n long").groupBy("code").agg(F.sum("n")).collect()}
+    counts = {r[0]: r[1] for r in texts.mapInArrow(tally, "code long, n long").groupBy("code").agg(F.sum("n")).collect()}
     total = counts.pop(-1, 0)
     known = np.zeros(HOT, np.int64)
     known[list(counts)] = list(counts.values())
-    shards = max(8, math.ceil(total / shard_words))
+    deal = Deal(max(8, math.ceil(total / shard_words)), fan)
     log_total, log_alpha = math.log(max(1, total)), math.log(alpha)
-    shared = context.broadcast((hot, np.log(np.maximum(known, 1))))
+    shared = docs.sparkSession.sparkContext.broadcast((hot, np.log(np.maximum(known, 1))))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, _ = shared.value
         task = TaskContext.get().partitionId()
         for number, b in enumerate(pieces(batches, "text", 6 << 20)):
-            n, codes = word_codes(b.column(0).to_pylist(), hot)
-            keys = b.column(1).to_numpy().view(U)
-            doc = np.repeat(np.arange(len(n)), n)
+            n, codes = word_codes(b.column(1).to_pylist(), hot)
+            home = ((task << PLACE) + number) << PLACE
+            doc = np.repeat(np.arange(len(n)), n).astype(U) + U(home)
             some = np.flatnonzero(n)
             last = np.cumsum(n)[some] - 1
             first = last - n[some] + 1
-            after = np.full(len(codes), END, U)
-            after[:-1] = codes[1:]
-            after[last] = END
-            w1 = np.concatenate([codes, np.full(len(some), START, U)])
-            w2 = np.concatenate([after, codes[first]])
-            of = np.concatenate([doc, some])
-            shard = np.where(w1 < U(RARE), mix(w1 * U(0x9E3779B97F4A7C15) ^ w2), mix(w1)) % U(shards)
-            order = np.lexsort((of, w2, w1, shard))
-            shard, w1, w2, of = shard[order], w1[order], w2[order], of[order]
-            run = _runs(shard, w1, w2, of)
-            times = np.diff(np.append(run, len(of)))
-            shard, w1, w2, of = shard[run], w1[run], w2[run], of[run]
-            cut = np.searchsorted(shard, np.arange(shards + 1, dtype=U))
-            name = f"{task}/{number}"
-            home = (task * 31 + number) % shards  # the shard that carries the batch's keys along
-            rows = [(s, name, len(n), pack(*(x[cut[s] : cut[s + 1]] for x in (w1, w2, of, times))), pack(keys, n) if s == home else None) for s in range(shards) if cut[s] < cut[s + 1] or s == home]
-            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary()))], names=["shard", "batch", "docs", "pairs", "keys"])
-
-    def join_pairs(key, group: pd.DataFrame) -> pd.DataFrame:
+            before, after = np.roll(codes, 1), np.roll(codes, -1)
+            before[first], after[last] = START, END
+            marks = np.full(len(some), START, U)
+            # middle, behind, before, document; and a row for each text's first word
+            columns = [np.concatenate(x) for x in ((codes, marks), (after, codes[first]), (before, marks), (doc, doc[first]))]
+            ids = pa.record_batch([b.column(0), pa.array(n)], names=["id", "n"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, ids.schema) as out:
+                out.write_batch(ids)
+            at = int(deal.place(SUMS, [np.array([home], U)])[0])
+            yield record_batch([*deal.records(ROWS, *columns), (HOME, at, np.array([home], "<u8").tobytes() + sink.getvalue().to_pybytes())])
+
+    def count_rows(key, group: pd.DataFrame) -> pd.DataFrame:
         _, log_hot = shared.value
-        parts = [unpack(x, 4) for x in group["pairs"]]
-        w1, w2, of, times = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        base = np.concatenate([[0], np.cumsum(group["docs"].to_numpy(np.int64))])
-        slot = of.astype(np.int64) + np.repeat(base[:-1], [len(p[0]) for p in parts])
-        order = np.lexsort((w2, w1))
-        w1, w2, slot, times = w1[order], w2[order], slot[order], times[order].astype(np.int64)
-        sums, need = np.zeros(base[-1]), None
+        columns = columns_of(list(group["blob"]), ROWS)
+        sort = np.lexsort((columns[2], columns[1], columns[0]))
+        mid, after, before, doc = (c[sort] for c in columns)
+        del columns, sort
+        n, rare = len(mid), mid >= RARE
+        one, two, three = _runs(mid), _runs(mid, after), _runs(mid, after, before)
+        count_one, count_two, count_three = _spread(one, n), _spread(two, n), _spread(three, n)
+        scored, opening = after != U(END), mid == U(START)
+        most = np.where(opening, 1, np.where(before == U(START), 2, order))
+        tri = scored & (most == 3) & (count_three >= least_count)
+        bi = scored & (most >= 2) & ~tri & (count_two >= least_count)
+        uni = scored & ~tri & ~bi
+        term = np.zeros(n)
+        term[tri] = np.log(count_three[tri])
+        both = tri & rare  # here the pair before is counted, too
+        if both.any():
+            sort = np.flatnonzero(rare)
+            sort = sort[np.lexsort((before[sort], mid[sort]))]
+            pair = np.zeros(n, np.int64)
+            pair[sort] = _spread(_runs(mid[sort], before[sort]), len(sort))
+            term[both] -= np.log(pair[both])
+        log_mid = np.log(count_one)
+        log_mid[mid < U(HOT)] = log_hot[mid[mid < U(HOT)].astype(np.int64)]
+        term[bi] = (most[bi] - 2) * log_alpha + np.log(count_two[bi]) - log_mid[bi]
+        term[uni] = (most[uni] - 1) * log_alpha - log_total
+        easy = uni & (after < U(HOT))
+        term[easy] += log_hot[after[easy].astype(np.int64)]
+        docs_here, at = np.unique(doc, return_inverse=True)
+        out = deal.records(SUMS, docs_here, np.bincount(at, weights=term, minlength=len(docs_here)).astype("<f4").view("<u4"))
+        ask = tri & ~rare
+        out += deal.records(ASK_PAIR, before[ask], mid[ask], doc[ask])
+        ask = uni & (after >= RARE)
+        out += deal.records(ASK_WORD, after[ask], doc[ask])
+        table = two[(after[two] < U(HOT)) & (mid[two] != U(START)) & (count_two[two] >= least_count)]
+        if order > 2:
+            out += deal.records(PAIRS, mid[table], after[table], count_two[table])
+        table = one[rare[one]]
+        out += deal.records(WORDS, mid[table], count_one[table])
+        return pd.DataFrame(out, columns=["kind", "shard", "blob"])
+
+    def join_counts(key, group: pd.DataFrame) -> pd.DataFrame:
+        of = lambda kind: columns_of(list(group.loc[group["kind"] == kind, "blob"]), kind)
+        first, second, count = of(PAIRS)
+        a, b, doc = of(ASK_PAIR)
+        docs_here, terms = [doc], []
+        names = np.unique(first)  # a pair is its first word's number and its second word's code
+        pair = np.searchsorted(names, first).astype(U) * U(2 * HOT) + second
+        sort = np.argsort(pair)
+        terms.append(-np.log(count[sort][np.searchsorted(pair[sort], np.searchsorted(names, a).astype(U) * U(2 * HOT) + b)].astype(np.float64)) if len(a) else np.zeros(0))
+        word, count = of(WORDS)
+        w, doc = of(ASK_WORD)
+        sort = np.argsort(word)
+        docs_here.append(doc)
+        terms.append(np.log(count[sort][np.searchsorted(word[sort], w)].astype(np.float64)) if len(w) else np.zeros(0))
+        docs_here, at = np.unique(np.concatenate(docs_here), return_inverse=True)
+        sums = np.bincount(at, weights=np.concatenate(terms), minlength=len(docs_here))
+        return pd.DataFrame(deal.records(SUMS, docs_here, sums.astype("<f4").view("<u4")), columns=["kind", "shard", "blob"])
+
+    def total_up(batches: pd.DataFrame) -> pd.DataFrame:
+        doc, sums = columns_of(sorted(batches.loc[batches["kind"] == SUMS, "blob"]), SUMS)  # one order, so that reruns add alike
+        sums = sums.astype("<u4").view("<f4").astype(np.float64)
         out = []
-        if len(w1):
-            run = _runs(w1, w2)
-            pair = _spread(np.add.reduceat(times, run), run, len(w1))
-            lead = _runs(w1)
-            lead_count = np.add.reduceat(times, lead)
-            log_first = np.log(_spread(lead_count, lead, len(w1)))
-            frequent = w1 < U(HOT)
-            log_first[frequent] = log_hot[w1[frequent].astype(np.int64)]
-            seen = (pair >= least_count) & (w1 != U(START))
-            term = np.where(seen, np.log(pair) - log_first, np.where(w1 == U(START), 0.0, log_alpha) - log_total)
-            easy = ~seen & (w2 < U(HOT))
-            term[easy] += log_hot[w2[easy].astype(np.int64)]
-            real = w2 != U(END)
-            np.add.at(sums, slot[real], (term * times)[real])
-            need = np.flatnonzero(~seen & (w2 >= U(RARE)))
-            rare = w1[lead] >= U(RARE)
-            words, word_count = w1[lead][rare], lead_count[rare]
-            to = mix(words) % U(shards)
-            for s in np.unique(to).tolist():
-                out.append((s, "", 0, pack(words[to == s], word_count[to == s]), None, None))
-            to = mix(w2[need]) % U(shards)
-            order = np.argsort(to, kind="stable")
-            need, to = need[order], to[order]
-            cut = np.searchsorted(to, np.arange(shards + 1, dtype=U))
-            names = "\n".join(f"{b} {d}" for b, d in zip(group["batch"], group["docs"], strict=True))
-            for s in range(shards):
-                if cut[s] < cut[s + 1]:
-                    k = need[cut[s] : cut[s + 1]]
-                    k = k[np.argsort(w2[k], kind="stable")]
-                    out.append((s, names, 1, pack(w2[k], slot[k], times[k]), None, None))
-        for i, (b, d, keys) in enumerate(zip(group["batch"], group["docs"], group["keys"], strict=True)):
-            out.append((-1, b, int(d), None, sums[base[i] : base[i + 1]].astype("<f4").tobytes(), keys))
-        return pd.DataFrame(out, columns=["shard", "batch", "docs", "blob", "sums", "keys"])
-
-    def join_words(key, group: pd.DataFrame) -> pd.DataFrame:
-        table = [unpack(x, 2) for x in group.loc[group["docs"] == 0, "blob"]]
-        word = np.concatenate([t[0] for t in table])
-        order = np.argsort(word)
-        word, log_count = word[order], np.log(np.concatenate([t[1] for t in table])[order].astype(np.float64))
-        sums: dict[str, np.ndarray] = {}
-        for names, blob in zip(group.loc[group["docs"] == 1, "batch"], group.loc[group["docs"] == 1, "blob"], strict=True):
-            w, slot, times = unpack(blob, 3)
-            batches = [x.split(" ") for x in names.split("\n")]
-            base = np.concatenate([[0], np.cumsum([int(d) for _, d in batches])])
-            here = np.zeros(base[-1])
-            np.add.at(here, slot.astype(np.int64), log_count[np.searchsorted(word, w)] * times.astype(np.float64))
-            for (b, _), lo, hi in zip(batches, base[:-1], base[1:], strict=True):
-                sums[b] = sums.get(b, 0.0) + here[lo:hi]
-        return pd.DataFrame([(b, x.astype("<f4").tobytes(), None) for b, x in sums.items()], columns=["batch", "sums", "keys"])
-
-    def total_up(key, group: pd.DataFrame) -> pd.DataFrame:
-        keys, n = unpack(next(k for k in group["keys"] if k is not None), 2)
-        parts = sorted(group["sums"])  # one order, so that reruns add alike
-        total = np.sum([np.frombuffer(p, "<f4").astype(np.float64) for p in parts], axis=0)
-        return pd.DataFrame({"key": keys.view(np.int64), "n_words": n.astype(np.int64), "sum": total})
-
-    pairs = keyed.select("text", "key").mapInArrow(deal, "shard int, batch string, docs int, pairs binary, keys binary")
-    joined = stored(pairs.groupBy("shard").applyInPandas(join_pairs, "shard int, batch string, docs int, blob binary, sums binary, keys binary"))
-    backed = joined.where("shard >= 0").select("shard", "batch", "docs", "blob").groupBy("shard").applyInPandas(join_words, "batch string, sums binary, keys binary")
-    sums = joined.where("shard < 0").select("batch", "sums", "keys").unionByName(backed)
-    scored = sums.groupBy("batch").applyInPandas(total_up, "key long, n_words long, sum double")
-    scored = scored.groupBy("key").agg(F.max("n_words").alias("n_words"), F.max("sum").alias("sum"))  # rows that repeat have one key
-    out = keyed.select("id", "key").join(scored, "key")
-    return out.select(F.col("id").alias(id_col), "n_words", F.when(F.col("n_words") > 0, F.col("sum") / F.col("n_words")).alias("score"))
+        for blob in batches.loc[batches["kind"] == HOME, "blob"]:
+            home = int(np.frombuffer(blob, "<u8", 1)[0])
+            ids = pa.ipc.open_stream(pa.py_buffer(blob[8:])).read_all().to_pandas(integer_object_nulls=True)
+            mine = (doc >> U(PLACE)) == U(home >> PLACE)
+            whole = np.bincount((doc[mine] - U(home)).astype(np.int64), weights=sums[mine], minlength=len(ids))
+            out.append(pd.DataFrame({"id": ids["id"], "n_words": ids["n"], "score": [s / k if k else None for s, k in zip(whole.tolist(), ids["n"].tolist(), strict=True)]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "n_words": [], "score": []})
+
+    dealt = rows.mapInArrow(explode, RECORD)
+    # the documents' ids travel apart from the rows, which are dealt by words
+    first = stored(dealt)
+    homes = first.where(F.col("kind") == HOME)
+    counted = stored(deal.settle(first.where(F.col("kind") == ROWS)).groupBy("shard").applyInPandas(count_rows, RECORD))
+    asked = deal.settle(counted.where(F.col("kind") != SUMS)).groupBy("shard").applyInPandas(join_counts, RECORD)
+    sums = deal.settle(counted.where(F.col("kind") == SUMS).unionByName(asked)).unionByName(homes)
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("score", T.DoubleType())])
+    return sums.groupBy("shard").applyInPandas(total_up, schema).withColumnRenamed("id", id_col)

@@ -564,25 +564,35 @@ def test_sainte_lague_quotas(spark):
     assert got == {s: seats[s] for s, _ in votes}
 
 
-def brute_backoff(texts):
+def brute_backoff(texts, order, least):
     words = [(t or "").encode().lower().split() for t in texts]
-    one, two = Counter(w for x in words for w in x), Counter(p for x in words for p in zip(x, x[1:], strict=False))
-    n = sum(one.values())
-    out = []
-    for x in words:
-        s = [math.log(two[x[i - 1], w] / one[x[i - 1]]) if i and two[x[i - 1], w] >= 2 else math.log((0.4 if i else 1) * one[w] / n) for i, w in enumerate(x)]
-        out.append((len(x), sum(s) / len(s) if s else None))
-    return out
+    counts = [Counter(tuple(x[i : i + k]) for x in words for i in range(len(x) - k + 1)) for k in range(1, 4)]
+    n = sum(counts[0].values())
+
+    def word(x, i):
+        for k in range(min(i + 1, order), 1, -1):  # words of the n-gram
+            c = counts[k - 1][tuple(x[i - k + 1 : i + 1])]
+            if c >= least:
+                return math.log(c / counts[k - 2][tuple(x[i - k + 1 : i])]) + (min(i + 1, order) - k) * math.log(0.4)
+        return math.log(counts[0][(x[i],)] / n) + (min(i + 1, order) - 1) * math.log(0.4)
 
+    return [(len(x), sum(word(x, i) for i in range(len(x))) / len(x) if x else None) for x in words]
 
-def test_backoff(spark, docs, awkward):
+
+@pytest.mark.parametrize("order,least,shard_words,fan,hot", [(3, 2, 500_000, 1024, 1 << 15), (3, 2, 1500, 1024, 64), (3, 2, 700, 4, 200), (2, 2, 1500, 4, 64), (3, 3, 3000, 1024, 1)])
+def test_backoff(spark, docs, awkward, monkeypatch, order, least, shard_words, fan, hot):
+    monkeypatch.setattr(backoff, "frequent", lambda texts, n, f=backoff.frequent: f(texts, n)[:hot])
     for df in (docs, awkward):
         rows = df.collect()
-        want = sorted(((r.doc_id or -1, n, s or 0) for r, (n, s) in zip(rows, brute_backoff([r.text for r in rows]), strict=True)))
-        for shard_words in (2_000_000, 1500):
-            got = sorted((r.doc_id or -1, r.n_words, r.score or 0) for r in backoff.score(df, shard_words=shard_words).collect())
-            assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-4)
+        want = sorted(((r.doc_id or -1, n, s or 0) for r, (n, s) in zip(rows, brute_backoff([r.text for r in rows], order, least), strict=True)))
+        got = sorted((r.doc_id or -1, r.n_words, r.score or 0) for r in backoff.score(df, order, least, shard_words=shard_words, fan=fan).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-4)
+
+
+def test_backoff_of_an_empty_table(spark, awkward):
     assert backoff.score(awkward.limit(0)).count() == 0
+    got = backoff.score(awkward.where("doc_id = 4").select(F.lit("name").alias("doc_id"), "text")).collect()
+    assert [(r.doc_id, r.n_words) for r in got] == [("name", 1)] and got[0].score == 0
 
 
 def test_quality(spark, docs):
