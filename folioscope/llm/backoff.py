@@ -19,7 +19,7 @@ Scale. The rows would be six times the input; they travel as compressed columns
 numbers, a shard of a batch each. Shards have about ``shard_words`` words. With more than
 ``FAN`` of them rows are dealt in two steps, of about the square root of their number each,
 so that columns stay long and the number of records in proportion to the input; what a
-shard sends back to a document is one sum. The few thousand most frequent words of a
+shard sends back to a document is one sum. The hundred thousand most frequent words of a
 bounded sample have small codes; their exact counts over the whole corpus, a table of fixed
 size, are broadcast. Which words these are changes no result. Other words are known by 63
 bits of their XXH64 hash: among a billion different words any two share one with a chance of
@@ -54,7 +54,7 @@ from folioscope.llm.wordhash import Words, hash_spans, mix
 
 ALPHA = 0.4
 #: Codes below HOT are frequent words; then the marks before and behind a text; other words have bit 63 set.
-HOT = 1 << 15
+HOT = 1 << 17
 START, END = HOT, HOT + 1
 U = np.uint64
 RARE = U(1 << 63)
@@ -69,12 +69,14 @@ RECORD = "kind int, shard long, blob binary"
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of whole numbers as compressed byte planes of their distance from the least."""
+    """Columns of whole numbers as compressed byte planes: the first, which is ascending, of its steps, others of their distance from the least."""
     n, base, planes, widths = len(columns[0]), [], [], []
-    for c in columns:
+    for k, c in enumerate(columns):
         c = c.astype(U)
         base.append(int(c.min()) if n else 0)
         c = c - U(base[-1])
+        if k == 0:
+            c[1:] = c[1:] - c[:-1]
         widths.append(max(1, (int(c.max()).bit_length() + 7) // 8) if n else 1)
         planes.append(c.astype("<u8").view(np.uint8).reshape(n, 8).T[: widths[-1]])
     raw = np.ascontiguousarray(np.concatenate(planes)).tobytes()
@@ -88,7 +90,8 @@ def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
     for w, base in zip(rest[:columns], rest[columns:], strict=True):
         c = np.zeros((n, 8), np.uint8)
         c[:, :w] = raw[at : at + w * n].reshape(w, n).T
-        out.append(c.reshape(-1).view("<u8").astype(U) + U(base))
+        c = c.reshape(-1).view("<u8").astype(U)
+        out.append((c if out else np.cumsum(c, dtype=U)) + U(base))
         at += w * n
     return out
 
@@ -136,6 +139,9 @@ class Deal:
             held, at, size = [], None, 0
             for b in batches:
                 for kind, shard, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if kind == HOME:  # stands in its last shard from the beginning
+                        yield record_batch([(kind, shard, blob)])
+                        continue
                     n = int(np.frombuffer(blob, "<u8", 1)[0])
                     if held and ((kind, shard) != at or size + n > most_rows):
                         yield record_batch(self.records(at[0], *columns_of(held, at[0]), last=True))
@@ -152,14 +158,14 @@ def record_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["kind", "shard", "blob"])
 
 
-def word_codes(texts: list[str | None], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(each text's number of words, all words' codes). hot: sorted codes of the frequent words as rare ones."""
+def word_codes(texts: list[str | None], hot: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """(each text's number of words, all words' codes). hot: the frequent words' sorted codes as rare ones, and their own."""
     w = Words(texts)
     h = hash_spans(w.buf, w.start, w.end - w.start) | RARE
-    if not len(hot):
+    if hot is None or not len(hot[0]):
         return w.count, h
-    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-    return w.count, np.where(hot[at] == h, at.astype(U), h)
+    at = np.minimum(np.searchsorted(hot[0], h), len(hot[0]) - 1)
+    return w.count, np.where(hot[0][at] == h, hot[1][at], h)
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -178,26 +184,28 @@ def _spread(first: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(size, size)
 
 
-def frequent(texts: DataFrame, n_docs: int, sample_docs: int = 2000) -> np.ndarray:
-    """Sorted codes of the most frequent words of a sample; which words these are changes no result."""
+def frequent(texts: DataFrame, n_docs: int, sample_docs: int = 10_000) -> np.ndarray:
+    """Codes, as rare ones, of the most frequent words of a sample, the most frequent first; which words these are changes no result."""
     draw = F.pmod(F.xxhash64(F.lit("frequent"), "text"), F.lit(1 << 20)) < F.lit(max(1, (1 << 20) * sample_docs // max(1, n_docs)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in pieces(batches, "text"):
-            codes, n = np.unique(word_codes(b.column(0).to_pylist(), np.zeros(0, U))[1], return_counts=True)
+            codes, n = np.unique(word_codes(b.column(0).to_pylist(), None)[1], return_counts=True)
             seen.update(dict(zip(codes.view(np.int64).tolist(), n.tolist(), strict=True)))
         yield pa.record_batch([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["code", "n"])
 
     top = texts.where(draw).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(HOT).collect()
-    return np.sort(np.array([r[0] for r in top], np.int64).view(U))
+    return np.array([r[0] for r in top], np.int64).view(U)
 
 
 def score(docs: DataFrame, order: int = 3, least_count: int = 2, alpha: float = ALPHA, shard_words: int = SHARD_WORDS, fan: int = FAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, score) of each row. order: 2 or 3 words."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = rows.select("text")
-    hot = frequent(texts, texts.count())
+    names = frequent(texts, texts.count())
+    rank = np.argsort(names)
+    hot = names[rank], rank.astype(U)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = np.zeros(HOT, np.int64), 0
@@ -240,7 +248,8 @@ def score(docs: DataFrame, order: int = 3, least_count: int = 2, alpha: float =
 
     def count_rows(key, group: pd.DataFrame) -> pd.DataFrame:
         _, log_hot = shared.value
-        columns = columns_of(list(group["blob"]), ROWS)
+        homes = group[group["kind"] == HOME]  # these only pass through, to the shard that their documents' sums go to
+        columns = columns_of(list(group.loc[group["kind"] == ROWS, "blob"]), ROWS)
         sort = np.lexsort((columns[2], columns[1], columns[0]))
         mid, after, before, doc = (c[sort] for c in columns)
         del columns, sort
@@ -278,7 +287,7 @@ def score(docs: DataFrame, order: int = 3, least_count: int = 2, alpha: float =
             out += deal.records(PAIRS, mid[table], after[table], count_two[table])
         table = one[rare[one]]
         out += deal.records(WORDS, mid[table], count_one[table])
-        return pd.DataFrame(out, columns=["kind", "shard", "blob"])
+        return pd.concat([homes, pd.DataFrame(out, columns=["kind", "shard", "blob"])])
 
     def join_counts(key, group: pd.DataFrame) -> pd.DataFrame:
         of = lambda kind: columns_of(list(group.loc[group["kind"] == kind, "blob"]), kind)
@@ -310,12 +319,8 @@ def score(docs: DataFrame, order: int = 3, least_count: int = 2, alpha: float =
             out.append(pd.DataFrame({"id": ids["id"], "n_words": ids["n"], "score": [s / k if k else None for s, k in zip(whole.tolist(), ids["n"].tolist(), strict=True)]}))
         return pd.concat(out) if out else pd.DataFrame({"id": [], "n_words": [], "score": []})
 
-    dealt = rows.mapInArrow(explode, RECORD)
-    # the documents' ids travel apart from the rows, which are dealt by words
-    first = stored(dealt)
-    homes = first.where(F.col("kind") == HOME)
-    counted = stored(deal.settle(first.where(F.col("kind") == ROWS)).groupBy("shard").applyInPandas(count_rows, RECORD))
-    asked = deal.settle(counted.where(F.col("kind") != SUMS)).groupBy("shard").applyInPandas(join_counts, RECORD)
-    sums = deal.settle(counted.where(F.col("kind") == SUMS).unionByName(asked)).unionByName(homes)
+    counted = stored(deal.settle(rows.mapInArrow(explode, RECORD)).groupBy("shard").applyInPandas(count_rows, RECORD))
+    asked = deal.settle(counted.where(~F.col("kind").isin(SUMS, HOME))).groupBy("shard").applyInPandas(join_counts, RECORD)
+    sums = deal.settle(counted.where(F.col("kind").isin(SUMS, HOME)).unionByName(asked))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("score", T.DoubleType())])
     return sums.groupBy("shard").applyInPandas(total_up, schema).withColumnRenamed("id", id_col)
