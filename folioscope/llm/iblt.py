@@ -1,21 +1,22 @@
 """Document fingerprints: invertible Bloom lookup sketches of hashed paragraph cells.
 
-Method. A text's lines are its paragraphs; a line is cut after each word whose hash is a
-multiple of ``CUT``, so that paragraphs of any length give cells that an edit elsewhere
-leaves alone. Each cell is hashed (XXH64; a repeated cell with the number of its
+Method. A text's paragraphs are its sentences: its lines, cut behind words that end in
+``. ! ?``, and, so that text without such ends has paragraphs that an edit elsewhere leaves
+alone, behind words whose hash is a multiple of ``CUT``. Each paragraph is hashed (XXH64; a
+repeated one with the number of its
 occurrence), and each hash goes into three cells of a table, which hold a count, the xor
 of hashes and the xor of check values. The fingerprint is the table of ``BASE`` cells.
 Two versions are compared by subtracting their tables, where common paragraphs cancel,
 and peeling: a cell with one hash left gives that hash, which is taken out of its other
 two cells, and so on. Where a table is too small for the difference, peeling stalls and
-the pair is retried with tables ``GROW`` times as large. The digests on either side give
+the pair is retried with tables ``GROW`` times as large, until it comes out whole. The digests on either side give
 the likeness, common cells over all cells (Jaccard); two texts without cells have 1.
 
 Everything for a pair is in one row's stream, vectorised over the texts of a batch, and
 tables end with the batch.
 
-Defined results: null texts count as empty; equal texts have equal fingerprints; see
-``neighbours`` for ties and null ids; other columns are not looked at.
+Defined results: null texts count as empty; equal texts have equal fingerprints; ids are
+numbers; see ``neighbours`` for ties and null ids; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,12 +31,12 @@ from pyspark.sql import DataFrame
 from folioscope.llm.neighbours import with_next
 from folioscope.llm.wordhash import hash_spans, mix, words_at
 
-BASE, GROW, CUT = 12, 2, 4
-#: Retries after which the two sets are compared directly (never seen; peeling could only stall for ever on colliding digests).
-MOST_RETRIES = 10
+BASE, GROW, CUT = 48, 2, 64
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+ENDS = np.zeros(256, bool)
+ENDS[list(b".!?")] = True
 
 
 def cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,6 +52,7 @@ def cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     at = words_at(buf)
     line = np.searchsorted(np.flatnonzero(a == 10), start)
     cut = hash_spans(buf, start, end - start, at=at) % U(CUT) == 0
+    cut |= ENDS[a[end - 1]]
     cut[:-1] |= line[1:] != line[:-1]
     cut[-1] = True
     last = np.flatnonzero(cut)
@@ -134,34 +136,22 @@ class Tables:
 def differences(pairs: int, of_a: np.ndarray, a: np.ndarray, of_b: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each pair of sets how many digests only a has, and only b, by subtracting and peeling."""
     only_a, only_b = np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
-    both = np.bincount(of_a, minlength=pairs) + np.bincount(of_b, minlength=pairs)
-    # a first retry has about as many cells as both sets have digests; so many suffice for most differences
-    larger = BASE * GROW ** np.maximum(1, np.ceil(np.log(np.maximum(both, 1) / BASE) / np.log(GROW))).astype(np.int64)
-    size = np.full(pairs, BASE)
-    todo = np.arange(pairs)
-    for _ in range(MOST_RETRIES):
-        for m in np.unique(size[todo]).tolist():
-            of_size = todo[size[todo] == m]
-            most = max(1, (1 << 20) // m)
-            for lo in range(0, len(of_size), most):  # a bounded number of cells at once
-                some = of_size[lo : lo + most]
-                slot = np.full(pairs, -1)
-                slot[some] = np.arange(len(some))
-                t = Tables(len(some), m)
-                for of, key, sign in ((of_a, a, 1), (of_b, b, -1)):
-                    on = slot[of] >= 0
-                    t.add(slot[of[on]], key[on], sign)
-                table, _, sign, whole = t.peel()
-                only_a[some] = np.bincount(table[sign > 0], minlength=len(some))
-                only_b[some] = np.bincount(table[sign < 0], minlength=len(some))
-                only_a[some[~whole]] = -1
-        todo = todo[only_a[todo] < 0]
-        if not len(todo):
-            return only_a, only_b
-        size[todo] = np.maximum(size[todo] * GROW, larger[todo])
-    for i in todo:
-        x, y = a[of_a == i], b[of_b == i]
-        only_a[i], only_b[i] = len(np.setdiff1d(x, y)), len(np.setdiff1d(y, x))
+    todo, m = np.arange(pairs), BASE
+    while len(todo):
+        most = max(1, (1 << 20) // m)
+        for lo in range(0, len(todo), most):  # a bounded number of cells at once
+            some = todo[lo : lo + most]
+            slot = np.full(pairs, -1)
+            slot[some] = np.arange(len(some))
+            t = Tables(len(some), m)
+            for of, key, sign in ((of_a, a, 1), (of_b, b, -1)):
+                on = slot[of] >= 0
+                t.add(slot[of[on]], key[on], sign)
+            table, _, sign, whole = t.peel()
+            only_a[some] = np.bincount(table[sign > 0], minlength=len(some))
+            only_b[some] = np.bincount(table[sign < 0], minlength=len(some))
+            only_a[some[~whole]] = -1
+        todo, m = todo[only_a[todo] < 0], m * GROW
     return only_a, only_b
 
 

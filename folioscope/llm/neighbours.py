@@ -70,12 +70,12 @@ def with_next(docs: DataFrame, step, schema: str, id_col: str = "doc_id", text_c
     if where is None:
         return docs.sparkSession.createDataFrame([], schema)
     docs = docs.withColumn("range", where).withColumn("h", text_hash())
-    # a row for each range that has rows, MOST_RANGES and those of null ids at most: its first row's id and hash, and the range above it
+    # a row for each range that has rows, two times MOST_RANGES at most, some 40 bytes each: its first row's id and hash, and the range above it
     heads = docs.groupBy("range").agg(F.max(F.struct("id", "h")).alias("head"))
     whole = Window.orderBy("range")
     above = F.coalesce(F.lead("range").over(whole), F.first("range").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     heads = heads.select(F.col("range").alias("head_range"), above.alias("above"), F.col("head.id").alias("head_id"), F.col("head.h").alias("head_h"))
-    rows = docs.join(heads, (F.col("range") == F.col("head_range")) & F.col("id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h")), "left")
+    rows = docs.join(F.broadcast(heads), (F.col("range") == F.col("head_range")) & F.col("id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h")), "left")
     to = lambda r, g: F.struct(F.col(r).alias("range"), F.lit(g).alias("guest"))
     rows = rows.select("id", "h", "text", F.explode(F.filter(F.array(to("range", 0), to("above", 1)), lambda x: x["range"].isNotNull())).alias("to"))
     rows = rows.select("id", "text", "to.*", "h").repartition("range").sortWithinPartitions("range", "guest", F.desc_nulls_last("id"), F.desc("h"), F.asc_nulls_first("text"))
