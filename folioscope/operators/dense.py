@@ -6,13 +6,15 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from operator import and_
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from folioscope.operators.chunk import cosine_column
-
 CANDIDATES = 50
 #: Query vectors that are sent to all executors at once, in bytes; more are joined in parts.
 MOST_QUERY_BYTES = 64 << 20
@@ -69,21 +71,53 @@ def ensure_width(vectors: DataFrame, vector: str = "embedding", width: int | Non
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, filters: dict[str, object] | None = None, query_id: str = "query_id", query_vector: str = "query_vector", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, id, score, position): the k vectors most alike to each query's, by cosine; ties go to the least id.
+    """(query_id, id, score, position): the k vectors most alike to each query's, by cosine to nine decimals; ties go to the least id.
 
-    Filters apply before scoring. Queries are a stated set: they are sent to the vectors'
-    tasks while they are small by count, and else joined in parts of hashed ids; each task
-    keeps its own k best of a query before any shuffle.
+    Filters apply before scoring. Queries are a stated set: they go to the vectors' tasks in
+    parts of MOST_QUERY_BYTES at most. Each batch of vectors is scored against a part by one
+    matrix product, and only its k best of a query go on. Null vectors are no hits; a vector of zeros has score 0.
     """
-    there = vectors.where(payload_filter(filters or {})).select(F.col(id_col).alias("id"), F.col(vector).alias("_v"))
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("_q"))
-    n, size = asked.agg(F.count(F.lit(1)), F.sum(F.size("_q") * 8 + 64)).first()
+    spark = vectors.sparkSession
+    there = vectors.where(payload_filter(filters or {})).select(F.col(id_col).alias("id"), F.col(vector).alias("_v")).where(F.col("_v").isNotNull())
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("_q")).where(F.col("_q").isNotNull())
+    size = asked.agg(F.sum(F.size("_q") * 8 + 64)).first()[0]
     parts = max(1, -(-(size or 0) // MOST_QUERY_BYTES))
+    kinds = {"query_id": queries.schema[query_id].dataType, "id": vectors.schema[id_col].dataType}
+    schema = T.StructType([*(T.StructField(n, t) for n, t in kinds.items()), T.StructField("score", T.DoubleType())])
     out = None
     for p in range(parts):
         some = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p)
-        scored = there.join(F.broadcast(some)).select("query_id", "id", cosine_column(F.col("_q"), F.col("_v")).alias("score"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        best = scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+        shared = spark.sparkContext.broadcast(some.toArrow())  # MOST_QUERY_BYTES, about
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value.column(0).combine_chunks(), _matrix(shared.value.column(1).combine_chunks())
+            for b in batches:
+                if not b.num_rows or not len(q):
+                    continue
+                v, rank = _matrix(b.column(1)), pc.rank(b.column(0), sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy()
+                if v.shape[1] != q.shape[1]:
+                    raise DimensionMismatch(f"vectors differ in length: {q.shape[1]} and {v.shape[1]} numbers")
+                alike = np.round(q @ v.T, 9)
+                rows, cols = [], []
+                for i, s in enumerate(alike):
+                    best = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
+                    best = best[np.lexsort((rank[best], -s[best]))[:k]]
+                    rows.append(np.full(len(best), i))
+                    cols.append(best)
+                rows, cols = np.concatenate(rows), np.concatenate(cols)
+                yield pa.record_batch([names.take(pa.array(rows)), b.column(0).take(pa.array(cols)), pa.array(alike[rows, cols])], names=["query_id", "id", "score"])
+
+        scored = there.mapInArrow(score, schema)
+        best = scored.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("position") <= k)
         out = best if out is None else out.unionByName(best)
     return out
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of length 1."""
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise DimensionMismatch("vectors differ in length")
+    x = pc.list_flatten(vectors).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1) if len(sizes) else np.zeros((0, 0))
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)

@@ -6,6 +6,7 @@ published stemming algorithm (1980) applied to the distinct words only.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -139,42 +140,90 @@ def cover_density(wanted: list[str], where: dict[str, list[int]]) -> float:
     return sum(COVER_WEIGHT * len(wanted) / (q - p + 1) for p, q in covers)
 
 
-def search(queries: DataFrame, index: DataFrame, k: int | None = 50, stemmed: bool = True) -> DataFrame:
-    """(query_id, id, score, position) of documents that meet each web-style query, by cover density, then id.
+def match(queries: DataFrame, index: DataFrame, stemmed: bool = True) -> DataFrame:
+    """(query_id, id) of documents that meet each web-style query.
 
-    An alternative needs a wanted term; one of excluded terms alone meets nothing.
+    An alternative needs a wanted term; one of excluded terms alone meets nothing. Words are
+    decided by counting the terms that a document has of an alternative; only candidates of an
+    alternative with a phrase of several words are looked at by their positions.
     """
 
+    @pandas_udf("array<struct<part:int,term:string,wanted:boolean,n:int,phrases:boolean>>")
+    def plan(text: pd.Series) -> pd.Series:
+        def of(query: str) -> list[tuple]:
+            rows = []
+            for i, group in enumerate(parse(query, stemmed)):
+                wanted = {t for keep, phrase in group if keep for t in phrase}
+                barred = {phrase[0] for keep, phrase in group if not keep and len(phrase) == 1}
+                long = any(len(phrase) > 1 for _, phrase in group)
+                rows += [(i, t, True, len(wanted), long) for t in sorted(wanted)] + [(i, t, False, len(wanted), long) for t in sorted(barred)]
+            return rows
+
+        return text.map(of)
+
+    asked = queries.select("query_id", F.col("text").alias("query"))
+    rows = asked.select("query_id", F.explode(plan("query")).alias("p")).select("query_id", "p.*").join(index.select("term", "id"), "term")
+    found = rows.groupBy("query_id", "part", "n", "phrases", "id").agg(F.count_if("wanted").alias("w"), F.count_if(~F.col("wanted")).alias("x"))
+    met = found.where((F.col("w") == F.col("n")) & (F.col("x") == 0))
+    sure = met.where(~F.col("phrases")).select("query_id", "id")
+    maybe = met.where("phrases").select("query_id", "id").distinct()
+    return sure.unionByName(_ranked(asked, maybe, index, stemmed).select("query_id", "id")).distinct()
+
+
+def _ranked(asked: DataFrame, found: DataFrame, index: DataFrame, stemmed: bool) -> DataFrame:
+    """(query_id, id, score) of those found that meet their query, by cover density. asked: query_id, query; found: distinct query_id, id."""
+
     @pandas_udf("array<string>")
     def all_terms(text: pd.Series) -> pd.Series:
         return text.map(lambda q: sorted({t for g in parse(q, stemmed) for _, phrase in g for t in phrase}))
 
     @pandas_udf("double")
     def rank(text: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
+        out, known = [], functools.cache(lambda q: parse(q, stemmed))
         for q, rows in zip(text, found, strict=True):
             where = {r["term"]: list(r["positions"]) for r in rows}
-            met = matches(parse(q, stemmed), where)
-            out.append(max((cover_density(m, where) for m in met), default=None))
+            out.append(max((cover_density(m, where) for m in matches(known(q), where)), default=None))
         return pd.Series(out, dtype="float64")
 
+    wanted = asked.select("query_id", F.explode(all_terms("query")).alias("term"))
+    placed = found.join(wanted, "query_id").join(index, ["term", "id"])
+    placed = placed.groupBy("query_id", "id").agg(F.sort_array(F.collect_list(F.struct("term", "positions"))).alias("found"))
+    scored = placed.join(asked, "query_id").select("query_id", "id", rank("query", "found").alias("score"))
+    return scored.where(F.col("score").isNotNull() & ~F.isnan("score"))
+
+
+def search(queries: DataFrame, index: DataFrame, k: int | None = 50, stemmed: bool = True) -> DataFrame:
+    """(query_id, id, score, position) of documents that meet each web-style query, by cover density, then id."""
     asked = queries.select("query_id", F.col("text").alias("query"))
-    looked_up = asked.select("query_id", F.explode(all_terms("query")).alias("term")).join(index, "term")
-    found = looked_up.groupBy("query_id", "id").agg(F.sort_array(F.collect_list(F.struct("term", "positions"))).alias("found"))
-    scored = found.join(asked, "query_id").select("query_id", "id", rank("query", "found").alias("score")).where(F.col("score").isNotNull() & ~F.isnan("score"))
+    scored = _ranked(asked, match(queries, index, stemmed), index, stemmed)
     ranked = scored.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked if k is None else ranked.where(F.col("position") <= k)
 
 
+def counts(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "text", stemmed: bool = True, only: DataFrame | None = None) -> DataFrame:
+    """(term, id, tf): how often each document has each term; of the terms in only, if given."""
+    rows = terms(docs, id_col, text_col, stemmed)
+    rows = rows if only is None else rows.join(only.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("term", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+
+
+def lengths(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """(id, n_terms): how many words that are no stop words each document has."""
+    return docs.select(F.col(id_col).alias("id"), F.size(F.filter(words(F.coalesce(F.col(text_col), F.lit(""))), lambda w: ~w.isin(*sorted(STOP)))).cast("long").alias("n_terms"))
+
+
 def bm25(queries: DataFrame, index: DataFrame, sizes: DataFrame, k: int = 50, stemmed: bool = True, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, score, position) by Okapi BM25 over any of a query's terms. sizes: (id, n_terms) of all documents."""
+    """(query_id, id, score, position) by Okapi BM25 over any of a query's terms.
+
+    index: postings, or counts of all a query's terms; sizes: (id, n_terms) of all documents.
+    """
     stats = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("avg_terms"))
     wanted = terms(queries, "query_id", "text", stemmed).select(F.col("id").alias("query_id"), "term").distinct()
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = wanted.join(df, "term").join(index.select("term", "id", F.size("positions").alias("tf")), "term").join(sizes, "id").join(F.broadcast(stats))  # one row
+    tf = index.select("term", "id", (F.size("positions") if "positions" in index.columns else F.col("tf")).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rows = wanted.join(df, "term").join(tf, "term").join(sizes, "id").join(F.broadcast(stats))  # one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_terms") / F.col("avg_terms")))
     scored = rows.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
     ranked = scored.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("position") <= k)
-

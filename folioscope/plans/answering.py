@@ -36,11 +36,11 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item's eight passages: documents in a fixed pattern, with a section for some and a page for others."""
     items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     docs = load(spark, sf_dir, "documents")
-    n = items.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("position")).withColumn("doc_id", (F.col("query_id") * 8 + F.col("position")) % 200)
+    n = items.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("position")).withColumn("doc_id", (F.col("query_id") * 8 + F.col("position")) * 7919 % max(1, docs.count()))
     return n.join(docs.select("doc_id", "source", "text"), "doc_id").select("query_id", "position", F.col("source").alias("document_name"), "text", F.when(F.col("position") % 2 == 0, F.array(F.lit("A"), F.lit("B"))).alias("section_path"), F.when(F.col("position") % 3 == 0, F.col("position")).alias("page_no"))
 
 
-PASSAGES_SQL = "passages AS (SELECT item_id AS query_id, position, source AS document_name, d.text, position % 2 = 0 AS has_path, CASE WHEN position % 3 = 0 THEN position END AS page_no FROM benchmark, range(1, 9) AS r(position) JOIN documents d ON d.doc_id = (item_id * 8 + position) % 200)"
+PASSAGES_SQL = "passages AS (SELECT item_id AS query_id, position, source AS document_name, d.text, position % 2 = 0 AS has_path, CASE WHEN position % 3 = 0 THEN position END AS page_no FROM benchmark, range(1, 9) AS r(position) JOIN documents d ON d.doc_id = (item_id * 8 + position) * 7919 % (SELECT count(*) FROM documents))"
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +24,14 @@ def tokens_sql(col: str) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder's name in the shared checkpoint folder; a local one only where the session names none."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/folioscope-scratch'}/{uuid.uuid4().hex}"
+    """A new folder's name in the shared checkpoint folder; a session on one machine that names none gets one of its own."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="folioscope-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top}/{uuid.uuid4().hex}"
 
 
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

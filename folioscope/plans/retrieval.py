@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from folioscope.operators import dense, fuse, lexical
 from folioscope.plans.common import load, r6
 
-N_QUERIES = 5
+#: The stated query set: vectors whose id is a multiple of this, against all.
+EVERY = 50
 
 
 def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated query set: the vectors with the least ids."""
+    """The stated query set."""
     v = load(spark, sf_dir, "embeddings")
-    return v.where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return v.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +25,8 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _knn_sql(where: str = "true", k: int = dense.CANDIDATES) -> str:
     return f"""
-  SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) DESC, v.vec_id) AS position
-  FROM embeddings q, embeddings v WHERE q.vec_id < {N_QUERIES} AND ({where}) QUALIFY position <= {k}"""
+  SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) DESC, v.vec_id) AS position
+  FROM embeddings q, embeddings v WHERE q.vec_id % {EVERY} = 0 AND ({where}) QUALIFY position <= {k}"""
 
 
 def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,11 +43,12 @@ def _index(spark: SparkSession, sf_dir: str, stemmed: bool) -> DataFrame:
 
 
 def lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web-style queries of three words: the first two words of each item, and the third or, and the fourth excluded."""
+    """Each item as a web-style query: all its words; or else the last one without the first."""
     words = F.filter(lexical.words(F.col("text")), lambda w: ~w.isin(*sorted(lexical.STOP)))
-    q = _text_queries(spark, sf_dir).select("query_id", words.alias("w")).where(F.size("w") >= 4)
-    q = q.select("query_id", F.concat(F.col("w")[0], F.lit(" "), F.col("w")[1], F.lit(" OR "), F.col("w")[2], F.lit(" -"), F.col("w")[3]).alias("text"))
-    return lexical.search(q, _index(spark, sf_dir, False), k=None, stemmed=False).select("query_id", F.col("id").alias("doc_id"))
+    q = _text_queries(spark, sf_dir).select("query_id", words.alias("w")).where(F.size("w") > 0)
+    q = q.select("query_id", F.concat(F.array_join("w", " "), F.lit(" OR "), F.element_at("w", -1), F.lit(" -"), F.col("w")[0]).alias("text"))
+    index = lexical.terms(load(spark, sf_dir, "documents"), "doc_id", "text", False).select("term", "id").distinct()
+    return lexical.match(q, index.withColumn("positions", F.array().cast("array<int>")), stemmed=False).select("query_id", F.col("id").alias("doc_id"))
 
 
 STOP_SQL = ", ".join(f"'{w}'" for w in sorted(lexical.STOP))
@@ -55,17 +57,16 @@ MATCH_SQL = f"""
 WITH q AS (SELECT item_id AS query_id, {WORDS_SQL} AS w FROM benchmark),
 d AS (SELECT doc_id, list_distinct({WORDS_SQL}) AS t FROM documents),
 t AS (SELECT doc_id, unnest(t) AS term FROM d),
-near AS (SELECT DISTINCT query_id, w, doc_id FROM (SELECT query_id, w, unnest(w[1:4]) AS term FROM q WHERE len(w) >= 4) JOIN t USING (term))
+near AS (SELECT query_id, w, doc_id FROM (SELECT query_id, w, w[-1] AS term FROM q WHERE len(w) > 0) JOIN t USING (term))
 SELECT n.query_id, n.doc_id FROM near n JOIN d USING (doc_id)
-WHERE (list_contains(t, w[1]) AND list_contains(t, w[2])) OR (list_contains(t, w[3]) AND NOT list_contains(t, w[4]))
+WHERE list_has_all(t, w) OR NOT list_contains(t, w[1])
 """
 
 
 def lexical_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    index = _index(spark, sf_dir, False)
-    sizes = docs.select(F.col("doc_id").alias("id")).join(lexical.terms(docs, "doc_id", "text", False).groupBy("id").agg(F.count(F.lit(1)).alias("n_terms")), "id", "left").fillna(0, ["n_terms"])
-    hits = lexical.bm25(_text_queries(spark, sf_dir), index, sizes, k=20, stemmed=False)
+    docs, queries = load(spark, sf_dir, "documents"), _text_queries(spark, sf_dir)
+    index = lexical.counts(docs, "doc_id", "text", False, only=lexical.terms(queries, "query_id", "text", False))
+    hits = lexical.bm25(queries, index, lexical.lengths(docs, "doc_id", "text"), k=20, stemmed=False)
     return hits.select("query_id", F.col("id").alias("doc_id"), r6(F.col("score")).alias("score"), "position")
 
 
@@ -83,19 +84,19 @@ SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION
 
 
 def lexical_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stemmed search with a phrase, ranked by cover density."""
-    words = lexical.words(F.col("text"))
-    q = _text_queries(spark, sf_dir).select("query_id", words.alias("w")).where(F.size("w") >= 9)
-    q = q.select("query_id", F.concat(F.lit('"'), F.array_join(F.slice("w", 3, 2), " "), F.lit('" '), F.array_join(F.slice("w", 6, 3), " ")).alias("text"))
-    return lexical.search(q, _index(spark, sf_dir, True), k=20).select("query_id", F.col("id").alias("doc_id"), r6(F.col("score")).alias("score"), "position")
+    """Each item as a phrase, or all its words anywhere, ranked by cover density."""
+    words = F.filter(lexical.words(F.col("text")), lambda w: ~w.isin(*sorted(lexical.STOP)))
+    q = _text_queries(spark, sf_dir).select("query_id", words.alias("w")).where(F.size("w") > 0)
+    q = q.select("query_id", F.concat(F.lit('"'), F.array_join("w", " "), F.lit('" or '), F.array_join("w", " ")).alias("text"))
+    return lexical.search(q, _index(spark, sf_dir, False), k=20, stemmed=False).select("query_id", F.col("id").alias("doc_id"), r6(F.col("score")).alias("score"), "position")
 
 
 def _rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three rankings of vectors for each query: by cosine, the same among even labels, and by id."""
+    """Three rankings of vectors for each query: by cosine among all, among even labels, and among odd ones."""
     v, q = load(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir)
     a = dense.knn(q, v, k=20).withColumn("retriever", F.lit("all"))
     b = dense.knn(q, v, k=20, filters={"label": [0, 2, 4, 6, 8]}).withColumn("retriever", F.lit("even"))
-    c = q.join(v.where(F.col("vec_id") < 10).select(F.col("vec_id").alias("id"))).select("query_id", "id", (F.col("id") + 1).cast("int").alias("position"), F.lit("ids").alias("retriever"))  # five queries by ten ids
+    c = dense.knn(q, v, k=20, filters={"label": [1, 3, 5, 7, 9]}).withColumn("retriever", F.lit("odd"))
     cols = ["query_id", "retriever", "position", "id"]
     return a.select(cols).unionByName(b.select(cols)).unionByName(c.select(cols))
 
@@ -104,7 +105,7 @@ RANKINGS_SQL = f"""
 rankings AS (
   SELECT query_id, 'all' AS retriever, position, vec_id AS id FROM ({_knn_sql(k=20)})
   UNION ALL SELECT query_id, 'even', position, vec_id FROM ({_knn_sql('v.label IN (0, 2, 4, 6, 8)', 20)})
-  UNION ALL SELECT q.vec_id, 'ids', v.vec_id + 1, v.vec_id FROM embeddings q, embeddings v WHERE q.vec_id < {N_QUERIES} AND v.vec_id < 10),
+  UNION ALL SELECT query_id, 'odd', position, vec_id FROM ({_knn_sql('v.label IN (1, 3, 5, 7, 9)', 20)})),
 firsts AS (SELECT query_id, retriever, id, min(position) AS r FROM rankings GROUP BY ALL)"""
 
 
@@ -126,15 +127,15 @@ SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION
 
 
 def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(fuse.reciprocal_rank_fusion(_rankings(spark, sf_dir), weights={"even": 2.0, "ids": 0.0}, limit=12))
+    return _fused(fuse.reciprocal_rank_fusion(_rankings(spark, sf_dir), weights={"even": 2.0, "odd": 0.0}, limit=12))
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> DataFrame:
-    """Documents with the vector of the same id; a query is a vector and a word of its document."""
+    """All documents and all vectors; a query is a vector and two words of the document of its id."""
     v, docs = load(spark, sf_dir, "embeddings"), load(spark, sf_dir, "documents")
-    longest = F.element_at(F.array_sort(F.transform(lexical.words(F.col("text")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-    q = _vector_queries(spark, sf_dir).join(docs.select(F.col("doc_id").alias("query_id"), F.concat(longest, F.lit(" or "), F.element_at(lexical.words(F.col("text")), -1)).alias("text")), "query_id")
-    index = lexical.postings(docs.join(v.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi"), "doc_id", "text", stemmed)
+    longest = F.try_element_at(F.array_sort(F.transform(lexical.words(F.col("text")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), F.lit(-1))["w"]
+    q = _vector_queries(spark, sf_dir).join(docs.select(F.col("doc_id").alias("query_id"), F.concat(longest, F.lit(" or "), F.try_element_at(lexical.words(F.col("text")), F.lit(-1))).alias("text")), "query_id", "left")
+    index = lexical.postings(docs, "doc_id", "text", stemmed)
     return fuse.hybrid_search(q.select("query_id", "text", "query_vector"), v, index, candidates=50, limit=fuse.TOP, stemmed=stemmed)
 
 
@@ -144,8 +145,8 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HYBRID_SQL = f"""
 WITH words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
-pos AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM words WHERE doc_id IN (SELECT vec_id FROM embeddings)),
-q AS (SELECT doc_id AS query_id, unnest([(SELECT arg_max(x, (length(x), x)) FROM unnest(w) AS t(x)), w[-1]]) AS term FROM words WHERE doc_id < {N_QUERIES}),
+pos AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM words),
+q AS (SELECT doc_id AS query_id, unnest([(SELECT arg_max(x, (length(x), x)) FROM unnest(w) AS t(x)), w[-1]]) AS term FROM words WHERE doc_id % {EVERY} = 0 AND doc_id IN (SELECT vec_id FROM embeddings)),
 wanted AS (SELECT DISTINCT query_id, term FROM q WHERE term NOT IN ({STOP_SQL})),
 lex AS (SELECT query_id, doc_id, max(s) AS s FROM (SELECT query_id, term, doc_id, count(*) * 0.1::DOUBLE AS s FROM wanted JOIN pos USING (term) GROUP BY ALL) GROUP BY ALL),
 lexical AS (SELECT query_id, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS r FROM lex QUALIFY r <= 50),
@@ -172,6 +173,6 @@ QUERIES = {
 }
 ORACLES = {
     "dense_topk": f"SELECT query_id, vec_id, round(score, 6) AS score, position FROM ({_knn_sql()})", "dense_topk_filtered": f"SELECT query_id, vec_id, round(score, 6) AS score, position FROM ({_knn_sql('v.label IN (1, 3, 5)', 10)})",
-    "lexical_match": MATCH_SQL, "lexical_bm25": BM25_SQL, "rrf_fuse": _fuse_sql("1.0::DOUBLE"), "rrf_weighted": _fuse_sql("CASE retriever WHEN 'even' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END", "retriever <> 'ids'", 12),
+    "lexical_match": MATCH_SQL, "lexical_bm25": BM25_SQL, "rrf_fuse": _fuse_sql("1.0::DOUBLE"), "rrf_weighted": _fuse_sql("CASE retriever WHEN 'even' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END", "retriever <> 'odd'", 12),
     "hybrid_search": HYBRID_SQL, "vector_width": "SELECT count(*) AS n_vectors, CAST(min(len(embedding)) AS INTEGER) AS width FROM embeddings",
 }

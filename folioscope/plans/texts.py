@@ -233,7 +233,7 @@ BOX_SQL = f"WITH {RECTS} SELECT l_orderkey, l_linenumber, round(x0, 6) AS x0, ro
 
 
 def bbox_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, sf_dir).where(F.col("l_orderkey") % 4 == 0)
+    b = boxes(spark, sf_dir)
     other = b.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("other_line"), F.col("bbox").alias("o"))
     return b.join(other, (F.col("l_orderkey") == F.col("k")) & (F.col("l_linenumber") < F.col("other_line"))).select("l_orderkey", "l_linenumber", "other_line", r6(geometry.iou(F.col("bbox"), F.col("o"))).alias("iou"))
 
@@ -241,7 +241,7 @@ def bbox_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
 IOU_SQL = f"""
 WITH {RECTS},
 p AS (SELECT a.l_orderkey, a.l_linenumber, b.l_linenumber AS other_line, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS total, least(a.x1, b.x1) - greatest(a.x0, b.x0) AS w, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS h
-  FROM snapped a JOIN snapped b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE a.l_orderkey % 4 = 0)
+  FROM snapped a JOIN snapped b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber)
 SELECT l_orderkey, l_linenumber, other_line, round(CASE WHEN w > 0 AND h > 0 THEN w * h / (total - w * h) ELSE 0.0 END, 6) AS iou FROM p
 """
 
@@ -280,7 +280,7 @@ SELECT l_orderkey, n AS l_linenumber, CASE n WHEN 1 THEN p WHEN 2 THEN '$(' || p
 
 
 def template_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = load(spark, sf_dir, "orders").where(F.col("o_orderkey") % 5 == 0)
+    o = load(spark, sf_dir, "orders")
     company = F.when(F.col("o_custkey") % 3 > 0, F.col("o_orderstatus"))
     form = F.when(F.col("o_custkey") % 2 == 0, F.lit("10-K"))
     year = F.when(F.col("o_custkey") % 4 == 0, F.year(F.to_date("o_orderdate")))
@@ -292,7 +292,7 @@ PREFIX_SQL = """
 SELECT o_orderkey, 'From ' || CASE WHEN o_custkey % 3 = 0 AND o_custkey % 2 <> 0 THEN 'file.pdf'
     ELSE concat_ws(' ', CASE WHEN o_custkey % 3 > 0 THEN o_orderstatus END, CASE WHEN o_custkey % 2 = 0 THEN '10-K' END, CASE WHEN o_custkey % 4 = 0 THEN CAST(year(CAST(o_orderdate AS DATE)) AS VARCHAR) END) END
   || CASE WHEN o_orderkey % 10 = 0 THEN ', section Item 1 > ' || o_orderstatus ELSE '' END || CASE WHEN o_orderkey % 3 > 0 THEN ', page ' || CAST(o_orderkey % 3 AS VARCHAR) ELSE '' END || '.' AS prefix
-FROM orders WHERE o_orderkey % 5 = 0
+FROM orders
 """
 
 QUERIES = {
