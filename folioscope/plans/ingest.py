@@ -216,6 +216,22 @@ def pipeline_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{top}/rows")
 
 
+# A stage is sent out at the event that completes the last of the stages it waits for, unless it is complete by then; one that waits for none, at a run's first success.
+MACHINE_SQL = f"""
+WITH {GRAPH},
+ev AS (SELECT event_id, CAST(user_id AS VARCHAR) AS run_id, {FAMILY_SQL.format("user_id")} AS family, (['detect', 'convert', 'parse', 'parse_flow', 'ocr', 'tables', 'figures', 'chunk', 'contextualize', 'embed'])[event_id % 10 + 1] AS stage, event_id % 4 <> 0 AS ok, event_id % 8 = 0 AS permanent FROM events),
+completed AS (SELECT run_id, stage, min(event_id) AS at FROM ev WHERE ok GROUP BY ALL),
+begun AS (SELECT run_id, family, min(event_id) AS at FROM ev WHERE ok GROUP BY ALL),
+waits AS (SELECT b.run_id, p.stage, b.at AS begun, p.deps, unnest(CASE WHEN len(p.deps) = 0 THEN [NULL] ELSE p.deps END) AS dep FROM begun b JOIN paths p USING (family)),
+due AS (SELECT w.run_id, w.stage, CASE WHEN any_value(len(w.deps)) = 0 THEN any_value(begun) WHEN count(c.at) = any_value(len(w.deps)) THEN max(c.at) END AS at FROM waits w LEFT JOIN completed c ON c.run_id = w.run_id AND c.stage = w.dep GROUP BY w.run_id, w.stage),
+failures AS (SELECT e.*, g.most, CAST(row_number() OVER (PARTITION BY run_id, e.stage ORDER BY event_id) AS INTEGER) AS n FROM ev e JOIN graph g USING (stage) WHERE NOT ok)
+SELECT d.run_id, 'dispatch' AS action, d.stage, 1 AS attempt, NULL AS reason FROM due d LEFT JOIN completed c ON c.run_id = d.run_id AND c.stage = d.stage WHERE d.at IS NOT NULL AND (c.at IS NULL OR c.at > d.at)
+UNION ALL
+SELECT run_id, CASE WHEN permanent OR n >= most THEN 'dead_letter' ELSE 'retry' END, stage, CASE WHEN permanent OR n >= most THEN n ELSE n + 1 END,
+  CASE WHEN permanent THEN 'permanent' WHEN n >= most THEN 'attempts exhausted' ELSE 'after ' || ([5000, 30000, 300000])[least(n, 3)] || ' ms' END FROM failures
+"""
+
+
 def chunk_link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order as a chunk whose blocks are its lines' parts, some named twice."""
     li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 5).alias("block_id"))
@@ -234,5 +250,5 @@ QUERIES = {
 }
 ORACLES = {
     "format_route": ROUTE_SQL, "message_decode": MESSAGE_SQL, "json_recordset": "SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS DOUBLE) AS l_quantity FROM lineitem", "dedupe_upload": DEDUPE_SQL, "upsert_pages": UPSERT_SQL,
-    "list_documents": LIST_SQL, "pdf_fragments": PDF_SQL, "ready_stages": READY_SQL, "next_messages": NEXT_SQL, "resume_plan": RESUME_SQL, "run_ready": DONE_SQL, "stage_view": VIEW_SQL, "retry_plan": RETRY_SQL, "chunk_link_rows": LINK_ROWS_SQL,
+    "list_documents": LIST_SQL, "pdf_fragments": PDF_SQL, "ready_stages": READY_SQL, "next_messages": NEXT_SQL, "resume_plan": RESUME_SQL, "run_ready": DONE_SQL, "stage_view": VIEW_SQL, "retry_plan": RETRY_SQL, "pipeline_batch": MACHINE_SQL, "pipeline_stream": MACHINE_SQL, "chunk_link_rows": LINK_ROWS_SQL,
 }

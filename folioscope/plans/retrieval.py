@@ -91,6 +91,19 @@ def lexical_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(q, _index(spark, sf_dir, False), k=20, stemmed=False).select("query_id", F.col("id").alias("doc_id"), r6(F.col("score")).alias("score"), "position")
 
 
+COVER_SQL = f"""
+WITH q AS (SELECT item_id AS query_id, list_distinct({WORDS_SQL}) AS w FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents),
+met AS (SELECT query_id, doc_id, w, ws FROM q, d WHERE len(w) > 0 AND list_has_all(ws, w)),
+places AS (SELECT query_id, doc_id, len(w) AS n, p, term FROM (SELECT query_id, doc_id, w, unnest(ws) AS term, generate_subscripts(ws, 1) AS p FROM met) WHERE list_contains(w, term)),
+lasts AS (SELECT a.query_id, a.doc_id, a.n, a.p, b.term, max(b.p) AS last FROM places a JOIN places b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND b.p <= a.p GROUP BY ALL),
+stretches AS (SELECT query_id, doc_id, n, p, min(last) AS first FROM lasts GROUP BY ALL HAVING count(*) = n),
+covers AS (SELECT query_id, doc_id, n, first, min(p) AS last FROM stretches GROUP BY ALL),
+s AS (SELECT query_id, doc_id, sum({lexical.COVER_WEIGHT}::DOUBLE * n / (last - first + 1) ORDER BY first) AS score FROM covers GROUP BY ALL)
+SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS position FROM s QUALIFY position <= 20
+"""
+
+
 def _rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three rankings of vectors for each query: by cosine among all, among even labels, and among odd ones."""
     v, q = load(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir)
@@ -173,6 +186,6 @@ QUERIES = {
 }
 ORACLES = {
     "dense_topk": f"SELECT query_id, vec_id, round(score, 6) AS score, position FROM ({_knn_sql()})", "dense_topk_filtered": f"SELECT query_id, vec_id, round(score, 6) AS score, position FROM ({_knn_sql('v.label IN (1, 3, 5)', 10)})",
-    "lexical_match": MATCH_SQL, "lexical_bm25": BM25_SQL, "rrf_fuse": _fuse_sql("1.0::DOUBLE"), "rrf_weighted": _fuse_sql("CASE retriever WHEN 'even' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END", "retriever <> 'odd'", 12),
+    "lexical_match": MATCH_SQL, "lexical_cover_density": COVER_SQL, "lexical_bm25": BM25_SQL, "rrf_fuse": _fuse_sql("1.0::DOUBLE"), "rrf_weighted": _fuse_sql("CASE retriever WHEN 'even' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END", "retriever <> 'odd'", 12),
     "hybrid_search": HYBRID_SQL, "vector_width": "SELECT count(*) AS n_vectors, CAST(min(len(embedding)) AS INTEGER) AS width FROM embeddings",
 }

@@ -259,6 +259,20 @@ def merge_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("page", "seed", "n_boxes", *[r6(F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
+_OVERLAP = "least(s.x1, x.x1) > greatest(s.x0, x.x0) AND least(s.y1, x.y1) > greatest(s.y0, x.y0) AND (least(s.x1, x.x1) - greatest(s.x0, x.x0)) * (least(s.y1, x.y1) - greatest(s.y0, x.y0)) / (s.a + x.a - (least(s.x1, x.x1) - greatest(s.x0, x.x0)) * (least(s.y1, x.y1) - greatest(s.y0, x.y0))) >= 0.3::DOUBLE"
+MERGE_SQL = f"""
+WITH RECURSIVE {RECTS},
+sized AS (SELECT l_orderkey % 1000 AS page, l_orderkey * 8 + l_linenumber AS o, x0, y0, x1, y1, (x1 - x0) * (y1 - y0) AS a FROM snapped),
+pages AS (SELECT page, list(struct_pack(o := o, x0 := x0, y0 := y0, x1 := x1, y1 := y1, a := a) ORDER BY a DESC, o, x0, y0, x1, y1) AS rest FROM sized GROUP BY page),
+merged AS (
+  SELECT page, NULL::STRUCT(o BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, a DOUBLE) AS s, []::STRUCT(o BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, a DOUBLE)[] AS g, rest FROM pages
+  UNION ALL
+  SELECT page, s, list_concat([s], list_filter(rest, lambda x: {_OVERLAP})), list_filter(rest, lambda x: NOT ({_OVERLAP})) FROM (SELECT page, rest[1] AS s, rest[2:] AS rest FROM merged WHERE len(rest) > 0))
+SELECT page, s.o AS seed, CAST(len(g) AS INTEGER) AS n_boxes, round(list_min(list_transform(g, lambda x: x.x0)), 6) AS x0, round(list_min(list_transform(g, lambda x: x.y0)), 6) AS y0, round(list_max(list_transform(g, lambda x: x.x1)), 6) AS x1, round(list_max(list_transform(g, lambda x: x.y1)), 6) AS y1
+FROM merged WHERE s IS NOT NULL
+"""
+
+
 def numeric_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells made of lineitem's prices in eight notations."""
     li = load(spark, sf_dir, "lineitem")
@@ -304,5 +318,5 @@ QUERIES = {
 ORACLES = {
     "token_count": f"SELECT doc_id, {tokens_sql('text')} AS tokens FROM documents", "word_shape": f"SELECT doc_id, round({SHAPE_SQL}, 6) AS shape FROM documents", "text_gate": GATE_SQL, "sentence_split": SENTENCE_SQL,
     "line_blocks": LINES_SQL, "plain_blocks": PARAGRAPHS_SQL, "csv_blocks": CSV_SQL, "markdown_blocks": MARKDOWN_SQL, "flatten_spans": SPANS_SQL, "layout_groups": GROUPS_SQL, "layout_chunks": LAYOUT_SQL,
-    "chunk_block_links": LINKS_SQL, "semantic_gaps": GAPS_SQL, "bbox_normalise": BOX_SQL, "bbox_iou": IOU_SQL, "union_bbox": UNION_SQL, "numeric_parse": NUMERIC_SQL, "template_prefix": PREFIX_SQL,
+    "chunk_block_links": LINKS_SQL, "semantic_gaps": GAPS_SQL, "bbox_normalise": BOX_SQL, "bbox_iou": IOU_SQL, "union_bbox": UNION_SQL, "merge_overlapping": MERGE_SQL, "numeric_parse": NUMERIC_SQL, "template_prefix": PREFIX_SQL,
 }
