@@ -49,6 +49,17 @@ def word_shape(text: Column) -> Column:
     return F.when(runs < SHAPE_LEAST_WORDS, F.lit(1.0)).otherwise(voiced / runs)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _shown(x: Column, digits: int) -> Column:
+    """A number with so many decimals; a half that a double holds exactly goes to the even digit."""
+    ties = x * 2.0 ** (digits + 1)
+    return F.format_string(f"%.{digits}f", F.when(ties == F.floor(ties), F.bround(x, digits)).otherwise(x))
+
+
 def text_gate(text: Column, width: Column, height: Column, threshold: float = GATE_THRESHOLD) -> Column:
     """struct(confidence, needs_ocr, reasons): how far a page's text layer can be trusted.
 
@@ -56,33 +67,39 @@ def text_gate(text: Column, width: Column, height: Column, threshold: float = GA
     area, and runs without vowels. A page without a positive size is an error.
     """
     text = F.coalesce(text, F.lit(""))
-    total = F.length(text)
-    inside = strip(text)
-    glyphs = (total - F.length(F.regexp_replace(text, GLYPH_CODE, ""))) / total
-    broken = (total - F.length(F.replace(text, F.lit(REPLACEMENT), F.lit("")))) / total
-    density = F.length(inside) / (width * height / 1000.0)
-    shape = word_shape(text)
+    total = F.nullif(F.length(text), F.lit(0))
+    signals = F.struct(
+        F.length(strip(text)).alias("inside"),
+        ((F.length(text) - F.length(F.regexp_replace(text, GLYPH_CODE, ""))) / total).alias("glyphs"),
+        ((F.length(text) - F.length(F.replace(text, F.lit(REPLACEMENT), F.lit("")))) / total).alias("broken"),
+        (F.length(strip(text)) / F.nullif(width * height / 1000.0, F.lit(0.0))).alias("density"),
+        word_shape(text).alias("shape"),
+    )
     factor = lambda on, value: F.when(on, value).otherwise(F.lit(1.0))
     floor0 = lambda x: F.greatest(F.lit(0.0), x)
-    confidence = (
-        factor(glyphs > GLYPH_CODE_LIMIT, floor0(1.0 - glyphs * GLYPH_CODE_FACTOR))
-        * factor(broken > REPLACEMENT_LIMIT, floor0(1.0 - broken * REPLACEMENT_FACTOR))
-        * factor(density < DENSITY_LIMIT, F.greatest(F.lit(DENSITY_FLOOR), density / DENSITY_LIMIT))
-        * factor(shape < SHAPE_LIMIT, shape)
-    )
-    confidence = F.when(inside == "", F.lit(0.0)).otherwise(F.least(F.lit(1.0), floor0(confidence)))
-    percent = lambda x: F.format_string("%.1f%%", x * 100.0)
-    reasons = F.array_compact(
-        F.array(
-            F.when(glyphs > GLYPH_CODE_LIMIT, F.concat(F.lit("cid_glyphs="), percent(glyphs))),
-            F.when(broken > REPLACEMENT_LIMIT, F.concat(F.lit("replacement_chars="), percent(broken))),
-            F.when(density < DENSITY_LIMIT, F.format_string("sparse_text density=%.2f", density)),
-            F.when(shape < SHAPE_LIMIT, F.format_string("unwordlike_text=%.2f", shape)),
+
+    def judged(s: Column) -> Column:
+        glyphs, broken, density, shape = s["glyphs"], s["broken"], s["density"], s["shape"]
+        confidence = (
+            factor(glyphs > GLYPH_CODE_LIMIT, floor0(1.0 - glyphs * GLYPH_CODE_FACTOR))
+            * factor(broken > REPLACEMENT_LIMIT, floor0(1.0 - broken * REPLACEMENT_FACTOR))
+            * factor(density < DENSITY_LIMIT, F.greatest(F.lit(DENSITY_FLOOR), density / DENSITY_LIMIT))
+            * factor(shape < SHAPE_LIMIT, shape)
         )
-    )
-    reasons = F.when(inside == "", F.array(F.lit("empty_text_layer"))).otherwise(reasons)
-    checked = F.when((width > 0) & (height > 0), F.struct(confidence.alias("confidence"), (confidence < threshold).alias("needs_ocr"), reasons.alias("reasons")))
-    return F.coalesce(checked, F.raise_error(F.lit("a page's size must be positive")).cast("struct<confidence:double,needs_ocr:boolean,reasons:array<string>>"))
+        confidence = F.when(s["inside"] == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), floor0(confidence)))
+        reasons = F.array_compact(
+            F.array(
+                F.when(glyphs > GLYPH_CODE_LIMIT, F.concat(F.lit("cid_glyphs="), _shown(glyphs * 100.0, 0), F.lit("%"))),
+                F.when(broken > REPLACEMENT_LIMIT, F.concat(F.lit("replacement_chars="), _shown(broken * 100.0, 1), F.lit("%"))),
+                F.when(density < DENSITY_LIMIT, F.concat(F.lit("sparse_text density="), _shown(density, 2))),
+                F.when(shape < SHAPE_LIMIT, F.concat(F.lit("unwordlike_text="), _shown(shape, 2))),
+            )
+        )
+        reasons = F.when(s["inside"] == 0, F.array(F.lit("empty_text_layer"))).otherwise(reasons)
+        return F.struct(confidence.alias("confidence"), (confidence < threshold).alias("needs_ocr"), reasons.alias("reasons"))
+
+    kind = "struct<confidence:double,needs_ocr:boolean,reasons:array<string>>"
+    return F.coalesce(F.when((width > 0) & (height > 0), _once(signals, judged)), F.raise_error(F.lit("a page's size must be positive")).cast(kind))
 
 
 def locating_prefix(company: Column, form: Column, year: Column, name: Column, section_path: Column, page: Column) -> Column:

@@ -27,7 +27,7 @@ SHAPE_SQL = """CASE WHEN len(regexp_extract_all(text, '[A-Za-z]{2,}')) < 8 THEN
 
 def page_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", text_gate(F.col("text"), F.lit(612.0), F.lit(792.0)).alias("g"))
-    return docs.select("doc_id", r6(F.col("g.confidence")).alias("confidence"), F.col("g.needs_ocr").alias("needs_ocr"), F.size("g.reasons").alias("n_reasons"))
+    return docs.select("doc_id", r6(F.col("g.confidence")).alias("confidence"), F.col("g.needs_ocr").alias("needs_ocr"), F.array_join("g.reasons", "; ").alias("reasons"))
 
 
 GATE_SQL = f"""
@@ -35,11 +35,12 @@ WITH m AS (
   SELECT doc_id, text, length(text) AS n, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS inside, {SHAPE_SQL} AS shape,
     (length(text) - length(regexp_replace(text, '\\(cid:\\d+\\)', '', 'g'))) / length(text) AS glyphs, (length(text) - length(replace(text, chr(65533), ''))) / length(text) AS broken FROM documents),
 d AS (SELECT *, inside / (612.0::DOUBLE * 792.0::DOUBLE / 1000.0::DOUBLE) AS density FROM m),
-c AS (SELECT doc_id, inside, (glyphs > 0.02)::INT + (broken > 0.005)::INT + (density < 0.35)::INT + (shape < 0.65)::INT AS n_reasons,
+c AS (SELECT doc_id, inside, concat_ws('; ', CASE WHEN glyphs > 0.02 THEN 'cid_glyphs=' || format('{{:.0f}}%', glyphs * 100) END, CASE WHEN broken > 0.005 THEN 'replacement_chars=' || format('{{:.1f}}%', broken * 100) END,
+      CASE WHEN density < 0.35 THEN 'sparse_text density=' || format('{{:.2f}}', density) END, CASE WHEN shape < 0.65 THEN 'unwordlike_text=' || format('{{:.2f}}', shape) END) AS reasons,
     CASE WHEN glyphs > 0.02 THEN greatest(0, 1 - 3 * glyphs) ELSE 1 END * CASE WHEN broken > 0.005 THEN greatest(0, 1 - 10 * broken) ELSE 1 END
     * CASE WHEN density < 0.35 THEN greatest(0.15::DOUBLE, density / 0.35::DOUBLE) ELSE 1 END * CASE WHEN shape < 0.65 THEN shape ELSE 1 END AS confidence FROM d)
 SELECT doc_id, round(CASE WHEN inside = 0 THEN 0.0 ELSE least(1, greatest(0, confidence)) END, 6) AS confidence, CASE WHEN inside = 0 THEN true ELSE confidence < 0.72 END AS needs_ocr,
-  CAST(CASE WHEN inside = 0 THEN 1 ELSE n_reasons END AS INTEGER) AS n_reasons FROM c
+  CASE WHEN inside = 0 THEN 'empty_text_layer' ELSE reasons END AS reasons FROM c
 """
 
 

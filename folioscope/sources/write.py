@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,13 +36,9 @@ def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def drop_documents(spark: SparkSession, path: str, document_ids: list[str], by: str = "document_id") -> DataFrame:
-    """A partitioned table without some documents; nothing happens where there are none, or no table."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], f"{by} string")
-    return spark.read.parquet(path).where(~F.col(by).isin(*document_ids))
+def without_documents(table: DataFrame, documents: DataFrame, by: str = "document_id") -> DataFrame:
+    """table without the rows of some documents, a table of ids; null ids stay."""
+    return table.join(documents.select(by).distinct(), by, "left_anti").select(*table.columns)
 
 
 def chunk_links(chunks: DataFrame, key: list[str]) -> DataFrame:

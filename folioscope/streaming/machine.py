@@ -1,8 +1,9 @@
-"""The stage store as a stateful streaming query: state keyed by run, timers for retries.
+"""The stage store as a stateful streaming query: state keyed by run.
 
-Events (run_id, family, stage, outcome, error_class, attempt) come in as a stream; a run's
-state holds which stages completed, were dispatched, and failed how often. A completion
-atomically records itself and dispatches what became ready, as all events of a run are
+Events (event_id, run_id, family, stage, outcome, error_class) come in as a stream; a run's
+state holds which stages completed, were dispatched, and failed how often, and the numbers of
+its last ``REMEMBERED`` events, so that a redelivered one counts once. A completion
+records itself and dispatches what became ready in one step, as all events of a run are
 handled by one task against one state. Output rows are what a worker would be sent; a retry
 carries its delay, which the receiving queue keeps. Duplicate completions dispatch nothing
 again.
@@ -22,6 +23,7 @@ from folioscope.streaming.stages import PERMANENT, PIPELINE, RETRY_MS, ready
 
 OUT = "run_id string, action string, stage string, attempt int, reason string"
 STATE = "body string"
+REMEMBERED = 256
 LIMITS = {s.name: s.max_attempts for s in PIPELINE}
 
 
@@ -49,14 +51,28 @@ def step(state: dict, family: str, stage: str, outcome: str, error_class: str |
     return out
 
 
+NEW = {"completed": [], "dispatched": [], "attempts": {}, "seen": []}
+COLUMNS = [x.split()[0] for x in OUT.split(", ")]
+
+
+def advance(run: str, state: dict, events: pd.DataFrame) -> pd.DataFrame:
+    """All rows that a run's events give, in the order of their numbers; state is changed."""
+    out, seen = [], dict.fromkeys(state["seen"])
+    e = events.sort_values("event_id")
+    for number, family, stage, outcome, error in zip(*(e[c].tolist() for c in ("event_id", "family", "stage", "outcome", "error_class")), strict=True):
+        if number in seen:
+            continue
+        seen[number] = None
+        out += [(run, *row) for row in step(state, family, stage, outcome, error)]
+    state["seen"] = list(seen)[-REMEMBERED:]
+    return pd.DataFrame(out, columns=COLUMNS)
+
+
 def handle(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = json.loads(state.get[0]) if state.exists else {"completed": [], "dispatched": [], "attempts": {}}
-    events = pd.concat(list(parts), ignore_index=True).sort_values("event_id")
-    out = []
-    for e in events.itertuples(index=False):
-        out += [(key[0], *row) for row in step(now, e.family, e.stage, e.outcome, e.error_class)]
+    now = json.loads(state.get[0]) if state.exists else json.loads(json.dumps(NEW))
+    out = advance(key[0], now, pd.concat(list(parts), ignore_index=True))
     state.update((json.dumps(now),))
-    yield pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")])
+    yield out
 
 
 def run_stages(events: DataFrame) -> DataFrame:
@@ -68,10 +84,7 @@ def replay(events: DataFrame) -> DataFrame:
     """The same rows from a table of events at once."""
 
     def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        now, out = {"completed": [], "dispatched": [], "attempts": {}}, []
-        for e in pdf.sort_values("event_id").itertuples(index=False):
-            out += [(key[0], *row) for row in step(now, e.family, e.stage, e.outcome, e.error_class)]
-        return pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")])
+        return advance(key[0], json.loads(json.dumps(NEW)), pdf)
 
     return events.groupBy("run_id").applyInPandas(whole, OUT)
 
