@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 TOKEN = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f]"
 BLANK = r"[\s\x1c-\x1f]"
 TOKENS_PER_PIECE = 1.3
-#: The end of a sentence: white space after . ! or ?, perhaps closed by a quote or bracket, before a capital, quote or bracket.
+# Fixed value: the end of a sentence: white space after . ! or ?, perhaps closed by a quote or bracket, before a capital, quote or bracket.
 SENTENCE_END = r"""(?:(?<=[.!?])|(?<=[.!?]["')\]]))\s+(?=[A-Z("'])"""
 
 # Fixed values of the text-layer gate: limits and factors.

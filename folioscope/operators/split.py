@@ -18,9 +18,22 @@ from folioscope.functions.text import BLANK, is_blank, strip
 CSV_ROWS = 40
 LINE_END = r"(?<=[\n\x0b\x0c\x1c-\x1e\x85  ])|(?<=\r)(?!\n)"
 BLOCKS = "array<struct<kind:string,text:string,char_start:int,char_end:int,section_path:array<string>>>"
-HEADING = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*$")
-FENCE = re.compile(r"\s*(```|~~~)")
-ITEM = re.compile(r"\s*(?:[-*+]|\d+[.)])\s+")
+# How Markdown's line starts look, by the format. Within a line, W is white space.
+ENDS = "\n\r\x0b\x0c\x1c-\x1e\x85  "
+W = rf"[^\S{ENDS}]"
+REST, END = rf"[^{ENDS}]*", rf"(?:\r\n|[{ENDS}]|\Z)"
+LINE = rf"(?:[^{ENDS}]+{END}|\r\n|[{ENDS}])"
+FENCE, HEADING, EMPTY, ROW, ITEM = rf"{W}*(?:```|~~~)", rf"#{{1,6}}{W}", rf"{W}*(?:[{ENDS}]|(?<=\s)\Z)", rf"{W}*\|", rf"{W}*(?:[-*+]|\d+[.)]){W}"
+#: A Markdown text is a row of these, each of whole lines: what a block is, is said by its first line, and by how far it goes.
+GRAMMAR = re.compile(
+    rf"(?P<code>{W}*(```|~~~){REST}{END}(?:(?!{W}*\2){LINE})*(?:{W}*\2{REST}{END})?)"
+    rf"|(?P<heading>{HEADING}{REST}{END})"
+    rf"|(?P<blank>(?:{W}*(?:\r\n|[{ENDS}])|{W}+\Z))"
+    rf"|(?P<table>(?:(?={ROW}){LINE})+)"
+    rf"|(?P<list>(?:(?={ITEM}){LINE})+)"
+    rf"|(?P<paragraph>(?:(?!{FENCE}|{HEADING}|{EMPTY}|{ROW}|{ITEM}|{W}+\Z){LINE})+)"
+)
+TITLE = re.compile(rf"(#+){W}*(.*?){W}*#*{W}*", re.DOTALL)
 
 
 def line_spans(df: DataFrame, text: str = "text") -> DataFrame:
@@ -62,56 +75,17 @@ def _lines(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def _block(text: str, start: int, end: int, kind: str, path: list[str]) -> list[dict]:
-    piece = text[start:end]
-    inside = piece.strip()
-    if not inside:
-        return []
-    start += len(piece) - len(piece.lstrip())
-    return [{"kind": kind, "text": inside, "char_start": start, "char_end": start + len(inside), "section_path": list(path)}]
-
-
 def markdown(text: str) -> list[dict]:
     """Blocks of a Markdown text: headings, fenced code, lists, tables, paragraphs, with the headings above them."""
-    lines, out, titles = _lines(text), [], []
-    path: list[str] = []
-    run: tuple[int, int, str] | None = None  # start, end, kind of the block that is open
-
-    def close() -> None:
-        nonlocal run
-        if run:
-            out.extend(_block(text, *run, path))
-        run = None
-
-    i = 0
-    while i < len(lines):
-        at, line = lines[i]
-        i += 1
-        fence = FENCE.match(line)
-        heading = None if fence else HEADING.match(line.rstrip("\r\n"))
-        if fence:
-            close()
-            end = at + len(line)
-            while i < len(lines):
-                start, inner = lines[i]
-                i, end = i + 1, start + len(inner)
-                if inner.strip().startswith(fence[1]):
-                    break
-            out.extend(_block(text, at, end, "paragraph", path))
-        elif heading:
-            close()
-            level = len(heading[1])
-            titles = [t for t in titles if t[0] < level] + [(level, heading[2].strip())]
-            path = [t for _, t in titles]
-            out.extend(_block(text, at, at + len(line), "heading", path))
-        elif not line.strip():
-            close()
-        else:
-            kind = "table" if line.lstrip().startswith("|") else "list" if ITEM.match(line) else "paragraph"
-            if run and run[2] != kind:
-                close()
-            run = (run[0] if run else at, at + len(line), kind)
-    close()
+    out, above = [], [None] * 6  # the last heading of each level that is still open
+    for m in GRAMMAR.finditer(text):
+        kind, inside = m.lastgroup, m[0].strip()
+        if kind == "heading":
+            marks, title = TITLE.fullmatch(inside).groups()
+            above[len(marks) - 1 :] = [title.strip(), *[None] * (6 - len(marks))]
+        if inside:
+            start = m.start() + m[0].index(inside)
+            out.append({"kind": "paragraph" if kind == "code" else kind, "text": inside, "char_start": start, "char_end": start + len(inside), "section_path": [t for t in above if t is not None]})
     return out
 
 

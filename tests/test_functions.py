@@ -1,6 +1,8 @@
 from decimal import Decimal
 
 import pytest
+
+from folioscope.operators import split
 from pyspark.sql import functions as F
 
 from folioscope.functions import geometry, numbers
@@ -99,3 +101,14 @@ def test_prefixes(spark):
     assert prefix("Acme", "10-K", 2024, "f.pdf", ["Item 1", "Risk"], 3) == "From Acme 10-K 2024, section Item 1 > Risk, page 3."
     assert prefix(None, None, None, "f.pdf", [], None) == "From f.pdf."
     assert prefix(None, None, None, None, [], 0) == "From document."
+
+
+def test_markdown_blocks_by_their_first_lines():
+    text = "# One #\r\nfirst\nline\n\n## Two\n- a\n- b\n-\n| x | y |\n~~~py\n# no heading\n\n~~~\ntail\n#none\n# \n  ```\nopen"
+    got = [(b["kind"], b["text"], b["section_path"]) for b in split.markdown(text)]
+    one, two = ["One"], ["One", "Two"]
+    assert got == [
+        ("heading", "# One #", one), ("paragraph", "first\nline", one), ("heading", "## Two", two), ("list", "- a\n- b", two), ("paragraph", "-", two), ("table", "| x | y |", two),
+        ("paragraph", "~~~py\n# no heading\n\n~~~", two), ("paragraph", "tail\n#none", two), ("heading", "#", [""]), ("paragraph", "```\nopen", [""]),
+    ]
+    assert all(text[b["char_start"] : b["char_end"]] == b["text"] for b in split.markdown(text)) and split.markdown(" \n ") == []
