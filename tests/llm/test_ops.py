@@ -643,3 +643,30 @@ def test_quality_awkward(spark, awkward):
     assert len(got) == awkward.count() and len({r.score for r in got if r.doc_id == 5}) == 1
     assert {r.score for r in quality.score(awkward, quality.train(awkward, labels.limit(0))).collect()} == {0.5}
     assert quality.score(awkward.limit(0), None).count() == 0
+
+
+def test_training_follows_the_gradient_of_log_loss():
+    """The first step of Adam moves each parameter against the sign of its numerical gradient."""
+    rng = np.random.default_rng(3)
+    f = quality.Features()
+    x, y = f.rows([" ".join(rng.choice(["good", "bad", "the", "a", "x!"], rng.integers(1, 30))) for _ in range(40)]), rng.integers(0, 2, 40).astype(np.float64)
+    before, after = (quality.fit(x, y, epochs=k, rate=1e-3, decay=0.0) for k in (0, 1))
+
+    def loss(m):
+        p = m.score(x)
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    def slope(name, at, step=1e-4):
+        moved = []
+        for sign in (1, -1):
+            m = quality.Machine(before.mean, before.scale, before.w0, before.w.copy(), before.v.copy())
+            getattr(m, name)[at] += sign * step
+            moved.append(loss(m))
+        return (moved[0] - moved[1]) / (2 * step)
+
+    used = np.flatnonzero((x != 0).any(0))[:40]
+    for name, places in (("w", [(i,) for i in used]), ("v", [(i, 1) for i in used])):
+        pairs = [(slope(name, p), getattr(after, name)[p] - getattr(before, name)[p]) for p in places]
+        pairs = [(g, d) for g, d in pairs if abs(g) > 1e-4]
+        assert len(pairs) > 5 and all(np.sign(g) == -np.sign(d) for g, d in pairs)
+    assert loss(after) < loss(before)
