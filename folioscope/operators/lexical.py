@@ -95,9 +95,11 @@ def terms(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "text", ste
     return rows.join(known, "word").select("id", "position", "term")
 
 
-def postings(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "text", stemmed: bool = True) -> DataFrame:
-    """(term, id, positions): the index, sorted positions of each term in each document."""
-    return terms(docs, id_col, text_col, stemmed).groupBy("term", "id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+def postings(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "text", stemmed: bool = True, only: DataFrame | None = None) -> DataFrame:
+    """(term, id, positions): the index, sorted positions of each term in each document; of the terms in only, if given, for a batch of queries that has no stored index."""
+    rows = terms(docs, id_col, text_col, stemmed)
+    rows = rows if only is None else rows.join(only.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("term", "id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
 
 def parse(query: str, stemmed: bool = True) -> list[list[tuple[bool, list[str]]]]:

@@ -38,8 +38,8 @@ def _text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _index(spark: SparkSession, sf_dir: str, stemmed: bool) -> DataFrame:
-    return lexical.postings(load(spark, sf_dir, "documents"), "doc_id", "text", stemmed)
+def _index(spark: SparkSession, sf_dir: str, queries: DataFrame, stemmed: bool) -> DataFrame:
+    return lexical.postings(load(spark, sf_dir, "documents"), "doc_id", "text", stemmed, only=lexical.terms(queries, "query_id", "text", stemmed))
 
 
 def lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ def lexical_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(lexical.words(F.col("text")), lambda w: ~w.isin(*sorted(lexical.STOP)))
     q = _text_queries(spark, sf_dir).select("query_id", words.alias("w")).where(F.size("w") > 0)
     q = q.select("query_id", F.concat(F.lit('"'), F.array_join("w", " "), F.lit('" or '), F.array_join("w", " ")).alias("text"))
-    return lexical.search(q, _index(spark, sf_dir, False), k=20, stemmed=False).select("query_id", F.col("id").alias("doc_id"), r6(F.col("score")).alias("score"), "position")
+    return lexical.search(q, _index(spark, sf_dir, q, False), k=20, stemmed=False).select("query_id", F.col("id").alias("doc_id"), r6(F.col("score")).alias("score"), "position")
 
 
 COVER_SQL = f"""
@@ -147,8 +147,9 @@ def _hybrid(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> DataFram
     """All documents and all vectors; a query is a vector and two words of the document of its id."""
     v, docs = load(spark, sf_dir, "embeddings"), load(spark, sf_dir, "documents")
     longest = F.try_element_at(F.array_sort(F.transform(lexical.words(F.col("text")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), F.lit(-1))["w"]
-    q = _vector_queries(spark, sf_dir).join(docs.select(F.col("doc_id").alias("query_id"), F.concat(longest, F.lit(" or "), F.try_element_at(lexical.words(F.col("text")), F.lit(-1))).alias("text")), "query_id", "left")
-    index = lexical.postings(docs, "doc_id", "text", stemmed)
+    q = docs.select(F.col("doc_id").alias("query_id"), "text").join(_vector_queries(spark, sf_dir), "query_id", "right")
+    q = q.withColumn("text", F.concat(longest, F.lit(" or "), F.try_element_at(lexical.words(F.col("text")), F.lit(-1))))
+    index = lexical.postings(docs, "doc_id", "text", stemmed, only=lexical.terms(q, "query_id", "text", stemmed))
     return fuse.hybrid_search(q.select("query_id", "text", "query_vector"), v, index, candidates=50, limit=fuse.TOP, stemmed=stemmed)
 
 
