@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import backoff, decontaminate, htmltext, iblt, langid, licences, mixing, quality, simhash, tokenfile
+from folioscope.llm import backoff, cascade, decontaminate, htmltext, iblt, intervals, langid, licences, mixing, oracles, quality, resample, simhash, tokenfile
 from folioscope.llm.shared import crc32_mod4, shared_folder, table
 
 
@@ -72,6 +72,18 @@ def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade.judge(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_interval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.sales_and_sessions(table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "clicks"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -83,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_lm_scores": op9_lm_scores,
     "op10_quality_scores": op10_quality_scores,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_interval_overlaps": op13_interval_overlaps,
 }
 
 OP8_SQL = r"""
@@ -162,4 +177,7 @@ FROM documents d LEFT JOIN found USING (doc_id)
 """
 
 
-ORACLES: dict[str, str] = {"op6_licence_scan": _licence_sql(), "op8_source_mix": OP8_SQL}
+ORACLES: dict[str, str] = {
+    "op6_licence_scan": _licence_sql(), "op8_source_mix": OP8_SQL,
+    "op11_quality_rules": oracles.QUALITY_RULES_SQL, "op12_importance_resampling": oracles.RESAMPLE_SQL, "op13_interval_overlaps": oracles.INTERVALS_SQL,
+}
