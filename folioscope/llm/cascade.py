@@ -14,6 +14,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from folioscope.llm.shared import WORD
 SAMPLE_ROWS = 2000
 #: Words of a window that counts as repeated when a text has it twice.
 WINDOW = 5
-SYMBOLS = "[#*$%&|<>]"
+NO_SYMBOLS = "[^#*$%&|<>]+"
 
 
 @dataclass(frozen=True)
@@ -66,10 +67,11 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("*", F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)).alias("_words"), F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"))
-    at = F.sequence(F.lit(0), F.size("_words") - WINDOW)
-    window = F.transform(at, lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(WINDOW)]))
+    # those that reach over the end are cut off
+    window = F.slice(F.transform("_words", lambda w, i: F.xxhash64(w, *[F.get("_words", i + k) for k in range(1, WINDOW)])), F.lit(1), F.size("_words") - (WINDOW - 1))
+    solid = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), " \t\n\x0b\x0c\r", F.col("text"))
     rows = rows.select(
-        "_id", "text", F.size("_words").cast("long").alias("n_words"), F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"), F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        "_id", "text", F.size("_words").cast("long").alias("n_words"), F.length(solid).cast("long").alias("word_chars"), F.length(F.regexp_replace("text", NO_SYMBOLS, "")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), F.size("_lines").cast("long").alias("n_lines"), F.when(F.size("_words") >= WINDOW, window).alias("_windows"),
     )
     twice = F.size(F.array_distinct("_windows")) < F.size("_windows")
