@@ -88,9 +88,13 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS, fraction: float = 0.2) -> DataFrame:
-    """At most so many rows: a random share of the first partitions, so that no whole table is read for it."""
-    return docs.sample(fraction, seed=11).limit(rows)
+def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text", most_chars: int = 20_000, fraction: float = 0.2) -> DataFrame:
+    """At most so many texts, none of over most_chars: a random share of as many partitions as it takes, one after another.
+
+    They pass through the driver, which is what stops the reading early; a limit within a plan would read every partition.
+    """
+    taken = docs.select(F.lit(0).alias("doc_id"), F.col(text).alias("text")).where(F.length(text) <= most_chars).sample(fraction, seed=11).take(rows)
+    return docs.sparkSession.createDataFrame(taken, "doc_id int, text string")
 
 
 def estimate(sample: DataFrame, rules: Sequence[Rule] = RULES) -> list[Estimate]:
@@ -142,6 +146,6 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAM
 
     A null or empty text has no words and fails the base rules. Equal rows get equal results; an empty table gives none.
     """
-    order = ordered(estimate(measured(sampled(docs, sample_rows), id_col, text), rules))
+    order = ordered(estimate(measured(sampled(docs, sample_rows, text)), rules))
     rows = measured(docs, id_col, text)
     return rows.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), F.when(base_failed(), F.lit(False)).otherwise(passes(order)).alias("kept"))
