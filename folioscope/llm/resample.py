@@ -32,17 +32,19 @@ def bucketed(df: DataFrame, keep: list[str], text: str = "text", runs: int = 1,
     """df's columns of keep, _n_words, and _buckets: the bucket of each run of one to so many words, in order of length and place."""
     words = df.select(*keep, terms(F.col(text)).alias("_words"))
     bucket = lambda f: (F.crc32(f.cast("binary")) % buckets).cast("int")
+    run = lambda n: lambda i: bucket(F.concat_ws(" ", *[F.get("_words", i + k) for k in range(n)]))
     arrays = [F.transform("_words", bucket)]
     for n in range(2, runs + 1):
-        at = F.when(F.size("_words") >= n, F.sequence(F.lit(1), F.size("_words") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        arrays.append(F.transform(at, lambda i, n=n: bucket(F.array_join(F.slice("_words", i, n), " "))))
+        at = F.when(F.size("_words") >= n, F.sequence(F.lit(0), F.size("_words") - n)).otherwise(F.array().cast("array<int>"))
+        arrays.append(F.transform(at, run(n)))
     return words.select(*keep, F.size("_words").alias("_n_words"), (F.concat(*arrays) if runs > 1 else arrays[0]).alias("_buckets"))
 
 
 def totals(df: DataFrame, buckets: int = 10_000) -> list[int]:
     """How many features lie in each bucket; to the driver goes a number for each bucket, whatever the size of df."""
     out = [0] * buckets
-    for bucket, n in df.select(F.explode("_buckets").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect():
+    # with explode, Spark would add a filter on the array's size, and make the array twice for it
+    for bucket, n in df.select(F.explode_outer("_buckets").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("b IS NOT NULL").collect():
         out[bucket] = n
     return out
 
