@@ -34,6 +34,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{top}/{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: a cut lineage."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A block for each non-blank line of documents: document_id, reading_order, text, tokens."""
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("reading_order", "text"))

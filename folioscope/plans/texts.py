@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import geometry, numbers
 from folioscope.functions.text import approx_tokens, locating_prefix, sentences, text_gate, word_shape
+from folioscope.operators import boxes as boxes_
 from folioscope.operators import chunk, split
-from folioscope.plans.common import LINE_BLOCKS, RECTS, boxes, line_blocks, load, r6, tokens_sql
+from folioscope.plans.common import LINE_BLOCKS, RECTS, boxes, kept, line_blocks, load, r6, tokens_sql
 
 TARGET, OVERLAP = 64, 16
 
@@ -256,7 +257,8 @@ UNION_SQL = f"WITH {RECTS} SELECT l_orderkey, round(min(x0), 6) AS x0, round(min
 
 
 def merge_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = geometry.merge_overlapping(boxes(spark, sf_dir).select((F.col("l_orderkey") % 1000).alias("page"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ordinal"), "bbox"), ["page"], at_least=0.3)
+    rows = boxes(spark, sf_dir).select((F.col("l_orderkey") % 1000).alias("page"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ordinal"), "bbox")
+    merged = boxes_.merge_overlapping(rows, ["page"], kept, at_least=0.3)
     return merged.select("page", "seed", "n_boxes", *[r6(F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 

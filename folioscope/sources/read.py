@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,23 @@ def recordset(df: DataFrame, json: str, schema: str) -> DataFrame:
     return df.select(*keys, F.inline(F.from_json(F.col(json), f"array<struct<{schema}>>")))
 
 
+def variant_records(df: DataFrame, json: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """df without json, with valid and a column for each name -> (path, type) of records whose fields differ from row to row.
+
+    A value of another type, or one that isn't there, is null; text that is no JSON is not valid. A path: ``$.device.os``.
+    """
+    rows = df.withColumn("_v", F.try_parse_json(json))
+    found = [F.try_variant_get("_v", path, kind).alias(name) for name, (path, kind) in fields.items()]
+    return rows.select(*[c for c in df.columns if c != json], (F.col("_v").isNotNull() | F.col(json).isNull()).alias("valid"), *found)
+
+
+def variant_fields(df: DataFrame, json: str, path: str = "$") -> DataFrame:
+    """df without json, with pos, key, value and type of each field (or element) of the object (or array) at a path; records without one give no row."""
+    df.select(*df.columns, F.try_variant_get(F.try_parse_json(json), path, "variant").alias("_v")).createOrReplaceTempView(view := f"variant_{uuid.uuid4().hex}")
+    keys = ", ".join(f"r.`{c}`" for c in df.columns if c != json)
+    return df.sparkSession.sql(f"SELECT {keys}{', ' if keys else ''}f.pos, f.key, f.value, schema_of_variant(f.value) AS type FROM {view} r, LATERAL variant_explode(r._v) f")
+
+
 def document_blocks(blocks: DataFrame, document_id: str) -> DataFrame:
     """One document's blocks in reading order; flow blocks, which have no page, first."""
     return blocks.where(F.col("document_id") == document_id).orderBy(F.coalesce("page_no", F.lit(0)), "reading_order")
