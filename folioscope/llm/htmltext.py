@@ -2,20 +2,23 @@
 
 Method. The standard library's parser streams events; block-level tags and line breaks end
 a line. Each line has its text, the number of tags met on it, the containers around it and
-whether one of these is boilerplate by its tag, role, class or id. A line's text-to-tag
-ratio is its characters over its tags (text inside links does not count). The page's ratios
-are smoothed by a Gaussian kernel and split into two clusters at the threshold where the
-two cluster means (1-D two-means) meet; lines above it are content, on every page (outside
-articles, only lines that are not mostly links). The
-content region follows from these lines: if one is in an article, the page's articles and the
-containers outside them that hold such lines; else the innermost container that holds all
-such lines, but for parts of it without one that are mostly links. The region's lines all count, so that short paragraphs stay; boilerplate never does.
+whether one of these is marked as boilerplate by its tag, role, class or id. A line's text-to-tag
+ratio is its characters over its tags (text inside links does not count); a mark lowers it to
+nothing. Ratios are smoothed by a Gaussian kernel, marked runs apart from the rest, and split
+into two clusters at the threshold where the two cluster means (1-D two-means) meet; lines
+above it are content, on every page (outside articles, only lines that are not mostly links).
+The content region follows from these lines: if one is in an article, the page's articles and
+the containers outside them that hold such lines; else the innermost container that holds all
+such lines, but for parts of it without one that are mostly links. Within the region what is
+above the threshold counts, and so does what has no mark, so that short paragraphs stay.
 
 Boilerplate. Elements for menus, scripts, controls, graphics and the like never count, and
 their tags end no line, so that words on both sides of an icon stay together. Block elements
 count as boilerplate by the last telling word of one of their class names, ids or labels
-(``site-header`` and ``header-inner`` are headers; ``related-work`` and ``no-sidebar`` are
-not boilerplate). An inline element goes only as an advert or if it is hidden. A form goes
+(``site-header`` and ``header-inner`` are headers; ``related-work``, ``no-sidebar``, ``entry-header``
+and ``content-sidebar-wrap`` are not boilerplate). Within an article, ids and paragraphs are not marked by words that a
+text may be about (``id=discussion``), and paragraphs of its own footer stay. On a page without article and main, the only h1 is
+the headline, though it stands in a header. An inline element goes only as an advert or if it is hidden. A form goes
 with its text, unless that is as much as all other text of the page: then the form is just
 the frame of the page or of the article.
 
@@ -61,9 +64,17 @@ GENERIC = frozenset(
 BESIDE = frozenset("has hide is no non not with without".split())
 #: Boilerplate that readers write or that has articles of its own: an article inside it is not the page's.
 KEEPS_ARTICLES = frozenset("aside comment comments commentlist discussion disqus feedback replies reply respond responses related recommend recommended recommendations sidebar sidebars teaser teasers".split())
+#: Words that ids of sections and classes of paragraphs have for what the text is about.
+PROSE = frozenset("discussion feedback related replies reply respond responses search teaser teasers".split())
+#: Classes that begin with these are of the article's own parts.
+OWN, OWN_PARTS = frozenset("article entry post story".split()), frozenset("header teaser".split())
+#: A wrapper whose class names these beside something else holds the content, too.
+WRAPS, CONTENT = frozenset("container inner outer wrap wrapper".split()), frozenset("article content entry main page story".split())
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 LETTERS = re.compile(r"[a-z]+")
 SIGMA = 1.5
+#: Stands for the container of a headline that a page's header holds.
+HEADLINE = -1
 
 
 def mark(name: str) -> str | None:
@@ -71,8 +82,11 @@ def mark(name: str) -> str | None:
     words = [w for w in LETTERS.findall(HUMP.sub("-", name).lower()) if len(w) > 1]
     if not words or words[0] in BESIDE:
         return None
+    wraps = words[-1] in WRAPS
     while len(words) > 1 and words[-1] in GENERIC:
         words.pop()
+    if wraps and CONTENT & set(words[:-1]) or words[0] in OWN and words[-1] in OWN_PARTS and len(words) > 1:
+        return None
     return words[-1] if words[-1] in MARKS else None
 
 
@@ -89,6 +103,9 @@ class Lines(HTMLParser):
         self.linked = self.tags = 0
         self.out: list[tuple[str, int, int, int, int, int, bool]] = []  # text, linked characters, tags, container, article, form, boilerplate
         self.within: tuple[int, int, int, bool, bool] = (0, 0, 0, False, False)
+        self.plain: set[int] = set()  # headers and footers that no name marks
+        self.headlines: list[tuple[int, bool]] = []  # lines of h1, and whether such a header holds them
+        self.has_main = False
 
     def _end_line(self) -> None:
         t = " ".join("".join(self.text).split())
@@ -115,6 +132,8 @@ class Lines(HTMLParser):
                 found = {mark(x) for x in value.split()} - {None}
                 if inside:
                     found -= {"header", "tags"}
+                    if name == "id" or tag == "p":
+                        found -= PROSE
                 if tag not in BLOCK:
                     found &= ADVERTS
                 bad = bad or bool(found)
@@ -138,11 +157,16 @@ class Lines(HTMLParser):
             self.stack.pop()
         container, article, form, bad, skipped = self.stack[-1][1:] if self.stack else (0, 0, 0, False, False)
         own, keeps = self._marks(tag, attrs, bool(article) or any(s[0] == "main" for s in self.stack))
-        if tag in ("article", "main") and bad and not own and not skipped and not any(s[0] == "#keeps" for s in self.stack):
+        if tag in ("article", "main") and bad and not own and not skipped and (tag == "main" or not any(s[0] == "#keeps" for s in self.stack)):
             bad = False  # a menu or advert that was never closed
-        if tag in HOLDS or own:
+        self.has_main = self.has_main or tag in ("article", "main")
+        foot = tag == "p" and bool(article) and bool(self.stack) and self.stack[-1][0] == "footer" and container in self.plain and not own and not self.bad_above()
+        if tag in HOLDS or own or foot:
             self.number += 1
             self.parent[self.number] = container
+            bad = bad and not foot
+            if tag in ("header", "footer") and own and not bad and not self._marks("div", attrs, bool(article))[0]:
+                self.plain.add(self.number)
             if tag == "article" and not (bad or own) and not article:
                 article = self.number
             if tag == "form" and not form:
@@ -153,6 +177,10 @@ class Lines(HTMLParser):
                 self.stack.append(("#keeps", self.number, article, form, True, skipped))
         self._set()
 
+    def bad_above(self) -> bool:
+        """Whether something marks the innermost element from further out."""
+        return len(self.stack) > 1 and self.stack[-2][4]
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK and not self.within[4]:
             self._end_line()
@@ -161,7 +189,10 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
         if tag in BLOCK and not (self.within[4] and (at is None or self.stack[at][5])):
+            before = len(self.out)
             self._end_line()
+            if tag == "h1" and len(self.out) > before:
+                self.headlines.append((before, self.within[0] in self.plain))
         self.tags += 1
         if tag == "a":
             self.link = max(0, self.link - 1)
@@ -177,6 +208,8 @@ class Lines(HTMLParser):
             self.linked += len(data.strip())
 
     def close(self) -> None:
+        if self.rawdata.startswith("<!--"):
+            self.rawdata = ""  # a comment that is never closed goes on to the end
         super().close()
         self._end_line()
 
@@ -190,7 +223,7 @@ def smooth(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def threshold(x: np.ndarray) -> float:
-    """Where two clusters of numbers part: halfway between the means of a settled two-means. The least number, if the means are within a factor of two: one cluster."""
+    """Where two clusters of numbers part: halfway between the means of a settled two-means. The least positive number, if the means are within a factor of two: one cluster."""
     lo, hi = float(x.min()), float(x.max())
     if lo == hi:
         return lo
@@ -200,7 +233,7 @@ def threshold(x: np.ndarray) -> float:
         if new == (lo, hi):
             break
         lo, hi = new
-    return (lo + hi) / 2 if hi > 2 * lo else float(x.min())
+    return (lo + hi) / 2 if hi > 2 * lo else float(x[x > 0].min())
 
 
 def region(parent: dict[int, int], above: list[int]) -> int:
@@ -219,6 +252,17 @@ def region(parent: dict[int, int], above: list[int]) -> int:
     return path[lowest]
 
 
+def ratios(lines: list[tuple], good: np.ndarray) -> np.ndarray:
+    """Smoothed text-to-tag ratios: nothing for marked lines, which are smoothed in runs of their own and lend nothing to others."""
+    raw = np.array([max(0, len(x[0]) - x[1]) / x[2] if ok else 0.0 for x, ok in zip(lines, good, strict=True)])
+    out = np.zeros(len(raw))
+    out[good] = smooth(raw[good])
+    for run in np.split(np.arange(len(raw)), np.flatnonzero(np.diff(good.astype(int))) + 1):
+        if len(run) and not good[run[0]]:
+            out[run] = smooth(raw[run])
+    return out
+
+
 def main_text(html: str | None) -> str:
     page = Lines()
     page.feed(html or "")
@@ -228,23 +272,27 @@ def main_text(html: str | None) -> str:
     for text, _, _, _, _, form, bad in page.out:
         if not bad:
             size[form] += len(text)
+    if not page.has_main and len(page.headlines) == 1 and page.headlines[0][1]:
+        at = page.headlines[0][0]
+        page.out[at] = (*page.out[at][:3], HEADLINE, *page.out[at][4:6], False)
     lines = [x for x in page.out if not (x[5] and size[x[5]] * 2 < size.total())]
-    good = [not x[6] for x in lines]
-    if not any(good):
+    good = np.array([not x[6] for x in lines], bool)
+    if not good.any():
         return ""
-    ratio = smooth(np.array([0.0 if not ok else max(0, len(x[0]) - x[1]) / x[2] for x, ok in zip(lines, good, strict=True)]))
+    ratio = ratios(lines, good)
     cut = threshold(ratio)
-    above = [x for x, ok, r in zip(lines, good, ratio, strict=True) if ok and r >= cut and (x[4] or 2 * x[1] <= len(x[0]))]
+    high = list(ratio >= cut if ratio.any() else good)
+    above = [x for x, h in zip(lines, high, strict=True) if h and x[3] != HEADLINE and (x[4] or 2 * x[1] <= len(x[0]))]
     if not above:
         return ""
     regions, articles = {x[3] for x in above}, set()
     if any(x[4] for x in above):
-        articles = {x[4] for x, ok in zip(lines, good, strict=True) if ok and x[4]}
+        articles = {x[4] for x, h in zip(lines, good, strict=True) if h and x[4]}
     else:
         top = region(page.parent, [x[3] for x in above])
         linked: Counter = Counter()
         for x, ok in zip(lines, good, strict=True):
-            if ok:
+            if ok and x[3] != HEADLINE:
                 linked[x[3]] += 2 * x[1] - len(x[0])
         inside: dict[int, bool] = {}
 
@@ -253,8 +301,8 @@ def main_text(html: str | None) -> str:
                 inside[c] = c == top or c != 0 and within(page.parent[c])
             return inside[c]
 
-        regions |= {x[3] for x in lines if linked[x[3]] <= 0 and within(x[3])}
-    return " ".join(x[0] for x, ok in zip(lines, good, strict=True) if ok and (x[3] in regions or x[4] in articles))
+        regions |= {x[3] for x in lines if x[3] != HEADLINE and linked[x[3]] <= 0 and within(x[3])}
+    return " ".join(x[0] for x, ok, h in zip(lines, good, high, strict=True) if (ok or h) and (x[3] in regions or x[4] in articles or x[3] == HEADLINE))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

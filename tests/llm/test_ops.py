@@ -501,6 +501,18 @@ LONG = " ".join(["A long paragraph of real text that goes on, with very many wor
         (f"<head><title>T</title><p>{LONG}", LONG),
         (f"<div id=content><h1>T</h1><div class=sec><p>{LONG}</p></div><div class=sec2><p>short.</p></div></div><div><a>Home</a> <a>About</a></div>", f"T {LONG} short."),
         ("<p>Text <button>Share</button> more <math><mi>x</mi></math></p>", "Text more x"),
+        (f"<div class='content-sidebar-wrap'><main><article><p>{LONG}</p></article></main></div>", LONG),
+        (f"<article><p>{LONG}</p><section id='discussion'><h2>Discussion</h2><p>{LONG}</p></section></article>", f"{LONG} Discussion {LONG}"),
+        (f"<article><p>{LONG}</p><section id='feedback'><p>Fed</p></section><section id='search'><p>Sought</p></section><div id='responses'><p>Said</p></div></article>", f"{LONG} Fed Sought Said"),
+        (f"<div class='entry-header'><h1>Headline</h1></div><div><p>{LONG}</p></div>", f"Headline {LONG}"),
+        (f"<header><h1>Headline</h1><nav>x</nav></header><div><p>{LONG}</p></div><footer>F</footer>", f"Headline {LONG}"),
+        (f"<article><p class='teaser'>Lead.</p><div class='article-teaser'>Lead too.</div><p>{LONG}</p></article>", f"Lead. Lead too. {LONG}"),
+        (f"<article><p>{LONG}</p><footer><p>Footnote</p></footer></article><footer><p>Site</p></footer>", f"{LONG} Footnote"),
+        (f"<article><p>{LONG}</p><footer class='entry-footer'><p>Tags</p></footer></article>", LONG),
+        (f"<article><p>{LONG}</p><p class='related'>See also the related law.</p><div class='related'><p>Other story</p></div></article>", f"{LONG} See also the related law."),
+        (f"<article><p>{LONG}</p><!-- unclosed <p>more", LONG),
+        (f"<script>var a='<!--';</script><article><p>{LONG}</p>", LONG),
+        (f"<div><div class=x><p>{LONG}</p></div><p>Links: <a>one of them</a> <a>another one</a></p></div>", LONG),
         (f"<main><header><h1>T</h1></header><p>{LONG}</p></main><div class='siteFooter'>F</div><section aria-label='Comments'>C</section>", f"T {LONG}"),
     ],
 )
@@ -536,6 +548,24 @@ def test_html_of_planted_pages():
         assert got == want, html
 
 
+def test_html_method_decides_on_most_pages(spark, monkeypatch):
+    """Without the threshold, or with other ratios, most pages have another text: with articles, and without them."""
+    pages = [r.html for r in spark.read.parquet(f"{TOP}/pages.parquet").collect()]
+    pages += [p.replace("<article>", "<div class=x>").replace("</article>", "</div>") for p in pages]
+    texts = [htmltext.main_text(p) for p in pages]
+    with monkeypatch.context() as m:
+        m.setattr(htmltext, "threshold", lambda x: -1.0)
+        every = [htmltext.main_text(p) for p in pages]
+    assert sum(a != b for a, b in zip(texts, every, strict=True)) > 0.9 * len(pages)
+    with monkeypatch.context() as m:
+        rng = np.random.default_rng(1)
+        m.setattr(htmltext, "ratios", lambda lines, good: rng.random(len(lines)))
+        chance = [htmltext.main_text(p) for p in pages]
+    assert sum(a != b for a, b in zip(texts, chance, strict=True)) > 0.5 * len(pages)
+    half = len(pages) // 2
+    assert texts[:half] == texts[half:]  # the regions are found without the article element, too
+
+
 def test_smoothing_and_threshold():
     x = htmltext.smooth(np.array([0.0, 0, 0, 100, 100, 100, 0, 0]))
     assert x[4] == x.max() and 0 < htmltext.threshold(np.array([0.0, 1, 2, 90, 100])) < 90 and htmltext.threshold(np.array([3.0, 3])) == 3
