@@ -37,14 +37,14 @@ def ingest(files: DataFrame, strategies: Sequence[str] = ("layout",), embedder:
     have = set(files.columns)
     some = lambda name, kind, default=None: (F.col(name) if name in have else F.lit(default)).cast(kind).alias(name)
     got = read.intake(files).where("status = 200")
-    rows = formats.detect(got.select("filename", "content", "sha256", some("tenant_id", "string", "default"), some("company_name", "string"), some("form_type", "string"), some("fiscal_year", "int")))
+    rows = formats.detect(got.select("filename", "content", "sha256", some("tenant_id", "string", "default"), some("company_name", "string"), some("form_type", "string"), some("fiscal_year", "int"), some("cik", "string"), some("ticker", "string")))
     rows = rows.withColumn("document_id", F.substring(F.sha2(F.concat_ws("/", "tenant_id", "sha256"), 256), 1, 32))
     first = F.min_by(F.struct(*[c for c in rows.columns if c not in ("document_id",)]), F.col("filename"))
     rows = rows.groupBy("document_id").agg(first.alias("r")).select("document_id", "r.*")
     flow = F.col("family") == "flow"
     text = F.when(flow, read.decoded_text(F.col("content")))
     status = F.when(F.col("error").isNotNull(), "quarantined").when(flow & is_blank(text), "failed").otherwise("ready")
-    documents = rows.select("document_id", "tenant_id", F.col("filename").alias("original_name"), "sha256", "mime", "family", "extension", "company_name", "form_type", "fiscal_year", status.alias("status"), "error")
+    documents = rows.select("document_id", "tenant_id", F.col("filename").alias("original_name"), "sha256", "mime", "family", "extension", "company_name", "form_type", "fiscal_year", "cik", "ticker", status.alias("status"), "error")
     flowing = rows.where(flow & ~is_blank(text)).select("document_id", "extension", text.alias("text"))
     blocks = split.split_flow(flowing).drop("extension").withColumn("page_no", F.lit(None).cast("int")).withColumn("bbox", F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>")).withColumn("origin", F.lit("native"))
     if paged_blocks is not None:
@@ -53,13 +53,15 @@ def ingest(files: DataFrame, strategies: Sequence[str] = ("layout",), embedder:
     if "semantic" in strategies and embedder is not None:
         how.setdefault("embed", embedder())
     chunks = write.chunk_ids(chunk.chunk(blocks, strategies, **how))
-    about = documents.select("document_id", "company_name", "form_type", "fiscal_year", "original_name", "tenant_id")
+    about = documents.select("document_id", "company_name", "form_type", "fiscal_year", "original_name", "cik", "ticker", "tenant_id")
     prefix = locating_prefix(F.col("company_name"), F.col("form_type"), F.col("fiscal_year"), F.col("original_name"), F.col("section_path"), F.col("page_from"))
-    chunks = chunks.join(about, "document_id").withColumn("context_prefix", prefix).drop("company_name", "form_type", "fiscal_year", "original_name")
+    chunks = chunks.join(about, "document_id").withColumn("context_prefix", prefix)
     indexed = embedding_text(F.col("context_prefix"), F.col("text"))
     vectors = None
     if embedder is not None:
-        vectors = chunks.select(F.col("chunk_id").alias("vec_id"), "tenant_id", "document_id", "strategy", "seq", "page_from", "section_path", dense.embed(indexed, embedder).alias("embedding"))
+        payload = [F.coalesce("company_name", "original_name").alias("document_name"), "cik", "ticker", "fiscal_year", "form_type", "page_from", "section_path"]
+        vectors = chunks.select(F.col("chunk_id").alias("vec_id"), "tenant_id", "document_id", "strategy", "seq", *payload, dense.embed(indexed, embedder).alias("embedding"))
+    chunks = chunks.drop("company_name", "form_type", "fiscal_year", "original_name", "cik", "ticker")
     postings = lexical.postings(chunks.select("chunk_id", indexed.alias("text")))
     links = write.chunk_links(chunks, ["chunk_id"])
     return Corpus(documents, blocks, chunks, links, vectors, postings)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.operators import ann, dense, lexical, lexindex
-from folioscope.plans.common import load, r6, scratch
-from folioscope.plans.retrieval import BM25_SQL, EVERY, _text_queries, _vector_queries
+from folioscope.operators import ann, dense, fuse, lexical, lexindex
+from folioscope.plans.common import kept, load, r6, scratch
+from folioscope.plans.retrieval import BM25_SQL, EVERY, WORDS_SQL, _knn_sql, _text_queries, _vector_queries
 
 
 def _vector_index(spark: SparkSession, sf_dir: str) -> str:
@@ -78,6 +78,40 @@ def indexed_blocks_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexindex.Search(spark, path, queries, k=10, stemmed=False).report()
 
 
+def _two_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set: a vector, and the longest and the last word of the document of its id."""
+    docs = load(spark, sf_dir, "documents")
+    longest = F.try_element_at(F.array_sort(F.transform(lexical.words(F.col("text")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), F.lit(-1))["w"]
+    q = docs.select(F.col("doc_id").alias("query_id"), "text").join(_vector_queries(spark, sf_dir), "query_id", "right")
+    return q.select("query_id", "query_vector", F.concat_ws(" ", longest, F.try_element_at(lexical.words(F.col("text")), F.lit(-1))).alias("text"))
+
+
+def hybrid_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact dense hits and pruned hits of the stored text index, fused; a retriever that fails would be left out."""
+    path, queries = scratch(spark), _two_words(spark, sf_dir)
+    lexindex.upsert(load(spark, sf_dir, "documents"), path, "doc_id", stemmed=False)
+    retrievers = {"dense": lambda: dense.knn(queries, load(spark, sf_dir, "embeddings")), "lexical": lambda: lexindex.search(spark, path, queries, k=50, stemmed=False)}
+    hits = fuse.fused_or_degraded(retrievers, kept)
+    return hits.select("query_id", F.col("id").alias("doc_id"), r6(F.col("score")).alias("score"), "position", "n_retrievers")
+
+
+HYBRID_INDEXED_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+stats AS (SELECT count(*) AS n, avg(len(w)) AS a FROM d),
+tf AS (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM d),
+counts AS (SELECT doc_id, any_value(size) AS size, term, count(*) AS tf FROM tf GROUP BY doc_id, term),
+df AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
+words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE doc_id % {EVERY} = 0 AND doc_id IN (SELECT vec_id FROM embeddings)),
+q AS (SELECT DISTINCT doc_id AS query_id, unnest([(SELECT arg_max(x, (length(x), x)) FROM unnest(w) AS t(x)), w[-1]]) AS term FROM words),
+s AS (SELECT query_id, doc_id, round(sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / a))), 9) AS score
+  FROM q JOIN df USING (term) JOIN counts USING (term), stats GROUP BY query_id, doc_id),
+lexical AS (SELECT query_id, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s QUALIFY r <= 50),
+dense AS (SELECT query_id, vec_id AS id, position AS r FROM ({_knn_sql()})),
+f AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + r) ORDER BY n) AS score, CAST(count(*) AS INTEGER) AS n_retrievers FROM (SELECT *, 'dense' AS n FROM dense UNION ALL SELECT *, 'lexical' FROM lexical) GROUP BY ALL)
+SELECT query_id, id AS doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, n_retrievers DESC, id) AS position, n_retrievers FROM f QUALIFY position <= 8
+"""
+
+
 def _kept_up(spark: SparkSession, sf_dir: str) -> str:
     """An index that has seen an older version of each tenth document, the others, documents that went, and the newest texts."""
     path, docs = scratch(spark), load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -138,10 +172,10 @@ FROM embeddings q, embeddings v WHERE q.vec_id % {EVERY} = 0 AND v.label IN (1,
 
 QUERIES = {
     "ann_topk": ann_topk, "ann_recall": ann_recall, "ann_filtered": ann_filtered, "bitmap_filtered_topk": bitmap_filtered_topk, "bitmap_counts": bitmap_counts,
-    "indexed_bm25": indexed_bm25, "indexed_blocks_read": indexed_blocks_read, "index_upkeep": index_upkeep, "index_merged": index_merged, "phrase_places": phrase_places,
+    "indexed_bm25": indexed_bm25, "indexed_blocks_read": indexed_blocks_read, "index_upkeep": index_upkeep, "index_merged": index_merged, "phrase_places": phrase_places, "hybrid_indexed": hybrid_indexed,
 }
 ORACLES = {
     "bitmap_filtered_topk": FILTERED_SQL,
     "bitmap_counts": "SELECT label, vec_id % 3 AS third, count(*) AS n_vectors FROM embeddings WHERE label IS NOT NULL GROUP BY ALL",
-    "indexed_bm25": BM25_SQL, "index_upkeep": BM25_SQL, "index_merged": BM25_SQL, "phrase_places": PHRASES_SQL,
+    "indexed_bm25": BM25_SQL, "index_upkeep": BM25_SQL, "index_merged": BM25_SQL, "phrase_places": PHRASES_SQL, "hybrid_indexed": HYBRID_INDEXED_SQL,
 }

@@ -88,13 +88,14 @@ UPSERT_SQL = "SELECT o_custkey AS document_id, o_orderkey AS page_no, CAST(o_tot
 
 
 def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their number of line chunks; the limit is the page that is shown."""
+    """Documents with their number of layout chunks, which are lines, beside those of another strategy; the limit is the page that is shown."""
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "lang", F.col("doc_id").alias("created_at"))
-    chunks = line_blocks(spark, sf_dir).where("document_id % 2 = 0").select("document_id", F.lit("layout").alias("strategy"))
+    lines = line_blocks(spark, sf_dir)
+    chunks = lines.select("document_id", F.lit("layout").alias("strategy")).unionByName(lines.where("tokens > 8").select("document_id", F.lit("fixed").alias("strategy")))
     return read.list_documents(docs, chunks, 50).select("document_id", "lang", "chunk_count")
 
 
-LIST_SQL = f"WITH {LINE_BLOCKS} SELECT doc_id AS document_id, lang, (SELECT count(*) FROM blocks b WHERE b.document_id = d.doc_id AND d.doc_id % 2 = 0) AS chunk_count FROM documents d ORDER BY doc_id DESC LIMIT 50"
+LIST_SQL = f"WITH {LINE_BLOCKS} SELECT doc_id AS document_id, lang, (SELECT count(*) FROM blocks b WHERE b.document_id = d.doc_id) AS chunk_count FROM documents d ORDER BY doc_id DESC LIMIT 50"
 
 
 def pdf_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:

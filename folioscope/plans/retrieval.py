@@ -47,7 +47,8 @@ def lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(lexical.words(F.col("text")), lambda w: ~w.isin(*sorted(lexical.STOP)))
     q = _text_queries(spark, sf_dir).select("query_id", words.alias("w")).where(F.size("w") > 0)
     q = q.select("query_id", F.concat(F.array_join("w", " "), F.lit(" OR "), F.element_at("w", -1), F.lit(" -"), F.col("w")[0]).alias("text"))
-    index = lexical.terms(load(spark, sf_dir, "documents"), "doc_id", "text", False).select("term", "id").distinct()
+    asked = lexical.terms(q, "query_id", "text", False).select("term").distinct()
+    index = lexical.terms(load(spark, sf_dir, "documents"), "doc_id", "text", False).select("term", "id").join(asked, "term", "left_semi").distinct()
     return lexical.match(q, index.withColumn("positions", F.array().cast("array<int>")), stemmed=False).select("query_id", F.col("id").alias("doc_id"))
 
 

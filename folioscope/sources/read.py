@@ -61,10 +61,10 @@ def document_blocks(blocks: DataFrame, document_id: str) -> DataFrame:
 
 
 def list_documents(documents: DataFrame, chunks: DataFrame, limit: int = 50) -> DataFrame:
-    """The newest documents with their number of chunks under each strategy; documents without chunks count 0."""
-    counts = chunks.groupBy("document_id", "strategy").agg(F.count(F.lit(1)).alias("n"))
-    per_document = counts.groupBy("document_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("strategy", "n")))).alias("chunks"), F.sum("n").alias("chunk_count"))
+    """The newest documents with their number of chunks under each strategy; chunk_count is that of layout, and 0 without any."""
     newest = documents.orderBy(F.desc("created_at"), "document_id").limit(limit)
+    counts = chunks.join(F.broadcast(newest.select("document_id")), "document_id", "left_semi").groupBy("document_id", "strategy").agg(F.count(F.lit(1)).alias("n"))  # limit rows
+    per_document = counts.groupBy("document_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("strategy", "n")))).alias("chunks"), F.sum(F.when(F.col("strategy") == "layout", F.col("n"))).alias("chunk_count"))
     return newest.join(per_document, "document_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
 
 

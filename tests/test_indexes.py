@@ -133,6 +133,19 @@ def test_index_upkeep_equals_a_rebuild(spark, tmp_path):
         lexindex.upsert(now.limit(1).union(now.limit(1)), path, "doc_id")
 
 
+def test_a_retriever_that_fails_is_left_out(spark):
+    from folioscope.operators import fuse
+    from folioscope.plans.common import kept
+
+    good = spark.createDataFrame([(1, 7, 1), (1, 8, 2)], "query_id int, id int, position int")
+    broken = good.withColumn("position", F.when(F.col("id") == 8, F.raise_error(F.lit("index is gone"))).otherwise(F.col("position")).cast("int"))
+    hits = fuse.fused_or_degraded({"dense": lambda: broken, "lexical": lambda: good}, kept)
+    assert [(r.id, r.n_retrievers) for r in hits.orderBy("position").collect()] == [(7, 1), (8, 1)]
+    assert fuse.fused_or_degraded({"dense": lambda: lexindex.search(spark, "/nowhere/at/all", good), "lexical": lambda: good}, kept).count() == 2
+    with pytest.raises(RuntimeError, match="all retrievers failed"):
+        fuse.fused_or_degraded({"dense": lambda: broken}, kept)
+
+
 def test_phrases_equal_positions(spark, tmp_path):
     docs = texts(spark, 400, seed=3)
     lexindex.next_words(docs, str(tmp_path), "doc_id")

@@ -24,10 +24,15 @@ def test_vectors_are_replaced_and_deleted(spark, tmp_path):
     assert len(held()) == 41 and held()[3] == ("d3", [9.0, 9.0]) and held()[4] == ("d4", [4.0, 1.0])
     with pytest.raises(DimensionMismatch):
         vectors.upsert(make([(5, "d5", [1.0])]), path, buckets=4)
-    vectors.delete_documents(spark, path, spark.createDataFrame([("d3",), ("d3",), ("none",)], "document_id string"), buckets=4)
+    vectors.delete_documents(spark, path, spark.createDataFrame([("d3",), ("d3",), ("none",)], "document_id string"))
     assert {d for d, _ in held().values()} == {"d0", "d1", "d2", "d4", "d5", "d6"}
-    vectors.delete_documents(spark, path, first.select("document_id"), buckets=4)
+    vectors.delete_documents(spark, path, first.select("document_id"))
     assert not list((tmp_path / "vectors").glob("bucket=*"))
+    vectors.upsert(make([(1, "a", [1.0, 0.0]), (2, "a", [2.0, 0.0])]), path, buckets=4)
+    vectors.upsert(make([(1, "b", [3.0, 0.0]), (2, "b", [4.0, 0.0]), (2, "c", [5.0, 0.0]), (2, "c", [5.0, 0.0])]), path, buckets=4)  # ids that move, and one that repeats
+    assert vectors.read(spark, path).count() == 2 and held() == {1: ("b", [3.0, 0.0]), 2: ("c", [5.0, 0.0])}
+    vectors.delete_documents(spark, path, spark.createDataFrame([("b",), ("a",)], "document_id string"))
+    assert held() == {2: ("c", [5.0, 0.0])}
 
 
 def test_ensure_runs(spark):
