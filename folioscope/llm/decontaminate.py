@@ -11,8 +11,9 @@ overlapping proposals are one passage. A passage that holds too few of the item'
 whatever order, to reach the threshold goes; any other is aligned with the item by
 Smith-Waterman (match 2, mismatch -1, gap -1), which finds exact, edited and paraphrased
 copies alike; a score is a share of what an exact copy gets. A document is contaminated if an item's score reaches
-``threshold`` and its alignment is worth ``LEAST_WORDS`` equal words, or all words of a
-shorter item. An item of one or two words, which stands in any text, is held against whole
+``threshold`` and its alignment is worth ``least_words`` (8) equal words, or all words of a
+shorter item: so an item of under 16 words needs a larger share than the threshold, one of 10 words
+0.8, since a few common words in a row are no copy. An item of one or two words, which stands in any text, is held against whole
 documents: one that has just these words is contaminated.
 
 Scale. The pass is narrow and aligns within the row: no text is shuffled and there are
@@ -22,8 +23,8 @@ with the places where seeds of items stand by chance.
 
 Defined results: null and empty documents, and those without a passage to align, are clean
 with score 0; items without
-text are not searched; ties between items go to the least
-item id; rows repeat as they are; an empty item table leaves all documents clean. All
+text are not searched; items whose id is null or no number are searched, and named null; ties
+between items go to the least item id, null last; rows repeat as they are; an empty item table leaves all documents clean. All
 columns are kept; those named like results are replaced.
 """
 
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.shared import pieces
+from folioscope.llm.shared import pieces, stored
 from folioscope.llm.wordhash import Words, hash_spans, mix
 
 SEED = 3
@@ -153,7 +154,7 @@ def able(items: Items, word: np.ndarray, w: Words, todo: list[tuple[int, int, in
 def _parts(items: DataFrame, id_col: str, text_col: str, part_words: int) -> Iterator[list[tuple[int, str]]]:
     """The items in parts of bounded size, streamed to the driver one part at a time."""
     part, size = [], 0
-    for r in items.select(F.col(id_col).cast("long"), text_col).where(F.col(id_col).isNotNull()).distinct().orderBy(id_col, text_col).toLocalIterator():
+    for r in items.select(F.col(id_col).try_cast("long").alias(id_col), text_col).distinct().orderBy(id_col, text_col).toLocalIterator():
         n = len(RUNS.findall((r[1] or "").lower()))
         if n:
             if part and size + n > part_words:
@@ -198,7 +199,12 @@ def passages(items: Items, word: np.ndarray, of: np.ndarray, w: Words) -> list[t
     return list(zip(text[run].tolist(), item[run].tolist(), lo.tolist(), hi.tolist(), strict=True))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.5, part_words: int = 2_000_000, id_col: str = "item_id", item_text: str = "text", text_col: str = "text") -> DataFrame:
+def _before(a: int | None, b: int | None) -> bool:
+    """Whether an id comes before another; none comes last."""
+    return a is not None and (b is None or a < b)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.5, least_words: int = LEAST_WORDS, part_words: int = 2_000_000, id_col: str = "item_id", item_text: str = "text", text_col: str = "text") -> DataFrame:
     """docs with contaminated, the best item_id, item_score and the words (word_from to before word_to) of the passage."""
     names = [f.name for f in RESULTS]
     plain = docs.drop(*names)
@@ -207,6 +213,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.5, par
     columns = plain.columns
     at, width = columns.index(text_col), len(columns)
     schema = T.StructType([*plain.schema.fields, *RESULTS])
+    last_part = None  # of many parts two are held at once, at most
     for part in _parts(items, id_col, item_text, part_words):
         shared = context.broadcast(_of_part(part))
 
@@ -223,10 +230,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.5, par
                 for (t, i, lo, _), s, e in zip(todo, score.tolist(), end.tolist(), strict=True):
                     m = len(items.words[i])
                     share = s / (MATCH * m)
-                    if share > value[t] or share == value[t] and item[t] is not None and items.ids[i] < item[t]:
+                    if share > value[t] or share == value[t] > 0 and _before(items.ids[i], item[t]):
                         value[t], item[t], begin[t], stop[t] = share, items.ids[i], max(lo, lo + e - m), lo + e
-                    flag[t] = flag[t] or share >= threshold and s >= MATCH * min(m, LEAST_WORDS)
+                    flag[t] = flag[t] or share >= threshold and s >= MATCH * min(m, least_words)
                 yield pa.record_batch([*b.columns[:width], pa.array(flag, pa.bool_()), pa.array(item, pa.int64()), pa.array(value, pa.float64()), pa.array(begin, pa.int32()), pa.array(stop, pa.int32())], names=[*columns, *names])
 
         out = out.mapInArrow(search, schema)
+        if last_part is not None:
+            out = stored(out)
+            last_part.destroy()
+        last_part = shared
     return out

@@ -88,7 +88,9 @@ def _overlap(a: Column, b: Column, lo: Column, hi: Column) -> Column:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, epochs: int = 2, block_words: int = 32, shard_words: int = 1 << 18, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_text: bool = True) -> DataFrame:
     """docs with size, source_size, target and taken."""
     docs = docs.drop(*MADE)
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))).alias("_order")
+    # rows of one id differ by text or source; those that differ by neither take as much in either order
+    word = lambda c: F.coalesce(c, F.lit(""))
+    order = F.md5(F.concat_ws(":", F.lit(seed), word(F.col(id_col).cast("string")), F.md5(word(F.col(text_col))), word(F.col(source_col)))).alias("_order")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     kept = docs.columns if keep_text else [c for c in docs.columns if c != text_col]
     slim = stored(docs.select(*[c for c in kept if c != text_col], size, order))  # the text stays behind

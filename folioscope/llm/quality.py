@@ -138,7 +138,7 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 30, rate: float = 0.03, deca
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Machine | None:
-    """A machine from at most train_docs labelled rows; None without any."""
+    """A machine from at most train_docs labelled rows; None without any. Of an id that repeats in docs or labels one row counts: that of the least label, then of the least features."""
     drawn = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).alias("label"))
     drawn = drawn.orderBy(F.xxhash64(F.lit("quality"), id_col), id_col, "label").limit(train_docs)
     rows = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col).select(id_col, "label", text_col)  # train_docs rows at most
@@ -148,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = 6000, id_col: st
         for b in pieces(batches, text_col):
             yield pa.record_batch([b.column(0).cast(pa.string()), b.column(1).cast(pa.int32()), pa.array([r.tobytes() for r in f.rows(b.column(2).to_pylist())], pa.binary())], names=["id", "label", "x"])
 
-    found = sorted(rows.mapInArrow(run, "id string, label int, x binary").collect())
+    one = rows.mapInArrow(run, "id string, label int, x binary").groupBy("id").agg(F.min(F.struct("label", "x")).alias("r")).select("id", "r.*")
+    found = sorted(one.collect())  # an id of drawn each, at most
     if not found:
         return None
     return fit(np.stack([np.frombuffer(r["x"], np.float32) for r in found]), np.array([r["label"] for r in found], np.float64))

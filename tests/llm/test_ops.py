@@ -433,6 +433,22 @@ def test_leaks_awkward(spark, awkward):
     assert decontaminate.decontaminate(awkward.limit(0), items).count() == 0
 
 
+def test_leaks_of_items_without_an_id_and_in_many_parts(spark):
+    item = "seven plain words of a leaked test item that goes on for a while"
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "quite clean"), (3, "one two three four five six seven eight nine ten")], "doc_id long, text string")
+    for rows, schema in (([(None, item), (4, item)], "item_id long, text string"), ([("x1", item), ("4", item)], "item_id string, text string")):
+        got = {r.doc_id: (r.contaminated, r.item_id) for r in decontaminate.decontaminate(docs, spark.createDataFrame(rows, schema)).collect()}
+        assert got == {1: (True, 4), 2: (False, None), 3: (False, None)}
+    alone = decontaminate.decontaminate(docs, spark.createDataFrame([(None, item)], "item_id long, text string")).where("contaminated").collect()
+    assert [(r.doc_id, r.item_id) for r in alone] == [(1, None)]
+    many = spark.createDataFrame([(i, f"other words {i} of item number {i} that nothing holds") for i in range(9)] + [(9, item), (10, "two three five six eight nine and four more")], "item_id long, text string")
+    key = lambda df: sorted((r.doc_id, r.contaminated, r.item_id, r.item_score, r.word_from) for r in df.collect())
+    assert key(decontaminate.decontaminate(docs, many, part_words=12)) == key(decontaminate.decontaminate(docs, many))
+    ten = spark.createDataFrame([(1, "one two three four xx six seven eight nine ten")], "item_id long, text string")
+    flagged = [[r.doc_id for r in decontaminate.decontaminate(docs, ten, least_words=n).where("contaminated").collect()] for n in (8, 9)]
+    assert flagged == [[3], []]
+
+
 def brute_dice(text):
     import re
 
@@ -608,6 +624,20 @@ def test_mix_awkward(spark, awkward):
     assert [r.taken for r in blank] == [0, 0, 0]
 
 
+def test_mix_of_ids_that_repeat_agrees_when_rerun(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(40), f"{'w ' * rng.randrange(1, 9)}{i}", rng.choice(["a", "b", None])) for i in range(2000)]
+    results = []
+    for k in range(2):
+        rng.shuffle(rows)
+        mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3 + k), shard_words=500)
+        results.append(sorted((r.doc_id, r.text, r.source or "", r.taken) for r in mixed.collect()))
+    assert results[0] == results[1]
+    # a hot id does not lie in one shard
+    hot = mixing.mix(spark.createDataFrame([(7, f"word {i}", "a") for i in range(600)], "doc_id long, text string, source string"), shard_words=100, keep_text=False)
+    assert hot.select("taken").distinct().count() >= 1 and hot.agg(F.sum("taken")).first()[0] == pytest.approx(1800, abs=64 * 12)
+
+
 def test_sainte_lague_quotas(spark):
     votes = [("a", 340.0), ("b", 280.0), ("c", 160.0), ("d", 60.0), ("e", 9.9), ("f", 0.0)]
     df = spark.createDataFrame([(s, 0, 10_000, 1000, v) for s, v in votes], "source string, _shard int, shard_size long, blocks long, vote double")
@@ -675,6 +705,14 @@ def test_quality_awkward(spark, awkward):
     assert quality.score(awkward.limit(0), None).count() == 0
 
 
+def test_training_takes_one_row_an_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 2, f"text {i} of words") for i in range(600)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(x)))
+    quality.train(docs, spark.createDataFrame([(0, 1), (1, 0), (1, 1)], "doc_id long, quality int"), train_docs=3)
+    assert seen == [2]
+
+
 def test_training_follows_the_gradient_of_log_loss():
     """The first step of Adam moves each parameter against the sign of its numerical gradient."""
     rng = np.random.default_rng(3)
