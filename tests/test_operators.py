@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 
 import numpy as np
@@ -226,3 +227,29 @@ def test_answers(spark):
     assert n("see [2], [1] and [2]; [9] [0]", 3) == [1, 2] and n("none", 3) == []
     turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", " "), (2, 0, "system", "x")], "conv_id int, turn int, role string, text string")
     assert [tuple(r) for r in answer.last_user_turns(turns).collect()] == [(1, "a")]
+
+
+def test_semantic_chunks_are_slices_of_the_flat_text():
+    blocks = [chunk.Block("1", "First one. Second one."), chunk.Block("2", "Third one.\nFourth one.", reading_order=1)]
+    alike = chunk.chunk_document("semantic", blocks, embed=lambda texts: [[1.0, 0.0]] * len(texts))
+    assert [c.text for c in alike] == ["First one. Second one.\n\nThird one.\nFourth one."]
+    seen = []
+    parts = chunk.chunk_document("semantic", blocks, embed=lambda texts: seen.extend(texts) or [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0], [0.0, 1.0]])
+    assert seen == ["First one.", "Second one.", "Third one.", "Fourth one."]
+    assert [(c.text, c.block_ids, c.meta) for c in parts] == [("First one. Second one.", ["1"], {"cut_similarity": 0.0}), ("Third one.\nFourth one.", ["2"], {})]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_windows_and_overlaps_keep_to_their_budgets(seed):
+    """Fixed windows follow each other without gaps, fit their target, and step back by as many words as the overlap allows."""
+    rng = random.Random(seed)
+    text = " ".join("".join(rng.choices("ab-.", k=rng.randrange(1, 9))) + str(i) for i in range(300))
+    words = text.split()
+    for target, overlap in ((20, 0), (20, 6), (7, 6), (1, 1)):
+        made = [c.text.split() for c in chunk.chunk_document("fixed", [chunk.Block("1", text)], target, overlap)]
+        at = 0
+        for before, window in zip([None, *made], made, strict=False):
+            back = 0 if before is None else next(n for n in range(len(before), -1, -1) if words[at - n : at - n + len(window)] == window and (n == 0 or sum(map(chunk.approx_tokens, before[-n:])) <= overlap))
+            at += len(window) - back
+            assert chunk.approx_tokens(" ".join(window)) <= target or len(window) == 1
+        assert at == len(words)
