@@ -118,6 +118,7 @@ class Items:
         self.maybe[(self.seed >> np.uint64(64 - self.bits)).astype(np.int64)] = True
         self.vocabulary = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]))
         self.numbers = [np.searchsorted(self.vocabulary, x) for x in words]
+        self.flat, self.begin = np.concatenate([*self.numbers, np.zeros(0, np.int64)]).astype(np.int64), np.cumsum(self.size) - self.size
         self.whole: dict[bytes, int] = {}
         for i, x in enumerate(words):
             if len(x) < SEED:
@@ -172,17 +173,62 @@ def _of_part(part: list[tuple[int, str]]) -> Items:
     return Items([i for i, _ in part], [word[f : f + n] for f, n in zip(w.first, w.count, strict=True)], hashes, of[at], at - w.first[of[at]])
 
 
-def passages(items: Items, word: np.ndarray, of: np.ndarray, w: Words) -> list[tuple[int, int, int, int]]:
+def _entries(items: Items, seed: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(hits, number of the hit among them, entry): where the seeds of some hits stand in items, about most entries at a time."""
+    n = items.last[seed] - items.first[seed]
+    ends = np.cumsum(n)
+    lo = 0
+    while lo < len(seed):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        k = n[lo:hi]
+        yield slice(lo, hi), np.repeat(np.arange(len(k)), k), np.repeat(items.first[seed[lo:hi]] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        lo = hi
+
+
+def hopeful(items: Items, word: np.ndarray, of: np.ndarray, w: Words, text: np.ndarray, seed: np.ndarray, threshold: float) -> np.ndarray:
+    """Keys (text times items plus item, sorted) of the texts and items that share a seed where the whole text holds so many of the item's words that its score can reach the threshold.
+
+    A phrase of many items proposes each of them wherever it stands; most go here, before a place is looked at.
+    """
+    m = len(items.ids)
+    pairs = np.unique(text * len(items.seed) + seed)
+    text, seed = pairs // len(items.seed), pairs % len(items.seed)
+    keys = [np.unique(text[some][k] * m + items.item[entry]) for some, k, entry in _entries(items, seed)]
+    keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    number = np.minimum(np.searchsorted(items.vocabulary, word), len(items.vocabulary) - 1)
+    number[items.vocabulary[number] != word] = len(items.vocabulary)
+    there, kept = np.zeros(len(items.vocabulary) + 1, bool), []
+    for t in np.unique(keys // m):
+        here = number[w.first[t] : w.first[t] + w.count[t]]
+        there[here] = True
+        there[-1] = False
+        mine = keys[np.searchsorted(keys, t * m) : np.searchsorted(keys, (t + 1) * m)]
+        for part in np.split(mine, np.arange(4096, len(mine), 4096)):
+            i = part - t * m
+            size = items.size[i]
+            at = np.cumsum(size) - size
+            flat = items.flat[np.repeat(items.begin[i] - at, size) + np.arange(size.sum())]
+            kept.append(part[np.add.reduceat(there[flat], at) >= threshold * size - 1e-9])
+        there[here] = False
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def passages(items: Items, word: np.ndarray, of: np.ndarray, w: Words, threshold: float) -> list[tuple[int, int, int, int]]:
     """(text, item, from, to): stretches of a text's words that seeds propose for an item."""
     found = [(at[hit], seed) for at, hashes in seeds(word, of) for hit, seed in [items.find(hashes)]]
     hit, seed = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     if not len(hit):
         return []
-    n = items.last[seed] - items.first[seed]
-    row = np.repeat(hit, n)
-    entry = np.repeat(items.first[seed] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    item, text = items.item[entry], of[row]
-    begin = row - w.first[text] - items.place[entry]  # where the item would start
+    keys, m = hopeful(items, word, of, w, of[hit].astype(np.int64), seed, threshold), len(items.ids)
+    if not len(keys):
+        return []
+    some = []
+    for part, k, entry in _entries(items, seed):
+        row = hit[part][k]
+        key = of[row].astype(np.int64) * m + items.item[entry]
+        on = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+        some.append((items.item[entry[on]], of[row[on]], row[on] - w.first[of[row[on]]] - items.place[entry[on]]))
+    item, text, begin = (np.concatenate(x) for x in zip(*some, strict=True))  # begin: where the item would start
     order = np.lexsort((begin, item, text))
     item, text, begin = item[order], text[order], begin[order]
     size = items.size[item]
@@ -221,7 +267,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.5, lea
             items = shared.value
             for b in pieces(batches, text_col, 1 << 20):
                 w, word, of = read_words(b.column(at).to_pylist())
-                todo = able(items, word, w, passages(items, word, of, w), threshold)
+                todo = able(items, word, w, passages(items, word, of, w, threshold), threshold)
                 if items.whole:
                     short = [(t, word[w.first[t] : w.first[t] + w.count[t]].tobytes()) for t in np.flatnonzero((w.count > 0) & (w.count < SEED)).tolist()]
                     todo += [(t, items.whole[x], 0, len(x) // 8) for t, x in short if x in items.whole]
