@@ -60,15 +60,19 @@ SELECT query_id, CAST(length(prompt) AS INTEGER) AS n_chars, md5(prompt) AS prom
 
 
 def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answer.extractive_answers(_questions(spark, sf_dir), _passages(spark, sf_dir).where("query_id % 5 > 0")).select("query_id", F.md5("answer").alias("answer_md5"))
+    """Each item with its passages, and each once more as a question that found none."""
+    asked = _questions(spark, sf_dir)
+    asked = asked.unionByName(asked.withColumn("query_id", -1 - F.col("query_id")))
+    return answer.extractive_answers(asked, _passages(spark, sf_dir)).select("query_id", F.md5("answer").alias("answer_md5"))
 
 
 SNIPPET_SQL = "CASE WHEN length({0}) > 600 THEN CASE WHEN contains(left({0}, 600), ' ') THEN regexp_replace(left({0}, 600), '(?s) [^ ]*$', '') ELSE left({0}, 600) END || '…' ELSE {0} END"
 EXTRACTIVE_SQL = f"""
 WITH {PASSAGES_SQL},
-t AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS inside FROM passages WHERE query_id % 5 > 0),
+t AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS inside FROM passages),
 j AS (SELECT query_id, '_{answer.NO_MODEL}_' || chr(10) || chr(10) || string_agg('**[' || position || '] ' || document_name || '**' || chr(10) || {SNIPPET_SQL.format("inside")} || chr(10), chr(10) ORDER BY position) AS a FROM t GROUP BY query_id)
 SELECT item_id AS query_id, md5(coalesce(a, '{answer.NOTHING_FOUND}')) AS answer_md5 FROM benchmark LEFT JOIN j ON query_id = item_id
+UNION ALL SELECT -1 - item_id, md5('{answer.NOTHING_FOUND}') FROM benchmark
 """
 
 
@@ -92,19 +96,19 @@ SELECT m.query_id, CAST(marker AS INTEGER) AS marker, document_name, CAST(page_n
 
 
 def marker_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.substring("text", 1, 20), F.lit("[1][23] x"), F.substring("text", 21, 10), F.lit("[4]"))
+    text = F.concat(F.substring("text", 1, 20), F.lit("[1][23] x"), F.expr("substring(text, 21)"), F.lit("[4]"))
     return load(spark, sf_dir, "benchmark").select("item_id", F.posexplode(marker_split(text)).alias("part_no", "part"))
 
 
-PARTS_SQL = "SELECT item_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS part_no, unnest(p) AS part FROM (SELECT item_id, [left(text, 20), '[1]', '[23]', ' x' || substr(text, 21, 10), '[4]'] AS p FROM benchmark)"
+PARTS_SQL = "SELECT item_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS part_no, unnest(p) AS part FROM (SELECT item_id, [left(text, 20), '[1]', '[23]', ' x' || substr(text, 21), '[4]'] AS p FROM benchmark)"
 
 
 def flow_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").where(F.length("text") > 60)
+    docs = load(spark, sf_dir, "documents")
     return docs.select("doc_id", highlight_window(F.col("text"), F.lit(30), F.lit(50), 25).alias("h")).select("doc_id", "h.*")
 
 
-FLOW_SQL = "SELECT doc_id, substr(text, 6, 25) AS before, substr(text, 31, 20) AS marked, substr(text, 51, 25) AS after FROM documents WHERE length(text) > 60"
+FLOW_SQL = "SELECT doc_id, substr(text, 6, 25) AS before, substr(text, 31, 20) AS marked, substr(text, 51, 25) AS after FROM documents"
 
 
 def paged_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
