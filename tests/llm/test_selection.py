@@ -175,7 +175,7 @@ def shop(rng, n, start=datetime(2023, 12, 30), hours=24 * 12):
     client = lambda: None if rng.random() < 0.05 else 7 if rng.random() < 0.4 else rng.randrange(4)
     clicks = [(client(), None if rng.random() < 0.03 else at(), rng.choice(["view", "error", None])) for _ in range(n)]
     # one session over days, another that goes on at exactly the gap, and one that just doesn't
-    clicks += [(9, start + timedelta(minutes=14 * i), "error" if i == 699 else "view") for i in range(700)]
+    clicks += [(9, start + timedelta(minutes=14 * i), "error" if i == 600 else "view") for i in range(700)]
     clicks += [(8, start + timedelta(minutes=15 * i), "view") for i in range(70)] + [(8, start + timedelta(minutes=15 * 69), "error"), (6, start, "view"), (6, start + timedelta(minutes=15, microseconds=1), "error")]
     sales = [(None if rng.random() < 0.03 else i % (n - 3), rng.choice([client(), 8, 9]), rng.choice(["open", "done", None]), None if rng.random() < 0.03 else at()) for i in range(n)]
     lines = [(rng.choice([None, i, i]), None if rng.random() < 0.1 else at()) for i in list(range(n)) * 2]
