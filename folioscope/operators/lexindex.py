@@ -56,6 +56,12 @@ def _publish(spark: SparkSession, path: str, version: int, parts: list[dict]) ->
     spark.createDataFrame(rows, "kind string, name string, n_docs long, n_terms long").coalesce(1).write.parquet(f"{path}/manifest/version={version}")
 
 
+def _spread(docs: DataFrame) -> DataFrame:
+    """docs, dealt out anew if they come in fewer parts than there are cores, as small files do."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def analysed(docs: DataFrame, id_col: str, text_col: str, stemmed: bool) -> DataFrame:
     """(id, n_terms, terms): each document's distinct terms with their counts, in one pass over the texts."""
 
@@ -77,7 +83,7 @@ def analysed(docs: DataFrame, id_col: str, text_col: str, stemmed: bool) -> Data
 
     kind = docs.schema[id_col].dataType
     shape = T.StructType([T.StructField("id", kind), T.StructField("n_terms", T.LongType()), *T._parse_datatype_string("terms array<struct<term:string,tf:int>>").fields])
-    return docs.select(F.col(id_col).alias("id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w")).mapInArrow(count, shape)
+    return _spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w")).mapInArrow(count, shape)
 
 
 def _write_segment(found: DataFrame, path: str) -> dict:
@@ -221,7 +227,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 50, stem
 def next_words(docs: DataFrame, path: str, id_col: str = "chunk_id", text_col: str = "text") -> None:
     """Store the next-word index: a row (first, second, id, position) for each two words that follow each other, and how many rows each pair has."""
     spark = docs.sparkSession
-    w = docs.select(F.col(id_col).alias("id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+    w = _spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
     pairs = F.transform("w", lambda x, i: F.struct(x.alias("first"), F.get(F.col("w"), i + 1).alias("second"), (i + 1).alias("position")))
     rows = w.select("id", F.explode(pairs).alias("p")).select("p.first", "p.second", "id", "p.position").where("second IS NOT NULL")
     rows.repartitionByRange("first", "second", "id").sortWithinPartitions("first", "second", "id", "position").write.mode("overwrite").parquet(f"{path}/next")
