@@ -52,9 +52,9 @@ class Estimate:
 RULES: tuple[Rule, ...] = (
     Rule("many_symbols", lambda: F.col("n_symbols") > 0.1 * F.col("n_words")),
     Rule("odd_word_length", lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words"))),
-    Rule("many_dup_lines", lambda: F.col("n_dup_lines") > 0.3 * F.col("n_lines")),
+    Rule("many_dup_lines", lambda: (F.col("n_dup_lines") > 0.3 * F.col("n_lines")) & (F.col("n_dup_lines") > 2)),
     Rule("shouting", lambda: F.length(F.regexp_replace("text", r"[^\p{Lu}]+", "")) > 0.5 * F.col("word_chars")),
-    Rule("few_letters", lambda: F.length(F.regexp_replace("text", r"[\p{L}\p{M}\x20\x09-\x0D]+", "")) > 0.4 * F.col("word_chars")),
+    Rule("few_letters", lambda: F.length(F.regexp_replace("text", r"[\p{L}\p{M}\x20\x09-\x0D]+", "")) > 0.5 * F.col("word_chars")),
     Rule("many_exclamations", lambda: F.length(F.regexp_replace("text", r"[^!?]+", "")) > 0.3 * F.col("n_words")),
 )
 

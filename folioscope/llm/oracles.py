@@ -24,8 +24,8 @@ m AS (
   FROM w LEFT JOIN covered USING (r)),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT (base_failed OR n_symbols > 0.1::DOUBLE * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR n_dup_lines > 0.3::DOUBLE * n_lines
-    OR length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) > 0.5::DOUBLE * word_chars OR length(regexp_replace(text, '[\p{L}\p{M}\x20\x09-\x0D]+', '', 'g')) > 0.4::DOUBLE * word_chars
+  NOT (base_failed OR n_symbols > 0.1::DOUBLE * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR (n_dup_lines > 0.3::DOUBLE * n_lines AND n_dup_lines > 2)
+    OR length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) > 0.5::DOUBLE * word_chars OR length(regexp_replace(text, '[\p{L}\p{M}\x20\x09-\x0D]+', '', 'g')) > 0.5::DOUBLE * word_chars
     OR length(regexp_replace(text, '[^!?]+', '', 'g')) > 0.3::DOUBLE * n_words) AS kept
 FROM judged
 """
