@@ -2,18 +2,20 @@
 
 Method. Each text gets a fingerprint: bit i is 1 if it is set in over half of the hashes
 of the text's word shingles. Equal fingerprints collapse to one point first. Points go to
-shards by exact bands: of ``radius + k`` bands of bits, two points within ``radius`` agree
-on ``k`` at least, so that each choice of k bands, with their bits, names a shard, and each
-such pair meets in one (k grows with the number of points, so that shards stay small).
+overlapping shards by a part of their bits: of ``radius + k`` bands of bits, two points within
+``radius`` agree on ``k`` at least, so that each choice of k bands names shards, and each
+such pair meets in one (k grows with the number of points, so that shards stay small). Of a
+choice's bits only so many name a shard that about ``shard_points`` points share it.
 Within a shard a vantage-point tree parts points by their Hamming distance to a vantage
 point; a ring is compared with those rings only that overlap it within the radius, as the
-triangle inequality bounds the distance of two points from below. What remains is compared
+triangle inequality bounds the distance of two points from below. Each ring and those it
+overlaps are parted again by another vantage point, down to leaves, where what remains is compared
 bit by bit, so every pair within the radius is found, and no other. A shard passes on a
 spanning forest of its links instead of all pairs; connected components join the forests.
 
 Scale. Hashing is one narrow pass; only points are shuffled, once for each choice of
 bands. Shards with too many points are cut into tiles, so that one dense group does not load one
-task. With N points and k bands of b bits, N / 2^(kb) points share a shard by chance.
+task. With N points and k bands of b bits, N / 2^(kb) points share a shard by chance at least.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any
 other; repeated rows each keep their row; rows with a null id get the component of their
@@ -24,6 +26,7 @@ columns other than id and text are not looked at.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import components
-from folioscope.llm.shared import pieces, stored
+from folioscope.llm.shared import dropped, pieces, stored
 from folioscope.llm.wordhash import Words, mix
 
 #: Points of a shard by chance, for which one more band is taken; and points of a tile's side, to which larger shards are cut.
 CHANCE_POINTS, TILE_POINTS = 4096, 8192
+#: Points of a shard by chance, about, while its bands have bits enough; and pairs up to which a tree's leaf is compared rather than parted.
+SHARD_POINTS, LEAF_PAIRS = 1024, 1 << 15
 #: Choices of bands at most: beyond, shards by chance grow and are cut into tiles.
 MOST_CHOICES = 70
 #: Pairs compared at once.
@@ -125,28 +130,34 @@ class Forest:
         return pa.record_batch([blobs(x[on]), blobs(x[self.label[on]])], names=["a", "b"])
 
 
-def search(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of all pairs (one of a, one of b) within the radius, by a vantage-point tree. a, b: numbers of rows of x. If a is b, pairs come both ways round and with themselves."""
+def leaves(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, leaf_pairs: int = BLOCK_PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What a vantage-point tree leaves to compare: numbers of rows of x, some of a with some of b. All pairs within the radius are in one of the leaves."""
     todo = [(a, b, 0)]
     while todo:
         a, b, depth = todo.pop()
         if not len(a) or not len(b):
             continue
-        if len(a) * len(b) > BLOCK_PAIRS and depth < 6 and min(len(a), len(b)) > 64:
+        if len(a) * len(b) > leaf_pairs and depth < 6 and min(len(a), len(b)) > 64:
             v = x[a[len(a) // 2]]
             da, db = distance(x[a], v[None]), distance(x[b], v[None])
             oa, ob = np.argsort(da, kind="stable"), np.argsort(db, kind="stable")
             a, da, b, db = a[oa], da[oa], b[ob], db[ob]
             cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(da)) + 1, [len(a)]]))
-            ring, parts = 0, []
+            thin, ring, parts = min(128, len(a) // 8), 0, []
             for c in cuts[1:]:  # rings of equal distance; thin ones are taken together
-                if c - ring >= 128 or c == len(a):
+                if c - ring >= thin or c == len(a):
                     parts.append((ring, c))
                     ring = c
             spans = [(lo, hi, np.searchsorted(db, da[lo] - radius), np.searchsorted(db, da[hi - 1] + radius, "right")) for lo, hi in parts if hi > lo]
             if sum((hi - lo) * (t - f) for lo, hi, f, t in spans) < 0.9 * len(a) * len(b):
                 todo += [(a[lo:hi], b[f:t], depth + 1) for lo, hi, f, t in spans]
                 continue
+        yield a, b
+
+
+def search(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, leaf_pairs: int = BLOCK_PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of all pairs (one of a, one of b) within the radius, by a vantage-point tree. a, b: numbers of rows of x. If a is b, pairs come both ways round and with themselves."""
+    for a, b in leaves(x, a, b, radius, leaf_pairs):
         step = max(1, BLOCK_PAIRS // len(b))
         for k in range(0, len(a), step):
             part = a[k : k + step]
@@ -155,7 +166,7 @@ def search(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> Iterator
                 yield part[i], b[j]
 
 
-def group_pairs(x: np.ndarray, first: np.ndarray, side: np.ndarray, radius: int, small: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def group_pairs(x: np.ndarray, first: np.ndarray, side: np.ndarray, radius: int, small: int = 64, leaf_pairs: int = BLOCK_PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of the pairs of rows within the radius, in each group of rows of x. first: where groups begin; side: rows of a group that has both sides 0 and 1 meet those of the other side only."""
     size = np.diff(np.append(first, len(x)))
     place = np.arange(len(x)) - np.repeat(first, size)
@@ -173,7 +184,7 @@ def group_pairs(x: np.ndarray, first: np.ndarray, side: np.ndarray, radius: int,
     for g in np.flatnonzero(size > small):
         rows = np.arange(first[g], first[g] + size[g])
         a, b = (rows[side[rows] == 0], rows[side[rows] == 1]) if two[rows[0]] else (rows, rows)
-        for i, j in search(x, a, b, radius):
+        for i, j in search(x, a, b, radius, leaf_pairs):
             if a is b:
                 on = i < j
                 i, j = i[on], j[on]
@@ -223,14 +234,14 @@ def _same(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
     return all(a.column(k)[a.num_rows - 1].as_py() == b.column(k)[0].as_py() for k in (0, 1))
 
 
-def shard_links(members: DataFrame, width: int, used: int, radius: int, tile_points: int = TILE_POINTS) -> DataFrame:
+def shard_links(members: DataFrame, width: int, used: int, radius: int, tile_points: int = TILE_POINTS, *, leaf_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """(a, b): spanning forests of the pairs of points that share a shard and are within the radius. members: distinct shard long, point binary of ``width`` numbers, the first ``used`` of which are compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_groups(batches):
             x = numbers(b.column(3), width)
             trees = Forest(len(x))
-            for i, j in group_pairs(x[:, :used], starts(b), b.column(2).to_numpy(), radius):
+            for i, j in group_pairs(x[:, :used], starts(b), b.column(2).to_numpy(), radius, leaf_pairs=leaf_pairs):
                 trees.join(i, j)
             yield trees.links(x)
 
@@ -247,10 +258,19 @@ def choices(n: int, bits: int, radius: int, chance_points: int = CHANCE_POINTS)
             return out
 
 
-def links(points: DataFrame, radius: int, bits: int = 64, chance_points: int = CHANCE_POINTS, tile_points: int = TILE_POINTS) -> DataFrame:
+def naming_bits(n: int, chosen: list[np.ndarray], shard_points: int = SHARD_POINTS) -> list[np.ndarray]:
+    """Of each choice's bits those that name its shards: so many that about shard_points of n points share one by chance, or all."""
+    enough = max(0, math.ceil(math.log2(max(1, n / shard_points))))
+    return [some[:enough] for some in chosen]
+
+
+def links(points: DataFrame, radius: int, bits: int = 64, chance_points: int = CHANCE_POINTS, tile_points: int = TILE_POINTS, shard_points: int = SHARD_POINTS) -> DataFrame:
     """(a, b): spanning forests of the pairs of points within the radius. points: distinct fp."""
     width = bits // 64
-    chosen = choices(points.count(), bits, radius, chance_points)
+    n = points.count()
+    chosen = naming_bits(n, choices(n, bits, radius, chance_points), shard_points)
+    if not len(chosen[0]):
+        chosen = chosen[:1]  # all points are one shard
     masks = np.zeros((len(chosen), width), np.uint64)
     for c, some in enumerate(chosen):
         np.bitwise_or.at(masks[c], some // 64, np.uint64(1) << (some % 64).astype(np.uint64))
@@ -264,15 +284,18 @@ def links(points: DataFrame, radius: int, bits: int = 64, chance_points: int = C
                     shard = mix(shard ^ (x[:, w] & mask[w]))
                 yield pa.record_batch([pa.array(shard.view(np.int64)), b.column(0)], names=["shard", "point"])
 
-    return shard_links(points.select("fp").mapInArrow(deal, "shard long, point binary"), width, width, radius, tile_points)
+    return shard_links(points.select("fp").mapInArrow(deal, "shard long, point binary"), width, width, radius, tile_points, leaf_pairs=LEAF_PAIRS)
 
 
 def near_groups(docs: DataFrame, words: int = 4, bits: int = 64, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) for each row: the least id that links reach."""
     rows = stored(fingerprints(docs, words, bits, id_col, text_col))
     points = stored(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = components(stored(links(points, radius, bits)))
-    named = stored(points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    first = stored(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = stored(named.join(first, "root").select("fp", "component_id"))
+    edges = stored(links(points, radius, bits))
+    roots = components(edges)
+    rooted = stored(points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    dropped(points, edges)
+    first = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = stored(rooted.join(first, "root").select("fp", "component_id"))
+    dropped(rooted, first)
     return rows.join(named, "fp").select(id_col, "fp", "component_id")

@@ -83,15 +83,15 @@ def test_simhash_awkward(spark, awkward):
     assert simhash.near_groups(awkward.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("radius,bits,chance,tile", [(4, 64, 4096, 8192), (4, 64, 1e-3, 64), (6, 64, 1e-9, 100), (20, 128, 4096, 100)])
-def test_vantage_point_shards_find_all_pairs(spark, radius, bits, chance, tile):
+@pytest.mark.parametrize("radius,bits,chance,tile,shard", [(4, 64, 4096, 8192, 1024), (4, 64, 4096, 8192, 100), (4, 64, 1e-3, 64, 1e-3), (6, 64, 1e-9, 100, 1e-9), (20, 128, 4096, 100, 1), (4, 64, 4096, 100, 4096)])
+def test_vantage_point_shards_find_all_pairs(spark, radius, bits, chance, tile, shard):
     rng = random.Random(radius)
     seeds = [rng.getrandbits(bits) for _ in range(60)]
     prints = list({s ^ sum(1 << b for b in rng.sample(range(bits), rng.randrange(0, 2 * radius))) for s in seeds for _ in range(12)} | {rng.getrandbits(bits) for _ in range(300)})
     dense = rng.getrandbits(bits)  # one group that fills its shards, and tiles of them
     prints += list({dense ^ sum(1 << b for b in rng.sample(range(bits), rng.randrange(0, radius))) for _ in range(400)} - set(prints))
     df = spark.createDataFrame([(bytearray(p.to_bytes(bits // 8, "big")),) for p in prints], "fp binary")
-    found = simhash.links(df, radius, bits, chance, tile)
+    found = simhash.links(df, radius, bits, chance, tile, shard)
     roots = {bytes(r.node): bytes(r.root) for r in components(found).collect()}
     got = {}
     for p in prints:
@@ -111,6 +111,32 @@ def test_choices_of_bands_grow_with_the_points():
         assert all(any(not s & flipped for s in sets) for flipped in (set(rng.sample(range(64), 4)) for _ in range(200)))
 
 
+def test_trees_part_the_points_of_shards(spark):
+    """With production parameters on sf0.1: trees leave well under the pairs that shards hold, and lose none within the radius."""
+    points = simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).select("fp").distinct()
+    x = np.array([int.from_bytes(r.fp, "big") for r in points.collect()], np.uint64)[:, None]
+    chosen = simhash.naming_bits(len(x), simhash.choices(len(x), 64, 4))
+    held = compared = shards = 0
+    for some in chosen:
+        name = x[:, 0] & np.uint64(sum(1 << int(b) for b in some))
+        for k in np.unique(name):
+            rows = np.flatnonzero(name == k)
+            left = [(len(a), len(b)) for a, b in simhash.leaves(x, rows, rows, 4, simhash.LEAF_PAIRS)]
+            held, compared, shards = held + len(rows) ** 2, compared + sum(a * b for a, b in left), shards + (len(left) > 1)
+    assert shards >= 20 and compared < 0.5 * held, (shards, compared, held)
+    whole = simhash.Forest(len(x))
+    for lo in range(0, len(x), 500):
+        i, j = np.nonzero(simhash.distance(x[lo : lo + 500][:, None, :], x[None]) <= 4)
+        whole.join(i + lo, j)
+    roots = {bytes(r.node): bytes(r.root) for r in components(simhash.links(points, 4)).collect()}
+    names = [int(v).to_bytes(8, "big") for v in x[:, 0]]
+    got, want = {}, {}
+    for k, name in enumerate(names):
+        got.setdefault(roots.get(name, name), set()).add(name)
+        want.setdefault(int(whole.label[k]), set()).add(name)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("500", f"{i}") for i in range(501, 560)] + [("a", "a"), (None, "b"), ("700", "701"), ("701", "700")]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
