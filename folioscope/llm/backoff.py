@@ -10,7 +10,10 @@ logarithm over its words.
 Relations. Each word of a text is exploded with the word before and the word behind it (or
 a mark). These rows are dealt by the middle word, so that a shard counts all n-grams that
 begin or end with it: three words, both pairs, the word; and joins the counts to its rows.
-A frequent middle word would load a shard: its rows are dealt by it and the word behind.
+A frequent middle word would load a shard: its rows are dealt by it and the word behind,
+and those of a frequent pair by all three words. The counts of frequent words, pairs and
+triples are known before: a row whose counts are all known is scored where it stands, and
+isn't dealt, however many texts repeat it.
 Two counts may then be another shard's: that of a pair whose second word is frequent, and
 that of a rare word that is backed off to. Rows that need one go on, by the n-gram's hash,
 to the shard of its table, where they are joined. Sums by document meet at the end.
@@ -20,8 +23,9 @@ numbers, a shard of a batch each. Shards have about ``shard_words`` words. With
 ``FAN`` of them rows are dealt in two steps, of about the square root of their number each,
 so that columns stay long and the number of records in proportion to the input; what a
 shard sends back to a document is one sum. The hundred thousand most frequent words of a
-bounded sample have small codes; their exact counts over the whole corpus, a table of fixed
-size, are broadcast. Which words these are changes no result. Other words are known by 63
+bounded sample have small codes; their exact counts over the whole corpus, and those of at most
+``KNOWN`` frequent pairs and as many triples of them, tables of fixed size, are broadcast. Which
+these are changes no result. Other words are known by 63
 bits of their XXH64 hash: among a billion different words any two share one with a chance of
 one in eighteen. Counts cover all documents.
 
@@ -58,6 +62,9 @@ HOT = 1 << 17
 START, END = HOT, HOT + 1
 U = np.uint64
 RARE = U(1 << 63)
+#: Frequent pairs and triples at most; how often a sample of so many texts must hold one.
+KNOWN, SEEN, GRAM_DOCS = 1 << 16, 8, 2000
+NONE = U(2**64 - 1)
 #: Words of a shard, about; shards to which rows are dealt at once.
 SHARD_WORDS, FAN = 500_000, 1024
 #: Bits of a document's number that tell its place in the batch.
@@ -102,11 +109,53 @@ def columns_of(blobs: list[bytes], kind: int) -> list[np.ndarray]:
     return [np.concatenate([np.zeros(0, U), *(p[i] for p in parts)]) for i in range(COLUMNS[kind])]
 
 
+def rows_of(n: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes before and behind each word, or marks. n: each text's words."""
+    some = np.flatnonzero(n)
+    last = np.cumsum(n)[some] - 1
+    before, after = np.roll(codes, 1), np.roll(codes, -1)
+    before[last - n[some] + 1], after[last] = START, END
+    return before, after
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A number for each pair of frequent words; NONE for others."""
+    return np.where((first < U(HOT)) & (second < U(HOT)), first * U(HOT) + second, NONE)
+
+
+def triple_keys(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """A number for each triple of frequent words; NONE for others."""
+    return np.where((first < U(HOT)) & (second < U(HOT)) & (third < U(HOT)), (first * U(HOT) + second) * U(HOT) + third, NONE)
+
+
+class Known:
+    """Sorted keys of n-grams, and where a row has one of them."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.unique(keys)
+        self.maybe = np.zeros(1 << 20, bool)  # tells most others at once
+        self.maybe[self._bits(self.keys)] = True
+
+    @staticmethod
+    def _bits(keys: np.ndarray) -> np.ndarray:
+        return ((keys * U(0x9E3779B97F4A7C15)) >> U(44)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each row's key; -1 for other keys."""
+        out = np.full(len(keys), -1)
+        if len(self.keys):
+            some = np.flatnonzero(self.maybe[self._bits(keys)])
+            at = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
+            hit = self.keys[at] == keys[some]
+            out[some[hit]] = at[hit]
+        return out
+
+
 class Deal:
-    """Which shard a record's rows go to, in one step or two."""
+    """Which shard a record's rows go to, in one step or two. pairs: a broadcast Known, whose rows are dealt by all three words."""
 
-    def __init__(self, shards: int, fan: int = FAN):
-        self.shards = shards
+    def __init__(self, shards: int, fan: int = FAN, pairs=None):
+        self.shards, self.pairs = shards, pairs
         self.each = 1 if shards <= fan else math.ceil(math.sqrt(shards))  # final shards of a first step's
 
     def place(self, kind: int, columns: list[np.ndarray]) -> np.ndarray:
@@ -117,6 +166,9 @@ class Deal:
             h = mix(columns[0])
         else:
             h = np.where(columns[0] < RARE, mix(mix(columns[0]) ^ columns[1]), mix(columns[0]))
+            if kind == ROWS and self.pairs is not None:
+                on = np.flatnonzero(self.pairs.value.find(pair_keys(columns[0], columns[1])) >= 0)
+                h[on] = mix(h[on] ^ columns[2][on])
         return (h % U(self.shards)).astype(np.int64)
 
     def records(self, kind: int, *columns: np.ndarray, last: bool = False) -> list[tuple[int, int, bytes]]:
@@ -199,47 +251,88 @@ def frequent(texts: DataFrame, n_docs: int, sample_docs: int = 10_000) -> np.nda
     return np.array([r[0] for r in top], np.int64).view(U)
 
 
+def frequent_grams(texts: DataFrame, n_docs: int, hot: tuple[np.ndarray, np.ndarray], triples: bool, sample_docs: int = GRAM_DOCS, seen: int = SEEN, most: int = KNOWN) -> list[np.ndarray]:
+    """Keys of the pairs and triples that a sample holds ``seen`` times or more, the most frequent ones; which these are changes no result."""
+    draw = F.pmod(F.xxhash64(F.lit("frequent"), "text"), F.lit(1 << 20)) < F.lit(max(1, (1 << 20) * sample_docs // max(1, n_docs)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            n, codes = word_codes(b.column(0).to_pylist(), hot)
+            before, after = rows_of(n, codes)
+            for size, keys in ((2, pair_keys(codes, after)), (3, triple_keys(before, codes, after) if triples else np.zeros(0, U))):
+                keys, times = np.unique(keys[keys != NONE], return_counts=True)
+                yield pa.record_batch([pa.array(np.full(len(keys), size, np.int32)), pa.array(keys.view(np.int64)), pa.array(times)], names=["size", "key", "n"])
+
+    counts = texts.where(draw).mapInArrow(count, "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= seen)
+    return [np.array([r[0] for r in counts.where(F.col("size") == size).orderBy(F.desc("n"), "key").limit(most).select("key").collect()], np.int64).view(U) for size in (2, 3)]
+
+
 def score(docs: DataFrame, order: int = 3, least_count: int = 2, alpha: float = ALPHA, shard_words: int = SHARD_WORDS, fan: int = FAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, score) of each row. order: 2 or 3 words."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = rows.select("text")
-    names = frequent(texts, texts.count())
+    n_docs = texts.count()
+    names = frequent(texts, n_docs)
     rank = np.argsort(names)
     hot = names[rank], rank.astype(U)
+    pairs, triples = map(Known, frequent_grams(texts, n_docs, hot, order > 2))
+    context = docs.sparkSession.sparkContext
+    tables = context.broadcast((hot, pairs, triples))
+    n_pairs, n_triples = len(pairs.keys), len(triples.keys)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = np.zeros(HOT, np.int64), 0
+        hot, pairs, triples = tables.value
+        n, total = np.zeros(HOT + n_pairs + n_triples, np.int64), 0  # words, then pairs, then triples
         for b in pieces(batches, "text", 1 << 20):
-            _, codes = word_codes(b.column(0).to_pylist(), hot)
-            n += np.bincount(codes[codes < U(HOT)].astype(np.int64), minlength=HOT)
+            sizes, codes = word_codes(b.column(0).to_pylist(), hot)
+            n[:HOT] += np.bincount(codes[codes < U(HOT)].astype(np.int64), minlength=HOT)
+            before, after = rows_of(sizes, codes)
+            for known, start, keys in ((pairs, HOT, pair_keys(codes, after)), (triples, HOT + n_pairs, triple_keys(before, codes, after))):
+                at = known.find(keys)
+                n[start : start + len(known.keys)] += np.bincount(at[at >= 0], minlength=len(known.keys))
             total += len(codes)
         on = np.flatnonzero(n)
         yield pa.record_batch([pa.array(np.append(on, -1)), pa.array(np.append(n[on], total))], names=["code", "n"])
 
     counts = {r[0]: r[1] for r in texts.mapInArrow(tally, "code long, n long").groupBy("code").agg(F.sum("n")).collect()}
     total = counts.pop(-1, 0)
-    known = np.zeros(HOT, np.int64)
+    known = np.zeros(HOT + n_pairs + n_triples, np.int64)
     known[list(counts)] = list(counts.values())
-    deal = Deal(max(8, math.ceil(total / shard_words)), fan)
+    enough = known >= least_count  # rarer ones are counted with the others, if a caller asks for so many
+    known_pairs, known_triples = Known(pairs.keys[enough[HOT : HOT + n_pairs]]), Known(triples.keys[enough[HOT + n_pairs :]])
+    logs = np.log(np.maximum(known, 1))
+    deal = Deal(max(8, math.ceil(total / shard_words)), fan, context.broadcast(known_pairs))
     log_total, log_alpha = math.log(max(1, total)), math.log(alpha)
-    shared = docs.sparkSession.sparkContext.broadcast((hot, np.log(np.maximum(known, 1))))
+    shared = context.broadcast((hot, logs[:HOT], logs[HOT : HOT + n_pairs][enough[HOT : HOT + n_pairs]], known_triples, logs[HOT + n_pairs :][enough[HOT + n_pairs :]]))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, _ = shared.value
+        hot, log_hot, log_pairs, triples, log_triples = shared.value
+        pairs = deal.pairs.value
         task = TaskContext.get().partitionId()
         for number, b in enumerate(pieces(batches, "text", 6 << 20)):
             n, codes = word_codes(b.column(1).to_pylist(), hot)
             home = ((task << PLACE) + number) << PLACE
             doc = np.repeat(np.arange(len(n)), n).astype(U) + U(home)
             some = np.flatnonzero(n)
-            last = np.cumsum(n)[some] - 1
-            first = last - n[some] + 1
-            before, after = np.roll(codes, 1), np.roll(codes, -1)
-            before[first], after[last] = START, END
+            first = np.cumsum(n)[some] - n[some]
+            before, after = rows_of(n, codes)
             marks = np.full(len(some), START, U)
+            # rows whose counts are known are scored here: triples after a known pair, and pairs that nothing, or nothing that counts, stands before
+            pair = pairs.find(pair_keys(codes, after))
+            triple = np.where(pair >= 0, triples.find(triple_keys(before, codes, after)), -1) if order > 2 else np.full(len(codes), -1)
+            pair_before = np.full(len(codes), -1)
+            on = np.flatnonzero(triple >= 0)
+            pair_before[on] = pairs.find(pair_keys(before[on], codes[on]))
+            term, done = np.zeros(len(codes)), pair_before >= 0
+            term[done] = log_triples[triple[done]] - log_pairs[pair_before[done]]
+            two = (pair >= 0) & ((before == U(START)) | (order == 2))
+            term[two] = log_pairs[pair[two]] - log_hot[codes[two].astype(np.int64)]
+            done |= two
+            sums = np.bincount(np.repeat(np.arange(len(n)), n)[done], weights=term[done], minlength=len(n))
+            left = ~done
             # middle, behind, before, document; and a row for each text's first word
-            columns = [np.concatenate(x) for x in ((codes, marks), (after, codes[first]), (before, marks), (doc, doc[first]))]
-            ids = pa.record_batch([b.column(0), pa.array(n)], names=["id", "n"])
+            columns = [np.concatenate(x) for x in ((codes[left], marks), (after[left], codes[first]), (before[left], marks), (doc[left], doc[first]))]
+            ids = pa.record_batch([b.column(0), pa.array(n), pa.array(sums)], names=["id", "n", "sum"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, ids.schema) as out:
                 out.write_batch(ids)
@@ -247,7 +340,8 @@ def score(docs: DataFrame, order: int = 3, least_count: int = 2, alpha: float =
             yield record_batch([*deal.records(ROWS, *columns), (HOME, at, np.array([home], "<u8").tobytes() + sink.getvalue().to_pybytes())])
 
     def count_rows(key, group: pd.DataFrame) -> pd.DataFrame:
-        _, log_hot = shared.value
+        _, log_hot, log_pairs, _, _ = shared.value
+        pairs = deal.pairs.value
         homes = group[group["kind"] == HOME]  # these only pass through, to the shard that their documents' sums go to
         columns = columns_of(list(group.loc[group["kind"] == ROWS, "blob"]), ROWS)
         sort = np.lexsort((columns[2], columns[1], columns[0]))
@@ -257,6 +351,10 @@ def score(docs: DataFrame, order: int = 3, least_count: int = 2, alpha: float =
         one, two, three = _runs(mid), _runs(mid, after), _runs(mid, after, before)
         count_one, count_two, count_three = _spread(one, n), _spread(two, n), _spread(three, n)
         scored, opening = after != U(END), mid == U(START)
+        in_table = pairs.find(pair_keys(mid, after))
+        log_two = np.log(count_two)
+        log_two[in_table >= 0] = log_pairs[in_table[in_table >= 0]]
+        count_two = np.where(in_table >= 0, least_count, count_two)  # occurs as often at least; how often is known
         most = np.where(opening, 1, np.where(before == U(START), 2, order))
         tri = scored & (most == 3) & (count_three >= least_count)
         bi = scored & (most >= 2) & ~tri & (count_two >= least_count)
@@ -272,17 +370,20 @@ def score(docs: DataFrame, order: int = 3, least_count: int = 2, alpha: float =
             term[both] -= np.log(pair[both])
         log_mid = np.log(count_one)
         log_mid[mid < U(HOT)] = log_hot[mid[mid < U(HOT)].astype(np.int64)]
-        term[bi] = (most[bi] - 2) * log_alpha + np.log(count_two[bi]) - log_mid[bi]
+        term[bi] = (most[bi] - 2) * log_alpha + log_two[bi] - log_mid[bi]
         term[uni] = (most[uni] - 1) * log_alpha - log_total
         easy = uni & (after < U(HOT))
         term[easy] += log_hot[after[easy].astype(np.int64)]
+        ask = np.flatnonzero(tri & ~rare)
+        known = pairs.find(pair_keys(before[ask], mid[ask]))
+        term[ask[known >= 0]] -= log_pairs[known[known >= 0]]
+        ask = ask[known < 0]
         docs_here, at = np.unique(doc, return_inverse=True)
         out = deal.records(SUMS, docs_here, np.bincount(at, weights=term, minlength=len(docs_here)).astype("<f4").view("<u4"))
-        ask = tri & ~rare
         out += deal.records(ASK_PAIR, before[ask], mid[ask], doc[ask])
         ask = uni & (after >= RARE)
         out += deal.records(ASK_WORD, after[ask], doc[ask])
-        table = two[(after[two] < U(HOT)) & (mid[two] != U(START)) & (count_two[two] >= least_count)]
+        table = two[(after[two] < U(HOT)) & (mid[two] != U(START)) & (count_two[two] >= least_count) & (in_table[two] < 0)]
         if order > 2:
             out += deal.records(PAIRS, mid[table], after[table], count_two[table])
         table = one[rare[one]]
@@ -315,7 +416,7 @@ def score(docs: DataFrame, order: int = 3, least_count: int = 2, alpha: float =
             home = int(np.frombuffer(blob, "<u8", 1)[0])
             ids = pa.ipc.open_stream(pa.py_buffer(blob[8:])).read_all().to_pandas(integer_object_nulls=True)
             mine = (doc >> U(PLACE)) == U(home >> PLACE)
-            whole = np.bincount((doc[mine] - U(home)).astype(np.int64), weights=sums[mine], minlength=len(ids))
+            whole = np.bincount((doc[mine] - U(home)).astype(np.int64), weights=sums[mine], minlength=len(ids)) + ids["sum"].to_numpy()
             out.append(pd.DataFrame({"id": ids["id"], "n_words": ids["n"], "score": [s / k if k else None for s, k in zip(whole.tolist(), ids["n"].tolist(), strict=True)]}))
         return pd.concat(out) if out else pd.DataFrame({"id": [], "n_words": [], "score": []})
 

@@ -721,6 +721,41 @@ def test_backoff(spark, docs, awkward, monkeypatch, order, least, shard_words, f
         assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-4)
 
 
+def zipf_texts(words, passages):
+    """Texts of Zipf words, a third of all words in copies of one passage, and one text of one word alone."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: " ".join(f"w{k}" for k in rng.zipf(1.3, n) % 50_000)
+    passage = draw(100)
+    out = [draw(200) for _ in range(words // 200)] + [passage] * passages + [" ".join(["again"] * (words // 10))]
+    rng.shuffle(out)
+    return out
+
+
+def test_backoff_of_frequent_pairs_and_copies_loads_no_shard(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(backoff.Deal, "settle", lambda self, records, *_: seen.append(records) or records)
+
+    def loads(texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        seen.clear()
+        backoff.score(df, shard_words=5000)
+        size = Counter()
+        for r in seen[0].where(F.col("kind") == backoff.ROWS).collect():
+            size[r.shard] += int(np.frombuffer(r.blob, "<u8", 1)[0])
+        return max(size.values()), sum(len(t.split()) for t in texts)
+
+    small, large = loads(zipf_texts(100_000, 500)), loads(zipf_texts(400_000, 2000))
+    assert large[1] > 3.9 * small[1] and large[0] < 1.5 * 5000 and small[0] < 1.5 * 5000, (small, large)
+
+
+def test_backoff_of_frequent_pairs_against_brute_force(spark):
+    texts = zipf_texts(20_000, 100)
+    for order in (2, 3):
+        got = sorted(tuple(r) for r in backoff.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), order, shard_words=3000, fan=4).collect())
+        want = brute_backoff(texts, order, 2)
+        assert [g[1] for g in got] == [n for n, _ in want] and np.allclose([g[2] for g in got], [s for _, s in want], atol=1e-4)
+
+
 def test_backoff_of_an_empty_table(spark, awkward):
     assert backoff.score(awkward.limit(0)).count() == 0
     got = backoff.score(awkward.where("doc_id = 4").select(F.lit("name").alias("doc_id"), "text")).collect()
