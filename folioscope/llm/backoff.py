@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.shared import pieces, stored
+from folioscope.llm.shared import pieces, shuffles_freed, stored
 from folioscope.llm.wordhash import Words, hash_spans, mix
 
 ALPHA = 0.4
@@ -421,6 +421,7 @@ def score(docs: DataFrame, order: int = 3, least_count: int = 2, alpha: float =
         return pd.concat(out) if out else pd.DataFrame({"id": [], "n_words": [], "score": []})
 
     counted = stored(deal.settle(rows.mapInArrow(explode, RECORD)).groupBy("shard").applyInPandas(count_rows, RECORD))
+    shuffles_freed(docs.sparkSession)  # the rows are by far the largest shuffle, and over
     asked = deal.settle(counted.where(~F.col("kind").isin(SUMS, HOME))).groupBy("shard").applyInPandas(join_counts, RECORD)
     sums = deal.settle(counted.where(F.col("kind").isin(SUMS, HOME)).unionByName(asked))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("score", T.DoubleType())])

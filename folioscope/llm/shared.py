@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -56,6 +57,12 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def shuffles_freed(spark: SparkSession, pause: float = 1.5) -> None:
+    """Ask for the shuffle files of ended steps once more, after a pause: Spark's listeners hold the plan of a large step for a moment when it has just ended."""
+    time.sleep(pause)
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
