@@ -30,16 +30,14 @@ def normalised(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, he
     left, right = F.least(x0, x1), F.greatest(x0, x1)
     top, bottom = height - F.greatest(y0, y1), height - F.least(y0, y1)
     turn = F.pmod(rotation, F.lit(360))
-    pick = lambda r0, r90, r180, r270: F.when(turn == 0, r0).when(turn == 90, r90).when(turn == 180, r180).otherwise(r270)
-    w, h = pick(width, height, width, height), pick(height, width, height, width)
-    edges = box(
-        clamp(pick(left, height - bottom, width - right, top) / w),
-        clamp(pick(top, left, height - bottom, width - right) / h),
-        clamp(pick(right, height - top, width - left, bottom) / w),
-        clamp(pick(bottom, right, height - top, width - left) / h),
-    )
+    # a branch for each turn, so that a row evaluates its own four edges only
+    edges = lambda x0, y0, x1, y1, w, h: box(clamp(x0 / w), clamp(y0 / h), clamp(x1 / w), clamp(y1 / h))
+    turned = (
+        F.when(turn == 0, edges(left, top, right, bottom, width, height)).when(turn == 90, edges(height - bottom, left, height - top, right, height, width))
+        .when(turn == 180, edges(width - right, height - bottom, width - left, height - top, width, height)).otherwise(edges(top, width - right, bottom, width - left, height, width))
+    )
     problem = F.when(~((width > 0) & (height > 0)), F.lit("a page's size must be positive")).when(~turn.isin(0, 90, 180, 270), F.lit("a rotation must be a multiple of 90"))
-    return F.when(problem.isNull(), edges).otherwise(F.raise_error(problem).cast(BOX))
+    return F.when(problem.isNull(), turned).otherwise(F.raise_error(problem).cast(BOX))
 
 
 def is_valid(b: Column) -> Column:

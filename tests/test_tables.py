@@ -53,6 +53,34 @@ def test_merging_in_rounds_is_greedy_merging(spark, at_least):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("at_least", [0.05, 0.3, 0.6])
+def test_merging_in_parts_is_greedy_merging(spark, monkeypatch, at_least):
+    monkeypatch.setattr(boxes, "THICK", 3)
+    rng, rows = random.Random(6), []
+    for page in range(2):
+        for o in range(200):
+            x, y, w, h = rng.random() * 2, rng.random() * 2, 2 ** rng.uniform(-3, 1), 2 ** rng.uniform(-3, 1)
+            rows.append((f"p{page}", o, (x, y, x + w, y + h)))
+    frame = spark.createDataFrame(rows, "page string, ordinal int, bbox struct<x0:double,y0:double,x1:double,y1:double>")
+    got = boxes.merge_overlapping(frame, ["page"], kept, at_least=at_least)
+    want = geometry.merge_overlapping(frame, ["page"], at_least=at_least)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_thick_pages_make_few_pairs(spark, monkeypatch):
+    pairs, found = [], boxes.neighbours
+    monkeypatch.setattr(boxes, "neighbours", lambda *a: pairs.append((e := kept(found(*a))).count()) or e)
+    made = []
+    for n in (4_000, 16_000):
+        x, y = (F.pmod(F.xxhash64("id", F.lit(c)), F.lit(10_000)) / 5_000 for c in "xy")
+        frame = spark.range(n).select(F.lit(1).alias("page"), F.col("id").alias("ordinal"), x.alias("x"), y.alias("y"))
+        frame = frame.select("page", "ordinal", F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 1).alias("x1"), (F.col("y") + 1).alias("y1")).alias("bbox"))
+        pairs.clear()
+        assert boxes.merge_overlapping(frame, ["page"], kept).agg(F.sum("n_boxes")).first()[0] == n
+        made.append(sum(pairs) / n)
+    assert made[1] < 1.5 * made[0] and made[1] < 100
+
+
 def test_a_large_page_is_no_row(spark):
     n = 40_000
     frame = spark.range(n).select(F.lit(1).alias("page"), F.col("id").alias("ordinal"), F.struct(*[(F.col("id") % 200 + d).cast("double").alias(c) if c[0] == "x" else (F.floor(F.col("id") / 200) % 100 + d).cast("double").alias(c) for c, d in (("x0", 0.0), ("y0", 0.0), ("x1", 0.9), ("y1", 0.9))]).alias("bbox"))
