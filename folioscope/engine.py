@@ -25,15 +25,17 @@ class Corpus:
     postings: DataFrame
 
 
-def ingest(files: DataFrame, strategies: Sequence[str] = ("layout",), embedder: Callable[[], dense.Embed] | None = None, paged_blocks: DataFrame | None = None, **how) -> Corpus:
+def ingest(files: DataFrame, strategies: Sequence[str] = ("layout",), embedder: Callable[[], dense.Embed] | None = None, paged_blocks: DataFrame | None = None, kept: Callable[[DataFrame], DataFrame] | None = None, **how) -> Corpus:
     """files: filename, content and, where known, tenant_id, company_name, form_type, fiscal_year.
 
     Contents are deduplicated by tenant and hash; a file without a known format is quarantined;
     text files are split into located blocks (bytes that are no UTF-8, and texts without a
     block, fail for good); paged files take their blocks from paged_blocks (document_id and the
     columns of pdf_fragments), as another reader made them. Every strategy's chunks get prefixes,
-    vectors and postings.
+    vectors and postings. kept: stores files, blocks and chunks as they are made, so that no later
+    table makes them again; it writes a frame to shared storage and reads it again.
     """
+    once = kept or (lambda df: df)
     have = set(files.columns)
     some = lambda name, kind, default=None: (F.col(name) if name in have else F.lit(default)).cast(kind).alias(name)
     got = read.intake(files).where("status = 200")
@@ -41,6 +43,7 @@ def ingest(files: DataFrame, strategies: Sequence[str] = ("layout",), embedder:
     rows = rows.withColumn("document_id", F.substring(F.sha2(F.concat_ws("/", "tenant_id", "sha256"), 256), 1, 32))
     first = F.min_by(F.struct(*[c for c in rows.columns if c not in ("document_id",)]), F.col("filename"))
     rows = rows.groupBy("document_id").agg(first.alias("r")).select("document_id", "r.*")
+    rows = once(rows)
     flow = F.col("family") == "flow"
     text = F.when(flow, read.decoded_text(F.col("content")))
     status = F.when(F.col("error").isNotNull(), "quarantined").when(flow & is_blank(text), "failed").otherwise("ready")
@@ -49,13 +52,13 @@ def ingest(files: DataFrame, strategies: Sequence[str] = ("layout",), embedder:
     blocks = split.split_flow(flowing).drop("extension").withColumn("page_no", F.lit(None).cast("int")).withColumn("bbox", F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>")).withColumn("origin", F.lit("native"))
     if paged_blocks is not None:
         blocks = blocks.unionByName(paged_blocks, allowMissingColumns=True)
-    blocks = write.block_rows(blocks)
+    blocks = once(write.block_rows(blocks))
     if "semantic" in strategies and embedder is not None:
         how.setdefault("embed", embedder())
     chunks = write.chunk_ids(chunk.chunk(blocks, strategies, **how))
     about = documents.select("document_id", "company_name", "form_type", "fiscal_year", "original_name", "cik", "ticker", "tenant_id")
     prefix = locating_prefix(F.col("company_name"), F.col("form_type"), F.col("fiscal_year"), F.col("original_name"), F.col("section_path"), F.col("page_from"))
-    chunks = chunks.join(about, "document_id").withColumn("context_prefix", prefix)
+    chunks = once(chunks.join(about, "document_id").withColumn("context_prefix", prefix))
     indexed = embedding_text(F.col("context_prefix"), F.col("text"))
     vectors = None
     if embedder is not None:
@@ -67,13 +70,19 @@ def ingest(files: DataFrame, strategies: Sequence[str] = ("layout",), embedder:
     return Corpus(documents, blocks, chunks, links, vectors, postings)
 
 
-def ask(corpus: Corpus, questions: DataFrame, embedder: Callable[[], dense.Embed] | None = None, strategy: str = "layout", tenant_id: str = "default", candidates: int = dense.CANDIDATES, limit: int = fuse.TOP) -> DataFrame:
-    """Passages for each question (query_id, text): fused hits with text, place and position, in order."""
+def stored(corpus: Corpus, kept: Callable[[DataFrame], DataFrame]) -> Corpus:
+    """The corpus with its tables stored, each once, by kept, which writes a frame to shared storage and reads it again."""
+    return Corpus(*[t if t is None else kept(t) for t in (corpus.documents, corpus.blocks, corpus.chunks, corpus.chunk_blocks, corpus.vectors, corpus.postings)])
+
+
+def ask(corpus: Corpus, questions: DataFrame, embedder: Callable[[], dense.Embed] | None = None, strategy: str = "layout", tenant_id: str = "default", candidates: int = dense.CANDIDATES, limit: int = fuse.TOP, kept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Passages for each question (query_id, text): fused hits with text, place and position, in order. kept: stores the hits, which are looked up twice."""
     there = corpus.chunks.where((F.col("strategy") == strategy) & (F.col("tenant_id") == tenant_id))
     allowed = there.select(F.col("chunk_id").alias("id"))
     vectors = corpus.vectors if embedder is not None else None
     asked = questions.withColumn("query_vector", dense.embed(F.col("text"), embedder)) if vectors is not None else questions
     hits = fuse.hybrid_search(asked, vectors, corpus.postings, candidates=candidates, limit=limit, allowed=allowed)
+    hits = hits if kept is None else kept(hits)
     near = hits.select(F.col("id").alias("chunk_id")).distinct()  # places are looked up for hits alone
     targets = resolve.citation_targets(there.join(near, "chunk_id", "left_semi").select("chunk_id", "document_id", "text", "char_start", "char_end", "section_path"), corpus.documents, corpus.chunk_blocks, corpus.blocks)
     out = hits.withColumnRenamed("id", "chunk_id").join(targets, "chunk_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope import engine
-from folioscope.plans.common import load
+from folioscope.plans.common import kept, load
 from folioscope.plans.texts import letter_vectors
 
 
@@ -24,17 +24,17 @@ def _embedder():
 
 def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of each distinct file: its format and status, and its chunks."""
-    c = engine.ingest(_files(spark, sf_dir), target=256, overlap=32)
+    c = engine.ingest(_files(spark, sf_dir), kept=kept, target=256, overlap=32)
     n = c.chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max("char_end").alias("char_end"))
     return c.documents.join(n, "document_id", "left").select("sha256", "original_name", "extension", "family", "status", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
 
 
 def ask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items asked of the ingested files."""
-    c = engine.ingest(_files(spark, sf_dir), embedder=_embedder, target=256, overlap=32)
+    c = engine.stored(engine.ingest(_files(spark, sf_dir), embedder=_embedder, kept=kept, target=256, overlap=32), kept)
     words = F.split("text", r"\s+")
     questions = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " or ").alias("text"))
-    got = engine.ask(c, questions, _embedder)
+    got = engine.ask(c, questions, _embedder, kept=kept)
     return got.select("query_id", "position", "chunk_id", "document_name", "score", "n_retrievers", "char_start", "char_end")
 
 

@@ -253,3 +253,31 @@ def test_windows_and_overlaps_keep_to_their_budgets(seed):
             at += len(window) - back
             assert chunk.approx_tokens(" ".join(window)) <= target or len(window) == 1
         assert at == len(words)
+
+
+def test_alternatives_of_a_batch_are_ranked_once(spark):
+    docs = spark.createDataFrame([(i, " ".join(["ising"] * (i % 7) + ["gas"] * (i % 5) + ["red cap"] * (i % 3))) for i in range(60)], "chunk_id long, text string")
+    index = lexical.postings(docs)
+    asked = ["ising or gas", "gas or ising", 'ising gas or "red cap" -gas', "cap red", "ising or cap or gas red"]
+    queries = spark.createDataFrame([(n, q) for n, q in enumerate(asked * 3)], "query_id int, text string")
+    where = {r["chunk_id"]: {} for r in docs.collect()}
+    for r in index.collect():
+        where[r["id"]][r["term"]] = list(r["positions"])
+    for k in (4, None):
+        got = {}
+        for r in lexical.search(queries, index, k).collect():
+            got.setdefault(r["query_id"], []).append((r["position"], r["id"], round(r["score"], 9)))
+        for n, q in enumerate(asked * 3):
+            scores = [(-round(max(lexical.cover_density(m, w) for m in met), 9), i) for i, w in where.items() if (met := lexical.matches(lexical.parse(q), w))]
+            want = [(p, i, -s) for p, (s, i) in enumerate(sorted(scores)[:k], 1)]
+            assert sorted(got.get(n, [])) == want, q
+
+
+def test_a_stored_corpus_is_made_once(spark):
+    files = spark.createDataFrame([("a.txt", bytearray(b"net sales rose"))], "filename string, content binary")
+    from folioscope import engine
+    from folioscope.plans.common import kept
+
+    c = engine.stored(engine.ingest(files, kept=kept), kept)
+    for t in (c.documents, c.blocks, c.chunks, c.chunk_blocks, c.postings):
+        assert t.inputFiles() and not any(w in t._jdf.queryExecution().toString() for w in ("MapInPandas", "Generate"))
