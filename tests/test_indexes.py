@@ -158,3 +158,16 @@ def test_phrases_equal_positions(spark, tmp_path):
         want += [(q, i, n + 1) for i, w in held.items() for n in range(len(w) - len(p) + 1) if len(p) > 1 and w[n : n + len(p)] == p]
     assert rows(got) == sorted(want)
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_queries_of_the_same_terms_are_searched_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(["red"] * (i % 7) + ["cap"] * (i % 5) + ["x"] * (i % 11))) for i in range(400)], "chunk_id long, text string")
+    lexindex.upsert(docs, str(tmp_path / "same"))
+    queries = spark.createDataFrame([(n, ("red cap", "cap red red", "cap")[n % 3]) for n in range(30)], "query_id int, text string")
+    got = lexindex.Search(spark, str(tmp_path / "same"), queries, k=5)
+    assert got.met.select("query_id").distinct().count() == 2
+    hits = {}
+    for r in got.hits().collect():
+        hits.setdefault(r["query_id"], set()).add((r["position"], r["id"], r["score"]))
+    assert len(hits) == 30 and all(len(h) == 5 and h == hits[n % 3] for n, h in hits.items()) and hits[0] == hits[1] != hits[2]
+    assert got.report().count() == 30
