@@ -112,3 +112,10 @@ def test_markdown_blocks_by_their_first_lines():
         ("paragraph", "~~~py\n# no heading\n\n~~~", two), ("paragraph", "tail\n#none", two), ("heading", "#", [""]), ("paragraph", "```\nopen", [""]),
     ]
     assert all(text[b["char_start"] : b["char_end"]] == b["text"] for b in split.markdown(text)) and split.markdown(" \n ") == []
+
+
+def test_a_turn_is_told_once_a_box(spark):
+    edges = geometry.normalised(*[F.col(c) for c in ("x0", "y0", "x1", "y1", "width", "height", "rotation")])
+    frame = spark.createDataFrame([(1.0, 2.0, 3.0, 5.0, 10.0, 20.0, 90)], "x0 double, y0 double, x1 double, y1 double, width double, height double, rotation int").select(edges.alias("b"))
+    assert frame._jdf.queryExecution().analyzed().toString().count("pmod(") <= 5
+    assert [round(v, 6) for v in frame.first()["b"]] == [0.1, 0.1, 0.25, 0.3]
