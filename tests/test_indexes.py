@@ -171,3 +171,23 @@ def test_queries_of_the_same_terms_are_searched_once(spark, tmp_path):
         hits.setdefault(r["query_id"], set()).add((r["position"], r["id"], r["score"]))
     assert len(hits) == 30 and all(len(h) == 5 and h == hits[n % 3] for n, h in hits.items()) and hits[0] == hits[1] != hits[2]
     assert got.report().count() == 30
+
+
+def test_blocks_and_tombstones_shuffle_no_postings(spark, tmp_path, monkeypatch):
+    docs = texts(spark, 1500)
+    lexindex.upsert(docs, str(tmp_path), "doc_id", stemmed=False)
+    lexindex.delete(spark, str(tmp_path), docs.where("doc_id < 200"), "doc_id")
+    parts = lexindex._manifest(spark, str(tmp_path))[1]
+    held = lexindex._named(spark, str(tmp_path), parts, "segment", "docs")
+    rows_ = held.select("doc_no", F.col("n_terms").cast("int").alias("size"), F.explode("terms").alias("t"))
+    want = sorted((r.t.term, r.doc_no >> 7, r.doc_no % 128, r.t.tf, r.size) for r in rows_.collect())
+    for run in (1, 700, 1 << 20):  # runs of one range, of some, of all
+        monkeypatch.setattr(lexindex, "RUN", run)
+        blocks = lexindex._blocks(held)
+        assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
+        made = blocks.collect()
+        assert sorted((b.term, b.range, d, tf, n) for b in made for d, tf, n in zip(b.docs, b.tfs, b.sizes, strict=True)) == want
+        assert len({(b.term, b.range) for b in made}) == len(made)
+        assert all(b.n == len(b.docs) and b.max_tf == max(b.tfs) and b.min_ratio == min(n / tf for n, tf in zip(b.sizes, b.tfs, strict=True)) for b in made)
+    gone = lexindex._named(spark, str(tmp_path), parts, "gone", "docs")
+    assert gone.count() == gone.select("segment", "range").distinct().count() and gone.agg(F.sum(F.size("docs"))).first()[0] == 200
