@@ -191,3 +191,27 @@ def test_blocks_and_tombstones_shuffle_no_postings(spark, tmp_path, monkeypatch)
         assert all(b.n == len(b.docs) and b.max_tf == max(b.tfs) and b.min_ratio == min(n / tf for n, tf in zip(b.sizes, b.tfs, strict=True)) for b in made)
     gone = lexindex._named(spark, str(tmp_path), parts, "gone", "docs")
     assert gone.count() == gone.select("segment", "range").distinct().count() and gone.agg(F.sum(F.size("docs"))).first()[0] == 200
+
+
+def test_next_words_are_not_shuffled_and_only_rows_of_the_pairs_asked_go_on(spark, tmp_path):
+    docs = texts(spark, 300, seed=5).repartition(spark.sparkContext.defaultParallelism)
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    plan = lexindex._next_words(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism or "Exchange" not in plan
+    assert "rangepartitioning" not in plan
+    lexindex.next_words(docs, str(tmp_path), "doc_id")
+    stored = []
+
+    def kept(df):
+        df.write.parquet(str(tmp_path / f"kept{len(stored)}"))
+        stored.append(spark.read.parquet(str(tmp_path / f"kept{len(stored)}")))
+        return stored[-1]
+
+    asked = spark.createDataFrame([(1, "the bank of"), (2, "stone stone")], "query_id long, text string")
+    got = rows(lexindex.phrases(spark, str(tmp_path), asked, kept))
+    assert got and got == rows(lexindex.phrases(spark, str(tmp_path), asked))
+    pairs = {("the", "bank"), ("bank", "of"), ("stone", "stone")}
+    index = spark.read.parquet(f"{tmp_path}/next")
+    assert {(r.first, r.second) for r in stored[1].collect()} == pairs
+    assert stored[1].count() == sum(index.where((F.col("first") == a) & (F.col("second") == b)).count() for a, b in pairs) < index.count() / 10
