@@ -215,3 +215,26 @@ def test_next_words_are_not_shuffled_and_only_rows_of_the_pairs_asked_go_on(spar
     index = spark.read.parquet(f"{tmp_path}/next")
     assert {(r.first, r.second) for r in stored[1].collect()} == pairs
     assert stored[1].count() == sum(index.where((F.col("first") == a) & (F.col("second") == b)).count() for a, b in pairs) < index.count() / 10
+
+
+def peak_mb(run):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_an_exact_search_does_not_grow_with_its_queries():
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(10_000, 8))
+    rank, got = np.arange(len(v)), []
+    peaks = [peak_mb(lambda n=n: got.append([x for x in dense._best(v[:n], v, rank, 50)])) for n in (200, 900)]
+    assert peaks[1] < 40 and got[1][0][0][0] == 0 and sum(len(r) for r, _, _ in got[1]) == 900 * 50
+    s = np.round(v[:900] @ v.T, 9)
+    rows_, cols, _ = (np.concatenate(x) for x in zip(*got[1], strict=True))
+    for i in (0, 137, 899):
+        assert list(cols[rows_ == i]) == list(np.lexsort((rank, -s[i]))[:50])
