@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 EPSILON = 1e-9
 MERGE_AT = 0.6
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
+POINTS = ("_x0", "_y0", "_x1", "_y1", "_w", "_h")
 
 
 def clamp(x: Column) -> Column:
@@ -22,22 +23,46 @@ def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.struct(x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), x1.cast("double").alias("x1"), y1.cast("double").alias("y1"))
 
 
-def normalised(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column, rotation: Column) -> Column:
-    """A rectangle in points (origin at the bottom left) as a box on the displayed page.
-
-    rotation is in degrees, a multiple of 90, clockwise; other values and pages without a size are errors.
-    """
+def _turned(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column, rotation: Column, edges: Callable[..., Column], kind: str) -> Column:
+    """edges, of a type kind, of a rectangle on the displayed page: left, top, right and bottom in points from its upper left corner, and the page's width and height."""
     left, right = F.least(x0, x1), F.greatest(x0, x1)
     top, bottom = height - F.greatest(y0, y1), height - F.least(y0, y1)
     turn = F.pmod(rotation, F.lit(360))
     # a branch for each turn, so that a row evaluates its own four edges only
-    edges = lambda x0, y0, x1, y1, w, h: box(clamp(x0 / w), clamp(y0 / h), clamp(x1 / w), clamp(y1 / h))
     turned = (
         F.when(turn == 0, edges(left, top, right, bottom, width, height)).when(turn == 90, edges(height - bottom, left, height - top, right, height, width))
         .when(turn == 180, edges(width - right, height - bottom, width - left, height - top, width, height)).otherwise(edges(top, width - right, bottom, width - left, height, width))
     )
     problem = F.when(~((width > 0) & (height > 0)), F.lit("a page's size must be positive")).when(~turn.isin(0, 90, 180, 270), F.lit("a rotation must be a multiple of 90"))
-    return F.when(problem.isNull(), turned).otherwise(F.raise_error(problem).cast(BOX))
+    return F.when(problem.isNull(), turned).otherwise(F.raise_error(problem).cast(kind))
+
+
+def _scaled(x0: Column, y0: Column, x1: Column, y1: Column, w: Column, h: Column) -> Column:
+    """Edges in points as a box."""
+    return box(clamp(x0 / w), clamp(y0 / h), clamp(x1 / w), clamp(y1 / h))
+
+
+def normalised(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column, rotation: Column) -> Column:
+    """A rectangle in points (origin at the bottom left) as a box on the displayed page.
+
+    rotation is in degrees, a multiple of 90, clockwise; other values and pages without a size are errors.
+    Tables are better served by with_boxes.
+    """
+    return _turned(x0, y0, x1, y1, width, height, rotation, _scaled, BOX)
+
+
+def with_boxes(rects: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column, rotation: Column, into: str = "bbox") -> DataFrame:
+    """rects with a column of boxes, as of normalised.
+
+    Boxes are generated from their rows, so each is worked out once: a filter on an edge stays above,
+    while with a plain column Spark would write the whole box again for each edge that the filter
+    names, and methods of such a length (over 8,000 bytes) are interpreted by the JVM, not compiled.
+    """
+    keys = [F.col(f"`{c}`") for c in rects.columns]
+    points = lambda *edges: F.struct(*[e.cast("double").alias(c) for e, c in zip(edges, POINTS, strict=True)])
+    kind = f"struct<{','.join(f'{c}:double' for c in POINTS)}>"
+    turned = rects.select(*keys, F.inline(F.array(_turned(x0, y0, x1, y1, width, height, rotation, points, kind))))
+    return turned.select(*keys, F.explode(F.array(_scaled(*[F.col(c) for c in POINTS]))).alias(into))
 
 
 def is_valid(b: Column) -> Column:

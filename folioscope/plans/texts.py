@@ -235,9 +235,10 @@ BOX_SQL = f"WITH {RECTS} SELECT l_orderkey, l_linenumber, round(x0, 6) AS x0, ro
 
 
 def bbox_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, sf_dir)
-    other = b.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("other_line"), F.col("bbox").alias("o"))
-    return b.join(other, (F.col("l_orderkey") == F.col("k")) & (F.col("l_linenumber") < F.col("other_line"))).select("l_orderkey", "l_linenumber", "other_line", r6(geometry.iou(F.col("bbox"), F.col("o"))).alias("iou"))
+    # both sides have the same columns, so that one shuffle serves both
+    b = boxes(spark, sf_dir).drop("rotation")
+    pairs = b.alias("a").join(b.alias("b"), (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber")))
+    return pairs.select("a.l_orderkey", "a.l_linenumber", F.col("b.l_linenumber").alias("other_line"), r6(geometry.iou(F.col("a.bbox"), F.col("b.bbox"))).alias("iou"))
 
 
 IOU_SQL = f"""

@@ -1,3 +1,5 @@
+import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -5,6 +7,7 @@ import pytest
 from folioscope.operators import split
 from pyspark.sql import functions as F
 
+from folioscope import plans
 from folioscope.functions import geometry, numbers
 from folioscope.functions.text import approx_tokens, locating_prefix, sentences, strip, text_gate
 from folioscope.operators import chunk
@@ -119,3 +122,48 @@ def test_a_turn_is_told_once_a_box(spark):
     frame = spark.createDataFrame([(1.0, 2.0, 3.0, 5.0, 10.0, 20.0, 90)], "x0 double, y0 double, x1 double, y1 double, width double, height double, rotation int").select(edges.alias("b"))
     assert frame._jdf.queryExecution().analyzed().toString().count("pmod(") <= 5
     assert [round(v, 6) for v in frame.first()["b"]] == [0.1, 0.1, 0.25, 0.3]
+
+
+PLACE = ("x0", "y0", "x1", "y1", "width", "height", "rotation")
+
+
+def code_sizes(df, capsys):
+    """Bytes of the longest method of each compiled part of a plan; the JVM interprets those over 8,000."""
+    session = df.sparkSession
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.select("*").explain("codegen")
+    finally:
+        session.conf.unset("spark.sql.adaptive.enabled")
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+
+
+def test_boxes_of_a_table_are_those_of_columns(spark):
+    rng = random.Random(3)
+    rows = [(*[rng.choice([None, -3.0, 0.0, 1e-9, 9.999999999, 50.0, rng.uniform(-5, 60)]) for _ in range(4)], rng.choice([10.0, 50.0, None]), 20.0, rng.choice([0, 90, 180, 270, 450, -90])) for _ in range(300)]
+    frame = spark.createDataFrame(rows, "x0 double, y0 double, x1 double, y1 double, width double, height double, rotation int").withColumn("a.b", F.lit(1))
+    columns = [F.col(c) for c in PLACE]
+    got = geometry.with_boxes(frame.withColumn("same", geometry.normalised(*columns)), *columns)
+    assert got.columns == [*PLACE, "a.b", "same", "bbox"]
+    assert got.count() == 300 and got.where(~F.col("bbox").eqNullSafe(F.col("same"))).count() == 0
+    for turn, wide, says in ((45, 10.0, "multiple of 90"), (0, 0.0, "positive")):
+        with pytest.raises(Exception, match=says):
+            geometry.with_boxes(frame.limit(1), *[F.lit(v) for v in (0.0, 0.0, 1.0, 1.0, wide, 10.0, turn)]).collect()
+
+
+@pytest.mark.parametrize("name", ["bbox_iou", "bbox_normalise", "union_bbox"])
+def test_boxes_are_compiled(spark, capsys, name):
+    sizes = code_sizes(plans.QUERIES[name](spark, "/root/testdata/sf0.001"), capsys)
+    assert sizes and max(sizes) < 8000
+
+
+def test_pairs_of_boxes_shuffle_them_once(spark):
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plan = plans.QUERIES["bbox_iou"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert plan.count("ReusedExchange") == 1 and plan.count("FileScan") == 1
