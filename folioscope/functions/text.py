@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: A word (letters, numbers, underscore) or one sign; the classes agree with Python's on accents, superscripts and separators.
 TOKEN = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f]"
 BLANK = r"[\s\x1c-\x1f]"
+NOT_BLANK = r"(?U)[^\s\x1c-\x1f]"
 TOKENS_PER_PIECE = 1.3
 # Fixed value: the end of a sentence: white space after . ! or ?, perhaps closed by a quote or bracket, before a capital, quote or bracket.
 SENTENCE_END = r"""(?:(?<=[.!?])|(?<=[.!?]["')\]]))\s+(?=[A-Z("'])"""

@@ -75,8 +75,9 @@ def pdf_fragments(rects: DataFrame) -> DataFrame:
     Rectangles without text or without a size on the page are skipped; reading_order counts a
     document's kept fragments from 1.
     """
-    box = geometry.normalised(*[F.col(c) for c in ("x0", "y0", "x1", "y1", "width", "height", "rotation")])
-    rows = rects.select("document_id", "page_no", "rect_no", text.strip(F.col("text")).alias("text"), box.alias("bbox"))
-    rows = rows.where((F.col("text") != "") & geometry.is_valid(F.col("bbox")))
+    place = ("x0", "y0", "x1", "y1", "width", "height", "rotation")
+    written = rects.where(F.col("text").rlike(text.NOT_BLANK))
+    rows = written.select("document_id", "page_no", "rect_no", text.strip(F.col("text")).alias("text"), *place)
+    rows = geometry.with_boxes(rows, *[F.col(c) for c in place]).where(geometry.is_valid(F.col("bbox")))
     order = Window.partitionBy("document_id").orderBy("page_no", "rect_no", "bbox")
     return rows.select("document_id", "page_no", F.row_number().over(order).alias("reading_order"), F.lit("paragraph").alias("kind"), "text", "bbox", F.lit("native").alias("origin"))

@@ -11,6 +11,7 @@ from folioscope import plans
 from folioscope.functions import geometry, numbers
 from folioscope.functions.text import approx_tokens, locating_prefix, sentences, strip, text_gate
 from folioscope.operators import chunk
+from folioscope.sources import read
 
 
 def one(spark, column):
@@ -167,3 +168,18 @@ def test_pairs_of_boxes_shuffle_them_once(spark):
         for k in settings:
             spark.conf.unset(k)
     assert plan.count("ReusedExchange") == 1 and plan.count("FileScan") == 1
+
+
+def test_fragments_are_compiled_and_stripped_once(spark, capsys):
+    fragments = plans.QUERIES["pdf_fragments"](spark, "/root/testdata/sf0.001")
+    assert max(code_sizes(fragments, capsys)) < 8000
+    assert fragments._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+
+
+def test_fragments_leave_out_what_is_blank_or_has_no_size(spark):
+    texts = ["", " ", "\x1c", " \n", None, " a\x1f\n", "b\n", "\nc d\x85", "off", "flat"]
+    rows = [(1, 1, i, t, 20.0 if t == "off" else 1.0, 1.0, 30.0 if t == "off" else 3.0, 1.0 if t == "flat" else 4.0, 10.0, 10.0, 0) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, f"document_id int, page_no int, rect_no int, text string, {', '.join(f'{c} double' for c in PLACE[:-1])}, rotation int")
+    got = read.pdf_fragments(frame).orderBy("reading_order").collect()
+    assert [(r.reading_order, r.text) for r in got] == [(1, "a"), (2, "b"), (3, "c d")]
+    assert [tuple(round(v, 9) for v in r.bbox) for r in got] == [(0.1, 0.6, 0.3, 0.9)] * 3
