@@ -152,7 +152,7 @@ def test_boxes_of_a_table_are_those_of_columns(spark):
             geometry.with_boxes(frame.limit(1), *[F.lit(v) for v in (0.0, 0.0, 1.0, 1.0, wide, 10.0, turn)]).collect()
 
 
-@pytest.mark.parametrize("name", ["bbox_iou", "bbox_normalise", "union_bbox"])
+@pytest.mark.parametrize("name", ["bbox_iou", "bbox_normalise", "union_bbox", "citation_targets"])
 def test_boxes_are_compiled(spark, capsys, name):
     sizes = code_sizes(plans.QUERIES[name](spark, "/root/testdata/sf0.001"), capsys)
     assert sizes and max(sizes) < 8000
