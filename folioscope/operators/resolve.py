@@ -13,11 +13,12 @@ def citation_targets(chunks: DataFrame, documents: DataFrame, chunk_blocks: Data
 
     chunks: chunk_id, document_id, text, char_start, char_end, section_path; documents:
     document_id, original_name; chunk_blocks: chunk_id, block_id; blocks: block_id, page_no, bbox.
-    Blocks without a page or box give no region.
+    Blocks without a page or box give no region. A link may be there twice. Blocks are shuffled by
+    their chunk alone, which serves pages, regions and the chunks' join.
     """
     placed = chunk_blocks.join(blocks.select("block_id", "page_no", "bbox"), "block_id", "left")
     placed = placed.where(F.col("page_no").isNotNull() & F.col("bbox").isNotNull())
-    pages = placed.groupBy("chunk_id", "page_no").agg(geometry.union(F.col("bbox")).alias("bbox"))
+    pages = placed.repartition("chunk_id").groupBy("chunk_id", "page_no").agg(geometry.union(F.col("bbox")).alias("bbox"))
     regions = pages.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("page_no", "bbox"))).alias("regions"))
     kind = "array<struct<page_no:int,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>"
     out = chunks.join(documents.select("document_id", F.col("original_name").alias("document_name")), "document_id").join(regions, "chunk_id", "left")

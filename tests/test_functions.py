@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioscope import plans
 from folioscope.functions import geometry, numbers
 from folioscope.functions.text import approx_tokens, locating_prefix, sentences, strip, text_gate
-from folioscope.operators import chunk
+from folioscope.operators import chunk, resolve
 from folioscope.sources import read
 
 
@@ -170,6 +170,31 @@ def test_pairs_of_boxes_shuffle_them_once(spark):
     assert plan.count("ReusedExchange") == 1 and plan.count("FileScan") == 1
 
 
+def test_targets_make_boxes_once_and_shuffle_blocks_by_chunk_once(spark):
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plan = plans.QUERIES["citation_targets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert plan.count("Generate inline(") == 1
+    # links, blocks, placed blocks, chunks by document and by id, documents
+    assert plan.count("Exchange hashpartitioning(") == 6
+    assert len(re.findall(r"Sort \[block_id#", plan)) == 2  # a sort for each side of the join, none for the least box
+
+
+def test_targets_of_links_that_are_there_twice(spark):
+    chunks = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, 9)], "chunk_id int, document_id int")
+    docs = spark.createDataFrame([(7, "a"), (8, None)], "document_id int, original_name string")
+    links = spark.createDataFrame([(1, 10), (1, 10), (1, 11), (1, 12), (1, 13), (2, 11), (2, 14), (2, 15), (2, None), (3, 99), (None, 10)], "chunk_id int, block_id int")
+    near = (0.1, 0.2, 0.3, 0.4)
+    blocks = spark.createDataFrame([(10, 2, near), (11, 1, near), (12, 2, (0.2, 0.1, 0.2, 0.9)), (13, 0, None), (14, None, near), (15, 1, (0.0, 0.3, 0.1, 0.5)), (None, 1, near)], "block_id int, page_no int, bbox struct<x0:double,y0:double,x1:double,y1:double>")
+    got = {r.chunk_id: (r.document_name, [(x.page_no, tuple(x.bbox)) for x in r.regions]) for r in resolve.citation_targets(chunks, docs, links, blocks).collect()}
+    assert got == {1: ("a", [(1, near), (2, (0.1, 0.1, 0.3, 0.9))]), 2: ("a", [(1, (0.0, 0.2, 0.3, 0.5))]), 3: (None, [])}
+
+
 def test_fragments_are_compiled_and_stripped_once(spark, capsys):
     fragments = plans.QUERIES["pdf_fragments"](spark, "/root/testdata/sf0.001")
     assert max(code_sizes(fragments, capsys)) < 8000
