@@ -112,6 +112,32 @@ def test_blocks_are_skipped(spark, tmp_path):
     assert rows(search.hits()) == full(queries(spark), docs, 5, False)
 
 
+def test_what_is_read_for_a_query_grows_with_its_rarer_terms(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"every word{i} other{i % 3}") for i in range(3000)], "doc_id long, text string")
+    lexindex.upsert(docs.coalesce(1), str(tmp_path), "doc_id", stemmed=False)
+    asked = spark.createDataFrame([(i, f"every word{i * 70}") for i in range(40)] + [(40, "every"), (41, "every other1")], "query_id int, text string")
+    search = lexindex.Search(spark, str(tmp_path), asked, k=5, stemmed=False)
+    # all 24 ranges hold "every" in equal measure, and are not read again for each of the 40 queries
+    assert search.read.where("query_id < 40").count() == 40
+    assert rows(search.hits()) == full(asked, docs, 5, False)
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_terms_are_counted_a_run_at_a_time(spark, monkeypatch, stemmed):
+    from collections import Counter
+
+    said = [(1, "The Bank banks, banking: the bank"), (2, None), (3, ""), (4, "the of and"), (5, "Straße ÉTÉ 12 x_y été"), (6, "light lights " * 50), (7, "stone")]
+    docs = spark.createDataFrame(said, "doc_id long, text string").coalesce(1)
+    want = {}
+    for r in docs.select("doc_id", lexical.words(F.coalesce("text", F.lit(""))).alias("w")).collect():
+        left = [lexical.stem(w) if stemmed else w for w in r.w if w not in lexical.STOP]
+        want[r.doc_id] = (len(left), dict(Counter(left)))
+    for run in (1, 8, 1 << 20):
+        monkeypatch.setattr(lexindex, "RUN", run)
+        got = lexindex.analysed(docs, "doc_id", "text", stemmed).collect()
+        assert {r.id: (r.n_terms, {t.term: t.tf for t in r.terms}) for r in got} == want and all(len(r.terms) == len(want[r.id][1]) for r in got)
+
+
 def test_index_upkeep_equals_a_rebuild(spark, tmp_path):
     path, first = str(tmp_path), texts(spark, 900)
     lexindex.upsert(first, path, "doc_id", stemmed=False)
