@@ -138,6 +138,23 @@ def test_terms_are_counted_a_run_at_a_time(spark, monkeypatch, stemmed):
         assert {r.id: (r.n_terms, {t.term: t.tf for t in r.terms}) for r in got} == want and all(len(r.terms) == len(want[r.id][1]) for r in got)
 
 
+def test_blocks_read_asks_for_the_rarest_word_too(spark, tmp_path):
+    from folioscope.plans import indexes
+
+    spark.createDataFrame([(i, f"longestofall longerword longword {'rare' if i == 7 else 'many'} gone") for i in range(300)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "many rare longword longerword longestofall"), (2, "nowhere"), (3, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.query_id: r for r in indexes.indexed_blocks_read(spark, str(tmp_path)).collect()}
+    index = lexindex._blocks(lexindex.analysed(load_docs(spark, tmp_path), "doc_id", "text", False).withColumn("doc_no", F.monotonically_increasing_id()))
+    n = {r.term: r["count"] for r in index.groupBy("term").count().collect()}
+    assert got[1].n_blocks == n["longestofall"] + n["longerword"] + n["longword"] + n["rare"] and n["rare"] == 1
+    assert 0 < got[1].n_read <= got[1].n_blocks and got[1].n_hits == 10
+    assert [tuple(got[q])[1:] for q in (2, 3)] == [(0, 0, 0)] * 2
+
+
+def load_docs(spark, folder):
+    return spark.read.parquet(str(folder / "documents.parquet"))
+
+
 def test_index_upkeep_equals_a_rebuild(spark, tmp_path):
     path, first = str(tmp_path), texts(spark, 900)
     lexindex.upsert(first, path, "doc_id", stemmed=False)
