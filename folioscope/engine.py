@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from folioscope.sources import formats, read, write
 
 @dataclass
 class Corpus:
-    """Tables of an ingested set of files; each is a lazy plan. A caller that asks often stores them first."""
+    """Tables of an ingested set of files; each is a lazy plan, but for those that ingest has stored. A caller that asks often stores the others first."""
 
     documents: DataFrame
     blocks: DataFrame
@@ -23,6 +23,7 @@ class Corpus:
     chunk_blocks: DataFrame
     vectors: DataFrame | None
     postings: DataFrame
+    held: tuple[str, ...] = ()
 
 
 def ingest(files: DataFrame, strategies: Sequence[str] = ("layout",), embedder: Callable[[], dense.Embed] | None = None, paged_blocks: DataFrame | None = None, kept: Callable[[DataFrame], DataFrame] | None = None, **how) -> Corpus:
@@ -41,14 +42,15 @@ def ingest(files: DataFrame, strategies: Sequence[str] = ("layout",), embedder:
     got = read.intake(files).where("status = 200")
     rows = formats.detect(got.select("filename", "content", "sha256", some("tenant_id", "string", "default"), some("company_name", "string"), some("form_type", "string"), some("fiscal_year", "int"), some("cik", "string"), some("ticker", "string")))
     rows = rows.withColumn("document_id", F.substring(F.sha2(F.concat_ws("/", "tenant_id", "sha256"), 256), 1, 32))
-    first = F.min_by(F.struct(*[c for c in rows.columns if c not in ("document_id",)]), F.col("filename"))
-    rows = rows.groupBy("document_id").agg(first.alias("r")).select("document_id", "r.*")
-    rows = once(rows)
+    # what goes on of a content is its text, where it has one to be split
     flow = F.col("family") == "flow"
     text = F.when(flow, read.decoded_text(F.col("content")))
     status = F.when(F.col("error").isNotNull(), "quarantined").when(flow & is_blank(text), "failed").otherwise("ready")
-    documents = rows.select("document_id", "tenant_id", F.col("filename").alias("original_name"), "sha256", "mime", "family", "extension", "company_name", "form_type", "fiscal_year", "cik", "ticker", status.alias("status"), "error")
-    flowing = rows.where(flow & ~is_blank(text)).select("document_id", "extension", text.alias("text"))
+    rows = rows.withColumn("status", status).withColumn("text", F.when(~is_blank(text), text)).drop("content")
+    first = F.min_by(F.struct(*[c for c in rows.columns if c not in ("document_id",)]), F.col("filename"))
+    rows = once(rows.groupBy("document_id").agg(first.alias("r")).select("document_id", "r.*"))
+    documents = rows.select("document_id", "tenant_id", F.col("filename").alias("original_name"), "sha256", "mime", "family", "extension", "company_name", "form_type", "fiscal_year", "cik", "ticker", "status", "error")
+    flowing = rows.where(F.col("text").isNotNull()).select("document_id", "extension", "text")
     blocks = split.split_flow(flowing).drop("extension").withColumn("page_no", F.lit(None).cast("int")).withColumn("bbox", F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>")).withColumn("origin", F.lit("native"))
     if paged_blocks is not None:
         blocks = blocks.unionByName(paged_blocks, allowMissingColumns=True)
@@ -65,26 +67,27 @@ def ingest(files: DataFrame, strategies: Sequence[str] = ("layout",), embedder:
         payload = [F.coalesce("company_name", "original_name").alias("document_name"), "cik", "ticker", "fiscal_year", "form_type", "page_from", "section_path"]
         vectors = chunks.select(F.col("chunk_id").alias("vec_id"), "tenant_id", "document_id", "strategy", "seq", *payload, dense.embed(indexed, embedder).alias("embedding"))
     chunks = chunks.drop("company_name", "form_type", "fiscal_year", "original_name", "cik", "ticker")
-    postings = lexical.postings(chunks.select("chunk_id", indexed.alias("text")))
+    postings = lexical.placed(chunks.select("chunk_id", "tenant_id", "strategy", indexed.alias("text")), payload=("tenant_id", "strategy"))
     links = write.chunk_links(chunks, ["chunk_id"])
-    return Corpus(documents, blocks, chunks, links, vectors, postings)
+    return Corpus(documents, blocks, chunks, links, vectors, postings, ("blocks", "chunks") if kept else ())
 
 
-def stored(corpus: Corpus, kept: Callable[[DataFrame], DataFrame]) -> Corpus:
-    """The corpus with its tables stored, each once, by kept, which writes a frame to shared storage and reads it again."""
-    return Corpus(*[t if t is None else kept(t) for t in (corpus.documents, corpus.blocks, corpus.chunks, corpus.chunk_blocks, corpus.vectors, corpus.postings)])
+def stored(corpus: Corpus, kept: Callable[[DataFrame], DataFrame], only: Sequence[str] | None = None) -> Corpus:
+    """The corpus with its tables (or only some, by name) stored, each once, by kept, which writes a frame to shared storage and reads it again; what ingest has stored is not stored again."""
+    names = [f.name for f in fields(corpus) if f.name not in ("held", *corpus.held) and getattr(corpus, f.name) is not None and (only is None or f.name in only)]
+    return replace(corpus, **{n: kept(getattr(corpus, n)) for n in names}, held=(*corpus.held, *names))
 
 
 def ask(corpus: Corpus, questions: DataFrame, embedder: Callable[[], dense.Embed] | None = None, strategy: str = "layout", tenant_id: str = "default", candidates: int = dense.CANDIDATES, limit: int = fuse.TOP, kept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Passages for each question (query_id, text): fused hits with text, place and position, in order. kept: stores the hits, which are looked up twice."""
-    there = corpus.chunks.where((F.col("strategy") == strategy) & (F.col("tenant_id") == tenant_id))
-    allowed = there.select(F.col("chunk_id").alias("id"))
-    vectors = corpus.vectors if embedder is not None else None
+    meant = (F.col("strategy") == strategy) & (F.col("tenant_id") == tenant_id)  # vectors and postings say whose they are: no ids are joined
+    there = corpus.chunks.where(meant)
+    vectors = corpus.vectors.where(meant) if embedder is not None and corpus.vectors is not None else None
     asked = questions.withColumn("query_vector", dense.embed(F.col("text"), embedder)) if vectors is not None else questions
-    hits = fuse.hybrid_search(asked, vectors, corpus.postings, candidates=candidates, limit=limit, allowed=allowed)
+    hits = fuse.hybrid_search(asked, vectors, corpus.postings.where(meant), candidates=candidates, limit=limit)
     hits = hits if kept is None else kept(hits)
     near = hits.select(F.col("id").alias("chunk_id")).distinct()  # places are looked up for hits alone
-    targets = resolve.citation_targets(there.join(near, "chunk_id", "left_semi").select("chunk_id", "document_id", "text", "char_start", "char_end", "section_path"), corpus.documents, corpus.chunk_blocks, corpus.blocks)
+    targets = resolve.citation_targets(there.join(near, "chunk_id", "left_semi").select("chunk_id", "document_id", "text", "char_start", "char_end", "section_path"), corpus.documents, corpus.chunk_blocks.join(near, "chunk_id", "left_semi"), corpus.blocks)
     out = hits.withColumnRenamed("id", "chunk_id").join(targets, "chunk_id")
     return out.withColumn("score", resolve.passage_fields()).withColumn("page_no", F.try_element_at("regions", F.lit(1))["page_no"])
 

@@ -29,7 +29,7 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (strip(text) == "")
+    return text.isNull() | ~text.rlike(NOT_BLANK)  # ends at the first other character, and makes no text
 
 
 def approx_tokens(text: Column) -> Column:

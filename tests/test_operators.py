@@ -283,6 +283,37 @@ def test_a_stored_corpus_is_made_once(spark):
         assert t.inputFiles() and not any(w in t._jdf.queryExecution().toString() for w in ("MapInPandas", "Generate"))
 
 
+def test_postings_of_a_corpus_are_not_shuffled_and_tables_stored_once(spark, monkeypatch):
+    from folioscope import engine
+    from folioscope.plans.common import kept
+
+    said = ["Net sales rose; sales of nets fell, the rising sale.", "Red cap, red caps and a red-capped café. " * 30, "  \n ", "Été of 12 été"]
+    files = spark.createDataFrame([(f"{i}.txt", bytearray(t.encode())) for i, t in enumerate(said)] + [("again.txt", bytearray(said[0].encode()))], "filename string, content binary")
+    c = engine.ingest(files, kept=kept, target=20, overlap=0)
+    assert "Exchange" not in c.postings._jdf.queryExecution().executedPlan().toString()
+    held = engine.stored(c, kept)
+    assert (held.blocks, held.chunks) == (c.blocks, c.chunks) and held.documents is not c.documents and held.postings.inputFiles()
+    assert sorted(r["status"] for r in held.documents.collect()) == ["failed", "ready", "ready", "ready"]
+    # what would take as much disk as the files themselves goes no further than detection
+    assert "content" not in {f.name for t in (c.documents, c.blocks, c.chunks) for f in t.schema}
+    docs = c.chunks.select("chunk_id", "text", F.lit("t").alias("tenant_id"))
+    for run in (1, 9, 1 << 20):
+        for stemmed in (True, False):
+            monkeypatch.setattr(lexical, "RUN_WORDS", run)
+            got = lexical.placed(docs, stemmed=stemmed, payload=("tenant_id",)).collect()
+            want = lexical.postings(docs, stemmed=stemmed).collect()
+            assert sorted((r.term, r.id, list(r.positions)) for r in got) == sorted((r.term, r.id, list(r.positions)) for r in want)
+            assert {r.tenant_id for r in got} == {"t"}
+
+
+def test_a_text_is_blank_if_nothing_is_left_of_it(spark):
+    from folioscope.functions.text import is_blank, strip
+
+    said = [None, "", " ", "\n\t\r", "\x1c\x1f", "\u00a0\u2003\u3000", "\u200b", "x", " \n x \n", "\x00", "\x85"]
+    rows = spark.createDataFrame([(t,) for t in said], "t string").select("t", is_blank(F.col("t")).alias("b"), (strip(F.col("t")) == "").alias("s")).collect()
+    assert [r.b for r in rows] == [r.t is None or r.s for r in rows] and [r.b for r in rows][7:10] == [False] * 3
+
+
 def test_chunks_leave_python_in_batches(spark, monkeypatch):
     # two hundred documents in one part: as many frames before, one batch now
     blocks = spark.range(200).coalesce(1).select(F.col("id").alias("document_id"), F.concat(F.lit("b"), "id").alias("block_id"), F.concat(F.lit("Some words. Other words "), "id").alias("text"))
